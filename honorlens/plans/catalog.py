@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reports  # noqa: F401  (registration side effects)
+from . import marts, reports  # noqa: F401  (registration side effects)
 from .registry import ORACLES, QUERIES
 
 
