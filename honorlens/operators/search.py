@@ -60,7 +60,8 @@ def paginate(df: DataFrame, order: Sequence[Column | str], page: int, page_size:
     total = df.count()
     max_pages = page_count(total, page_size)
     p = min(max(1, int(page or 1)), max_pages)
-    rows = df.orderBy(*order).offset((p - 1) * page_size).limit(page_size)
+    keys = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+    rows = df.orderBy(*keys).offset((p - 1) * page_size).limit(page_size)
     return rows, {"page": p, "max_pages": max_pages, "total": total}
 
 
