@@ -24,6 +24,16 @@ def _distinct(c: str, approx: bool) -> Column:
     return F.approx_count_distinct(c) if approx else F.count_distinct(c)
 
 
+def rows_count(weight: str | None = None, cond: Column | None = None) -> Column:
+    """Row count (optionally only where ``cond``); with ``weight`` each input row
+    stands for ``weight`` fact rows (a pre-aggregated input), and the count is
+    their sum — 0, not NULL, when nothing matches."""
+    if weight is None:
+        return F.count(F.lit(1)) if cond is None else F.count(F.when(cond, F.lit(1)))
+    w = F.col(weight) if cond is None else F.when(cond, F.col(weight))
+    return F.coalesce(F.sum(w), F.lit(0)).cast("long")
+
+
 def share_true(cond: Column) -> Column:
     """Mean of a boolean where null counts as false; denominator = group size."""
     return F.avg(F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0)))
@@ -59,38 +69,39 @@ def descriptive_by_group(
     )
 
 
-def crosstab_counts(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
+def crosstab_counts(df: DataFrame, row: str, col: str, values: Sequence[str], weight: str | None = None) -> DataFrame:
     """Wide crosstab with fixed column values, one aggregation pass.
 
     Conditional counts instead of ``pivot`` keep it to a single partial+final
     aggregate and never need a distinct-values job."""
     base = non_null_keys(df, [row, col])
-    aggs = [F.count(F.when(F.col(col) == v, F.lit(1))).alias(str(v)) for v in values]
+    aggs = [rows_count(weight, F.col(col) == v).alias(str(v)) for v in values]
     return base.groupBy(row).agg(*aggs)
 
 
 def gender_by_decade(
     df: DataFrame, row: str = "decade", gender: str = "gender", values: Sequence[str] = ("female", "male"),
-    female: str = "female",
+    female: str = "female", weight: str | None = None,
 ) -> DataFrame:
     """A2: decade × gender counts; ``total`` over **all** genders of the row (not only
     the listed ones); ``female_pct`` = female / total · 100. A missing female column is 0."""
     base = non_null_keys(df, [row, gender])
     vals = list(values) if female in values else [female, *values]
-    aggs = [F.count(F.when(F.col(gender) == v, F.lit(1))).alias(v) for v in vals]
-    out = base.groupBy(row).agg(*aggs, F.count(F.lit(1)).alias("total"))
+    aggs = [rows_count(weight, F.col(gender) == v).alias(v) for v in vals]
+    out = base.groupBy(row).agg(*aggs, rows_count(weight).alias("total"))
     return out.withColumn("female_pct", F.col(female) / F.col("total") * 100).orderBy(row)
 
 
 def top_groups(
     df: DataFrame, key: str = "birth_country", id_col: str = "id", distinct_of: str = "category",
-    top_n: int = 20, approx: bool = False,
+    top_n: int = 20, approx: bool = False, weight: str | None = None,
 ) -> DataFrame:
-    """A3: count and distinct categories per key, top-n by count (key breaks ties)."""
+    """A3: count(id) and distinct categories per key, top-n by count (key breaks ties)."""
     return (
         non_null_keys(df, [key])
         .groupBy(key)
-        .agg(F.count(id_col).alias("count"), _distinct(distinct_of, approx).alias("categories"))
+        .agg(rows_count(weight, F.col(id_col).isNotNull()).alias("count"),
+             _distinct(distinct_of, approx).alias("categories"))
         .orderBy(F.desc("count"), F.asc(key))
         .limit(top_n)
     )
@@ -108,9 +119,10 @@ def lifespan_by_group(df: DataFrame, group: str = "category", value: str = "life
     )
 
 
-def counts_per_bucket(df: DataFrame, row: str = "decade", col: str = "category", values: Sequence[str] = ()) -> DataFrame:
+def counts_per_bucket(df: DataFrame, row: str = "decade", col: str = "category", values: Sequence[str] = (),
+                      weight: str | None = None) -> DataFrame:
     """Row × col counts, 0-filled, fixed column order."""
-    return crosstab_counts(df, row, col, values).orderBy(row)
+    return crosstab_counts(df, row, col, values, weight).orderBy(row)
 
 
 def summary_stats(df: DataFrame, id_col: str = "id", is_org: str = "is_org", category: str = "category",
@@ -138,10 +150,10 @@ def summary_stats(df: DataFrame, id_col: str = "id", is_org: str = "is_org", cat
     )
 
 
-def argmax_group(df: DataFrame, key: str = "birth_country") -> DataFrame:
+def argmax_group(df: DataFrame, key: str = "birth_country", weight: str | None = None) -> DataFrame:
     """The key with most rows, and its size (key order breaks ties)."""
     return (
-        non_null_keys(df, [key]).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        non_null_keys(df, [key]).groupBy(key).agg(rows_count(weight).alias("n"))
         .orderBy(F.desc("n"), F.asc(key)).limit(1)
     )
 
@@ -162,15 +174,16 @@ def extreme_rows(df: DataFrame, value: str = "age_at_award", label: str = "name"
     )
 
 
-def count_by(df: DataFrame, keys: Sequence[str], name: str = "count") -> DataFrame:
+def count_by(df: DataFrame, keys: Sequence[str], name: str = "count", weight: str | None = None) -> DataFrame:
     """Rows per group (``size``), null keys dropped."""
-    return non_null_keys(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return non_null_keys(df, keys).groupBy(*keys).agg(rows_count(weight).alias(name))
 
 
-def repeat_holders(df: DataFrame, keys: Sequence[str] = ("id", "name"), min_count: int = 2) -> DataFrame:
+def repeat_holders(df: DataFrame, keys: Sequence[str] = ("id", "name"), min_count: int = 2,
+                   weight: str | None = None) -> DataFrame:
     """Groups with more than one row (HAVING count > 1), most first."""
     return (
-        count_by(df, keys, "prizes").filter(F.col("prizes") >= min_count)
+        count_by(df, keys, "prizes", weight).filter(F.col("prizes") >= min_count)
         .orderBy(F.desc("prizes"), *[F.asc(k) for k in keys])
     )
 
@@ -184,13 +197,13 @@ def mean_max_by(df: DataFrame, key: str = "award_year", value: str = "prize_amou
     )
 
 
-def mode_by(df: DataFrame, group: str, value: str, name: str | None = None) -> DataFrame:
+def mode_by(df: DataFrame, group: str, value: str, name: str | None = None, weight: str | None = None) -> DataFrame:
     """Most frequent value per group; ties → smallest value; nulls ignored.
 
     Counted first (partial aggregation), then the winner per group is picked
     with ``max_by`` over (count, -value order) — no group is ever collected."""
     name = name or f"top_{value}"
-    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(rows_count(weight).alias("_n"))
     w = Window.partitionBy(group).orderBy(F.desc("_n"), F.asc(value))
     return (
         counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
@@ -238,12 +251,13 @@ def share_of_max(df: DataFrame, value: str = "n", name: str = "share") -> DataFr
     return with_scalar(df, mx).withColumn(name, F.col(value) / F.col("_max"))
 
 
-def hierarchy_counts(df: DataFrame, levels: Sequence[str] = ("birth_continent", "birth_country", "category")) -> DataFrame:
+def hierarchy_counts(df: DataFrame, levels: Sequence[str] = ("birth_continent", "birth_country", "category"),
+                     weight: str | None = None) -> DataFrame:
     """Counts at every prefix of the hierarchy (rollup) with the level id.
 
     Rows whose first level is null are dropped (as the treemap does)."""
     base = df.filter(F.col(levels[0]).isNotNull())
-    return base.rollup(*levels).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().cast("int").alias("level_id"))
+    return base.rollup(*levels).agg(rows_count(weight).alias("count"), F.grouping_id().cast("int").alias("level_id"))
 
 
 def facet_values(df: DataFrame, facets: Sequence[str] = ("category", "decade", "birth_country")) -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,49 +39,77 @@ def levels_of(df: DataFrame, col: str) -> list[str]:
 
 # ------------------------------------------------------------------ K-Means (M1-M4)
 
-def cluster_features(df: DataFrame, categories: Sequence[str], year: str = "award_year", age: str = "age_at_award") -> DataFrame:
-    """M1: persons with year and age, one-hot category (all levels), standardised."""
+def cluster_features(df: DataFrame, categories: Sequence[str], year: str = "award_year", age: str = "age_at_award"):
+    """M1: persons with year and age, one-hot category (all levels), standardised.
+
+    Standardisation statistics (mean, sample std) come from one aggregate over
+    all rows. Identical feature tuples are then collapsed into weighted points:
+    K-Means on duplicated rows equals weighted K-Means on the distinct points,
+    so the fit is exact while its input shrinks to the distinct tuples.
+    Returns (rows with the feature columns, weighted points with ``features``)."""
     base = df.filter(~F.col("is_org")).na.drop(subset=[year, age])
-    base, cat_cols = dummies(base, "category", categories, prefix="cat")
-    asm = VectorAssembler(inputCols=[year, age, *cat_cols], outputCol="_raw")
-    raw = asm.transform(base.withColumn(year, F.col(year).cast("double")).withColumn(age, F.col(age).cast("double")))
-    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(raw)
-    return scaler.transform(raw).drop("_raw")
-
-
-def kmeans_clusters(features: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 20):
-    """M2: K-Means with ``n_init`` seeded restarts, lowest training cost kept.
-    Cluster ids are relabelled by centroid order so they are reproducible.
-    Returns (assignments with ``cluster``, centroids as a list)."""
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="_c").fit(features)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    model = best[1]
+    base = base.withColumn(year, F.col(year).cast("double")).withColumn(age, F.col(age).cast("double"))
+    rows, cat_cols = dummies(base, "category", categories, prefix="cat")
+    names = [year, age, *cat_cols]
+    moments = rows.agg(*[F.avg(c).alias(f"_m_{i}") for i, c in enumerate(names)],
+                       *[F.stddev_samp(c).alias(f"_s_{i}") for i, c in enumerate(names)])
+    points = rows.groupBy(year, age, "category", *cat_cols).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    points = G.with_scalar(points, moments)
+    scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{i}"), F.col(f"_s_{i}")), F.lit(0.0)).alias(f"_z{i}")
+              for i, c in enumerate(names)]
+    points = points.select(year, age, "category", "weight", *scaled)
+    points = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(names))], outputCol="features").transform(points)
+    return rows, points.select(year, age, "category", "weight", "features")
+
+
+def _parallel(fn, items, parallelism: int):
+    """Run independent fits concurrently from driver threads (Spark schedules the
+    jobs side by side, as ``CrossValidator(parallelism=...)`` does)."""
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(items)))) as pool:
+        return list(pool.map(fn, items))
+
+
+def kmeans_clusters(points: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 20,
+                    parallelism: int = 4):
+    """M2: weighted K-Means with ``n_init`` seeded restarts, lowest training cost kept
+    (first seed wins a tie). Cluster ids are relabelled by centroid order so they are
+    reproducible. Returns (points with ``cluster``, centroids as a list)."""
+
+    def fit(i: int):
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="_c",
+                   weightCol="weight").fit(points)
+        return m.summary.trainingCost, i, m
+
+    model = min(_parallel(fit, list(range(n_init)), parallelism), key=lambda t: (t[0], t[1]))[2]
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     order = sorted(range(len(centers)), key=lambda i: centers[i])
     relabel = {old: new for new, old in enumerate(order)}
-    mapping = features.sparkSession.createDataFrame([(o, n) for o, n in relabel.items()], "_c int, cluster int")
-    out = model.transform(features).join(F.broadcast(mapping), "_c").drop("_c")
+    mapping = points.sparkSession.createDataFrame([(o, n) for o, n in relabel.items()], "_c int, cluster int")
+    out = model.transform(points).join(F.broadcast(mapping), "_c").drop("_c")  # k rows
     return out, [centers[i] for i in order]
 
 
-def silhouette_sweep(features: DataFrame, ks: Sequence[int] = range(3, 8), seed: int = 42) -> DataFrame:
-    """M3: silhouette (squared Euclidean, Spark's definition) for each k."""
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="_c", distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in ks:
-        pred = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_c").fit(features).transform(features)
-        rows.append((int(k), float(ev.evaluate(pred))))
-    return features.sparkSession.createDataFrame(rows, "k int, silhouette_sq_euclidean double")
+def silhouette_sweep(points: DataFrame, ks: Sequence[int] = range(3, 8), seed: int = 42,
+                     parallelism: int = 4) -> DataFrame:
+    """M3: weighted silhouette (squared Euclidean, Spark's definition) for each k."""
+    ev = ClusteringEvaluator(featuresCol="features", predictionCol="_c", distanceMeasure="squaredEuclidean",
+                             weightCol="weight")
+
+    def score(k: int):
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_c", weightCol="weight").fit(points)
+        return int(k), float(ev.evaluate(model.transform(points)))
 
+    rows = _parallel(score, list(ks), parallelism)
+    return points.sparkSession.createDataFrame(rows, "k int, silhouette_sq_euclidean double")
 
-def cluster_profiles(assigned: DataFrame) -> DataFrame:
-    """M4: per cluster count, mean year and age, mode category and country."""
+
+def cluster_profiles(rows: DataFrame, assigned_points: DataFrame, year: str = "award_year",
+                     age: str = "age_at_award") -> DataFrame:
+    """M4: per cluster count, mean year and age, mode category and country
+    (rows get their cluster by joining the point table on the feature tuple)."""
+    assigned = rows.join(assigned_points.select(year, age, "category", "cluster"), [year, age, "category"])
     base = assigned.groupBy("cluster").agg(
-        F.count("id").alias("count"), F.avg("award_year").alias("avg_year"), F.avg("age_at_award").alias("avg_age"))
+        F.count("id").alias("count"), F.avg(year).alias("avg_year"), F.avg(age).alias("avg_age"))
     cat = G.mode_by(assigned, "cluster", "category", "top_category").drop("top_category_count")
     country = G.mode_by(assigned, "cluster", "birth_country", "top_country").drop("top_country_count")
     return base.join(cat, "cluster", "left").join(country, "cluster", "left").orderBy("cluster")
@@ -114,28 +143,37 @@ def fold_column(df: DataFrame, key_cols: Sequence[str], n_folds: int, seed: int
     return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]), F.lit(n_folds)).cast("int"))
 
 
-def random_forest_cv(frame: DataFrame, feature_names: Sequence[str], num_trees: int = 200, max_depth: int = 10,
-                     n_folds: int = 5, seed: int = 42, key_cols: Sequence[str] = ("id", "award_year", "age_at_award")):
-    """M6 + M7: weighted random forest, k-fold accuracy, and importances of a final fit.
-    Returns (fold accuracies DataFrame, importances DataFrame)."""
+def _forest(num_trees: int, max_depth: int, seed: int) -> RandomForestClassifier:
+    return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, weightCol="weight",
+                                  featuresCol="features", labelCol="label")
+
+
+def random_forest_cv(frame: DataFrame, num_trees: int = 200, max_depth: int = 10, n_folds: int = 5,
+                     seed: int = 42, key_cols: Sequence[str] = ("id", "award_year", "age_at_award"),
+                     parallelism: int = 5) -> DataFrame:
+    """M6: class-weighted random forest, accuracy of each of ``n_folds`` folds plus
+    their mean and population std."""
     data = fold_column(balanced_weights(frame), key_cols, n_folds, seed).select("features", "label", "weight", "fold")
     data = data.cache()
-    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, weightCol="weight",
-                                featuresCol="features", labelCol="label")
     ev = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label", predictionCol="prediction")
-    accs = []
-    for f in range(n_folds):
-        model = rf.fit(data.filter(F.col("fold") != f))
-        accs.append((f, float(ev.evaluate(model.transform(data.filter(F.col("fold") == f))))))
-    final = rf.fit(data)
-    imp = final.featureImportances.toArray()
-    spark = frame.sparkSession
-    folds = spark.createDataFrame(accs, "fold int, accuracy double")
+
+    def run_fold(f: int):
+        model = _forest(num_trees, max_depth, seed).fit(data.filter(F.col("fold") != f))
+        return f, float(ev.evaluate(model.transform(data.filter(F.col("fold") == f))))
+
+    accs = _parallel(run_fold, list(range(n_folds)), parallelism)
+    data.unpersist()
     mean = sum(a for _, a in accs) / len(accs)
     std = math.sqrt(sum((a - mean) ** 2 for _, a in accs) / len(accs))
-    folds = folds.withColumn("cv_accuracy_mean", F.lit(mean)).withColumn("cv_accuracy_std", F.lit(std))
-    importances = spark.createDataFrame(
+    folds = frame.sparkSession.createDataFrame(accs, "fold int, accuracy double")
+    return folds.withColumn("cv_accuracy_mean", F.lit(mean)).withColumn("cv_accuracy_std", F.lit(std))
+
+
+def feature_importances(frame: DataFrame, feature_names: Sequence[str], num_trees: int = 200, max_depth: int = 10,
+                        seed: int = 42) -> DataFrame:
+    """M7: importances of a forest fitted on all rows, sorted descending."""
+    final = _forest(num_trees, max_depth, seed).fit(balanced_weights(frame).select("features", "label", "weight"))
+    imp = final.featureImportances.toArray()
+    return frame.sparkSession.createDataFrame(
         [(n, float(v)) for n, v in zip(feature_names, imp)], "feature string, importance double"
     ).orderBy(F.desc("importance"), "feature")
-    data.unpersist()
-    return folds, importances

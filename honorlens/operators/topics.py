@@ -6,9 +6,10 @@ top ``max_features`` by corpus count, term order breaking ties — so it is
 deterministic and checkable in SQL. Term frequencies come from a
 ``CountVectorizerModel`` built on that vocabulary, scaled by the smooth idf
 ln((1+n)/(1+df)) + 1 (``ElementwiseProduct``) and L2-normalised. The truncated
-SVD runs on an ``IndexedRowMatrix`` created directly from the DataFrame (no
-Python round trip of the rows); only V (vocabulary × k, bounded by the
-vocabulary cap) comes to the driver.
+SVD runs on an ``IndexedRowMatrix`` created directly from the DataFrame (the
+document vectors never pass through Python); only V (vocabulary × k, bounded
+by the vocabulary cap) comes to the driver, and k scores per document return
+as rows.
 """
 
 from __future__ import annotations
@@ -47,8 +48,9 @@ def term_lists(docs: DataFrame, text: str = "motivation", ngram_range: tuple[int
     """Adds ``terms``: unigrams (stop words removed) followed by the bigrams of that sequence."""
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True,
                          minTokenLength=1)
-    sw = StopWordsRemover(inputCol="_tok", outputCol="_uni",
-                          stopWords=stop_words if stop_words is not None else english_stop_words())
+    # tokens are already lower-cased, so a case-sensitive lookup gives the same result, faster
+    sw = StopWordsRemover(inputCol="_tok", outputCol="_uni", caseSensitive=True,
+                          stopWords=[w.lower() for w in (stop_words if stop_words is not None else english_stop_words())])
     out = sw.transform(tok.transform(docs))
     if ngram_range[1] >= 2:
         out = NGram(n=2, inputCol="_uni", outputCol="_bi").transform(out)
@@ -61,10 +63,15 @@ def term_lists(docs: DataFrame, text: str = "motivation", ngram_range: tuple[int
 def vocabulary(termed: DataFrame, id_col: str = "id", max_features: int = 1000, min_df: int = 2,
                max_df: float = 0.95) -> DataFrame:
     """M8: (term, df, tf_total, idf, term_index) of the selected vocabulary."""
+    # df from the distinct terms of each document and corpus counts from all terms:
+    # both aggregate by term with map-side partial aggregation, so no
+    # (document, term) pairs are shuffled.
     n_docs = termed.agg(F.count(F.lit(1)).alias("_n"))
-    per_doc = termed.select(id_col, F.explode("terms").alias("term")).groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("_tf"))
-    stats = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("_tf").alias("tf_total"))
+    df_counts = termed.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"))
+    tf_counts = termed.select(F.explode("terms").alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("tf_total"))
+    stats = df_counts.join(tf_counts, "term")
     from .groups import with_scalar
 
     cand = with_scalar(stats, n_docs).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_n")))

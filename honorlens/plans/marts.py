@@ -12,32 +12,34 @@ from ..operators import enrich as J
 from ..operators import groups as G
 from ..operators import windows as W
 from ..sources.dims import ABBREVIATIONS_SQL, CENTROIDS_SQL, country_centroids, name_abbreviations
-from ..sources.facts import award_facts, persons
+from ..sources.facts import award_facts, order_facts, persons
 from .oracle_sql import with_fact
 from .registry import query
 
 
 # ---------------------------------------------------------------- operators
 
-def continent_category(df: DataFrame, row: str = "birth_continent", col: str = "category") -> DataFrame:
+def continent_category(df: DataFrame, row: str = "birth_continent", col: str = "category",
+                       weight: str | None = None) -> DataFrame:
     """Counts by (row, col), rows ordered by their total ascending (``row_order``)."""
-    counts = G.count_by(df, [row, col], "count")
+    counts = G.count_by(df, [row, col], "count", weight)
     totals = counts.groupBy(row).agg(F.sum("count").alias("_total"))
     order = W.ordinal(totals, ["_total", row], "row_order").drop("_total")
     return counts.join(order, row).orderBy("row_order", col)
 
 
-def cumulative_timeline(df: DataFrame, key: str = "award_year") -> DataFrame:
+def cumulative_timeline(df: DataFrame, key: str = "award_year", weight: str | None = None) -> DataFrame:
     """Rows per key and their running total (aggregate first, W1 after)."""
-    yearly = G.count_by(df, [key], "count")
+    yearly = G.count_by(df, [key], "count", weight)
     return W.running_total(yearly, [key], "count", "cumulative").orderBy(key)
 
 
-def row_shares(df: DataFrame, row: str = "birth_continent", col: str = "category") -> DataFrame:
+def row_shares(df: DataFrame, row: str = "birth_continent", col: str = "category",
+               weight: str | None = None) -> DataFrame:
     """Crosstab in long form with % of row total, a label when ≥5 %, row order by total.
 
     The label rounds half-to-even like the reference's ``f"{v:.0f}%"``."""
-    counts = G.count_by(df, [row, col], "count")
+    counts = G.count_by(df, [row, col], "count", weight)
     shares = W.share_of_group(counts, [row], "count", "pct")
     totals = counts.groupBy(row).agg(F.sum("count").alias("_total"))
     order = W.ordinal(totals, ["_total", row], "row_order").drop("_total")
@@ -45,13 +47,14 @@ def row_shares(df: DataFrame, row: str = "birth_continent", col: str = "category
     return shares.withColumn("label", label).join(order, row)
 
 
-def globe_points(df: DataFrame, centroids: DataFrame, key: str = "birth_country", top: int = 5) -> DataFrame:
+def globe_points(df: DataFrame, centroids: DataFrame, key: str = "birth_country", top: int = 5,
+                 weight: str | None = None) -> DataFrame:
     """C4: per country: rows, sorted fields, first five names, centroid, bubble size,
     intensity class and whether it is among the ``top`` countries. Countries without
     a centroid are dropped (J4) after the max and the top list are taken, as in the
     reference."""
     base = df.filter(F.col(key).isNotNull())
-    counts = G.count_by(base, [key], "n_prizes")
+    counts = G.count_by(base, [key], "n_prizes", weight)
     fields = G.sorted_distinct_join(base, key, "category", "fields")
     notable = G.first_k_distinct(base, key, "name", "notable", k=5)
     ranked = W.top_k_per_group(counts.withColumn("_g", F.lit(1)), ["_g"], [F.desc("n_prizes"), F.asc(key)], top, "_r")
@@ -71,10 +74,10 @@ def globe_points(df: DataFrame, centroids: DataFrame, key: str = "birth_country"
 
 
 def gender_split(df: DataFrame, row: str = "decade", gender: str = "gender",
-                 values: Sequence[str] = ("female", "male")) -> DataFrame:
+                 values: Sequence[str] = ("female", "male"), weight: str | None = None) -> DataFrame:
     """Row × {female, male} counts and female share of female+male."""
     base = df.filter(F.col(gender).isin(*values))
-    ct = G.crosstab_counts(base, row, gender, values)
+    ct = G.crosstab_counts(base, row, gender, values, weight)
     denom = sum((F.col(v) for v in values[1:]), F.col(values[0]))
     return ct.withColumn("female_pct", F.col(values[0]) / denom * 100).orderBy(row)
 
@@ -116,11 +119,12 @@ def histogram(df: DataFrame, value: str, by: str | None = None, bins: int = 40)
                       (F.col("_lo") + (F.col("bin") + 1) * w).alias("bin_high"), "count")
 
 
-def sankey_links(df: DataFrame, src: str = "birth_continent", dst: str = "category") -> DataFrame:
+def sankey_links(df: DataFrame, src: str = "birth_continent", dst: str = "category",
+                 weight: str | None = None) -> DataFrame:
     """Links (source index, target index, value). Sources are numbered in
     sorted order; targets after them, in order of first appearance in the
     (source, target)-sorted rows."""
-    flow = G.count_by(df.filter(F.col(src).isNotNull()), [src, dst], "value")
+    flow = G.count_by(df.filter(F.col(src).isNotNull()), [src, dst], "value", weight)
     srcs = W.ordinal(flow.select(src).distinct(), [src], "_s")
     n_src = srcs.agg(F.count(F.lit(1)).alias("_ns"))
     first = flow.groupBy(dst).agg(F.min(src).alias("_first"))
@@ -149,7 +153,7 @@ t AS (SELECT birth_continent, row_number() OVER (ORDER BY sum(count), birth_cont
 SELECT c.birth_continent, c.category, c.count, t.row_order FROM c JOIN t USING (birth_continent)
 """.replace("\n, c AS", "WITH c AS", 1)))
 def q_c1(spark, sf_dir):
-    return continent_category(award_facts(spark, sf_dir))
+    return continent_category(order_facts(spark, sf_dir), weight="n_items")
 
 
 @query("cumulative_timeline", with_fact("""
@@ -158,7 +162,7 @@ SELECT award_year, count(*) AS count,
 FROM fact WHERE award_year IS NOT NULL GROUP BY award_year
 """))
 def q_c2(spark, sf_dir):
-    return cumulative_timeline(award_facts(spark, sf_dir))
+    return cumulative_timeline(order_facts(spark, sf_dir), weight="n_items")
 
 
 @query("category_continent_shares", with_fact("""
@@ -173,7 +177,7 @@ SELECT s.birth_continent, s.category, s.count, round(s.pct, 6) AS pct,
 FROM s JOIN t USING (birth_continent)
 """.replace("\n, c AS", "WITH c AS", 1)))
 def q_c3(spark, sf_dir):
-    return round_doubles(row_shares(award_facts(spark, sf_dir)))
+    return round_doubles(row_shares(order_facts(spark, sf_dir), weight="n_items"))
 
 
 @query("globe_points", with_fact(f"""
@@ -197,7 +201,7 @@ FROM counts c CROSS JOIN mx JOIN fields f USING (birth_country) JOIN notable n U
 JOIN centroids g ON g.country = c.birth_country
 """.replace("\n, centroids AS", "WITH centroids AS", 1)))
 def q_c4(spark, sf_dir):
-    return round_doubles(globe_points(award_facts(spark, sf_dir), country_centroids(spark, sf_dir)))
+    return round_doubles(globe_points(order_facts(spark, sf_dir), country_centroids(spark, sf_dir), weight="n_items"))
 
 
 @query("gender_split_by_decade", with_fact("""
@@ -207,7 +211,7 @@ SELECT decade, count(*) FILTER (WHERE gender = 'female') AS female, count(*) FIL
 FROM persons WHERE gender IN ('female', 'male') AND decade IS NOT NULL GROUP BY decade
 """))
 def q_c5_c6(spark, sf_dir):
-    return round_doubles(gender_split(persons(award_facts(spark, sf_dir))))
+    return round_doubles(gender_split(persons(order_facts(spark, sf_dir)), weight="n_items"))
 
 
 def _box_sql(value: str, src: str) -> str:
@@ -260,7 +264,7 @@ def q_c10(spark, sf_dir):
 SELECT category, decade, count(*) AS count FROM fact WHERE category IS NOT NULL AND decade IS NOT NULL GROUP BY 1, 2
 """))
 def q_c11(spark, sf_dir):
-    return G.count_by(award_facts(spark, sf_dir), ["category", "decade"], "count")
+    return G.count_by(order_facts(spark, sf_dir), ["category", "decade"], "count", weight="n_items")
 
 
 @query("sankey_links", with_fact("""
@@ -272,7 +276,7 @@ SELECT f.birth_continent, f.category, s.source, (SELECT count(*) FROM s) + t.t A
 FROM flow f JOIN s USING (birth_continent) JOIN t USING (category)
 """.replace("\n, flow AS", "WITH flow AS", 1)))
 def q_c13(spark, sf_dir):
-    return sankey_links(award_facts(spark, sf_dir))
+    return sankey_links(order_facts(spark, sf_dir), weight="n_items")
 
 
 @query("multi_recipients", with_fact(f"""

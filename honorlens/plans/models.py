@@ -22,8 +22,7 @@ from .reports import CATEGORY_ORDER
 KMEANS_K, KMEANS_RESTARTS, KMEANS_SWEEP = 5, 10, range(3, 8)
 FOREST_TREES, FOREST_DEPTH, FOREST_FOLDS = 200, 10, 5
 TOPICS, VOCAB_SIZE, TOP_WORDS = 8, 1000, 10
-# ... and the lighter settings used by the registered check queries (see README).
-CHECK_KMEANS_RESTARTS = 3
+# ... and the lighter forest used by the registered check queries (see README).
 CHECK_FOREST_TREES, CHECK_FOREST_FOLDS = 20, 3
 SERIES_LAGS, SERIES_HORIZON = 5, 10
 MIN_TEXT_CHARS = 10
@@ -39,32 +38,34 @@ def _cluster_input(spark, sf_dir):
 
 @query("kmeans_profiles")
 def q_kmeans(spark, sf_dir):
-    feats = _cluster_input(spark, sf_dir).cache()
-    assigned, _ = L.kmeans_clusters(feats, k=KMEANS_K, n_init=CHECK_KMEANS_RESTARTS)
-    return round_doubles(L.cluster_profiles(assigned))
+    rows, points = _cluster_input(spark, sf_dir)
+    points = points.cache()  # iterative fits re-read the (small) weighted point table
+    assigned, _ = L.kmeans_clusters(points, k=KMEANS_K, n_init=KMEANS_RESTARTS)
+    return round_doubles(L.cluster_profiles(rows, assigned))
 
 
 @query("kmeans_silhouette")
 def q_silhouette(spark, sf_dir):
-    feats = _cluster_input(spark, sf_dir).cache()
-    return round_doubles(L.silhouette_sweep(feats, KMEANS_SWEEP))
+    _, points = _cluster_input(spark, sf_dir)
+    return round_doubles(L.silhouette_sweep(points.cache(), KMEANS_SWEEP))
 
 
-def _forest(spark, sf_dir):
+def _forest_frame(spark, sf_dir):
     p = persons(award_facts(spark, sf_dir))
-    frame, names = L.classifier_frame(p, ["female", "male", "other"], L.levels_of(p, "birth_continent"))
-    return L.random_forest_cv(frame, names, num_trees=CHECK_FOREST_TREES, max_depth=FOREST_DEPTH,
-                              n_folds=CHECK_FOREST_FOLDS)
+    return L.classifier_frame(p, ["female", "male", "other"], L.levels_of(p, "birth_continent"))
 
 
 @query("forest_cv_accuracy")
 def q_forest_cv(spark, sf_dir):
-    return round_doubles(_forest(spark, sf_dir)[0])
+    frame, _ = _forest_frame(spark, sf_dir)
+    return round_doubles(L.random_forest_cv(frame, num_trees=CHECK_FOREST_TREES, max_depth=FOREST_DEPTH,
+                                            n_folds=CHECK_FOREST_FOLDS))
 
 
 @query("forest_feature_importances")
 def q_forest_imp(spark, sf_dir):
-    return round_doubles(_forest(spark, sf_dir)[1])
+    frame, names = _forest_frame(spark, sf_dir)
+    return round_doubles(L.feature_importances(frame, names, num_trees=CHECK_FOREST_TREES, max_depth=FOREST_DEPTH))
 
 
 def _vocab_sql() -> str:
@@ -87,7 +88,7 @@ SELECT term, df, tf_total, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf, rank FRO
 
 @query("tfidf_vocabulary", _vocab_sql())
 def q_vocab(spark, sf_dir):
-    termed = TP.term_lists(_documents(spark, sf_dir))
+    termed = TP.term_lists(_documents(spark, sf_dir)).cache()  # read by three aggregates
     return round_doubles(TP.vocabulary(termed, max_features=VOCAB_SIZE))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles
 from ..operators import groups as G
-from ..sources.facts import award_facts, persons
+from ..sources.facts import award_facts, order_facts, persons
 from .oracle_sql import with_fact
 from .registry import query
 
@@ -49,7 +49,7 @@ SELECT decade,
 FROM persons WHERE decade IS NOT NULL AND gender IS NOT NULL GROUP BY decade
 """))
 def q_gender_by_decade(spark, sf_dir):
-    return round_doubles(G.gender_by_decade(persons(award_facts(spark, sf_dir)), values=PERSON_GENDERS))
+    return round_doubles(G.gender_by_decade(persons(order_facts(spark, sf_dir)), values=PERSON_GENDERS, weight="n_items"))
 
 
 @query("country_rankings", with_fact("""
@@ -58,7 +58,7 @@ FROM fact WHERE birth_country IS NOT NULL GROUP BY birth_country
 ORDER BY count DESC, birth_country LIMIT 20
 """))
 def q_country_rankings(spark, sf_dir):
-    return G.top_groups(award_facts(spark, sf_dir), top_n=20)
+    return G.top_groups(order_facts(spark, sf_dir), top_n=20, weight="n_items")
 
 
 @query("lifespan_by_category", with_fact("""
@@ -72,7 +72,7 @@ def q_lifespan(spark, sf_dir):
 
 @query("prizes_per_decade", _cat_counts_sql("fact", "decade"))
 def q_prizes_per_decade(spark, sf_dir):
-    return G.counts_per_bucket(award_facts(spark, sf_dir), "decade", "category", CATEGORY_ORDER)
+    return G.counts_per_bucket(order_facts(spark, sf_dir), "decade", "category", CATEGORY_ORDER, weight="n_items")
 
 
 @query("summary_stats", with_fact("""
@@ -99,7 +99,7 @@ SELECT birth_country, count(*) AS n FROM fact WHERE birth_country IS NOT NULL
 GROUP BY birth_country ORDER BY n DESC, birth_country LIMIT 1
 """))
 def q_top_country(spark, sf_dir):
-    return G.argmax_group(award_facts(spark, sf_dir), "birth_country")
+    return G.argmax_group(order_facts(spark, sf_dir), "birth_country", weight="n_items")
 
 
 @query("youngest_oldest", with_fact("""
@@ -118,7 +118,7 @@ SELECT id, name, count(*) AS prizes FROM fact WHERE id IS NOT NULL AND name IS N
 GROUP BY id, name HAVING count(*) > 1
 """))
 def q_repeat(spark, sf_dir):
-    return G.repeat_holders(award_facts(spark, sf_dir))
+    return G.repeat_holders(order_facts(spark, sf_dir), weight="n_items")
 
 
 @query("prize_amount_trend", with_fact("""
@@ -137,7 +137,7 @@ SELECT category, top_birth_country, top_birth_country_count FROM (
   FROM persons WHERE birth_country IS NOT NULL GROUP BY category, birth_country) WHERE r = 1
 """))
 def q_mode(spark, sf_dir):
-    return G.mode_by(persons(award_facts(spark, sf_dir)), "category", "birth_country")
+    return G.mode_by(persons(order_facts(spark, sf_dir)), "category", "birth_country", weight="n_items")
 
 
 @query("category_hierarchy", with_fact("""
@@ -147,7 +147,7 @@ FROM fact WHERE birth_continent IS NOT NULL
 GROUP BY ROLLUP (birth_continent, birth_country, category)
 """))
 def q_hierarchy(spark, sf_dir):
-    return G.hierarchy_counts(award_facts(spark, sf_dir))
+    return G.hierarchy_counts(order_facts(spark, sf_dir), weight="n_items")
 
 
 @query("facet_values", with_fact("""
@@ -157,7 +157,7 @@ SELECT DISTINCT facet, value FROM (
   UNION ALL SELECT 'birth_country', CAST(birth_country AS VARCHAR) FROM fact WHERE birth_country IS NOT NULL)
 """))
 def q_facets(spark, sf_dir):
-    return G.facet_values(award_facts(spark, sf_dir))
+    return G.facet_values(order_facts(spark, sf_dir))
 
 
 @query("country_fields_notables", with_fact("""
@@ -172,7 +172,7 @@ JOIN (SELECT birth_country, string_agg(name, ', ' ORDER BY name) AS names, max(n
       FROM ranked WHERE r <= 5 GROUP BY birth_country) n USING (birth_country)
 """.replace("\n, names AS", "WITH names AS", 1)))
 def q_country_fields(spark, sf_dir):
-    fact = award_facts(spark, sf_dir).filter(F.col("birth_country").isNotNull())
+    fact = order_facts(spark, sf_dir).filter(F.col("birth_country").isNotNull())
     fields = G.sorted_distinct_join(fact, "birth_country", "category", "fields")
     notable = G.first_k_distinct(fact, "birth_country", "name", "notable", k=5)
     return fields.join(notable, "birth_country")
