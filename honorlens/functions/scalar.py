@@ -63,11 +63,12 @@ def sphere_xyz(lat: Column, lon: Column, r: float = 1.0) -> tuple[Column, Column
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double/float column as an explicit last step."""
+    """Round every double/float column as an explicit last step (N9); adding 0.0
+    turns a rounded -0.0 into 0.0."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f"`{f.name}`"), digits).alias(f.name))
+            out.append((F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)

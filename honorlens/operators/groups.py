@@ -281,3 +281,16 @@ def delimited_tokens(df: DataFrame, col: str = "nationality", sep: str = ", ") -
         .distinct()
         .orderBy("token")
     )
+
+
+def fixed_order(col: str, values: Sequence[str]) -> Column:
+    """1-based position of ``col`` in a fixed list (0 when absent)."""
+    return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col)).cast("int")
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols: Sequence[str] | None = None) -> DataFrame:
+    """Deterministic sample of at most ``n`` rows without replacement:
+    the ``n`` smallest hashes of (seed, key). A top-k, so every task keeps only n
+    candidates; the limit is the operator itself."""
+    keys = [F.col(c) for c in (key_cols or df.columns)]
+    return df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).orderBy("_h").limit(n).drop("_h")

@@ -178,7 +178,9 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     aggregate pass, as a long (var_a, var_b, r) table including the diagonal.
 
     r = covar_samp / (std_a · std_b) over the rows where both are non-null;
-    a constant column gives NULL (``corr`` would raise under ANSI)."""
+    a constant column gives NULL (``corr`` would raise under ANSI). Listed
+    columns that do not exist are skipped (P21)."""
+    cols = [c for c in cols if c in df.columns]
     aggs, pairs = [], []
     for i, a in enumerate(cols):
         for b in cols[i:]:

@@ -75,10 +75,9 @@ def vocabulary(termed: DataFrame, id_col: str = "id", max_features: int = 1000,
     from .groups import with_scalar
 
     cand = with_scalar(stats, n_docs).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_n")))
-    ranked = cand.withColumn("_g", F.lit(1))
-    from .windows import top_k_per_group
+    from .windows import top_k
 
-    top = top_k_per_group(ranked, ["_g"], [F.desc("tf_total"), F.asc("term")], max_features, "rank")
+    top = top_k(cand, [F.desc("tf_total"), F.asc("term")], max_features, "rank")
     return top.select(
         "term", "df", "tf_total",
         (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"),
@@ -96,29 +95,35 @@ def tfidf(termed: DataFrame, vocab_rows: list, out: str = "tfidf") -> DataFrame:
 
 
 def truncated_svd(weighted: DataFrame, index_col: str, vec_col: str, k: int):
-    """M9: top-k singular triplets of the (uncentered) document × term matrix.
+    """M9: top-k singular triplets of the (uncentered) document × term matrix X.
 
+    One distributed pass builds the Gramian XᵀX (terms × terms, bounded by the
+    vocabulary cap) with a tree aggregate in the JVM; its top-k eigenvectors
+    are V and the square roots of its eigenvalues are the singular values.
+    Scores X·V come from one more JVM-side pass (``IndexedRowMatrix.multiply``).
     Signs are fixed so the largest-|v| entry of every component is positive.
     Returns (scores DataFrame(index, scores array), V as a list of k columns, s)."""
+    import numpy as np
+    from pyspark.mllib.linalg import DenseMatrix
+
     rows = MLUtils.convertVectorColumnsFromML(weighted.select(F.col(index_col).cast("long").alias("index"),
                                                               F.col(vec_col).alias("vector")), "vector")
     mat = IndexedRowMatrix(rows)
-    svd = mat.computeSVD(k, computeU=True)
-    v = svd.V.toArray()  # terms × k, bounded by the vocabulary cap
-    s = list(svd.s.toArray())
-    k_eff = len(s)
-    signs = []
-    for j in range(k_eff):
-        col = v[:, j]
-        big = max(range(len(col)), key=lambda i: abs(col[i]))
-        signs.append(-1.0 if col[big] < 0 else 1.0)
-    comps = [[float(v[i, j] * signs[j]) for i in range(v.shape[0])] for j in range(k_eff)]
+    gram = mat.toRowMatrix().computeGramianMatrix().toArray()
+    vals, vecs = np.linalg.eigh(gram)
+    top = np.argsort(vals)[::-1][:k]
+    vals = np.clip(vals[top], 0.0, None)
+    v = vecs[:, top]
+    for j in range(v.shape[1]):  # sign convention: largest |v| positive
+        if v[np.argmax(np.abs(v[:, j])), j] < 0:
+            v[:, j] = -v[:, j]
+    s = [float(x) for x in np.sqrt(vals)]
+    comps = [[float(x) for x in v[:, j]] for j in range(v.shape[1])]
+    vmat = DenseMatrix(v.shape[0], v.shape[1], v.flatten(order="F").tolist())
+    proj = mat.multiply(vmat).rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
     spark = weighted.sparkSession
-    u = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
-    u_df = spark.createDataFrame(u, T.StructType([T.StructField(index_col, T.LongType()),
-                                                   T.StructField("_u", T.ArrayType(T.DoubleType()))]))
-    scale = F.array(*[F.lit(signs[j] * s[j]) for j in range(k_eff)])
-    scores = u_df.select(index_col, F.zip_with("_u", scale, lambda a, b: a * b).alias("scores"))
+    scores = spark.createDataFrame(proj, T.StructType([T.StructField(index_col, T.LongType()),
+                                                       T.StructField("scores", T.ArrayType(T.DoubleType()))]))
     return scores, comps, s
 
 

@@ -63,6 +63,14 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
+def top_k(df: DataFrame, order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
+    """Global top-k with its 1-based rank: ``orderBy().limit(k)`` is planned as a
+    per-task top-k (TakeOrderedAndProject), and the rank is numbered over the ≤ k
+    survivors only."""
+    limited = df.orderBy(*order).limit(k)
+    return limited.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+
+
 def lag_windows(df: DataFrame, series: str, t: str, value: str, length: int, out: str = "window") -> DataFrame:
     """For each point the previous ``length`` values of its series, oldest first;
     only points with a full window are kept (N−L samples per series)."""

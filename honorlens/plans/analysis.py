@@ -134,3 +134,35 @@ def q_tests(spark, sf_dir):
         ols=S.ols_trend(p),
         dist=S.distribution_stats(p),
     )
+
+
+@query("age_sample")
+def q_sample(spark, sf_dir):
+    """Deterministic sample of at most 5,000 person ages (seeded hash order)."""
+    from ..operators.groups import sample_rows
+
+    p = persons(award_facts(spark, sf_dir)).filter(F.col("age_at_award").isNotNull())
+    return sample_rows(p.select("id", "award_year", "category", "age_at_award", "prize_amount"), 5000, seed=42)
+
+
+@query("insight_facts")
+def q_insights(spark, sf_dir):
+    """The scalars quoted by the insight texts, in one row: leading country and
+    its size (A14), youngest/oldest (A15), χ² / rank-sum / OLS results with
+    p-values (A4-A6, T1) and the slope per decade (A29)."""
+    from ..functions import tails
+    from ..operators import groups as G
+    from ..sources.facts import order_facts
+
+    p = persons(award_facts(spark, sf_dir))
+    top = G.argmax_group(order_facts(spark, sf_dir), "birth_country", weight="n_items").select(
+        F.col("birth_country").alias("top_country"), F.col("n").alias("top_country_n"))
+    ext = G.extreme_rows(p)
+    chi = S.chi_squared(_chi_input(spark, sf_dir), "gender", "category").select(
+        "chi2_statistic", tails.chi2_p(F.col("chi2_statistic"), F.col("dof")).alias("chi2_p"))
+    mw = _mw(spark, sf_dir).select(F.col("u_statistic").alias("mw_u"), tails.normal_p(F.col("z")).alias("mw_p"))
+    ols = S.ols_trend(p).select("slope", "r_squared", "slope_per_decade",
+                                tails.t_p(F.col("t_statistic"), F.col("dof")).alias("ols_p"))
+    out = G.with_scalar(G.with_scalar(G.with_scalar(G.with_scalar(top, ext), chi), mw), ols)
+    return round_doubles(out.withColumn("gender_significant", F.col("chi2_p") < 0.05)
+                         .withColumn("age_trend_significant", F.col("ols_p") < 0.05))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bubble_size, intensity_class, non_null_keys, round_doubles
+from ..functions.scalar import bubble_size, intensity_class, non_null_keys, round_doubles, sphere_xyz
 from ..operators import enrich as J
 from ..operators import groups as G
 from ..operators import windows as W
@@ -20,12 +20,15 @@ from .registry import query
 # ---------------------------------------------------------------- operators
 
 def continent_category(df: DataFrame, row: str = "birth_continent", col: str = "category",
-                       weight: str | None = None) -> DataFrame:
+                       weight: str | None = None, series_order: Sequence[str] = ()) -> DataFrame:
     """Counts by (row, col), rows ordered by their total ascending (``row_order``)."""
     counts = G.count_by(df, [row, col], "count", weight)
     totals = counts.groupBy(row).agg(F.sum("count").alias("_total"))
     order = W.ordinal(totals, ["_total", row], "row_order").drop("_total")
-    return counts.join(order, row).orderBy("row_order", col)
+    out = counts.join(order, row)
+    if series_order:
+        out = out.withColumn("series_order", G.fixed_order(col, series_order))  # O6
+    return out.orderBy("row_order", col)
 
 
 def cumulative_timeline(df: DataFrame, key: str = "award_year", weight: str | None = None) -> DataFrame:
@@ -57,7 +60,7 @@ def globe_points(df: DataFrame, centroids: DataFrame, key: str = "birth_country"
     counts = G.count_by(base, [key], "n_prizes", weight)
     fields = G.sorted_distinct_join(base, key, "category", "fields")
     notable = G.first_k_distinct(base, key, "name", "notable", k=5)
-    ranked = W.top_k_per_group(counts.withColumn("_g", F.lit(1)), ["_g"], [F.desc("n_prizes"), F.asc(key)], top, "_r")
+    ranked = W.top_k(counts, [F.desc("n_prizes"), F.asc(key)], top, "_r")
     top_keys = ranked.select(key, F.lit(True).alias("is_top"))
     scaled = G.share_of_max(counts, "n_prizes", "intensity")
     pts = (
@@ -65,11 +68,14 @@ def globe_points(df: DataFrame, centroids: DataFrame, key: str = "birth_country"
         .join(F.broadcast(centroids), F.col(key) == F.col("country"), "inner").drop("country")
         .join(top_keys, key, "left")
     )
+    x, y, z = sphere_xyz(F.col("lat"), F.col("lon"))
+    is_top = F.coalesce(F.col("is_top"), F.lit(False))
     return pts.select(
-        key, "n_prizes", "fields", "notable", "lat", "lon",
+        key, "n_prizes", "fields", "notable", "lat", "lon", x.alias("x"), y.alias("y"), z.alias("z"),
         bubble_size(F.col("n_prizes"), F.col("_max")).alias("size"),
         intensity_class(F.col("intensity")).alias("intensity_class"),
-        F.coalesce(F.col("is_top"), F.lit(False)).alias("is_top"),
+        is_top.alias("is_top"),
+        F.when(is_top, F.format_string("%s (%d)", F.col(key), F.col("n_prizes"))).otherwise(F.lit("")).alias("label"),
     )
 
 
@@ -150,10 +156,14 @@ def multi_recipients(df: DataFrame, abbreviations: DataFrame, keys: Sequence[str
         WHERE birth_continent IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2),
 t AS (SELECT birth_continent, row_number() OVER (ORDER BY sum(count), birth_continent) AS row_order
       FROM c GROUP BY birth_continent)
-SELECT c.birth_continent, c.category, c.count, t.row_order FROM c JOIN t USING (birth_continent)
+SELECT c.birth_continent, c.category, c.count, t.row_order,
+       CAST(list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], c.category) AS INTEGER) AS series_order
+FROM c JOIN t USING (birth_continent)
 """.replace("\n, c AS", "WITH c AS", 1)))
 def q_c1(spark, sf_dir):
-    return continent_category(order_facts(spark, sf_dir), weight="n_items")
+    from .reports import CATEGORY_ORDER
+
+    return continent_category(order_facts(spark, sf_dir), weight="n_items", series_order=CATEGORY_ORDER)
 
 
 @query("cumulative_timeline", with_fact("""
@@ -193,10 +203,15 @@ ranked AS (SELECT birth_country, name, row_number() OVER (PARTITION BY birth_cou
 notable AS (SELECT birth_country, string_agg(name, ', ' ORDER BY name) || CASE WHEN max(nd) > 5 THEN '...' ELSE '' END AS notable
             FROM ranked WHERE r <= 5 GROUP BY 1)
 SELECT c.birth_country, c.n_prizes, f.fields, n.notable, g.lat, g.lon,
+       round(cos(radians(g.lat)) * cos(radians(g.lon)), 6) + 0.0 AS x,
+       round(cos(radians(g.lat)) * sin(radians(g.lon)), 6) + 0.0 AS y,
+       round(sin(radians(g.lat)), 6) + 0.0 AS z,
        round(6 + c.n_prizes / mx.m * 40, 6) AS size,
        CASE WHEN c.n_prizes / mx.m > 0.5 THEN 'high' WHEN c.n_prizes / mx.m > 0.2 THEN 'upper'
             WHEN c.n_prizes / mx.m > 0.05 THEN 'middle' ELSE 'low' END AS intensity_class,
-       c.birth_country IN (SELECT birth_country FROM top) AS is_top
+       c.birth_country IN (SELECT birth_country FROM top) AS is_top,
+       CASE WHEN c.birth_country IN (SELECT birth_country FROM top)
+            THEN c.birth_country || ' (' || CAST(c.n_prizes AS VARCHAR) || ')' ELSE '' END AS label
 FROM counts c CROSS JOIN mx JOIN fields f USING (birth_country) JOIN notable n USING (birth_country)
 JOIN centroids g ON g.country = c.birth_country
 """.replace("\n, centroids AS", "WITH centroids AS", 1)))

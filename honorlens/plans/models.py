@@ -44,6 +44,16 @@ def q_kmeans(spark, sf_dir):
     return round_doubles(L.cluster_profiles(rows, assigned))
 
 
+@query("kmeans_assignments")
+def q_kmeans_points(spark, sf_dir):
+    """Every person row with its cluster."""
+    rows, points = _cluster_input(spark, sf_dir)
+    assigned, _ = L.kmeans_clusters(points.cache(), k=KMEANS_K, n_init=KMEANS_RESTARTS)
+    keys = ["award_year", "age_at_award", "category"]
+    return rows.join(assigned.select(*keys, "cluster"), keys).select(
+        "name", "award_year", "age_at_award", "category", "cluster", "birth_country")
+
+
 @query("kmeans_silhouette")
 def q_silhouette(spark, sf_dir):
     _, points = _cluster_input(spark, sf_dir)
