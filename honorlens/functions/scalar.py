@@ -35,6 +35,11 @@ def bucket(c: Column, width: int) -> Column:
     return (F.floor(c / F.lit(width)) * F.lit(width)).cast("int")
 
 
+def capitalized(c: Column) -> Column:
+    """F7s: first letter upper-case, the rest lower-case (Python ``str.capitalize``)."""
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+
+
 def pct_label(v: Column, threshold: float = 5.0) -> Column:
     """F8s: '12%' when v >= threshold, else ''."""
     return F.when(v >= threshold, F.format_string("%.0f%%", v)).otherwise(F.lit(""))

@@ -88,12 +88,16 @@ def gender_split(df: DataFrame, row: str = "decade", gender: str = "gender",
     return ct.withColumn("female_pct", F.col(values[0]) / denom * 100).orderBy(row)
 
 
-def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5, approx: bool = False) -> DataFrame:
     """Quartiles (linear interpolation), whiskers at the most extreme
-    points within ``whisker``·IQR, and outlier counts per group."""
+    points within ``whisker``·IQR, and outlier counts per group. Exact quartiles
+    keep a value→count buffer per group; ``approx=True`` uses a bounded sketch
+    for continuous values in very large groups."""
     base = non_null_keys(df.filter(F.col(value).isNotNull()), [group])
+    quart = (F.percentile_approx(F.col(value).cast("double"), [0.25, 0.5, 0.75], 10000) if approx
+             else F.percentile(value, [0.25, 0.5, 0.75]))
     q = base.groupBy(group).agg(
-        F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"), F.count(F.lit(1)).alias("n"),
+        quart.alias("_q"), F.count(F.lit(1)).alias("n"),
     ).select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
@@ -303,3 +307,18 @@ WHERE EXISTS (SELECT 1 FROM rep WHERE rep.id = f.id AND rep.name = f.name)
 """.replace("\n, abbreviations AS", "WITH abbreviations AS", 1)))
 def q_c25(spark, sf_dir):
     return multi_recipients(award_facts(spark, sf_dir), name_abbreviations(spark, sf_dir))
+
+
+@query("age_density_by_category", with_fact("""
+, b AS (SELECT category, age_at_award AS v FROM persons WHERE age_at_award IS NOT NULL),
+r AS (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM b),
+x AS (SELECT category, lo, hi, CAST(CASE WHEN (hi - lo) / 40 > 0 THEN least(floor((v - lo) / ((hi - lo) / 40)), 39) ELSE 0 END AS INTEGER) AS bin
+      FROM b CROSS JOIN r WHERE category IS NOT NULL)
+SELECT category, bin, round(lo + bin * ((hi - lo) / 40), 6) AS bin_low, round(lo + (bin + 1) * ((hi - lo) / 40), 6) AS bin_high,
+       count(*) AS count
+FROM x GROUP BY category, bin, lo, hi
+""".replace("\n, b AS", "WITH b AS", 1)))
+def q_c7_density(spark, sf_dir):
+    """C7 (density part): binned age distribution per category — the violin's
+    KDE is drawn in the browser by the reference; the bins are its data."""
+    return round_doubles(histogram(persons(award_facts(spark, sf_dir)), "age_at_award", "category", 40))

@@ -84,3 +84,27 @@ def test_rollup_levels_add_up(spark):
     total = [r["count"] for r in out if r["level_id"] == 7]
     leaves = sum(r["count"] for r in out if r["level_id"] == 0)
     assert total == [4] and leaves == 4
+
+
+def test_f7_capitalized(spark):
+    from honorlens.functions.scalar import capitalized
+
+    df = spark.createDataFrame([("female",), ("mALE",), ("",)], "g string")
+    assert [r[0] for r in df.select(capitalized(F.col("g"))).collect()] == ["Female", "Male", ""]
+
+
+def test_s3_first_available_source(spark, tmp_path):
+    from honorlens.sources.tables import read_first_available
+
+    good = str(tmp_path / "good")
+    spark.range(3).write.parquet(good)
+    df = read_first_available(spark, [str(tmp_path / "missing"), good])
+    assert df.count() == 3
+
+
+def test_x2_sample_is_deterministic_and_bounded(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    a = [r["k"] for r in G.sample_rows(df, 50, seed=42).collect()]
+    b = [r["k"] for r in G.sample_rows(df.repartition(7), 50, seed=42).collect()]
+    assert len(a) == 50 and sorted(a) == sorted(b)
+    assert G.sample_rows(df, 5000).count() == 1000
