@@ -43,18 +43,25 @@ def levels_of(df: DataFrame, col: str) -> list[str]:
 def cluster_features(df: DataFrame, categories: Sequence[str], year: str = "award_year", age: str = "age_at_award"):
     """M1: persons with year and age, one-hot category (all levels), standardised.
 
-    Standardisation statistics (mean, sample std) come from one aggregate over
-    all rows. Identical feature tuples are then collapsed into weighted points:
+    Identical feature tuples are collapsed into weighted points in one pass:
     K-Means on duplicated rows equals weighted K-Means on the distinct points,
-    so the fit is exact while its input shrinks to the distinct tuples.
+    so the fit is exact while its input shrinks to the distinct tuples. The
+    standardisation moments (mean, sample std over all rows) are weighted sums
+    over the same points, so the fact is read once.
     Returns (rows with the feature columns, weighted points with ``features``)."""
     base = df.filter(~F.col("is_org")).na.drop(subset=[year, age])
     base = base.withColumn(year, F.col(year).cast("double")).withColumn(age, F.col(age).cast("double"))
     rows, cat_cols = dummies(base, "category", categories, prefix="cat")
     names = [year, age, *cat_cols]
-    moments = rows.agg(*[F.avg(c).alias(f"_m_{i}") for i, c in enumerate(names)],
-                       *[F.stddev_samp(c).alias(f"_s_{i}") for i, c in enumerate(names)])
     points = rows.groupBy(year, age, "category", *cat_cols).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    w = F.col("weight")
+    sums = points.agg(F.sum(w).alias("_w"), *[F.sum(w * F.col(c)).alias(f"_s1_{i}") for i, c in enumerate(names)],
+                      *[F.sum(w * F.col(c) * F.col(c)).alias(f"_s2_{i}") for i, c in enumerate(names)])
+    moments = sums.select(
+        *[(F.col(f"_s1_{i}") / F.col("_w")).alias(f"_m_{i}") for i in range(len(names))],
+        *[F.sqrt(F.greatest(F.lit(0.0), (F.col(f"_s2_{i}") - F.col(f"_s1_{i}") ** 2 / F.col("_w"))
+                            / (F.col("_w") - 1))).alias(f"_s_{i}") for i in range(len(names))],
+    )
     points = G.with_scalar(points, moments)
     scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{i}"), F.col(f"_s_{i}")), F.lit(0.0)).alias(f"_z{i}")
               for i, c in enumerate(names)]
@@ -63,15 +70,18 @@ def cluster_features(df: DataFrame, categories: Sequence[str], year: str = "awar
     return rows, points.select(year, age, "category", "weight", "features")
 
 
-def _parallel(fn, items, parallelism: int):
+def _parallel(fn, items, parallelism: int, shared: DataFrame | None = None):
     """Run independent fits concurrently from driver threads (Spark schedules the
-    jobs side by side, as ``CrossValidator(parallelism=...)`` does)."""
+    jobs side by side, as ``CrossValidator(parallelism=...)`` does). A cached
+    ``shared`` input is materialised first so the threads do not each compute it."""
+    if shared is not None and shared.is_cached:
+        shared.count()
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(items)))) as pool:
         return list(pool.map(fn, items))
 
 
 def kmeans_clusters(points: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 20,
-                    parallelism: int = 4):
+                    parallelism: int = 10):
     """M2: weighted K-Means with ``n_init`` seeded restarts, lowest training cost kept
     (first seed wins a tie). Cluster ids are relabelled by centroid order so they are
     reproducible. Returns (points with ``cluster``, centroids as a list)."""
@@ -81,7 +91,7 @@ def kmeans_clusters(points: DataFrame, k: int = 5, n_init: int = 10, seed: int =
                    weightCol="weight").fit(points)
         return m.summary.trainingCost, i, m
 
-    model = min(_parallel(fit, list(range(n_init)), parallelism), key=lambda t: (t[0], t[1]))[2]
+    model = min(_parallel(fit, list(range(n_init)), parallelism, points), key=lambda t: (t[0], t[1]))[2]
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     order = sorted(range(len(centers)), key=lambda i: centers[i])
     relabel = {old: new for new, old in enumerate(order)}
@@ -91,7 +101,7 @@ def kmeans_clusters(points: DataFrame, k: int = 5, n_init: int = 10, seed: int =
 
 
 def silhouette_sweep(points: DataFrame, ks: Sequence[int] = range(3, 8), seed: int = 42,
-                     parallelism: int = 4) -> DataFrame:
+                     parallelism: int = 5) -> DataFrame:
     """M3: weighted silhouette (squared Euclidean, Spark's definition) for each k."""
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="_c", distanceMeasure="squaredEuclidean",
                              weightCol="weight")
@@ -100,18 +110,24 @@ def silhouette_sweep(points: DataFrame, ks: Sequence[int] = range(3, 8), seed: i
         model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_c", weightCol="weight").fit(points)
         return int(k), float(ev.evaluate(model.transform(points)))
 
-    rows = _parallel(score, list(ks), parallelism)
+    rows = _parallel(score, list(ks), parallelism, points)
     return points.sparkSession.createDataFrame(rows, "k int, silhouette_sq_euclidean double")
 
 
 def cluster_profiles(rows: DataFrame, assigned_points: DataFrame, year: str = "award_year",
                      age: str = "age_at_award") -> DataFrame:
-    """M4: per cluster count, mean year and age, mode category and country
-    (rows get their cluster by joining the point table on the feature tuple)."""
+    """M4: per cluster count, mean year and age, mode category and country.
+
+    Everything that is a function of the feature tuple comes from the weighted
+    point table; only the mode country needs the rows, which get their cluster
+    by joining the point table on the feature tuple."""
+    w = F.col("weight")
+    base = assigned_points.groupBy("cluster").agg(
+        F.sum(w).cast("long").alias("count"),
+        (F.sum(w * F.col(year)) / F.sum(w)).alias("avg_year"),
+        (F.sum(w * F.col(age)) / F.sum(w)).alias("avg_age"))
+    cat = G.mode_by(assigned_points, "cluster", "category", "top_category", weight="weight").drop("top_category_count")
     assigned = rows.join(assigned_points.select(year, age, "category", "cluster"), [year, age, "category"])
-    base = assigned.groupBy("cluster").agg(
-        F.count("id").alias("count"), F.avg(year).alias("avg_year"), F.avg(age).alias("avg_age"))
-    cat = G.mode_by(assigned, "cluster", "category", "top_category").drop("top_category_count")
     country = G.mode_by(assigned, "cluster", "birth_country", "top_country").drop("top_country_count")
     return base.join(cat, "cluster", "left").join(country, "cluster", "left").orderBy("cluster")
 
@@ -167,7 +183,7 @@ def random_forest_cv(frame: DataFrame, num_trees: int = 200, max_depth: int = 10
         model = _forest(num_trees, max_depth, seed).fit(data.filter(F.col("fold") != f))
         return f, float(ev.evaluate(model.transform(data.filter(F.col("fold") == f))))
 
-    accs = _parallel(run_fold, list(range(n_folds)), parallelism)
+    accs = _parallel(run_fold, list(range(n_folds)), parallelism, data)
     data.unpersist()
     mean = sum(a for _, a in accs) / len(accs)
     std = math.sqrt(sum((a - mean) ** 2 for _, a in accs) / len(accs))

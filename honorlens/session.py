@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -45,3 +47,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="honorlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``honorlens`` importable on executors (pandas UDFs, ``applyInPandas``
+    and RDD lambdas reference it): zip the package once per SparkContext and
+    register it with ``addPyFile``, which Spark distributes to every executor."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    with _SHIP_LOCK:
+        if key in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg_dir)
+        out = os.path.join(tempfile.mkdtemp(prefix="honorlens-pkg-"), "honorlens.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for base, _, files in os.walk(pkg_dir):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(base, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(out)
+        _SHIPPED.add(key)
