@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import tails
 from ..functions.scalar import non_null_keys
 from . import windows as W
+from .groups import rows_count
 
 
 def _keyed(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -25,16 +26,17 @@ def _keyed(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[st
 
 
 def chi_squared(df: DataFrame, row: str = "gender", col: str = "category",
-                group_cols: Sequence[str] = (), yates: bool = True) -> DataFrame:
+                group_cols: Sequence[str] = (), yates: bool = True, weight: str | None = None) -> DataFrame:
     """A4: Pearson χ² test of independence of ``row`` and ``col``.
 
     Only observed cells are aggregated: an unobserved cell contributes exactly
     its expected count e, so χ² = Σ_obs (o−e)²/e + (N − Σ_obs e). For a 2×2
     table (dof = 1) every |o−e| is equal, so Yates' correction is closed-form:
     χ²_Y = (|d| − min(½, |d|))² · Σ 1/e with Σ 1/e = N·Σ(1/r)·Σ(1/c).
+    ``weight`` reads a pre-aggregated input (each row stands for that many rows).
     Output: chi2_statistic, dof, n, n_rows, n_cols, yates_applied."""
     base, g = _keyed(non_null_keys(df, [row, col]), group_cols)
-    cells = base.groupBy(*g, row, col).agg(F.count(F.lit(1)).cast("double").alias("o"))
+    cells = base.groupBy(*g, row, col).agg(rows_count(weight).cast("double").alias("o"))
     rows = cells.groupBy(*g, row).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(*g, col).agg(F.sum("o").alias("c"))
     rsum = rows.groupBy(*g).agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("n_rows"),

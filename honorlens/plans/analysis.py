@@ -20,7 +20,11 @@ NUMERIC_COLUMNS = ["award_year", "age_at_award", "prize_amount", "prize_amount_a
 
 
 def _chi_input(spark, sf_dir):
-    return persons(award_facts(spark, sf_dir)).filter(F.col("gender").isin("male", "female"))
+    """Gender × category only needs order-level attributes: read the order-grain
+    fact (lineitem pre-aggregated per order) and count with ``n_items``."""
+    from ..sources.facts import order_facts
+
+    return persons(order_facts(spark, sf_dir)).filter(F.col("gender").isin("male", "female"))
 
 
 def _mw(spark, sf_dir):
@@ -44,7 +48,7 @@ SELECT round(CASE WHEN (max(nr) - 1) * (max(nc) - 1) = 1
 FROM e
 """.replace("\n, b AS", "WITH b AS", 1)))
 def q_chi2(spark, sf_dir):
-    return round_doubles(S.chi_squared(_chi_input(spark, sf_dir), "gender", "category"))
+    return round_doubles(S.chi_squared(_chi_input(spark, sf_dir), "gender", "category", weight="n_items"))
 
 
 @query("mann_whitney_age", with_fact(f"""
@@ -129,7 +133,7 @@ def q_corr(spark, sf_dir):
 def q_tests(spark, sf_dir):
     p = persons(award_facts(spark, sf_dir))
     return S.with_p_values(
-        chi=S.chi_squared(p.filter(F.col("gender").isin("male", "female")), "gender", "category"),
+        chi=S.chi_squared(_chi_input(spark, sf_dir), "gender", "category", weight="n_items"),
         mw=_mw(spark, sf_dir),
         ols=S.ols_trend(p),
         dist=S.distribution_stats(p),
@@ -158,7 +162,7 @@ def q_insights(spark, sf_dir):
     top = G.argmax_group(order_facts(spark, sf_dir), "birth_country", weight="n_items").select(
         F.col("birth_country").alias("top_country"), F.col("n").alias("top_country_n"))
     ext = G.extreme_rows(p)
-    chi = S.chi_squared(_chi_input(spark, sf_dir), "gender", "category").select(
+    chi = S.chi_squared(_chi_input(spark, sf_dir), "gender", "category", weight="n_items").select(
         "chi2_statistic", tails.chi2_p(F.col("chi2_statistic"), F.col("dof")).alias("chi2_p"))
     mw = _mw(spark, sf_dir).select(F.col("u_statistic").alias("mw_u"), tails.normal_p(F.col("z")).alias("mw_p"))
     ols = S.ols_trend(p).select("slope", "r_squared", "slope_per_decade",

@@ -25,7 +25,8 @@ def run_analysis(spark: SparkSession, sf_dir: str, mw_categories: tuple[str, str
     p = persons(fact)
     c1, c2 = mw_categories
     mw_in = p.filter(F.col("category").isin(c1, c2))
-    chi = S.chi_squared(p.filter(F.col("gender").isin("male", "female")), "gender", "category")
+    chi = S.chi_squared(persons(counts).filter(F.col("gender").isin("male", "female")), "gender", "category",
+                        weight="n_items")
     mw = S.mann_whitney(mw_in, "age_at_award", F.col("category") == c1)
     ols = S.ols_trend(p)
     dist = S.distribution_stats(p)

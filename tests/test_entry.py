@@ -38,3 +38,19 @@ def test_report_queries_match_duckdb_at_small_scale(spark):
         dcols = [d[0] for d in res.description]
         assert sorted(sdf.columns) == sorted(dcols), name
         assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, res.fetchall()), name
+
+
+def test_analysis_bundle_runs(spark):
+    from honorlens.plans.bundles import run_analysis
+
+    bundle = run_analysis(spark, SMALL)
+    assert {"descriptive", "chi_squared", "mann_whitney", "correlations", "p_values"} <= set(bundle)
+    for name, df in bundle.items():
+        assert df.count() >= 1, name
+
+
+def test_write_reports(spark, tmp_path):
+    from honorlens.sources.sinks import write_reports
+
+    paths = write_reports({"facets": E.queries()["facet_values"](spark, SMALL)}, str(tmp_path))
+    assert spark.read.parquet(paths[0]).count() > 0
