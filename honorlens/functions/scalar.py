@@ -79,6 +79,12 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
+def round_half_even(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Display rounding as the reference's ``round(x, n)`` / ``.round(n)``: half to
+    even (``bround``), per column."""
+    return df.withColumns({c: F.bround(F.col(c), d) for c, d in digits.items() if c in df.columns})
+
+
 def non_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pandas groupby/crosstab drop null keys; Spark keeps a NULL group."""
     cond = None

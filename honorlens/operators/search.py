@@ -65,6 +65,27 @@ def paginate(df: DataFrame, order: Sequence[Column | str], page: int, page_size:
     return rows, {"page": p, "max_pages": max_pages, "total": total}
 
 
+def page_after(df: DataFrame, order: Sequence[str], last_key: Sequence | None, page_size: int = 40) -> DataFrame:
+    """O7 deep-page variant (keyset pagination): the ``page_size`` rows that follow
+    ``last_key`` in the order of ``order`` (ascending, nulls last). Each task keeps
+    only ``page_size`` candidates, however deep the page is; ``offset`` would keep
+    offset + page_size."""
+    f = df
+    if last_key is not None:
+        after = None
+        # lexicographic "greater than" on the key tuple
+        for i in range(len(order)):
+            eq = None
+            for c, v in zip(order[:i], last_key[:i]):
+                e = F.col(c) == F.lit(v)
+                eq = e if eq is None else eq & e
+            gt = F.col(order[i]) > F.lit(last_key[i])
+            term = gt if eq is None else eq & gt
+            after = term if after is None else after | term
+        f = f.filter(after)
+    return f.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(page_size)
+
+
 def gallery(
     df: DataFrame, search: str | None = None, category: str | None = None, decade: int | None = None,
     birth_country: str | None = None, nationality: str | None = None, page: int = 1, page_size: int = 40,

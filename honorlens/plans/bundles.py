@@ -9,17 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import round_half_even
 from ..operators import groups as G
 from ..operators import stats as S
 from ..sources.facts import award_facts, order_facts, persons
 from .reports import CATEGORY_ORDER, PERSON_GENDERS
 
 
+# The reference's display rounding per report column.
+DISPLAY_DIGITS = {
+    "descriptive": {c: 1 for c in ("avg_age", "median_age", "std_age", "pct_female", "avg_lifespan")},
+    "gender_decades": {"female_pct": 1},
+    "chi_squared": {"chi2_statistic": 2},
+    "mann_whitney": {"u_statistic": 2, "median_1": 1, "median_2": 1},
+    "age_regression": {"slope": 4, "intercept": 2, "r_squared": 4, "t_statistic": 2},
+    "lifespan": {"avg_lifespan": 1, "median_lifespan": 1},
+    "age_distribution": {"mean": 1, "median": 1, "std": 1, "skewness": 3, "kurtosis": 3},
+    "correlations": {"r": 3},
+}
+
+
 def run_analysis(spark: SparkSession, sf_dir: str, mw_categories: tuple[str, str] = ("1-URGENT", "5-LOW"),
                  numeric: tuple[str, ...] = ("award_year", "age_at_award", "prize_amount", "prize_amount_adjusted",
-                                             "lifespan")) -> dict[str, DataFrame]:
+                                             "lifespan"), display: bool = False) -> dict[str, DataFrame]:
     """Descriptive, gender by decade, rankings, χ², rank-sum, regression,
-    lifespan, per-decade counts, distribution and correlations."""
+    lifespan, per-decade counts, distribution and correlations. ``display=True``
+    applies the reference's rounding (half to even) as the last step."""
     fact = award_facts(spark, sf_dir)
     counts = order_facts(spark, sf_dir)
     p = persons(fact)
@@ -30,7 +45,7 @@ def run_analysis(spark: SparkSession, sf_dir: str, mw_categories: tuple[str, str
     mw = S.mann_whitney(mw_in, "age_at_award", F.col("category") == c1)
     ols = S.ols_trend(p)
     dist = S.distribution_stats(p)
-    return {
+    out = {
         "descriptive": G.descriptive_by_group(p),
         "gender_decades": G.gender_by_decade(persons(counts), values=PERSON_GENDERS, weight="n_items"),
         "country_rankings": G.top_groups(counts, weight="n_items"),
@@ -43,6 +58,9 @@ def run_analysis(spark: SparkSession, sf_dir: str, mw_categories: tuple[str, str
         "correlations": S.correlation_long(p, list(numeric)),
         "p_values": S.with_p_values(chi=chi, mw=mw, ols=ols, dist=dist),
     }
+    if display:
+        out = {k: round_half_even(v, DISPLAY_DIGITS.get(k, {})) for k, v in out.items()}
+    return out
 
 
 def run_ml(spark: SparkSession, sf_dir: str, forest_trees: int = 200, forest_folds: int = 5,

@@ -81,3 +81,25 @@ def test_running_total_matches_brute_force(spark):
 def test_ordinal_is_dense_1_based(spark):
     df = spark.createDataFrame([("c",), ("a",), ("b",)], "k string")
     assert {r["k"]: r["ord"] for r in W.ordinal(df, ["k"]).collect()} == {"a": 1, "b": 2, "c": 3}
+
+
+def test_keyset_pages_cover_offset_pages(spark):
+    rows = [(y, i % 7, f"n{i}") for i, y in enumerate([3, 1, 2] * 30)]
+    df = spark.createDataFrame(rows, "y int, k int, name string")
+    order = ["y", "k", "name"]
+    seen, last = [], None
+    while True:
+        page = [tuple(r) for r in Q.page_after(df, order, last, 40).collect()]
+        if not page:
+            break
+        seen += page
+        last = page[-1]
+    assert seen == sorted(rows)
+
+
+def test_display_rounding_half_even(spark):
+    from honorlens.functions.scalar import round_half_even
+
+    df = spark.createDataFrame([(0.25, 2.5)], "a double, b double")
+    r = round_half_even(df, {"a": 1, "b": 0}).collect()[0]
+    assert r["a"] == 0.2 and r["b"] == 2.0
