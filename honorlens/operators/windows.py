@@ -15,23 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _n_parts(df: DataFrame, n_parts: int | None) -> int:
-    if n_parts:
-        return n_parts
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def running_total(
     df: DataFrame, order_cols: Sequence[str], value: str | Column, out: str = "cumulative",
     n_parts: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` over the total order ``order_cols``."""
     val = F.col(value) if isinstance(value, str) else value
-    ranged = (
-        df.withColumn("_v", val)
-        .repartitionByRange(_n_parts(df, n_parts), *[F.col(c).asc_nulls_last() for c in order_cols])
-        .withColumn("_pid", F.spark_partition_id())
-    )
+    keys = [F.col(c).asc_nulls_last() for c in order_cols]
+    # Without an explicit count AQE sizes the range partitions; it only merges
+    # adjacent ones, so partition ids stay in key order.
+    ranged = df.withColumn("_v", val)
+    ranged = ranged.repartitionByRange(n_parts, *keys) if n_parts else ranged.repartitionByRange(*keys)
+    ranged = ranged.withColumn("_pid", F.spark_partition_id())
     totals = ranged.groupBy("_pid").agg(F.sum("_v").alias("_ptot"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_ptot").over(before), F.lit(0)).alias("_off"))

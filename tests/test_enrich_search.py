@@ -103,3 +103,14 @@ def test_display_rounding_half_even(spark):
     df = spark.createDataFrame([(0.25, 2.5)], "a double, b double")
     r = round_half_even(df, {"a": 1, "b": 0}).collect()[0]
     assert r["a"] == 0.2 and r["b"] == 2.0
+
+
+def test_running_total_aqe_sized_partitions(spark):
+    rows = [(k, (k * 7) % 5 + 1) for k in range(500)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    got = {r["k"]: r["cum"] for r in W.running_total(df, ["k"], "v", "cum").collect()}
+    acc, want = 0, {}
+    for k, v in rows:
+        acc += v
+        want[k] = acc
+    assert got == want
