@@ -19,6 +19,12 @@ from . import windows as W
 from .groups import rows_count
 
 
+def _median_of(c: Column, weight: str | None) -> Column:
+    """Exact median; with ``weight`` each row counts that many times (Spark's
+    ``percentile`` frequency argument, same interpolation as on the expanded rows)."""
+    return F.median(c) if weight is None else F.percentile(c, 0.5, F.col(weight).cast("long"))
+
+
 def _keyed(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
     if group_cols:
         return df, list(group_cols)
@@ -65,7 +71,8 @@ def chi_squared(df: DataFrame, row: str = "gender", col: str = "category",
     return res
 
 
-def mann_whitney(df: DataFrame, value: str, sample: Column, group_cols: Sequence[str] = ()) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, sample: Column, group_cols: Sequence[str] = (),
+                 weight: str | None = None) -> DataFrame:
     """Two-sample rank-sum test of ``value`` between rows where ``sample``
     is true (sample 1) and false (sample 2).
 
@@ -73,12 +80,13 @@ def mann_whitney(df: DataFrame, value: str, sample: Column, group_cols: Sequence
     running total over them (no global window over rows): a value with t ties
     after ``cum`` smaller values has mid-rank cum + (t+1)/2.
     Output: u_statistic (U of sample 1), u2, n1, n2, tie_term Σ(t³−t), mu,
-    sigma, z (continuity-corrected, of max(U1, U2)), median_1, median_2."""
+    sigma, z (continuity-corrected, of max(U1, U2)), median_1, median_2.
+    ``weight``: integral row counts of a pre-aggregated input."""
     base = df.filter(F.col(value).isNotNull() & sample.isNotNull()).withColumn("_s1", sample)
     base, g = _keyed(base, group_cols)
     hist = base.groupBy(*g, value).agg(
-        F.count(F.lit(1)).cast("double").alias("t"),
-        F.count(F.when(F.col("_s1"), F.lit(1))).cast("double").alias("t1"),
+        rows_count(weight).cast("double").alias("t"),
+        rows_count(weight, F.col("_s1")).cast("double").alias("t1"),
     )
     if group_cols:
         ranked = W.running_total(hist, [*g, value], "t", "_cum_incl")
@@ -94,8 +102,8 @@ def mann_whitney(df: DataFrame, value: str, sample: Column, group_cols: Sequence
         F.sum(F.col("t") ** 3 - F.col("t")).alias("tie_term"),
     )
     meds = base.groupBy(*g).agg(
-        F.median(F.when(F.col("_s1"), F.col(value))).alias("median_1"),
-        F.median(F.when(~F.col("_s1"), F.col(value))).alias("median_2"),
+        _median_of(F.when(F.col("_s1"), F.col(value)), weight).alias("median_1"),
+        _median_of(F.when(~F.col("_s1"), F.col(value)), weight).alias("median_2"),
     )
     n1, n = F.col("n1"), F.col("nn")
     n2 = n - n1
@@ -111,19 +119,33 @@ def mann_whitney(df: DataFrame, value: str, sample: Column, group_cols: Sequence
 
 
 def ols_trend(df: DataFrame, y: str = "age_at_award", x: str = "award_year",
-              group_cols: Sequence[str] = ()) -> DataFrame:
+              group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Simple OLS y ~ x from one pass of regr_* aggregates.
 
     se(slope) = sqrt((Syy − slope²·Sxx)/(n−2)) / sqrt(Sxx); t = slope / se.
-    A constant x gives NULL slope (no error)."""
+    A constant x gives NULL slope (no error). With ``weight`` (row counts of a
+    pre-aggregated input) the sums are centred in a second pass over the small
+    input, so no cancellation enters."""
     base = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull())
     base, g = _keyed(base, group_cols)
     yy, xx = F.col(y).cast("double"), F.col(x).cast("double")
-    agg = base.groupBy(*g).agg(
-        F.regr_slope(yy, xx).alias("slope"), F.regr_intercept(yy, xx).alias("intercept"),
-        F.regr_r2(yy, xx).alias("r_squared"), F.regr_count(yy, xx).alias("n"),
-        F.regr_sxx(yy, xx).alias("_sxx"), F.regr_syy(yy, xx).alias("_syy"),
-    )
+    if weight is None:
+        agg = base.groupBy(*g).agg(
+            F.regr_slope(yy, xx).alias("slope"), F.regr_intercept(yy, xx).alias("intercept"),
+            F.regr_r2(yy, xx).alias("r_squared"), F.regr_count(yy, xx).alias("n"),
+            F.regr_sxx(yy, xx).alias("_sxx"), F.regr_syy(yy, xx).alias("_syy"),
+        )
+    else:
+        w = F.col(weight).cast("double")
+        means = base.groupBy(*g).agg(F.sum(w).alias("n"), (F.sum(w * xx) / F.sum(w)).alias("_mx"),
+                                     (F.sum(w * yy) / F.sum(w)).alias("_my"))
+        dx, dy = xx - F.col("_mx"), yy - F.col("_my")
+        c = base.join(means, g).groupBy(*g, "n", "_mx", "_my").agg(
+            F.sum(w * dx * dx).alias("_sxx"), F.sum(w * dy * dy).alias("_syy"), F.sum(w * dx * dy).alias("_sxy"))
+        slope = F.try_divide(F.col("_sxy"), F.col("_sxx"))
+        agg = c.select(*g, slope.alias("slope"), (F.col("_my") - slope * F.col("_mx")).alias("intercept"),
+                       F.try_divide(F.col("_sxy") ** 2, F.col("_sxx") * F.col("_syy")).alias("r_squared"),
+                       "n", "_sxx", "_syy")
     rss = F.greatest(F.col("_syy") - F.col("slope") ** 2 * F.col("_sxx"), F.lit(0.0))
     se = F.try_divide(F.sqrt(F.try_divide(rss, F.col("n") - 2)), F.sqrt(F.col("_sxx")))
     out = agg.select(
@@ -144,7 +166,7 @@ def predictions(df: DataFrame, fit: DataFrame, x: str = "award_year", y: str = "
 
 
 def distribution_stats(df: DataFrame, value: str = "age_at_award", group_cols: Sequence[str] = (),
-                       approx: bool = False) -> DataFrame:
+                       approx: bool = False, weight: str | None = None) -> DataFrame:
     """A8 + A9: mean, median, sample std, bias-corrected skew (G1) and excess
     kurtosis (G2) as pandas computes them, min/max, and a Jarque-Bera normality
     test on all rows (population skew S and excess kurtosis K):
@@ -152,13 +174,28 @@ def distribution_stats(df: DataFrame, value: str = "age_at_award", group_cols: S
     base = df.filter(F.col(value).isNotNull())
     base, g = _keyed(base, group_cols)
     v = F.col(value).cast("double")
-    agg = base.groupBy(*g).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.avg(v).alias("mean"),
-        (F.percentile_approx(v, 0.5, 10000) if approx else F.median(v)).alias("median"),
-        F.stddev_samp(v).alias("std"), F.var_pop(v).alias("_m2"),
-        F.skewness(v).alias("_s"), F.kurtosis(v).alias("_k"),
-        F.min(value).alias("youngest"), F.max(value).alias("oldest"),
-    )
+    if weight is None:
+        agg = base.groupBy(*g).agg(
+            F.count(F.lit(1)).cast("double").alias("_n"), F.avg(v).alias("mean"),
+            (F.percentile_approx(v, 0.5, 10000) if approx else F.median(v)).alias("median"),
+            F.stddev_samp(v).alias("std"), F.var_pop(v).alias("_m2"),
+            F.skewness(v).alias("_s"), F.kurtosis(v).alias("_k"),
+            F.min(value).alias("youngest"), F.max(value).alias("oldest"),
+        )
+    else:  # pre-aggregated input: two-pass central moments over the (small) weighted rows
+        w = F.col(weight).cast("double")
+        first = base.groupBy(*g).agg(F.sum(w).alias("_n"), (F.sum(w * v) / F.sum(w)).alias("mean"),
+                                     _median_of(F.col(value), weight).alias("median"),
+                                     F.min(value).alias("youngest"), F.max(value).alias("oldest"))
+        d = v - F.col("mean")
+        mom = base.join(first, g).groupBy(*g, "_n", "mean", "median", "youngest", "oldest").agg(
+            *[(F.sum(w * d ** k) / F.first("_n")).alias(f"_c{k}") for k in (2, 3, 4)])
+        c2 = F.col("_c2")
+        agg = mom.select(
+            *g, "_n", "mean", "median", "youngest", "oldest",
+            F.sqrt(c2 * F.col("_n") / (F.col("_n") - 1)).alias("std"), c2.alias("_m2"),
+            F.try_divide(F.col("_c3"), c2 ** 1.5).alias("_s"), (F.try_divide(F.col("_c4"), c2 ** 2) - 3).alias("_k"),
+        )
     n = F.col("_n")
     s = F.when(F.col("_m2") == 0, F.lit(0.0)).otherwise(F.col("_s"))
     k = F.when(F.col("_m2") == 0, F.lit(0.0)).otherwise(F.col("_k"))

@@ -129,15 +129,28 @@ def q_corr(spark, sf_dir):
     return round_doubles(S.correlation_long(persons(award_facts(spark, sf_dir)), NUMERIC_COLUMNS))
 
 
+def person_cube(spark, sf_dir):
+    """One scan of the fact for all numeric tests:
+    persons counted per (category, gender, age, year). The tests read this
+    partial-aggregated cube with ``weight`` — exact, since every statistic is a
+    function of the value counts — and the same cube feeds every branch, so the
+    fact is joined once."""
+    p = persons(award_facts(spark, sf_dir))
+    return p.groupBy("category", "gender", "age_at_award", "award_year").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def fused_tests(cube):
+    """χ², rank-sum, OLS and distribution tests from the count cube."""
+    chi = S.chi_squared(cube.filter(F.col("gender").isin("male", "female")), "gender", "category", weight="n_rows")
+    mw_in = cube.filter(F.col("category").isin(MW_CATEGORY_1, MW_CATEGORY_2))
+    mw = S.mann_whitney(mw_in, "age_at_award", F.col("category") == MW_CATEGORY_1, weight="n_rows")
+    return chi, mw, S.ols_trend(cube, weight="n_rows"), S.distribution_stats(cube, weight="n_rows")
+
+
 @query("hypothesis_tests")
 def q_tests(spark, sf_dir):
-    p = persons(award_facts(spark, sf_dir))
-    return S.with_p_values(
-        chi=S.chi_squared(_chi_input(spark, sf_dir), "gender", "category", weight="n_items"),
-        mw=_mw(spark, sf_dir),
-        ols=S.ols_trend(p),
-        dist=S.distribution_stats(p),
-    )
+    chi, mw, ols, dist = fused_tests(person_cube(spark, sf_dir))
+    return S.with_p_values(chi=chi, mw=mw, ols=ols, dist=dist)
 
 
 @query("age_sample")
@@ -162,11 +175,11 @@ def q_insights(spark, sf_dir):
     top = G.argmax_group(order_facts(spark, sf_dir), "birth_country", weight="n_items").select(
         F.col("birth_country").alias("top_country"), F.col("n").alias("top_country_n"))
     ext = G.extreme_rows(p)
-    chi = S.chi_squared(_chi_input(spark, sf_dir), "gender", "category", weight="n_items").select(
-        "chi2_statistic", tails.chi2_p(F.col("chi2_statistic"), F.col("dof")).alias("chi2_p"))
-    mw = _mw(spark, sf_dir).select(F.col("u_statistic").alias("mw_u"), tails.normal_p(F.col("z")).alias("mw_p"))
-    ols = S.ols_trend(p).select("slope", "r_squared", "slope_per_decade",
-                                tails.t_p(F.col("t_statistic"), F.col("dof")).alias("ols_p"))
+    chi, mw, ols, _ = fused_tests(person_cube(spark, sf_dir))
+    chi = chi.select("chi2_statistic", tails.chi2_p(F.col("chi2_statistic"), F.col("dof")).alias("chi2_p"))
+    mw = mw.select(F.col("u_statistic").alias("mw_u"), tails.normal_p(F.col("z")).alias("mw_p"))
+    ols = ols.select("slope", "r_squared", "slope_per_decade",
+                     tails.t_p(F.col("t_statistic"), F.col("dof")).alias("ols_p"))
     out = G.with_scalar(G.with_scalar(G.with_scalar(G.with_scalar(top, ext), chi), mw), ols)
     return round_doubles(out.withColumn("gender_significant", F.col("chi2_p") < 0.05)
                          .withColumn("age_trend_significant", F.col("ols_p") < 0.05))

@@ -38,13 +38,15 @@ def run_analysis(spark: SparkSession, sf_dir: str, mw_categories: tuple[str, str
     fact = award_facts(spark, sf_dir)
     counts = order_facts(spark, sf_dir)
     p = persons(fact)
+    from .analysis import person_cube
+
+    cube = person_cube(spark, sf_dir)  # one scan feeds the four tests
     c1, c2 = mw_categories
-    mw_in = p.filter(F.col("category").isin(c1, c2))
-    chi = S.chi_squared(persons(counts).filter(F.col("gender").isin("male", "female")), "gender", "category",
-                        weight="n_items")
-    mw = S.mann_whitney(mw_in, "age_at_award", F.col("category") == c1)
-    ols = S.ols_trend(p)
-    dist = S.distribution_stats(p)
+    chi = S.chi_squared(cube.filter(F.col("gender").isin("male", "female")), "gender", "category", weight="n_rows")
+    mw = S.mann_whitney(cube.filter(F.col("category").isin(c1, c2)), "age_at_award", F.col("category") == c1,
+                        weight="n_rows")
+    ols = S.ols_trend(cube, weight="n_rows")
+    dist = S.distribution_stats(cube, weight="n_rows")
     out = {
         "descriptive": G.descriptive_by_group(p),
         "gender_decades": G.gender_by_decade(persons(counts), values=PERSON_GENDERS, weight="n_items"),

@@ -104,3 +104,24 @@ def test_p_values_job(spark):
     df = _table(spark, [[2, 3, 5], [8, 7, 5]])
     out = S.with_p_values(chi=S.chi_squared(df)).collect()[0]
     assert abs(out["p_value"] - 0.349938) < 1e-6 and not out["significant"]
+
+
+def test_weighted_tests_equal_row_tests(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice("abc"), rnd.randint(20, 60), rnd.randint(1990, 2000)) for _ in range(800)]
+    df = spark.createDataFrame(rows, "category string, age_at_award int, award_year int")
+    cube = df.groupBy("category", "age_at_award", "award_year").agg(F.count(F.lit(1)).alias("w"))
+
+    def close(a, b):
+        for k in a.asDict():
+            x, y = a[k], b[k]
+            assert (x is None and y is None) or abs(x - y) < 1e-9 * max(1.0, abs(x)), k
+
+    close(S.ols_trend(df).collect()[0], S.ols_trend(cube, weight="w").collect()[0])
+    close(S.distribution_stats(df).drop("is_normal").collect()[0],
+          S.distribution_stats(cube, weight="w").drop("is_normal").collect()[0])
+    s1 = F.col("category") == "a"
+    close(S.mann_whitney(df, "age_at_award", s1).collect()[0],
+          S.mann_whitney(cube, "age_at_award", s1, weight="w").collect()[0])
