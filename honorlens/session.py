@@ -57,8 +57,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``honorlens`` importable on executors (pandas UDFs, ``applyInPandas``
     and RDD lambdas reference it): zip the package once per SparkContext and
     register it with ``addPyFile``, which Spark distributes to every executor."""
-    sc = spark.sparkContext
-    key = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: dependencies are managed by the server
+        return
     with _SHIP_LOCK:
         if key in _SHIPPED:
             return

@@ -146,9 +146,12 @@ def text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hash-partitioned by ``doc_id`` so the work spreads over every core. A large
     corpus already has more splits than cores and is left as scanned."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        docs = docs.repartition(cores, "doc_id")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if docs.rdd.getNumPartitions() < cores:
+            docs = docs.repartition(cores, "doc_id")
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): keep the scan as is
+        pass
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("name"),
