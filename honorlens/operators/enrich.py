@@ -100,6 +100,7 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, how: str = "in
     return out.drop(d[dim_key]) if key != dim_key else out
 
 
-def keep_members(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Semi-join — rows of ``df`` whose key is in ``members``."""
-    return df.join(members.select(key), key, "left_semi")
+def keep_members(df: DataFrame, members: DataFrame, key: str | list[str]) -> DataFrame:
+    """Semi-join — rows of ``df`` whose key (one or several columns) is in ``members``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.join(members.select(*keys), keys, "left_semi")

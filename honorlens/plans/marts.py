@@ -147,8 +147,8 @@ def sankey_links(df: DataFrame, src: str = "birth_continent", dst: str = "catego
 def multi_recipients(df: DataFrame, abbreviations: DataFrame, keys: Sequence[str] = ("id", "name")) -> DataFrame:
     """Every row of a repeat recipient (J6) with a short display name."""
     repeat = G.repeat_holders(df, keys).select(*keys)
-    rows = df.join(repeat, list(keys), "left_semi")
-    named = rows.join(abbreviations, "name", "left")
+    rows = J.keep_members(df, repeat, list(keys))  # J6
+    named = J.lookup(rows, abbreviations, "name", "name", how="left")  # J5, default = own name below
     return named.select("id", "name", F.coalesce(F.col("abbr"), F.col("name")).alias("display_name"),
                         "award_year", "category")
 
