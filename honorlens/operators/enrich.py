@@ -96,8 +96,9 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, how: str = "in
     match (J4); ``left`` keeps them for a ``coalesce`` default (J5).
     ``broadcast_dim`` only for dimensions with a fixed size."""
     d = F.broadcast(dim) if broadcast_dim else dim
-    out = df.join(d, df[key] == d[dim_key], how)
-    return out.drop(d[dim_key]) if key != dim_key else out
+    if key == dim_key:
+        return df.join(d, key, how)
+    return df.join(d, df[key] == d[dim_key], how).drop(d[dim_key])
 
 
 def keep_members(df: DataFrame, members: DataFrame, key: str | list[str]) -> DataFrame:
