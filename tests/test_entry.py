@@ -54,3 +54,16 @@ def test_write_reports(spark, tmp_path):
 
     paths = write_reports({"facets": E.queries()["facet_values"](spark, SMALL)}, str(tmp_path))
     assert spark.read.parquet(paths[0]).count() > 0
+
+
+def test_fact_table_roundtrip_prunes_partitions(spark, tmp_path):
+    from honorlens.sources.facts import award_facts
+    from honorlens.sources.sinks import write_fact_table
+
+    fact = award_facts(spark, SMALL)
+    path = write_fact_table(fact, str(tmp_path / "fact"))
+    back = spark.read.parquet(path)
+    assert back.count() == fact.count()
+    year = back.select("award_year").first()[0]
+    plan = back.filter(f"award_year = {year}")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "award_year" in plan
