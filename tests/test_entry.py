@@ -67,3 +67,15 @@ def test_fact_table_roundtrip_prunes_partitions(spark, tmp_path):
     year = back.select("award_year").first()[0]
     plan = back.filter(f"award_year = {year}")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "award_year" in plan
+
+
+def test_ml_bundle_runs(spark):
+    from honorlens.plans.bundles import run_ml
+
+    bundle = run_ml(spark, SMALL, forest_trees=5, forest_folds=2, kmeans_restarts=2)
+    assert bundle["silhouette"].count() == 5 and bundle["forest_cv"].count() == 2
+    imp = [r["importance"] for r in bundle["feature_importances"].collect()]
+    assert abs(sum(imp) - 1.0) < 1e-9
+    assert bundle["cluster_profiles"].count() == 5
+    assert bundle["topic_terms"].filter("rank <= 10").count() == bundle["topic_terms"].count()
+    assert bundle["forecast_verdict"].count() >= 1
