@@ -101,8 +101,10 @@ def kmeans_clusters(points: DataFrame, k: int = 5, n_init: int = 10, seed: int =
 
 
 def silhouette_sweep(points: DataFrame, ks: Sequence[int] = range(3, 8), seed: int = 42,
-                     parallelism: int = 5) -> DataFrame:
-    """M3: weighted silhouette (squared Euclidean, Spark's definition) for each k."""
+                     parallelism: int = 5, chosen_k: int = 5) -> DataFrame:
+    """M3: weighted silhouette (squared Euclidean, Spark's definition) for each k,
+    flagging the best k and the k actually used (the reference reports the score at
+    the chosen k, not the maximum)."""
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="_c", distanceMeasure="squaredEuclidean",
                              weightCol="weight")
 
@@ -111,7 +113,10 @@ def silhouette_sweep(points: DataFrame, ks: Sequence[int] = range(3, 8), seed: i
         return int(k), float(ev.evaluate(model.transform(points)))
 
     rows = _parallel(score, list(ks), parallelism, points)
-    return points.sparkSession.createDataFrame(rows, "k int, silhouette_sq_euclidean double")
+    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
+    rows = [(k, v, k == best, k == chosen_k) for k, v in rows]
+    return points.sparkSession.createDataFrame(
+        rows, "k int, silhouette_sq_euclidean double, is_best_k boolean, is_chosen_k boolean")
 
 
 def cluster_profiles(rows: DataFrame, assigned_points: DataFrame, year: str = "award_year",
