@@ -236,13 +236,15 @@ def first_k_distinct(df: DataFrame, group: str, value: str, name: str, k: int =
 
 
 def with_scalar(df: DataFrame, scalar_row: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row.
-
-    Equi-join on a constant key against a broadcast one-row side (its size is
-    one row by construction), so it is a broadcast hash join, not a cross join."""
-    left = df.withColumn("_one", F.lit(1))
-    right = scalar_row.withColumn("_one", F.lit(1))
-    return left.join(F.broadcast(right), "_one").drop("_one")
+    """Attach the columns of a one-row aggregate to every row.
+
+    The row becomes an uncorrelated scalar subquery (``DataFrame.scalar()``):
+    Spark computes it once and inlines the value into every task — no join, so
+    no nested-loop or cross join appears in the plan. All fields travel in one
+    struct, so the subquery runs once however many columns are attached."""
+    cols = scalar_row.columns
+    packed = scalar_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_s")).scalar()
+    return df.withColumn("_scalar", packed).withColumns({c: F.col("_scalar")[c] for c in cols}).drop("_scalar")
 
 
 def share_of_max(df: DataFrame, value: str = "n", name: str = "share") -> DataFrame:
