@@ -25,6 +25,17 @@ def _median_of(c: Column, weight: str | None) -> Column:
     return F.median(c) if weight is None else F.percentile(c, 0.5, F.col(weight).cast("long"))
 
 
+def _attach(df: DataFrame, per_group: DataFrame, g: list[str]) -> DataFrame:
+    """Join per-group results back by the group key; for an ungrouped test the
+    one-row result is attached as a scalar subquery (a join on the constant key
+    would be folded into a cross join)."""
+    if g == ["_g"]:
+        from .groups import with_scalar
+
+        return with_scalar(df, per_group.drop("_g"))
+    return df.join(per_group, g)
+
+
 def _keyed(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
     if group_cols:
         return df, list(group_cols)
@@ -50,10 +61,10 @@ def chi_squared(df: DataFrame, row: str = "gender", col: str = "category",
     csum = cols.groupBy(*g).agg(F.count(F.lit(1)).alias("n_cols"), F.sum(1 / F.col("c")).alias("inv_c"))
     e = F.col("r") * F.col("c") / F.col("n")
     contrib = (
-        cells.join(rows, [*g, row]).join(cols, [*g, col]).join(rsum.select(*g, "n"), g)
+        _attach(cells.join(rows, [*g, row]).join(cols, [*g, col]), rsum.select(*g, "n"), g)
         .groupBy(*g).agg(F.sum((F.col("o") - e) ** 2 / e).alias("_s"), F.sum(e).alias("_e"))
     )
-    out = contrib.join(rsum, g).join(csum, g)
+    out = _attach(_attach(contrib, rsum, g), csum, g)
     raw = F.col("_s") + (F.col("n") - F.col("_e"))
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
     inv = F.col("n") * F.col("inv_r") * F.col("inv_c")
@@ -114,7 +125,7 @@ def mann_whitney(df: DataFrame, value: str, sample: Column, group_cols: Sequence
         *g, u1.alias("u_statistic"), (n1 * n2 - u1).alias("u2"), n1.cast("long").alias("n1"),
         n2.cast("long").alias("n2"), "tie_term", mu.alias("mu"), sigma.alias("sigma"),
     ).withColumn("z", F.try_divide(F.greatest("u_statistic", "u2") - F.col("mu") - 0.5, F.col("sigma")))
-    out = stats.join(meds, g)
+    out = _attach(stats, meds, g)
     return out.drop("_g") if not group_cols else out
 
 
@@ -140,7 +151,7 @@ def ols_trend(df: DataFrame, y: str = "age_at_award", x: str = "award_year",
         means = base.groupBy(*g).agg(F.sum(w).alias("n"), (F.sum(w * xx) / F.sum(w)).alias("_mx"),
                                      (F.sum(w * yy) / F.sum(w)).alias("_my"))
         dx, dy = xx - F.col("_mx"), yy - F.col("_my")
-        c = base.join(means, g).groupBy(*g, "n", "_mx", "_my").agg(
+        c = _attach(base, means, g).groupBy(*g, "n", "_mx", "_my").agg(
             F.sum(w * dx * dx).alias("_sxx"), F.sum(w * dy * dy).alias("_syy"), F.sum(w * dx * dy).alias("_sxy"))
         slope = F.try_divide(F.col("_sxy"), F.col("_sxx"))
         agg = c.select(*g, slope.alias("slope"), (F.col("_my") - slope * F.col("_mx")).alias("intercept"),
@@ -188,7 +199,7 @@ def distribution_stats(df: DataFrame, value: str = "age_at_award", group_cols: S
                                      _median_of(F.col(value), weight).alias("median"),
                                      F.min(value).alias("youngest"), F.max(value).alias("oldest"))
         d = v - F.col("mean")
-        mom = base.join(first, g).groupBy(*g, "_n", "mean", "median", "youngest", "oldest").agg(
+        mom = _attach(base, first, g).groupBy(*g, "_n", "mean", "median", "youngest", "oldest").agg(
             *[(F.sum(w * d ** k) / F.first("_n")).alias(f"_c{k}") for k in (2, 3, 4)])
         c2 = F.col("_c2")
         agg = mom.select(
