@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from . import windows as W
 
 
-def period_counts(df: DataFrame, series: str, t: Column, name: str = "value") -> DataFrame:
-    """FC1 (first half) / A16: rows per (series, period), gaps not filled."""
+def period_counts(df: DataFrame, series: str | Column, t: Column, name: str = "value",
+                  weight: str | None = None) -> DataFrame:
+    """FC1 (first half) / A16: rows per (series, period), gaps not filled.
+    ``weight`` reads a pre-aggregated input (each row stands for that many rows)."""
+    sid = F.col(series) if isinstance(series, str) else series
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (
-        df.filter(F.col(series).isNotNull() & t.isNotNull())
-        .groupBy(F.col(series).alias("series_id"), t.alias("t"))
-        .agg(F.count(F.lit(1)).cast("double").alias(name))
+        df.filter(sid.isNotNull() & t.isNotNull())
+        .groupBy(sid.alias("series_id"), t.alias("t"))
+        .agg(n.cast("double").alias(name))
     )
 
 
@@ -67,22 +71,28 @@ def recursive_forecast(last_windows: DataFrame, length: int, horizon: int) -> Da
     """FC4: feed each prediction back as the newest lag, ``horizon`` steps.
 
     Input: series_id, last (array of the last ``length`` z-values), weights, bias,
-    _mu, _sd, last_t. Output one row per (series, step) de-normalised."""
+    _mu, _sd, last_t. Output one row per (series, step) de-normalised; periods are
+    days after a date ``last_t`` or integer steps (years) after a numeric one."""
     seq = F.sequence(F.lit(1), F.lit(horizon))
     grown = F.aggregate(seq, F.col("last"), lambda acc, i: F.concat(
         acc, F.array(_dot(acc, F.col("weights"), length) + F.col("bias"))))
     preds = F.slice(grown, -horizon, horizon)
+    is_date = last_windows.schema["last_t"].dataType.typeName() == "date"
+    ahead = F.col("step") + 1
+    t_next = F.date_add(F.col("last_t"), ahead) if is_date else (F.col("last_t") + ahead).cast(
+        last_windows.schema["last_t"].dataType)
     return last_windows.select(
         "series_id", "last_t", "_mu", "_sd", F.posexplode(preds).alias("step", "zhat")
-    ).select("series_id", (F.col("step") + 1).alias("step"), F.date_add(F.col("last_t"), F.col("step") + 1).alias("t"),
+    ).select("series_id", ahead.alias("step"), t_next.alias("t"),
              (F.col("zhat") * F.col("_sd") + F.col("_mu")).alias("forecast"))
 
 
-def forecast_series(series_df: DataFrame, length: int = 10, horizon: int = 10) -> DataFrame:
+def forecast_series(series_df: DataFrame, length: int = 10, horizon: int = 10, ridge: float = 1e-8) -> DataFrame:
     """FC1-FC5: one tagged long table per series: kind ∈ {actual, fitted, forecast}.
-    ``actual`` skips the first ``length`` periods (as the reference does)."""
+    ``actual`` skips the first ``length`` periods (as the reference does). ``ridge``
+    shrinks the AR weights (on z-scores); short series need it to stay stable."""
     win = windowed(series_df, length)
-    models = fit_ar(win, length)
+    models = fit_ar(win, length, ridge)
     fit = fitted(win, models, length)
     z_all = W.zscore(series_df, "series_id", "value", "z")
     tail = _last_window(z_all, length)

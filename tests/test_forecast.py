@@ -36,3 +36,13 @@ def test_ar_fit_recovers_linear_recurrence(spark):
         out.filter(F.col("kind") == "actual").select("series_id", "t", F.col("value").alias("a")), ["series_id", "t"])
     assert fitted.select(F.max(F.abs(F.col("value") - F.col("a")))).collect()[0][0] < 1e-4
     assert out.filter(F.col("kind") == "forecast").count() == 6
+
+
+def test_integer_periods_forecast_years(spark):
+    rows = [("s", 2000 + i, float(10 + (i % 3))) for i in range(12)]
+    series = spark.createDataFrame(rows, "series_id string, t int, value double")
+    out = FC.forecast_series(series, length=3, horizon=4, ridge=1.0)
+    years = [r["t"] for r in out.filter(F.col("kind") == "forecast").orderBy("t").collect()]
+    assert years == [2012, 2013, 2014, 2015]
+    vals = [r["value"] for r in out.filter(F.col("kind") == "forecast").collect()]
+    assert all(5 < v < 15 for v in vals)
