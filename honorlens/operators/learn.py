@@ -200,7 +200,9 @@ def feature_importances(frame: DataFrame, feature_names: Sequence[str], num_tree
                         seed: int = 42) -> DataFrame:
     """M7: importances of a forest fitted on all rows, sorted descending."""
     ensure_checkpoint_dir(frame.sparkSession)
-    final = _forest(num_trees, max_depth, seed).fit(balanced_weights(frame).select("features", "label", "weight"))
+    data = balanced_weights(frame).select("features", "label", "weight").cache()
+    final = _forest(num_trees, max_depth, seed).fit(data)
+    data.unpersist()
     imp = final.featureImportances.toArray()
     return frame.sparkSession.createDataFrame(
         [(n, float(v)) for n, v in zip(feature_names, imp)], "feature string, importance double"

@@ -61,7 +61,10 @@ def q_silhouette(spark, sf_dir):
 
 
 def _forest_frame(spark, sf_dir):
-    p = persons(award_facts(spark, sf_dir))
+    """Narrow person rows, cached once: the level scan, the label indexer, the class
+    weights and every forest pass read them instead of re-joining the fact."""
+    cols = ["id", "award_year", "gender", "birth_continent", "decade", "age_at_award", "category"]
+    p = persons(award_facts(spark, sf_dir)).select(*cols).cache()
     return L.classifier_frame(p, ["female", "male", "other"], L.levels_of(p, "birth_continent"))
 
 
