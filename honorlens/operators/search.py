@@ -48,6 +48,11 @@ def display_country(nationality: str = "nationality", country: str = "birth_coun
     return F.coalesce(F.col(nationality), F.nullif(F.col(country), F.lit("")), F.lit("Unknown"))
 
 
+def page_info(info: dict) -> str:
+    """The gallery's status line (F9s)."""
+    return f"Page {info['page']} of {info['max_pages']} · {info['total']} results"
+
+
 def page_count(total: int, page_size: int) -> int:
     return max(1, math.ceil(total / page_size))
 
@@ -110,6 +115,7 @@ def gallery(
         "name", "category", "award_year", "display_country", "motivation",
         F.lit(info["page"]).alias("page"), F.lit(info["max_pages"]).alias("max_pages"),
         F.lit(info["total"]).cast("long").alias("total_results"),
+        F.lit(page_info(info)).alias("page_info"),
     )
 
 
