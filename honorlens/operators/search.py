@@ -116,6 +116,7 @@ def gallery(
         F.lit(info["page"]).alias("page"), F.lit(info["max_pages"]).alias("max_pages"),
         F.lit(info["total"]).cast("long").alias("total_results"),
         F.lit(page_info(info)).alias("page_info"),
+        F.upper(F.col("category")).alias("category_label"),  # F3s: the card's category line
     )
 
 

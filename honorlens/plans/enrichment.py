@@ -139,7 +139,8 @@ m AS (SELECT award_year, id, category, name, motivation,
 info AS (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 40.0) AS INTEGER)) AS max_pages FROM m),
 pg AS (SELECT least(greatest(1, {a["page"]}), max_pages) AS page, max_pages, total FROM info)
 SELECT name, category, award_year, display_country, motivation, pg.page, pg.max_pages, CAST(pg.total AS BIGINT) AS total_results,
-       printf('Page %d of %d · %d results', pg.page, pg.max_pages, pg.total) AS page_info
+       printf('Page %d of %d · %d results', pg.page, pg.max_pages, pg.total) AS page_info,
+       upper(category) AS category_label
 FROM (SELECT * FROM m ORDER BY award_year, id, category, name, motivation, display_country
       LIMIT 40 OFFSET (SELECT (page - 1) * 40 FROM pg)) CROSS JOIN pg
 """.replace("\n, claims AS", "WITH claims AS", 1))
@@ -161,7 +162,8 @@ m AS (SELECT NULL::INTEGER AS award_year, id, category, name, motivation, 'Unkno
 info AS (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 40.0) AS INTEGER)) AS max_pages FROM m),
 pg AS (SELECT least(greatest(1, {DOC_SEARCH_ARGS["page"]}), max_pages) AS page, max_pages, total FROM info)
 SELECT name, category, award_year, display_country, motivation, pg.page, pg.max_pages, CAST(pg.total AS BIGINT) AS total_results,
-       printf('Page %d of %d · %d results', pg.page, pg.max_pages, pg.total) AS page_info
+       printf('Page %d of %d · %d results', pg.page, pg.max_pages, pg.total) AS page_info,
+       upper(category) AS category_label
 FROM (SELECT * FROM m ORDER BY award_year, id, category, name, motivation, display_country
       LIMIT 40 OFFSET (SELECT (page - 1) * 40 FROM pg)) CROSS JOIN pg
 """)
