@@ -157,7 +157,7 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = per.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = G.with_scalar(per, tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label)  # one row per class
+    return df.join(w, label)  # one row per class; AQE broadcasts it from its measured size
 
 
 def fold_column(df: DataFrame, key_cols: Sequence[str], n_folds: int, seed: int = 42, out: str = "fold") -> DataFrame:

@@ -65,6 +65,7 @@ def globe_points(df: DataFrame, centroids: DataFrame, key: str = "birth_country"
     scaled = G.share_of_max(counts, "n_prizes", "intensity")
     pts = (
         scaled.join(fields, key).join(notable, key)
+        # centroids derive from ``nation``: at most 25 rows at every scale factor
         .join(F.broadcast(centroids), F.col(key) == F.col("country"), "inner").drop("country")
         .join(top_keys, key, "left")
     )
