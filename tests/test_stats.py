@@ -125,3 +125,20 @@ def test_weighted_tests_equal_row_tests(spark):
     s1 = F.col("category") == "a"
     close(S.mann_whitney(df, "age_at_award", s1).collect()[0],
           S.mann_whitney(cube, "age_at_award", s1, weight="w").collect()[0])
+
+
+def test_grouped_tests_equal_per_group_runs(spark):
+    import random
+
+    rnd = random.Random(9)
+    rows = [(g, rnd.choice(["male", "female"]), rnd.choice("xyz"), rnd.randint(1990, 2000), rnd.randint(20, 70))
+            for g in ("A", "B", "C") for _ in range(300)]
+    df = spark.createDataFrame(rows, "grp string, gender string, category string, award_year int, age_at_award int")
+    chi = {r["grp"]: r["chi2_statistic"] for r in S.chi_squared(df, group_cols=["grp"]).collect()}
+    ols = {r["grp"]: r["slope"] for r in S.ols_trend(df, group_cols=["grp"]).collect()}
+    dist = {r["grp"]: r["median"] for r in S.distribution_stats(df, group_cols=["grp"]).collect()}
+    for g in ("A", "B", "C"):
+        one = df.filter(F.col("grp") == g)
+        assert abs(chi[g] - S.chi_squared(one).collect()[0]["chi2_statistic"]) < 1e-9
+        assert abs(ols[g] - S.ols_trend(one).collect()[0]["slope"]) < 1e-12
+        assert dist[g] == S.distribution_stats(one).collect()[0]["median"]
