@@ -7,9 +7,9 @@ deterministic and checkable in SQL. Term frequencies come from a
 ``CountVectorizerModel`` built on that vocabulary, scaled by the smooth idf
 ln((1+n)/(1+df)) + 1 (``ElementwiseProduct``) and L2-normalised. The truncated
 SVD runs on an ``IndexedRowMatrix`` created directly from the DataFrame (the
-document vectors never pass through Python); only V (vocabulary × k, bounded
-by the vocabulary cap) comes to the driver, and k scores per document return
-as rows.
+document vectors never pass through Python): one JVM tree aggregate builds the
+Gramian XᵀX, whose size is bounded by the vocabulary cap; its eigenvectors are
+V; one more JVM pass gives the k scores per document, which return as rows.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def term_lists(docs: DataFrame, text: str = "motivation", ngram_range: tuple[int
 
 def vocabulary(termed: DataFrame, id_col: str = "id", max_features: int = 1000, min_df: int = 2,
                max_df: float = 0.95) -> DataFrame:
-    """M8: (term, df, tf_total, idf, term_index) of the selected vocabulary."""
+    """M8: (term, df, tf_total, idf, rank) of the selected vocabulary (rank 1 = most frequent)."""
     # df from the distinct terms of each document and corpus counts from all terms:
     # both aggregate by term with map-side partial aggregation, so no
     # (document, term) pairs are shuffled.
