@@ -41,7 +41,7 @@ def ordered_labels(
 
 def resolve_aliases(
     starts: DataFrame, edges: DataFrame, start: str = "title", src: str = "from", dst: str = "to",
-    max_depth: int = 64,
+    max_depth: int = 64, underscores_to_spaces: bool = True,
 ) -> DataFrame:
     """Follow ``from → to`` edges until the title has no outgoing edge.
 
@@ -50,14 +50,16 @@ def resolve_aliases(
     (a→b, b→c gives a→c), so a chain of depth d needs about log2(d) rounds of
     distributed joins. The hop table is checkpointed each round (cuts the
     doubling lineage). A cycle — which never ends in the reference — stops
-    within ``max_depth`` steps with ``resolved = false``.
+    within ``max_depth`` steps with ``resolved = false``. As in the reference, a
+    slug is first turned into a title (``_`` → space, F2s); ``start`` keeps the slug.
     Output: start, final, depth, resolved."""
     spark = starts.sparkSession
     ensure_checkpoint_dir(spark)
     sources = edges.select(F.col(src).alias("_a")).filter(F.col("_a").isNotNull()).distinct()
     hop = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b"), F.lit(1).alias("_d")).dropDuplicates(["_a"])
+    first = F.replace(F.col("start"), F.lit("_"), F.lit(" ")) if underscores_to_spaces else F.col("start")
     cur = starts.select(F.col(start).alias("start")).filter(F.col("start").isNotNull()).distinct().select(
-        "start", F.col("start").alias("final"), F.lit(0).alias("depth")
+        "start", first.alias("final"), F.lit(0).alias("depth")
     )
 
     def advance(frontier: DataFrame, h: DataFrame) -> DataFrame:

@@ -114,3 +114,10 @@ def test_running_total_aqe_sized_partitions(spark):
         acc += v
         want[k] = acc
     assert got == want
+
+
+def test_j3_slug_underscores_become_spaces(spark):
+    starts = spark.createDataFrame([("New_York",)], "title string")
+    edges = spark.createDataFrame([("New York", "NYC")], "`from` string, `to` string")
+    r = J.resolve_aliases(starts, edges).collect()[0]
+    assert (r["start"], r["final"], r["depth"], r["resolved"]) == ("New_York", "NYC", 1, True)
