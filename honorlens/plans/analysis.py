@@ -174,7 +174,8 @@ def q_sample(spark, sf_dir):
 def q_insights(spark, sf_dir):
     """The scalars quoted by the insight texts, in one row: leading country and
     its size (A14), youngest/oldest (A15), χ² / rank-sum / OLS results with
-    p-values (A4-A6, T1) and the slope per decade (A29)."""
+    p-values (A4-A6, T1), the slope per decade (A29), the age distribution and its
+    normality verdict (A8, A9) and the forecast verdict (A28)."""
     from ..functions import tails
     from ..operators import groups as G
     from ..sources.facts import order_facts
@@ -183,11 +184,27 @@ def q_insights(spark, sf_dir):
     top = G.argmax_group(order_facts(spark, sf_dir), "birth_country", weight="n_items").select(
         F.col("birth_country").alias("top_country"), F.col("n").alias("top_country_n"))
     ext = G.extreme_rows(p)
-    chi, mw, ols, _ = fused_tests(person_cube(spark, sf_dir))
+    chi, mw, ols, dist = fused_tests(person_cube(spark, sf_dir))
     chi = chi.select("chi2_statistic", tails.chi2_p(F.col("chi2_statistic"), F.col("dof")).alias("chi2_p"))
     mw = mw.select(F.col("u_statistic").alias("mw_u"), tails.normal_p(F.col("z")).alias("mw_p"))
     ols = ols.select("slope", "r_squared", "slope_per_decade",
                      tails.t_p(F.col("t_statistic"), F.col("dof")).alias("ols_p"))
-    out = G.with_scalar(G.with_scalar(G.with_scalar(G.with_scalar(top, ext), chi), mw), ols)
+    dist = dist.select(F.col("mean").alias("age_mean"), F.col("median").alias("age_median"),
+                       F.col("is_normal").alias("age_is_normal"))
+    verdict = _overall_forecast_verdict(spark, sf_dir)
+    out = top
+    for part in (ext, chi, mw, ols, dist, verdict):
+        out = G.with_scalar(out, part)
     return round_doubles(out.withColumn("gender_significant", F.col("chi2_p") < 0.05)
                          .withColumn("age_trend_significant", F.col("ols_p") < 0.05))
+
+
+def _overall_forecast_verdict(spark, sf_dir):
+    """A28 on the yearly series of all rows (the reference's forecast verdict)."""
+    from ..operators import forecast as FC
+    from ..sources.facts import order_facts
+    from .models import YEARLY_HORIZON, YEARLY_LAGS, YEARLY_RIDGE
+
+    yearly = FC.period_counts(order_facts(spark, sf_dir), F.lit("ALL"), F.col("award_year"), weight="n_items")
+    fc = FC.forecast_series(yearly, YEARLY_LAGS, YEARLY_HORIZON, ridge=YEARLY_RIDGE)
+    return FC.trend_verdict(fc).select(F.col("verdict").alias("forecast_verdict"))
