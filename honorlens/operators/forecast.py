@@ -90,7 +90,9 @@ def recursive_forecast(last_windows: DataFrame, length: int, horizon: int) -> Da
 def forecast_series(series_df: DataFrame, length: int = 10, horizon: int = 10, ridge: float = 1e-8) -> DataFrame:
     """FC1-FC5: one tagged long table per series: kind ∈ {actual, fitted, forecast}.
     ``actual`` skips the first ``length`` periods (as the reference does). ``ridge``
-    shrinks the AR weights (on z-scores); short series need it to stay stable."""
+    shrinks the AR weights (on z-scores); short series need it to stay stable.
+    ``series_id`` should come from data: a lone literal id makes Catalyst fold the
+    per-series joins into cross joins (union it with data-derived series instead)."""
     win = windowed(series_df, length)
     models = fit_ar(win, length, ridge)
     fit = fitted(win, models, length)

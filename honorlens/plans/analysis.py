@@ -205,6 +205,10 @@ def _overall_forecast_verdict(spark, sf_dir):
     from ..sources.facts import order_facts
     from .models import YEARLY_HORIZON, YEARLY_LAGS, YEARLY_RIDGE
 
-    yearly = FC.period_counts(order_facts(spark, sf_dir), F.lit("ALL"), F.col("award_year"), weight="n_items")
+    f = order_facts(spark, sf_dir)
+    # forecast the overall series together with the per-category ones: a join keyed
+    # on a single literal series id would be constant-folded into a cross join
+    yearly = FC.period_counts(f, F.lit("ALL"), F.col("award_year"), weight="n_items").unionByName(
+        FC.period_counts(f, "category", F.col("award_year"), weight="n_items"))
     fc = FC.forecast_series(yearly, YEARLY_LAGS, YEARLY_HORIZON, ridge=YEARLY_RIDGE)
-    return FC.trend_verdict(fc).select(F.col("verdict").alias("forecast_verdict"))
+    return FC.trend_verdict(fc).filter(F.col("series_id") == "ALL").select(F.col("verdict").alias("forecast_verdict"))
