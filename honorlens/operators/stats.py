@@ -227,23 +227,25 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A10: pairwise-complete Pearson correlation of every column pair in one
     aggregate pass, as a long (var_a, var_b, r) table including the diagonal.
 
-    r = covar_samp / (std_a · std_b) over the rows where both are non-null;
-    a constant column gives NULL (``corr`` would raise under ANSI). Listed
-    columns that do not exist are skipped (P21)."""
+    ``regr_sxx``/``regr_syy``/``regr_sxy`` are defined over the rows where both
+    values are non-null (pairwise-complete, N5) and merge stably (Welford), so
+    r = Sxy / sqrt(Sxx · Syy); a constant column gives NULL through ``try_divide``
+    (``corr`` would raise under ANSI, N6). Listed columns that do not exist are
+    skipped (P21)."""
     cols = [c for c in cols if c in df.columns]
     aggs, pairs = [], []
     for i, a in enumerate(cols):
-        for b in cols[i:]:
-            ca = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-            cb = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-            tag = f"{i}_{cols.index(b)}"
-            aggs += [F.covar_samp(ca, cb).alias(f"cv{tag}"), F.stddev_samp(ca).alias(f"sa{tag}"),
-                     F.stddev_samp(cb).alias(f"sb{tag}")]
+        for j in range(i, len(cols)):
+            b = cols[j]
+            y, x = F.col(b).cast("double"), F.col(a).cast("double")
+            tag = f"{i}_{j}"
+            aggs += [F.regr_sxx(y, x).alias(f"xx{tag}"), F.regr_syy(y, x).alias(f"yy{tag}"),
+                     F.regr_sxy(y, x).alias(f"xy{tag}")]
             pairs.append((a, b, tag))
     wide = df.agg(*aggs)
     items = []
     for a, b, tag in pairs:
-        r = F.try_divide(F.col(f"cv{tag}"), F.col(f"sa{tag}") * F.col(f"sb{tag}"))
+        r = F.try_divide(F.col(f"xy{tag}"), F.sqrt(F.col(f"xx{tag}") * F.col(f"yy{tag}")))
         items.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), r.alias("r")))
         if a != b:
             items.append(F.struct(F.lit(b).alias("var_a"), F.lit(a).alias("var_b"), r.alias("r")))
