@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table, spread
 
 # Fixed values of the binding (see SURVEY §7.2).
 ORG_SEGMENT = "MACHINERY"
@@ -145,13 +145,7 @@ def text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitions than the cluster has cores (a few large files), the corpus is
     hash-partitioned by ``doc_id`` so the work spreads over every core. A large
     corpus already has more splits than cores and is left as scanned."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        if docs.rdd.getNumPartitions() < cores:
-            docs = docs.repartition(cores, "doc_id")
-    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): keep the scan as is
-        pass
+    docs = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]), "doc_id")
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("name"),
