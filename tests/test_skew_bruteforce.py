@@ -97,3 +97,19 @@ def test_mode_with_hot_group(spark):
     c = Counter(r[1] for r in rows if r[3] == "hot")
     best = max(c.values())
     assert got["hot"] == min(k for k, v in c.items() if v == best)
+
+
+def test_distributed_quantile_matches_percentile(spark):
+    from honorlens.operators.windows import distributed_quantile
+
+    rnd = random.Random(3)
+    rows = [("hot" if i % 3 == 0 else rnd.choice("ab"), round(rnd.uniform(0, 100), 2)) for i in range(1500)]
+    rows += [("c", 7.0)]  # single-row group
+    df = spark.createDataFrame(rows, "g string, x double")
+    for q in (0.5, 0.25, 0.9):
+        got = {r["g"]: r["quantile"] for r in distributed_quantile(df, "x", q, ["g"]).collect()}
+        want = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("x", q).alias("p")).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want), (q, got, want)
+    whole = distributed_quantile(df, "x", 0.5).collect()[0]["quantile"]
+    assert abs(whole - df.agg(F.median("x")).collect()[0][0]) < 1e-9
