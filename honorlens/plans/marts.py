@@ -89,17 +89,25 @@ def gender_split(df: DataFrame, row: str = "decade", gender: str = "gender",
     return ct.withColumn("female_pct", F.col(values[0]) / denom * 100).orderBy(row)
 
 
-def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5, approx: bool = False) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5, approx: bool = False,
+              distributed: bool = False) -> DataFrame:
     """Quartiles (linear interpolation), whiskers at the most extreme
     points within ``whisker``·IQR, and outlier counts per group. Exact quartiles
-    keep a value→count buffer per group; ``approx=True`` uses a bounded sketch
-    for continuous values in very large groups."""
+    keep a value→count buffer per group; ``distributed=True`` computes the same
+    exact quartiles without that buffer (hot groups with many distinct values);
+    ``approx=True`` uses a bounded sketch."""
     base = non_null_keys(df.filter(F.col(value).isNotNull()), [group])
-    quart = (F.percentile_approx(F.col(value).cast("double"), [0.25, 0.5, 0.75], 10000) if approx
-             else F.percentile(value, [0.25, 0.5, 0.75]))
-    q = base.groupBy(group).agg(
-        quart.alias("_q"), F.count(F.lit(1)).alias("n"),
-    ).select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    if distributed:
+        n = base.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+        q = n
+        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            q = q.join(W.distributed_quantile(base, value, p, [group], name), group)
+    else:
+        quart = (F.percentile_approx(F.col(value).cast("double"), [0.25, 0.5, 0.75], 10000) if approx
+                 else F.percentile(value, [0.25, 0.5, 0.75]))
+        q = base.groupBy(group).agg(
+            quart.alias("_q"), F.count(F.lit(1)).alias("n"),
+        ).select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
     v = F.col(value)

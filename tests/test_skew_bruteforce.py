@@ -113,3 +113,14 @@ def test_distributed_quantile_matches_percentile(spark):
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want), (q, got, want)
     whole = distributed_quantile(df, "x", 0.5).collect()[0]["quantile"]
     assert abs(whole - df.agg(F.median("x")).collect()[0][0]) < 1e-9
+
+
+def test_box_stats_distributed_equals_exact(spark):
+    rows = _rows()
+    df = spark.createDataFrame(rows, SCHEMA)
+    a = {r["category"]: r.asDict() for r in M.box_stats(df, "category", "lifespan").collect()}
+    b = {r["category"]: r.asDict() for r in M.box_stats(df, "category", "lifespan", distributed=True).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for c in ("n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"):
+            assert abs(a[k][c] - b[k][c]) < 1e-9, (k, c)
