@@ -43,9 +43,9 @@ def order_documents(spark, sf_dir):
         F.when(~is_org & (status == "F"), F.lit("female")).when(~is_org & (status == "O"), F.lit("male")).alias("gender"),
         F.when(~is_org, dated).alias("birth"),
         F.when(~is_org & (status == "F"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))).alias("death"),
-        F.array(award).alias("nobelPrizes"),
+        F.array(award).alias(N.AWARDS_FIELD),
     )
-    return b.select(F.to_json(F.struct(F.array(rec).alias("laureates"))).alias("json"))
+    return b.select(F.to_json(F.struct(F.array(rec).alias(N.RECORDS_FIELD))).alias("json"))
 
 
 @query("nested_records_flatten", """

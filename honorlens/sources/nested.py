@@ -1,6 +1,6 @@
 """Nested recipient documents → flat fact.
 
-A document is ``{"laureates": [recipient, ...]}``; a recipient holds a list of
+A document is ``{RECORDS_FIELD: [recipient, ...]}``; a recipient holds a list of
 awards. The explicit schema means no inference pass over the input, and the
 flatten is pure column expressions plus one ``explode`` (inner: a recipient
 without awards yields no row)."""
@@ -13,6 +13,14 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import age_at, bucket, lifespan_years, parse_partial_date
 
+# Field names of the source document format (they must match the
+# input documents): the record list, the per-record award list, and the two
+# external-reference objects.
+RECORDS_FIELD = "laureates"
+AWARDS_FIELD = "nobelPrizes"
+PAGE_REF_FIELD = "wikipedia"
+ENTITY_REF_FIELD = "wikidata"
+
 _EN = T.StructType([T.StructField("en", T.StringType())])
 _PLACE = T.StructType([T.StructField("city", _EN), T.StructField("country", _EN), T.StructField("continent", _EN)])
 _DATED_PLACE = T.StructType([T.StructField("date", T.StringType()), T.StructField("place", _PLACE)])
@@ -36,11 +44,11 @@ RECIPIENT = T.StructType([
     T.StructField("gender", T.StringType()),
     T.StructField("birth", _DATED_PLACE),
     T.StructField("death", T.StructType([T.StructField("date", T.StringType())])),
-    T.StructField("wikipedia", T.StructType([T.StructField("slug", T.StringType())])),
-    T.StructField("wikidata", T.StructType([T.StructField("id", T.StringType())])),
-    T.StructField("nobelPrizes", T.ArrayType(AWARD)),
+    T.StructField(PAGE_REF_FIELD, T.StructType([T.StructField("slug", T.StringType())])),
+    T.StructField(ENTITY_REF_FIELD, T.StructType([T.StructField("id", T.StringType())])),
+    T.StructField(AWARDS_FIELD, T.ArrayType(AWARD)),
 ])
-DOCUMENT = T.StructType([T.StructField("laureates", T.ArrayType(RECIPIENT))])
+DOCUMENT = T.StructType([T.StructField(RECORDS_FIELD, T.ArrayType(RECIPIENT))])
 
 
 def get_path(path: str, default=None) -> Column:
@@ -57,7 +65,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return recipients(raw)
 
 
-def recipients(raw_documents: DataFrame, col: str = "laureates") -> DataFrame:
+def recipients(raw_documents: DataFrame, col: str = RECORDS_FIELD) -> DataFrame:
     """Concatenates the record arrays of all pages — one row per recipient."""
     return raw_documents.select(F.explode(F.col(col)).alias("r")).select("r.*")
 
@@ -86,8 +94,8 @@ def flatten(rec: DataFrame, decade_width: int = 10) -> DataFrame:
         either("founded.place.city.en", "birth.place.city.en").alias("birth_city"),
         either("founded.place.country.en", "birth.place.country.en").alias("birth_country"),
         either("founded.place.continent.en", "birth.place.continent.en").alias("birth_continent"),
-        F.col("wikipedia.slug").alias("wiki_slug"), F.col("wikidata.id").alias("wikidata_id"),
-        F.explode(F.col("nobelPrizes")).alias("p"),  # P2, inner
+        F.col(f"{PAGE_REF_FIELD}.slug").alias("wiki_slug"), F.col(f"{ENTITY_REF_FIELD}.id").alias("wikidata_id"),
+        F.explode(F.col(AWARDS_FIELD)).alias("p"),  # P2, inner
     )
     year = F.col("p.awardYear").try_cast("int")  # P10
     first_aff = F.try_element_at(F.col("p.affiliations"), F.lit(1))  # P4
