@@ -65,14 +65,17 @@ def ship_package(spark: SparkSession) -> None:
     with _SHIP_LOCK:
         if key in _SHIPPED:
             return
+        _SHIPPED.add(key)  # one attempt per context, whatever happens below
         pkg_dir = os.path.dirname(os.path.abspath(__file__))
         root = os.path.dirname(pkg_dir)
-        out = os.path.join(tempfile.mkdtemp(prefix="honorlens-pkg-"), "honorlens.zip")
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for base, _, files in os.walk(pkg_dir):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(base, f)
-                        z.write(full, os.path.relpath(full, root))
-        sc.addPyFile(out)
-        _SHIPPED.add(key)
+        try:
+            out = os.path.join(tempfile.mkdtemp(prefix="honorlens-pkg-"), "honorlens.zip")
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for base, _, files in os.walk(pkg_dir):
+                    for f in files:
+                        if f.endswith(".py"):
+                            full = os.path.join(base, f)
+                            z.write(full, os.path.relpath(full, root))
+            sc.addPyFile(out)
+        except Exception:  # noqa: BLE001 - best effort: executors may already have the package
+            pass
