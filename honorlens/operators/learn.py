@@ -176,9 +176,11 @@ def _forest(num_trees: int, max_depth: int, seed: int) -> RandomForestClassifier
 
 def random_forest_cv(frame: DataFrame, num_trees: int = 200, max_depth: int = 10, n_folds: int = 5,
                      seed: int = 42, key_cols: Sequence[str] = ("id", "award_year", "age_at_award"),
-                     parallelism: int = 5) -> DataFrame:
+                     parallelism: int = 1) -> DataFrame:
     """M6: class-weighted random forest, accuracy of each of ``n_folds`` folds plus
-    their mean and population std."""
+    their mean and population std. Folds run one after another by default: every
+    concurrent forest caches its own bagged copy of the training data, so
+    ``parallelism`` > 1 is for inputs that fit that many times in memory."""
     ensure_checkpoint_dir(frame.sparkSession)
     data = fold_column(balanced_weights(frame), key_cols, n_folds, seed).select("features", "label", "weight", "fold")
     data = data.cache()

@@ -72,7 +72,7 @@ def _forest_frame(spark, sf_dir):
 def q_forest_cv(spark, sf_dir):
     frame, _ = _forest_frame(spark, sf_dir)
     return round_doubles(L.random_forest_cv(frame, num_trees=CHECK_FOREST_TREES, max_depth=FOREST_DEPTH,
-                                            n_folds=CHECK_FOREST_FOLDS))
+                                            n_folds=CHECK_FOREST_FOLDS, parallelism=CHECK_FOREST_FOLDS))
 
 
 @query("forest_feature_importances")
