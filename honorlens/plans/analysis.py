@@ -48,6 +48,7 @@ SELECT round(CASE WHEN (max(nr) - 1) * (max(nc) - 1) = 1
 FROM e
 """.replace("\n, b AS", "WITH b AS", 1)))
 def q_chi2(spark, sf_dir):
+    """A4: χ² of gender × category (statistic, dof, n)."""
     return round_doubles(S.chi_squared(_chi_input(spark, sf_dir), "gender", "category", weight="n_items"))
 
 
@@ -69,6 +70,7 @@ SELECT round(u1, 6) AS u_statistic, round(n1 * n2 - u1, 6) AS u2, CAST(n1 AS BIG
 FROM z
 """.replace("\n, b AS", "WITH b AS", 1)))
 def q_mw(spark, sf_dir):
+    """Rank-sum test of age between two categories."""
     return round_doubles(_mw(spark, sf_dir))
 
 
@@ -83,6 +85,7 @@ SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6)
 FROM a
 """.replace("\n, a AS", "WITH a AS", 1)))
 def q_ols(spark, sf_dir):
+    """OLS of age on year."""
     return round_doubles(S.ols_trend(persons(award_facts(spark, sf_dir))))
 
 
@@ -93,6 +96,7 @@ SELECT DISTINCT p.award_year, round(a.intercept + a.slope * p.award_year, 6) AS
 FROM persons p CROSS JOIN a WHERE p.award_year IS NOT NULL AND p.age_at_award IS NOT NULL
 """.replace("\n, a AS", "WITH a AS", 1)))
 def q_line(spark, sf_dir):
+    """Fitted regression line points."""
     p = persons(award_facts(spark, sf_dir))
     fit = S.ols_trend(p)
     return round_doubles(S.predictions(p, fit).select("award_year", "predicted").distinct().orderBy("award_year"))
@@ -113,6 +117,7 @@ SELECT round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std,
 FROM j
 """.replace("\n, b AS", "WITH b AS", 1)))
 def q_dist(spark, sf_dir):
+    """Age distribution statistics and Jarque-Bera."""
     return round_doubles(S.distribution_stats(persons(award_facts(spark, sf_dir))))
 
 
@@ -126,6 +131,7 @@ def _corr_sql() -> str:
 
 @query("correlation_matrix", _corr_sql())
 def q_corr(spark, sf_dir):
+    """A10 / C17: pairwise-complete correlation matrix (long form)."""
     return round_doubles(S.correlation_long(persons(award_facts(spark, sf_dir)), NUMERIC_COLUMNS))
 
 
@@ -157,6 +163,7 @@ def fused_tests(cube):
 
 @query("hypothesis_tests")
 def q_tests(spark, sf_dir):
+    """P-values of the fused tests (one count cube)."""
     chi, mw, ols, dist = fused_tests(person_cube(spark, sf_dir))
     return S.with_p_values(chi=chi, mw=mw, ols=ols, dist=dist)
 

@@ -90,6 +90,7 @@ def alias_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 SELECT entity_id, nationality FROM nationality
 """.replace("\n, claims AS", "WITH claims AS", 1)))
 def q_nationality(spark, sf_dir):
+    """Ordered nationality labels per recipient."""
     return nationalities(spark, sf_dir)
 
 
@@ -99,6 +100,7 @@ SELECT DISTINCT token FROM (SELECT unnest(string_split(nationality, ', ')) AS to
                             WHERE nationality IS NOT NULL) WHERE token <> ''
 """.replace("\n, claims AS", "WITH claims AS", 1)))
 def q_tokens(spark, sf_dir):
+    """Distinct nationality tokens."""
     return G.delimited_tokens(nationalities(spark, sf_dir), "nationality", ", ")
 
 
@@ -118,6 +120,7 @@ SELECT fin.start, fin.final, fin.depth, fin.final NOT IN (SELECT src FROM edges)
 FROM fin LEFT JOIN thumbs ON thumbs.title = fin.final
 """)
 def q_alias(spark, sf_dir):
+    """Alias-chain resolution with thumbnails."""
     starts, edges, thumbs = alias_edges(spark, sf_dir)
     resolved = J.resolve_aliases(starts, edges, "title", "from", "to", max_depth=64)
     return resolved.join(thumbs, resolved.final == thumbs.page_title, "left").select(
@@ -148,6 +151,7 @@ FROM (SELECT * FROM m ORDER BY award_year, id, category, name, motivation, displ
 
 @query("gallery_page", _gallery_sql())
 def q_gallery(spark, sf_dir):
+    """One gallery page with facets."""
     fact = award_facts(spark, sf_dir, with_text=True)
     nat = nationalities(spark, sf_dir).withColumnRenamed("entity_id", "id")
     return Q.gallery(fact.join(nat, "id", "left"), **GALLERY_ARGS)
@@ -168,6 +172,7 @@ FROM (SELECT * FROM m ORDER BY award_year, id, category, name, motivation, displ
       LIMIT 40 OFFSET (SELECT (page - 1) * 40 FROM pg)) CROSS JOIN pg
 """)
 def q_doc_search(spark, sf_dir):
+    """Whole-text search over the document corpus."""
     docs = text_facts(spark, sf_dir).withColumn("award_year", F.lit(None).cast("int")).withColumn(
         "birth_country", F.lit(None).cast("string"))
     return Q.gallery(docs, **DOC_SEARCH_ARGS)

@@ -73,6 +73,7 @@ SELECT CAST(o_custkey AS VARCHAR) AS id,
 FROM b
 """)
 def q_nested(spark, sf_dir):
+    """S1 / P1-P10 / F21s: nested JSON round trip and flatten."""
     flat = N.flatten(N.parse_documents(order_documents(spark, sf_dir)))
     return round_doubles(flat.select(
         "id", "name", "gender", "is_org", F.date_format("birth_date", "yyyy-MM-dd").alias("birth_date"),
@@ -88,6 +89,7 @@ SELECT event_type, count(*) AS n,
 FROM events GROUP BY event_type
 """)
 def q_event_props(spark, sf_dir):
+    """P1 / F21s: JSON property extraction with defaults."""
     ev = read_table(spark, sf_dir, "events", ["event_type", "props"])
     k = F.from_json(F.col("props"), "k STRING")["k"].try_cast("int")
     return ev.groupBy("event_type").agg(

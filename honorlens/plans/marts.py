@@ -174,6 +174,7 @@ SELECT c.birth_continent, c.category, c.count, t.row_order,
 FROM c JOIN t USING (birth_continent)
 """.replace("\n, c AS", "WITH c AS", 1)))
 def q_c1(spark, sf_dir):
+    """Continent × category bars with row and series order."""
     from .reports import CATEGORY_ORDER
 
     return continent_category(order_facts(spark, sf_dir), weight="n_items", series_order=CATEGORY_ORDER)
@@ -185,6 +186,7 @@ SELECT award_year, count(*) AS count,
 FROM fact WHERE award_year IS NOT NULL GROUP BY award_year
 """))
 def q_c2(spark, sf_dir):
+    """Yearly counts and their running total."""
     return cumulative_timeline(order_facts(spark, sf_dir), weight="n_items")
 
 
@@ -200,6 +202,7 @@ SELECT s.birth_continent, s.category, s.count, round(s.pct, 6) AS pct,
 FROM s JOIN t USING (birth_continent)
 """.replace("\n, c AS", "WITH c AS", 1)))
 def q_c3(spark, sf_dir):
+    """C3 / W3 / F8s: row shares with labels."""
     return round_doubles(row_shares(order_facts(spark, sf_dir), weight="n_items"))
 
 
@@ -229,6 +232,7 @@ FROM counts c CROSS JOIN mx JOIN fields f USING (birth_country) JOIN notable n U
 JOIN centroids g ON g.country = c.birth_country
 """.replace("\n, centroids AS", "WITH centroids AS", 1)))
 def q_c4(spark, sf_dir):
+    """C4 / J4 / F13s / F17s / F18s / O4: globe points."""
     return round_doubles(globe_points(order_facts(spark, sf_dir), country_centroids(spark, sf_dir), weight="n_items"))
 
 
@@ -239,6 +243,7 @@ SELECT decade, count(*) FILTER (WHERE gender = 'female') AS female, count(*) FIL
 FROM persons WHERE gender IN ('female', 'male') AND decade IS NOT NULL GROUP BY decade
 """))
 def q_c5_c6(spark, sf_dir):
+    """Female and male counts and share per decade."""
     return round_doubles(gender_split(persons(order_facts(spark, sf_dir)), weight="n_items"))
 
 
@@ -258,11 +263,13 @@ FROM b JOIN f USING (category) GROUP BY f.category, f.n, f.q1, f.median, f.q3
 
 @query("age_box_by_category", _box_sql("age_at_award", "persons"))
 def q_c7(spark, sf_dir):
+    """Age quartiles, whiskers and outliers per category."""
     return round_doubles(box_stats(persons(award_facts(spark, sf_dir)), "category", "age_at_award"))
 
 
 @query("lifespan_box_by_category", _box_sql("lifespan", "persons"))
 def q_c9(spark, sf_dir):
+    """Lifespan quartiles, whiskers and outliers per category."""
     return round_doubles(box_stats(persons(award_facts(spark, sf_dir)), "category", "lifespan"))
 
 
@@ -271,6 +278,7 @@ SELECT name, award_year, age_at_award, category, birth_country FROM persons
 WHERE age_at_award IS NOT NULL AND category = '2-HIGH'
 """))
 def q_c8(spark, sf_dir):
+    """Age scatter points for one category."""
     from ..operators.search import age_scatter
     return age_scatter(award_facts(spark, sf_dir), category="2-HIGH")
 
@@ -285,6 +293,7 @@ SELECT gender, bin, round(lo + bin * ((hi - lo) / 40), 6) AS bin_low, round(lo +
 FROM x GROUP BY gender, bin, lo, hi
 """.replace("\n, b AS", "WITH b AS", 1)))
 def q_c10(spark, sf_dir):
+    """40-bin age histogram by gender."""
     return round_doubles(histogram(persons(award_facts(spark, sf_dir)), "age_at_award", "gender", 40))
 
 
@@ -292,6 +301,7 @@ def q_c10(spark, sf_dir):
 SELECT category, decade, count(*) AS count FROM fact WHERE category IS NOT NULL AND decade IS NOT NULL GROUP BY 1, 2
 """))
 def q_c11(spark, sf_dir):
+    """C11: category × decade counts."""
     return G.count_by(order_facts(spark, sf_dir), ["category", "decade"], "count", weight="n_items")
 
 
@@ -304,6 +314,7 @@ SELECT f.birth_continent, f.category, s.source, (SELECT count(*) FROM s) + t.t A
 FROM flow f JOIN s USING (birth_continent) JOIN t USING (category)
 """.replace("\n, flow AS", "WITH flow AS", 1)))
 def q_c13(spark, sf_dir):
+    """Sankey links with node indices."""
     return sankey_links(order_facts(spark, sf_dir), weight="n_items")
 
 
@@ -315,6 +326,7 @@ FROM fact f LEFT JOIN abbreviations a ON a.name = f.name
 WHERE EXISTS (SELECT 1 FROM rep WHERE rep.id = f.id AND rep.name = f.name)
 """.replace("\n, abbreviations AS", "WITH abbreviations AS", 1)))
 def q_c25(spark, sf_dir):
+    """Rows of repeat recipients with display names."""
     return multi_recipients(award_facts(spark, sf_dir), name_abbreviations(spark, sf_dir))
 
 

@@ -38,6 +38,7 @@ def _cluster_input(spark, sf_dir):
 
 @query("kmeans_profiles")
 def q_kmeans(spark, sf_dir):
+    """M1-M4: K-Means cluster profiles."""
     rows, points = _cluster_input(spark, sf_dir)
     points = points.cache()  # iterative fits re-read the (small) weighted point table
     assigned, _ = L.kmeans_clusters(points, k=KMEANS_K, n_init=KMEANS_RESTARTS)
@@ -56,6 +57,7 @@ def q_kmeans_points(spark, sf_dir):
 
 @query("kmeans_silhouette")
 def q_silhouette(spark, sf_dir):
+    """Silhouette sweep over k."""
     _, points = _cluster_input(spark, sf_dir)
     return round_doubles(L.silhouette_sweep(points.cache(), KMEANS_SWEEP))
 
@@ -70,6 +72,7 @@ def _forest_frame(spark, sf_dir):
 
 @query("forest_cv_accuracy")
 def q_forest_cv(spark, sf_dir):
+    """M5 / M6: forest cross-validation accuracy."""
     frame, _ = _forest_frame(spark, sf_dir)
     return round_doubles(L.random_forest_cv(frame, num_trees=CHECK_FOREST_TREES, max_depth=FOREST_DEPTH,
                                             n_folds=CHECK_FOREST_FOLDS, parallelism=CHECK_FOREST_FOLDS))
@@ -77,6 +80,7 @@ def q_forest_cv(spark, sf_dir):
 
 @query("forest_feature_importances")
 def q_forest_imp(spark, sf_dir):
+    """Forest feature importances."""
     frame, names = _forest_frame(spark, sf_dir)
     return round_doubles(L.feature_importances(frame, names, num_trees=CHECK_FOREST_TREES, max_depth=FOREST_DEPTH))
 
@@ -101,6 +105,7 @@ SELECT term, df, tf_total, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf, rank FRO
 
 @query("tfidf_vocabulary", _vocab_sql())
 def q_vocab(spark, sf_dir):
+    """M8: TF-IDF vocabulary (df, corpus count, idf)."""
     termed = TP.term_lists(_documents(spark, sf_dir)).cache()  # read by three aggregates
     return round_doubles(TP.vocabulary(termed, max_features=VOCAB_SIZE))
 
@@ -116,12 +121,14 @@ def _topic_model(spark, sf_dir):
 
 @query("topic_terms")
 def q_topic_terms(spark, sf_dir):
+    """Top terms per SVD topic."""
     _, vocab, _, comps = _topic_model(spark, sf_dir)
     return round_doubles(TP.top_terms(spark, vocab, comps, TOP_WORDS))
 
 
 @query("topic_by_category")
 def q_topic_category(spark, sf_dir):
+    """Dominant topic × category counts."""
     weighted, _, scores, _ = _topic_model(spark, sf_dir)
     dom = TP.dominant_topic(scores).join(weighted.select("id", "category"), "id")
     return dom.groupBy("category", "dominant_topic").agg(F.count(F.lit(1)).alias("count"))
@@ -129,6 +136,7 @@ def q_topic_category(spark, sf_dir):
 
 @query("topic_summary")
 def q_topic_summary(spark, sf_dir):
+    """Explained variance and corpus size."""
     weighted, vocab, scores, comps = _topic_model(spark, sf_dir)
     ev = TP.explained_variance(scores, weighted, "tfidf", len(comps))
     head = ev.select("explained_variance_pct", F.lit(len(vocab)).alias("n_terms"), F.lit(len(comps)).alias("n_topics"))
@@ -151,6 +159,7 @@ SELECT series_id, strftime(t, '%Y-%m-%d') AS t, value, round(z, 6) AS z,
 FROM w WHERE nprev = {SERIES_LAGS}
 """)
 def q_series(spark, sf_dir):
+    """FC1 / W4 / W5: daily event series, z-scores and lag windows."""
     win = FC.windowed(_event_series(spark, sf_dir), SERIES_LAGS)
     lags = [F.col("window")[SERIES_LAGS - i].alias(f"lag_{i}") for i in range(1, SERIES_LAGS + 1)]
     return round_doubles(win.select("series_id", F.date_format("t", "yyyy-MM-dd").alias("t"), "value", "z", *lags))
@@ -158,12 +167,14 @@ def q_series(spark, sf_dir):
 
 @query("event_forecast")
 def q_forecast(spark, sf_dir):
+    """FC2-FC5 / C23: AR forecast of daily event series."""
     out = FC.forecast_series(_event_series(spark, sf_dir), SERIES_LAGS, SERIES_HORIZON)
     return round_doubles(out.select("series_id", F.date_format("t", "yyyy-MM-dd").alias("t"), "kind", "value"))
 
 
 @query("forecast_trend_verdict")
 def q_verdict(spark, sf_dir):
+    """Trend verdict per event series."""
     out = FC.forecast_series(_event_series(spark, sf_dir), SERIES_LAGS, SERIES_HORIZON)
     return round_doubles(FC.trend_verdict(out))
 

@@ -36,6 +36,7 @@ SELECT category,
 FROM persons WHERE category IS NOT NULL GROUP BY category
 """))
 def q_descriptive(spark, sf_dir):
+    """A1: per-category descriptive statistics of persons."""
     return round_doubles(G.descriptive_by_group(persons(award_facts(spark, sf_dir))))
 
 
@@ -49,6 +50,7 @@ SELECT decade,
 FROM persons WHERE decade IS NOT NULL AND gender IS NOT NULL GROUP BY decade
 """))
 def q_gender_by_decade(spark, sf_dir):
+    """A2: decade × gender counts with female share of all genders."""
     return round_doubles(G.gender_by_decade(persons(order_facts(spark, sf_dir)), values=PERSON_GENDERS, weight="n_items"))
 
 
@@ -58,6 +60,7 @@ FROM fact WHERE birth_country IS NOT NULL GROUP BY birth_country
 ORDER BY count DESC, birth_country LIMIT 20
 """))
 def q_country_rankings(spark, sf_dir):
+    """A3: top 20 birth countries by rows, with distinct categories."""
     return G.top_groups(order_facts(spark, sf_dir), top_n=20, weight="n_items")
 
 
@@ -67,11 +70,13 @@ SELECT category, round(avg(lifespan), 6) AS avg_lifespan, round(median(lifespan)
 FROM persons WHERE lifespan IS NOT NULL AND category IS NOT NULL GROUP BY category
 """))
 def q_lifespan(spark, sf_dir):
+    """Lifespan mean/median/count per category."""
     return round_doubles(G.lifespan_by_group(persons(award_facts(spark, sf_dir))))
 
 
 @query("prizes_per_decade", _cat_counts_sql("fact", "decade"))
 def q_prizes_per_decade(spark, sf_dir):
+    """Decade × category counts."""
     return G.counts_per_bucket(order_facts(spark, sf_dir), "decade", "category", CATEGORY_ORDER, weight="n_items")
 
 
@@ -91,6 +96,7 @@ SELECT count(*) AS total_prizes,
 FROM fact
 """))
 def q_summary(spark, sf_dir):
+    """Headline metrics in one pass."""
     return round_doubles(G.summary_stats(award_facts(spark, sf_dir)))
 
 
@@ -99,6 +105,7 @@ SELECT birth_country, count(*) AS n FROM fact WHERE birth_country IS NOT NULL
 GROUP BY birth_country ORDER BY n DESC, birth_country LIMIT 1
 """))
 def q_top_country(spark, sf_dir):
+    """The country with most rows."""
     return G.argmax_group(order_facts(spark, sf_dir), "birth_country", weight="n_items")
 
 
@@ -110,6 +117,7 @@ SELECT (SELECT name FROM b ORDER BY age_at_award, award_year, id, name LIMIT 1)
        (SELECT max(age_at_award) FROM b) AS oldest_age
 """.replace("\n, b AS", "WITH b AS", 1)))
 def q_youngest_oldest(spark, sf_dir):
+    """Youngest and oldest person rows."""
     return G.extreme_rows(persons(award_facts(spark, sf_dir)))
 
 
@@ -118,6 +126,7 @@ SELECT id, name, count(*) AS prizes FROM fact WHERE id IS NOT NULL AND name IS N
 GROUP BY id, name HAVING count(*) > 1
 """))
 def q_repeat(spark, sf_dir):
+    """Recipients with more than one row."""
     return G.repeat_holders(order_facts(spark, sf_dir), weight="n_items")
 
 
@@ -127,6 +136,7 @@ SELECT award_year, round(avg(prize_amount_adjusted), 6) AS avg_amount,
 FROM fact WHERE prize_amount_adjusted IS NOT NULL AND award_year IS NOT NULL GROUP BY award_year
 """))
 def q_amount_trend(spark, sf_dir):
+    """Mean and max adjusted amount per year."""
     return round_doubles(G.mean_max_by(award_facts(spark, sf_dir)))
 
 
@@ -137,6 +147,7 @@ SELECT category, top_birth_country, top_birth_country_count FROM (
   FROM persons WHERE birth_country IS NOT NULL GROUP BY category, birth_country) WHERE r = 1
 """))
 def q_mode(spark, sf_dir):
+    """Most frequent birth country per category."""
     return G.mode_by(persons(order_facts(spark, sf_dir)), "category", "birth_country", weight="n_items")
 
 
@@ -147,6 +158,7 @@ FROM fact WHERE birth_continent IS NOT NULL
 GROUP BY ROLLUP (birth_continent, birth_country, category)
 """))
 def q_hierarchy(spark, sf_dir):
+    """Continent > country > category rollup."""
     return G.hierarchy_counts(order_facts(spark, sf_dir), weight="n_items")
 
 
@@ -157,6 +169,7 @@ SELECT DISTINCT facet, value FROM (
   UNION ALL SELECT 'birth_country', CAST(birth_country AS VARCHAR) FROM fact WHERE birth_country IS NOT NULL)
 """))
 def q_facets(spark, sf_dir):
+    """Sorted distinct facet values."""
     return G.facet_values(order_facts(spark, sf_dir))
 
 
@@ -172,6 +185,7 @@ JOIN (SELECT birth_country, string_agg(name, ', ' ORDER BY name) AS names, max(n
       FROM ranked WHERE r <= 5 GROUP BY birth_country) n USING (birth_country)
 """.replace("\n, names AS", "WITH names AS", 1)))
 def q_country_fields(spark, sf_dir):
+    """Sorted fields and first five names per country."""
     fact = order_facts(spark, sf_dir).filter(F.col("birth_country").isNotNull())
     fields = G.sorted_distinct_join(fact, "birth_country", "category", "fields")
     notable = G.first_k_distinct(fact, "birth_country", "name", "notable", k=5)
