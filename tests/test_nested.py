@@ -58,3 +58,25 @@ def test_partial_dates(spark):
     df = spark.createDataFrame([(v,) for v in vals], "s string")
     got = [None if r[0] is None else str(r[0]) for r in df.select(parse_partial_date("s")).collect()]
     assert got == ["1943-05-01", "1943-01-01", "1943-05-01", None, None, None]
+
+
+def test_pages_directory_concatenates_records(spark):
+    d = tempfile.mkdtemp(prefix="honorlens-pages-")
+    docs = _doc()["laureates"]
+    for i in range(0, len(docs), 2):  # three page files of two records each
+        with open(f"{d}/page-{i}.json", "w", encoding="utf-8") as f:
+            json.dump({N.RECORDS_FIELD: docs[i:i + 2]}, f)
+    assert N.read_documents(spark, d).count() == len(docs)
+    one = tempfile.mkdtemp(prefix="honorlens-one-")
+    with open(f"{one}/all.json", "w", encoding="utf-8") as f:
+        json.dump(_doc(), f)
+    a = sorted(map(str, N.flatten(N.read_documents(spark, d)).collect()))
+    b = sorted(map(str, N.flatten(N.read_documents(spark, one)).collect()))
+    assert a == b
+
+
+def test_malformed_json_rows_yield_no_records(spark):
+    rows = [(json.dumps(_doc()),), ("{not json",), (None,), ('{"other": 1}',)]
+    df = spark.createDataFrame(rows, "json string")
+    flat = N.flatten(N.parse_documents(df))
+    assert flat.count() == N.flatten(N.parse_documents(df.limit(1))).count()
