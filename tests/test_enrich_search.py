@@ -121,3 +121,17 @@ def test_j3_slug_underscores_become_spaces(spark):
     edges = spark.createDataFrame([("New York", "NYC")], "`from` string, `to` string")
     r = J.resolve_aliases(starts, edges).collect()[0]
     assert (r["start"], r["final"], r["depth"], r["resolved"]) == ("New_York", "NYC", 1, True)
+
+
+def test_p24_display_country_fallbacks(spark):
+    df = spark.createDataFrame([("A, B", "X"), (None, "X"), (None, ""), (None, None)],
+                               "nationality string, birth_country string")
+    got = [r[0] for r in df.select(Q.display_country()).collect()]
+    assert got == ["A, B", "X", "Unknown", "Unknown"]
+
+
+def test_p16_all_sentinel_means_no_filter(spark):
+    df = spark.createDataFrame([("x", 1990), ("y", 2000)], "category string, decade int")
+    assert Q.facet_filter(df, {"category": "All", "decade": None}).count() == 2
+    assert Q.facet_filter(df, {"category": "x", "decade": "All"}).count() == 1
+    assert Q.facet_filter(df, {"decade": 2000}).collect()[0]["category"] == "y"
