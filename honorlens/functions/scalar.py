@@ -41,8 +41,9 @@ def capitalized(c: Column) -> Column:
 
 
 def pct_label(v: Column, threshold: float = 5.0) -> Column:
-    """F8s: '12%' when v >= threshold, else ''."""
-    return F.when(v >= threshold, F.format_string("%.0f%%", v)).otherwise(F.lit(""))
+    """F8s: '12%' when v >= threshold, else ''. Rounds half to even, as the
+    reference's ``f"{v:.0f}%"`` does (Java's ``%.0f`` would round half up)."""
+    return F.when(v >= threshold, F.concat(F.bround(v, 0).cast("long").cast("string"), F.lit("%"))).otherwise(F.lit(""))
 
 
 def intensity_class(share: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bubble_size, intensity_class, non_null_keys, round_doubles, sphere_xyz
+from ..functions.scalar import bubble_size, intensity_class, non_null_keys, pct_label, round_doubles, sphere_xyz
 from ..operators import enrich as J
 from ..operators import groups as G
 from ..operators import windows as W
@@ -46,8 +46,7 @@ def row_shares(df: DataFrame, row: str = "birth_continent", col: str = "category
     shares = W.share_of_group(counts, [row], "count", "pct")
     totals = counts.groupBy(row).agg(F.sum("count").alias("_total"))
     order = W.ordinal(totals, ["_total", row], "row_order").drop("_total")
-    label = F.when(F.col("pct") >= 5, F.concat(F.bround("pct", 0).cast("long").cast("string"), F.lit("%"))).otherwise(F.lit(""))
-    return shares.withColumn("label", label).join(order, row)
+    return shares.withColumn("label", pct_label(F.col("pct"))).join(order, row)
 
 
 def globe_points(df: DataFrame, centroids: DataFrame, key: str = "birth_country", top: int = 5,

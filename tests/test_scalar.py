@@ -25,5 +25,5 @@ def test_sphere_coordinates_on_unit_sphere(spark):
 
 
 def test_pct_label_threshold(spark):
-    df = spark.createDataFrame([(4.99,), (5.0,), (12.4,)], "v double")
-    assert [r[0] for r in df.select(pct_label(F.col("v"))).collect()] == ["", "5%", "12%"]
+    df = spark.createDataFrame([(4.99,), (5.0,), (12.4,), (12.5,), (13.5,)], "v double")
+    assert [r[0] for r in df.select(pct_label(F.col("v"))).collect()] == ["", "5%", "12%", "12%", "14%"]
