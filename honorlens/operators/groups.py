@@ -145,8 +145,8 @@ def summary_stats(df: DataFrame, id_col: str = "id", is_org: str = "is_org", cat
         F.max(year).alias("year_max"),
         F.count_distinct(country).alias("countries"),
         F.avg(F.when(person, F.col(age))).alias("avg_age"),
-        (F.count(F.when(person & (F.col(gender) == female), F.lit(1))) * 100.0
-         / F.count(F.when(person, F.lit(1)))).alias("female_pct"),
+        F.try_divide(F.count(F.when(person & (F.col(gender) == female), F.lit(1))) * 100.0,
+                     F.count(F.when(person, F.lit(1)))).alias("female_pct"),  # no persons → NULL
     )
 
 

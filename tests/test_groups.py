@@ -108,3 +108,10 @@ def test_x2_sample_is_deterministic_and_bounded(spark):
     b = [r["k"] for r in G.sample_rows(df.repartition(7), 50, seed=42).collect()]
     assert len(a) == 50 and sorted(a) == sorted(b)
     assert G.sample_rows(df, 5000).count() == 1000
+
+
+def test_summary_stats_without_persons(spark):
+    df = spark.createDataFrame([(1, True, "organization")], "id int, is_org boolean, gender string").withColumns(
+        {"category": F.lit("x"), "award_year": F.lit(2000), "birth_country": F.lit("c"), "age_at_award": F.lit(30)})
+    r = G.summary_stats(df).collect()[0]
+    assert r["female_pct"] is None and r["avg_age"] is None and r["persons"] == 0
