@@ -59,8 +59,8 @@ def cluster_features(df: DataFrame, categories: Sequence[str], year: str = "awar
                       *[F.sum(w * F.col(c) * F.col(c)).alias(f"_s2_{i}") for i, c in enumerate(names)])
     moments = sums.select(
         *[(F.col(f"_s1_{i}") / F.col("_w")).alias(f"_m_{i}") for i in range(len(names))],
-        *[F.sqrt(F.greatest(F.lit(0.0), (F.col(f"_s2_{i}") - F.col(f"_s1_{i}") ** 2 / F.col("_w"))
-                            / (F.col("_w") - 1))).alias(f"_s_{i}") for i in range(len(names))],
+        *[F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"_s2_{i}") - F.col(f"_s1_{i}") ** 2 / F.col("_w"),
+                                                     F.col("_w") - 1))).alias(f"_s_{i}") for i in range(len(names))],
     )
     points = G.with_scalar(points, moments)
     scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{i}"), F.col(f"_s_{i}")), F.lit(0.0)).alias(f"_z{i}")

@@ -120,7 +120,7 @@ def mann_whitney(df: DataFrame, value: str, sample: Column, group_cols: Sequence
     n2 = n - n1
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     mu = n1 * n2 / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
     stats = agg.select(
         *g, u1.alias("u_statistic"), (n1 * n2 - u1).alias("u2"), n1.cast("long").alias("n1"),
         n2.cast("long").alias("n2"), "tie_term", mu.alias("mu"), sigma.alias("sigma"),
@@ -204,7 +204,7 @@ def distribution_stats(df: DataFrame, value: str = "age_at_award", group_cols: S
         c2 = F.col("_c2")
         agg = mom.select(
             *g, "_n", "mean", "median", "youngest", "oldest",
-            F.sqrt(c2 * F.col("_n") / (F.col("_n") - 1)).alias("std"), c2.alias("_m2"),
+            F.sqrt(F.try_divide(c2 * F.col("_n"), F.col("_n") - 1)).alias("std"), c2.alias("_m2"),
             F.try_divide(F.col("_c3"), c2 ** 1.5).alias("_s"), (F.try_divide(F.col("_c4"), c2 ** 2) - 3).alias("_k"),
         )
     n = F.col("_n")

@@ -161,7 +161,7 @@ def explained_variance(scores: DataFrame, weighted: DataFrame, vec_col: str, k:
                               F.avg(sq_norm(vector_to_array(F.col(vec_col)))).alias("sq"))
     moments = moments.select("sq", sq_norm(vector_to_array(F.col("m"))).alias("mm"))
     return with_scalar(var_s.select(total_s.alias("_vs")), moments).select(
-        (F.col("_vs") / (F.col("sq") - F.col("mm")) * 100).alias("explained_variance_pct"))
+        (F.try_divide(F.col("_vs"), F.col("sq") - F.col("mm")) * 100).alias("explained_variance_pct"))
 
 
 def idf_value(n: int, df: int) -> float:

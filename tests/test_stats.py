@@ -142,3 +142,13 @@ def test_grouped_tests_equal_per_group_runs(spark):
         assert abs(chi[g] - S.chi_squared(one).collect()[0]["chi2_statistic"]) < 1e-9
         assert abs(ols[g] - S.ols_trend(one).collect()[0]["slope"]) < 1e-12
         assert dist[g] == S.distribution_stats(one).collect()[0]["median"]
+
+
+def test_single_row_inputs_do_not_raise(spark):
+    one = spark.createDataFrame([("a", 30, 1990)], "category string, age_at_award int, award_year int")
+    mw = S.mann_whitney(one, "age_at_award", F.col("category") == "a").collect()[0]
+    assert mw["n1"] == 1 and mw["n2"] == 0
+    cube = one.groupBy("category", "age_at_award", "award_year").agg(F.count(F.lit(1)).alias("w"))
+    d = S.distribution_stats(cube, weight="w").collect()[0]
+    assert d["mean"] == 30.0 and d["std"] is None
+    assert S.ols_trend(one).collect()[0]["slope"] is None
