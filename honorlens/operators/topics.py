@@ -14,10 +14,7 @@ V; one more JVM pass gives the k scores per document, which return as rows.
 
 from __future__ import annotations
 
-import glob
 import math
-import os
-import zipfile
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
@@ -32,15 +29,24 @@ from pyspark.sql import types as T
 TOKEN_PATTERN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}"
 
 
+# Spark ML's built-in English stop words, so that both sides of the check use one list
+# and importing this module reads no file and starts no JVM.
+ENGLISH_STOP_WORDS = tuple("""
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+    herself it its itself they them their theirs themselves what which who whom this that these those am is are
+    was were be been being have has had having do does did doing a an the and but if or because as until while
+    of at by for with about against between into through during before after above below to from up down in out
+    on off over under again further then once here there when where why how all any both each few more most
+    other some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll
+    she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've
+    you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't
+    shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's
+    who's why's would
+""".split())
+
+
 def english_stop_words() -> list[str]:
-    """Spark's built-in English stop-word list, read from the Spark ML jar so it
-    is available without a running JVM (the SQL oracle uses it too)."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return [w for w in text.split("\n") if w]
+    return list(ENGLISH_STOP_WORDS)
 
 
 def term_lists(docs: DataFrame, text: str = "motivation", ngram_range: tuple[int, int] = (1, 2),

@@ -79,3 +79,23 @@ def test_ml_bundle_runs(spark):
     assert bundle["cluster_profiles"].count() == 5
     assert bundle["topic_terms"].filter("rank <= 10").count() == bundle["topic_terms"].count()
     assert bundle["forecast_verdict"].count() >= 1
+
+
+def test_import_needs_no_spark_installation_files(tmp_path):
+    """The two maps can be read where no jars folder is to be found and no JVM can start."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    code = (
+        "import builtins, glob, os, zipfile\n"
+        "def refuse(*a, **k): raise RuntimeError('import must not look for files')\n"
+        "glob.glob = refuse; zipfile.ZipFile = refuse\n"
+        "import __spark_entry__ as e\n"
+        "from pyspark import SparkContext\n"
+        "assert set(e.oracle_sql()) <= set(e.queries()) and SparkContext._active_spark_context is None\n"
+    )
+    env = os.environ | {"PYTHONPATH": root, "SPARK_HOME": str(tmp_path), "JAVA_HOME": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
