@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import common, cuckoo, packing, records
+from ..sources.tables import read_table
+from . import common, cuckoo, linededup, packing, records, sharding, urlfilter
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -16,12 +17,35 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(docs, common.tokenizer_path(BYTE_BPE), packing.Capacity(2048))
 
 
+def op2_minimax_sharding(spark, sf_dir):
+    out = sharding.shard_documents(common.documents(spark, sf_dir, "doc_id", "text"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_token_records(spark, sf_dir):
     docs = common.documents(spark, sf_dir, "doc_id", "text")
     out = records.encode_to_records(docs, common.tokenizer_path(WORD_BPE))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+RULES = [
+    urlfilter.Rule("net", "/", "block"),
+    urlfilter.Rule("example.net", "/en/", "allow"),
+    urlfilter.Rule("example.com", "/de/", "block"),
+    urlfilter.Rule("org", "/fr/", "allow"),
+]
+
+
+def op7_url_filter(spark, sf_dir):
+    out = urlfilter.judge_urls(read_table(spark, sf_dir, "pages", ["page_id", "url"]), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_line_dedup(spark, sf_dir):
+    out = linededup.drop_frequent_lines(common.documents(spark, sf_dir, "doc_id", "text"), 10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     out = cuckoo.exact_dedup(common.documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -35,9 +59,37 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW w AS (PARTITION BY t)
 """
 
+OP7_SQL = """
+WITH rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                           ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+urls AS (SELECT page_id, row_number() OVER () AS i, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path,
+                translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+         FROM rest),
+fit AS (SELECT i, arg_max(rules.host || rules.path, length(rules.host) + length(rules.path)) AS rule,
+               arg_max(verdict, length(rules.host) + length(rules.path)) AS verdict
+        FROM urls JOIN rules ON (urls.host = rules.host OR ends_with(urls.host, '.' || rules.host))
+                            AND starts_with(urls.path, rules.path) GROUP BY i)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fit USING (i)
+"""
+
+OP8_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS i, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT i, unnest(ls) AS line, generate_subscripts(ls, 1) AS nth FROM docs),
+keyed AS (SELECT i, nth, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+often AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT i) >= 10),
+kept AS (SELECT i, coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (k NOT IN (SELECT k FROM often)), '') AS t,
+                count(*) AS n_lines, count(*) FILTER (k IN (SELECT k FROM often)) AS n_dropped FROM keyed GROUP BY i)
+SELECT doc_id, n_lines, n_dropped, sha256(t) AS kept_sha256 FROM kept JOIN docs USING (i)
+"""
+
 _QUERIES = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op2_minimax_sharding": (op2_minimax_sharding, None),
     "op5_token_records": (op5_token_records, None),
+    "op7_url_filter": (op7_url_filter, OP7_SQL),
+    "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
 
