@@ -32,7 +32,7 @@ from .common import staged
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length in a group whose row numbers are counted in one task.
-RANK_GROUP = 100_000
+RANK_GROUP = 1_000
 
 
 @dataclass(frozen=True)
