@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import common, cuckoo, linededup, packing, records, sharding, urlfilter
+from . import common, cuckoo, langid, linededup, packing, records, sharding, tokencount, urlfilter
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -22,6 +22,14 @@ def op2_minimax_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_language_id(spark, sf_dir):
+    return langid.identify(common.documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+def op4_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(common.documents(spark, sf_dir, "doc_id", "text"), common.tokenizer_path(BYTE_BPE), 1024)
+
+
 def op5_token_records(spark, sf_dir):
     docs = common.documents(spark, sf_dir, "doc_id", "text")
     out = records.encode_to_records(docs, common.tokenizer_path(WORD_BPE))
@@ -87,6 +95,8 @@ SELECT doc_id, n_lines, n_dropped, sha256(t) AS kept_sha256 FROM kept JOIN docs
 _QUERIES = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_minimax_sharding": (op2_minimax_sharding, None),
+    "op3_language_id": (op3_language_id, None),
+    "op4_token_counts": (op4_token_counts, None),
     "op5_token_records": (op5_token_records, None),
     "op7_url_filter": (op7_url_filter, OP7_SQL),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
