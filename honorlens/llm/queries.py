@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import common, cuckoo, langid, linededup, packing, records, sharding, tokencount, urlfilter
+from . import common, cuckoo, decontam, langid, linededup, packing, records, sharding, tokencount, urlfilter
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -59,6 +59,10 @@ def op9_exact_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_decontamination(spark, sf_dir):
+    return decontam.leaks(common.documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9_SQL = f"""
@@ -101,6 +105,7 @@ _QUERIES = {
     "op7_url_filter": (op7_url_filter, OP7_SQL),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
+    "op10_decontamination": (op10_decontamination, None),
 }
 
 
