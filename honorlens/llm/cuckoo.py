@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lower_ascii, staged
 
 SLOTS, MAX_KICKS = 4, 400
 #: Rows for which one more bucket is made.
@@ -211,3 +211,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     state = staged(updated(None, changes(rows, bucket_count(rows.count()))), "cuckoo")
     out = rows.join(live(state), "digest")
     return out.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+
+
+def keep_last(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, of which one of each group of equal texts stays: see exact_dedup.
+
+    Of rows equal in text and doc_id (or without one) any one stays.
+    """
+    rows = staged(digests(docs), "digests")
+    state = staged(updated(None, changes(rows, bucket_count(rows.count()))), "cuckoo")
+    digest = F.unhex(F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256))
+    keyed = docs.select(F.struct("*").alias("row"), digest.alias("k"), F.col("doc_id").alias("id"))
+    kept = live(state).select("digest", "keep_id")
+    out = keyed.join(kept, (F.col("k") == F.col("digest")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return out.dropDuplicates(["k", "id"]).select("row.*")

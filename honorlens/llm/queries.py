@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import common, cuckoo, decontam, langid, linededup, packing, records, sharding, tokencount, urlfilter
+from . import common, cuckoo, decontam, langid, linededup, packing, partenum, records, sharding, tokencount, urlfilter
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -36,6 +36,10 @@ def op5_token_records(spark, sf_dir):
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_near_duplicates(spark, sf_dir):
+    return partenum.near_duplicates(common.documents(spark, sf_dir, "doc_id", "text"))
+
+
 RULES = [
     urlfilter.Rule("net", "/", "block"),
     urlfilter.Rule("example.net", "/en/", "allow"),
@@ -102,6 +106,7 @@ _QUERIES = {
     "op3_language_id": (op3_language_id, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_token_records": (op5_token_records, None),
+    "op6_near_duplicates": (op6_near_duplicates, None),
     "op7_url_filter": (op7_url_filter, OP7_SQL),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
