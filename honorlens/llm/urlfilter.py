@@ -124,7 +124,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFra
     lengths = sorted({(len(r.host), len(r.path)) for r in rules}, key=lambda x: (-sum(x), -x[0]))
     host, path = host_and_path(F.col(url))
     asked = pages.select(asked_keys(host, path, lengths).alias("keys"))
-    listed = spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string")
+    rows = [F.struct(F.lit(r.key).alias("key"), F.lit(r.verdict).alias("verdict")) for r in rules]
+    listed = spark.range(1).select(F.inline(F.array(*rows) if rows else F.array().cast("array<struct<key:string,verdict:string>>")))
     universe = asked.select(F.explode("keys").alias("key")).union(listed.select("key")).distinct()
     universe = staged(universe, "universe")
     any_rule = Cascade(listed.select("key").distinct(), universe)
