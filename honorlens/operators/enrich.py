@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialised
 
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
@@ -41,57 +41,54 @@ def ordered_labels(
 
 def resolve_aliases(
     starts: DataFrame, edges: DataFrame, start: str = "title", src: str = "from", dst: str = "to",
-    max_depth: int = 64, underscores_to_spaces: bool = True,
+    order: str | None = None, underscores_to_spaces: bool = True,
 ) -> DataFrame:
-    """Follow ``from → to`` edges until the title has no outgoing edge.
-
-    Pointer doubling: ``hop`` maps a title to the title up to 2^r steps ahead;
-    each round moves every start by one hop and then squares ``hop``
-    (a→b, b→c gives a→c), so a chain of depth d needs about log2(d) rounds of
-    distributed joins. The hop table is checkpointed each round (cuts the
-    doubling lineage). A cycle — which never ends in the reference — stops
-    within ``max_depth`` steps with ``resolved = false``. As in the reference, a
-    slug is first turned into a title (``_`` → space, F2s); ``start`` keeps the slug.
-    Output: start, final, depth, resolved."""
-    spark = starts.sparkSession
-    ensure_checkpoint_dir(spark)
-    sources = edges.select(F.col(src).alias("_a")).filter(F.col("_a").isNotNull()).distinct()
-    hop = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b"), F.lit(1).alias("_d")).dropDuplicates(["_a"])
-    first = F.replace(F.col("start"), F.lit("_"), F.lit(" ")) if underscores_to_spaces else F.col("start")
-    cur = starts.select(F.col(start).alias("start")).filter(F.col("start").isNotNull()).distinct().select(
-        "start", first.alias("final"), F.lit(0).alias("depth")
-    )
-
-    def advance(frontier: DataFrame, h: DataFrame) -> DataFrame:
-        j = frontier.join(h, frontier.final == h._a, "left")
-        move = F.col("_b").isNotNull() & (F.col("depth") + F.col("_d") <= F.lit(max_depth))
-        return j.select(
-            "start",
-            F.when(move, F.col("_b")).otherwise(F.col("final")).alias("final"),
-            F.when(move, F.col("depth") + F.col("_d")).otherwise(F.col("depth")).alias("depth"),
+    """Follow ``from → to`` edges until the title has no outgoing edge, however long the chain.
+
+    Of several edges from one title the last by ``order`` counts (without it: the
+    largest target). Pointer doubling over the edge table: each round replaces
+    every hop a→b by a→(where b leads), so a chain of depth d needs log2(d) rounds
+    of one distributed join, written once a round. A title that still leads
+    somewhere after log2(number of sources) + 1 rounds is on or before a cycle
+    (which never ends in the reference): its final title and depth are null and
+    ``resolved`` is false. As in the reference, a slug is first turned into a title
+    (``_`` → space, F2s); ``start`` keeps the slug. Output: start, final, depth, resolved."""
+    used = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    last = F.max_by(dst, order) if order else F.max(dst)
+    hop = used.groupBy(F.col(src).alias("_a")).agg(last.alias("_b"))
+    hop = materialised(hop.select("_a", "_b", F.lit(1).cast("long").alias("_d"), F.lit(False).alias("_open")))
+    for _ in range(hop.count().bit_length() + 1):
+        ahead = hop.select(F.col("_a").alias("_m"), F.col("_b").alias("_e"), F.col("_d").alias("_f"))
+        hop = materialised(
+            hop.join(ahead, hop._b == ahead._m, "left").select(
+                "_a", F.coalesce("_e", "_b").alias("_b"), (F.col("_d") + F.coalesce("_f", F.lit(0))).alias("_d"),
+                F.col("_m").isNotNull().alias("_open"),
+            )
         )
-
-    reach = 1
-    while True:
-        cur = advance(cur, hop).checkpoint(eager=True)
-        if reach * 2 > max_depth:
-            break
-        h1, h2 = hop.alias("h1"), hop.alias("h2")
-        hop = h1.join(h2, F.col("h1._b") == F.col("h2._a"), "left").select(
-            F.col("h1._a").alias("_a"),
-            F.coalesce(F.col("h2._b"), F.col("h1._b")).alias("_b"),
-            (F.col("h1._d") + F.coalesce(F.col("h2._d"), F.lit(0))).alias("_d"),
-        ).checkpoint(eager=True)
-        reach *= 2
-        if hop.join(sources, hop._b == sources._a, "left_semi").isEmpty():
-            # every hop now ends on a terminal title: one more move finishes all chains
-            cur = advance(cur, hop)
+        if hop.filter("_open").isEmpty():
             break
-    return cur.join(sources, cur.final == sources._a, "left").select(
-        "start", "final", "depth", F.col("_a").isNull().alias("resolved")
+    title = F.replace(F.col("start"), F.lit("_"), F.lit(" ")) if underscores_to_spaces else F.col("start")
+    cur = starts.select(F.col(start).alias("start")).filter(F.col("start").isNotNull()).distinct().withColumn("_t", title)
+    endless = F.coalesce(F.col("_open"), F.lit(False))
+    return cur.join(hop, cur._t == hop._a, "left").select(
+        "start",
+        F.when(~endless, F.coalesce("_b", "_t")).alias("final"),
+        F.when(~endless, F.coalesce("_d", F.lit(0))).alias("depth"),
+        (~endless).alias("resolved"),
     )
 
 
+def resolved_images(
+    starts: DataFrame, edges: DataFrame, thumbs: DataFrame, start: str = "title", src: str = "from", dst: str = "to",
+    page: str = "page_title", thumb: str = "thumb", out: str = "img_url", order: str | None = None,
+) -> DataFrame:
+    """The thumbnail of the page that each title finally leads to, '' without one."""
+    found = resolve_aliases(starts, edges, start, src, dst, order)
+    images = thumbs.groupBy(F.col(page).alias("_page")).agg(F.max(thumb).alias("_thumb"))
+    return found.join(images, found.final == images._page, "left").select(
+        "start", "final", "depth", "resolved", F.coalesce("_thumb", F.lit("")).alias(out))
+
+
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, how: str = "inner",
            broadcast_dim: bool = False) -> DataFrame:
     """J4 / J5 / F19s: dimension lookup by key. ``inner`` drops rows without a

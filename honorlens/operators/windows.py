@@ -1,10 +1,11 @@
 """Ordered operators: global running totals, ordinals, shares, top-k per group.
 
 A global running total is computed without a single-partition window:
-range-partition on the order key, total each partition, prefix-sum those
-totals (one row per partition, a size set by configuration, not by data),
-and finish with a window *partitioned by the range partition*. Equal keys
-always land in the same range partition, so the result is exact.
+range-partition on the order key and write the result once (so that every
+reader sees the same ranges), total each range, prefix-sum those totals (one
+row per range, a number set by configuration, not by data), and finish with a
+window *partitioned by the range*. Equal keys always land in the same range,
+so the result is exact.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
 
 def running_total(
     df: DataFrame, order_cols: Sequence[str], value: str | Column, out: str = "cumulative",
@@ -23,19 +26,20 @@ def running_total(
     val = F.col(value) if isinstance(value, str) else value
     keys = [F.col(c).asc_nulls_last() for c in order_cols]
     # Without an explicit count AQE sizes the range partitions; it only merges
-    # adjacent ones, so partition ids stay in key order.
+    # adjacent ones, so partition ids stay in key order. The ranges come from a
+    # sample: two plans over the same rows may cut them differently. The rows are
+    # therefore written with their range, and both uses read what was written.
     ranged = df.withColumn("_v", val)
     ranged = ranged.repartitionByRange(n_parts, *keys) if n_parts else ranged.repartitionByRange(*keys)
-    ranged = ranged.withColumn("_pid", F.spark_partition_id())
+    ranged = materialised(ranged.withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(F.sum("_v").alias("_ptot"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_ptot").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_pid").orderBy(*[F.col(c).asc_nulls_last() for c in order_cols]).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    inside = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.when(F.col("_off").isNull(), F.raise_error(F.lit("a range without its offset"))).otherwise(F.col("_off"))
     return (
-        ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, F.col("_off") + F.sum("_v").over(inside))
+        ranged.join(F.broadcast(offsets), "_pid", "left")  # one row per range
+        .withColumn(out, known + F.sum("_v").over(inside))
         .drop("_v", "_pid", "_off")
     )
 

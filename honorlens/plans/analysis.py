@@ -141,7 +141,7 @@ def person_cube(spark, sf_dir):
     partial-aggregated cube with ``weight`` — exact, since every statistic is a
     function of the value counts — and the same cube feeds every branch, so the
     fact is joined once."""
-    from ..session import ensure_checkpoint_dir
+    from ..session import materialised
 
     p = persons(award_facts(spark, sf_dir))
     cube = p.groupBy("category", "gender", "age_at_award", "award_year").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -149,8 +149,7 @@ def person_cube(spark, sf_dir):
     # aggregate (one fact scan per test). The cube's size is set by the distinct
     # attribute combinations, not by rows: checkpoint it into the shared folder
     # once, and every test reads the materialised cube.
-    ensure_checkpoint_dir(spark)
-    return cube.checkpoint(eager=True)
+    return materialised(cube)
 
 
 def fused_tests(cube):

@@ -74,7 +74,7 @@ def alias_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     titled = conv.select("conv_id", "turn", "role", title.alias("title"))
     nxt = titled.select(F.col("conv_id"), (F.col("turn") - 1).alias("turn"), F.col("title").alias("to"))
     edges = titled.join(nxt, ["conv_id", "turn"]).select(F.col("title").alias("from"), "to")
-    starts = titled.filter(F.col("turn") == 0).select("title")
+    starts = titled.select("title")
     thumbs = titled.filter(F.col("role") == "assistant").select(
         F.col("title").alias("page_title"),
         F.concat(F.lit("img/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"),
@@ -111,9 +111,9 @@ edges AS (SELECT a.title AS src, b.title AS dst FROM t a JOIN t b ON a.conv_id =
 thumbs AS (SELECT title, 'img/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.png' AS thumb
            FROM t WHERE role = 'assistant'),
 chain(start, cur, depth) AS (
-  SELECT DISTINCT title, title, 0 FROM t WHERE turn = 0
+  SELECT DISTINCT title, title, CAST(0 AS BIGINT) FROM t
   UNION ALL
-  SELECT chain.start, edges.dst, chain.depth + 1 FROM chain JOIN edges ON chain.cur = edges.src WHERE chain.depth < 64),
+  SELECT chain.start, edges.dst, chain.depth + 1 FROM chain JOIN edges ON chain.cur = edges.src),
 fin AS (SELECT start, arg_max(cur, depth) AS final, max(depth) AS depth FROM chain GROUP BY start)
 SELECT fin.start, fin.final, fin.depth, fin.final NOT IN (SELECT src FROM edges) AS resolved,
        coalesce(thumbs.thumb, '') AS img_url
@@ -122,10 +122,7 @@ FROM fin LEFT JOIN thumbs ON thumbs.title = fin.final
 def q_alias(spark, sf_dir):
     """Alias-chain resolution with thumbnails."""
     starts, edges, thumbs = alias_edges(spark, sf_dir)
-    resolved = J.resolve_aliases(starts, edges, "title", "from", "to", max_depth=64)
-    return resolved.join(thumbs, resolved.final == thumbs.page_title, "left").select(
-        "start", "final", "depth", "resolved", F.coalesce(F.col("thumb"), F.lit("")).alias("img_url")
-    )
+    return J.resolved_images(starts, edges, thumbs)
 
 
 def _gallery_sql() -> str:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "honorlens") -> SparkSession:
@@ -35,8 +36,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is used as-is. Only when
-    it is unset (local tests) a scratch folder is created and registered.
+    On a cluster this setting must name storage that driver and executors
+    share; without it nothing is written, and the error says so. Only a local
+    session (one machine, as in tests and bench) gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,11 +46,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="honorlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, lineage cut."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 
@@ -57,25 +67,20 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``honorlens`` importable on executors (pandas UDFs, ``applyInPandas``
     and RDD lambdas reference it): zip the package once per SparkContext and
     register it with ``addPyFile``, which Spark distributes to every executor."""
-    try:
-        sc = spark.sparkContext
-        key = sc.applicationId
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: dependencies are managed by the server
-        return
+    sc = spark.sparkContext
+    key = sc.applicationId
     with _SHIP_LOCK:
         if key in _SHIPPED:
             return
-        _SHIPPED.add(key)  # one attempt per context, whatever happens below
         pkg_dir = os.path.dirname(os.path.abspath(__file__))
         root = os.path.dirname(pkg_dir)
-        try:
-            out = os.path.join(tempfile.mkdtemp(prefix="honorlens-pkg-"), "honorlens.zip")
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                for base, _, files in os.walk(pkg_dir):
-                    for f in files:
-                        if f.endswith(".py"):
-                            full = os.path.join(base, f)
-                            z.write(full, os.path.relpath(full, root))
-            sc.addPyFile(out)
-        except Exception:  # noqa: BLE001 - best effort: executors may already have the package
-            pass
+        # a driver-side file: addPyFile hands it to the executors through the driver's file server
+        out = os.path.join(tempfile.mkdtemp(prefix="honorlens-pkg-"), "honorlens.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for base, _, files in os.walk(pkg_dir):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(base, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(out)
+        _SHIPPED.add(key)

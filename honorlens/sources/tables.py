@@ -34,17 +34,3 @@ def read_first_available(spark: SparkSession, paths: Sequence[str], fmt: str = "
         except Exception as exc:  # noqa: BLE001 - any failure means "try the next one"
             errors.append(f"{path}: {exc.__class__.__name__}")
     raise FileNotFoundError("no source could be resolved: " + "; ".join(errors))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` over every core when its scan yields fewer
-    partitions than the cluster has cores (a few large files or row groups feeding
-    CPU-heavy per-row work). A large input already has more splits than cores and
-    is returned as scanned."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores, key)
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect): keep the scan as is
-        pass
-    return df

@@ -17,20 +17,28 @@ def test_j1_ordered_labels_with_fallback(spark):
 
 
 def test_j3_chain_and_cycle(spark):
-    starts = spark.createDataFrame([("a",), ("x",), ("solo",)], "title string")
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "`from` string, `to` string")
-    out = {r["start"]: r for r in J.resolve_aliases(starts, edges, max_depth=16).collect()}
+    starts = spark.createDataFrame([("a",), ("x",), ("z",), ("self",), ("solo",)], "title string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("self", "self"), ("n", None)],
+                                  "`from` string, `to` string")
+    out = {r["start"]: r for r in J.resolve_aliases(starts, edges).collect()}
     assert out["a"]["final"] == "c" and out["a"]["depth"] == 2 and out["a"]["resolved"]
     assert out["solo"]["final"] == "solo" and out["solo"]["depth"] == 0
-    assert out["x"]["resolved"] is False and out["x"]["depth"] <= 16
+    for t in ("x", "z", "self"):
+        assert out[t]["resolved"] is False and out[t]["final"] is None and out[t]["depth"] is None
 
 
-def test_j3_long_chain_matches_walk(spark):
-    n = 37
+@pytest.mark.parametrize("n,step", [(37, 5), (100, 1), (10_000, 999)])
+def test_j3_long_chain_matches_walk(spark, n, step):
     edges = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(n)], "`from` string, `to` string")
-    starts = spark.createDataFrame([(f"t{i}",) for i in range(0, n, 5)], "title string")
-    out = {r["start"]: (r["final"], r["depth"]) for r in J.resolve_aliases(starts, edges).collect()}
-    assert all(v == (f"t{n}", n - int(k[1:])) for k, v in out.items())
+    starts = spark.createDataFrame([(f"t{i}",) for i in range(0, n, step)], "title string")
+    out = {r["start"]: (r["final"], r["depth"], r["resolved"]) for r in J.resolve_aliases(starts, edges).collect()}
+    assert len(out) == len(range(0, n, step)) and all(v == (f"t{n}", n - int(k[1:]), True) for k, v in out.items())
+
+
+def test_j3_last_edge_of_several_counts(spark):
+    edges = spark.createDataFrame([("a", "z", 1), ("a", "b", 2)], "`from` string, `to` string, nth int")
+    starts = spark.createDataFrame([("a",)], "title string")
+    assert J.resolve_aliases(starts, edges, order="nth").first()["final"] == "b"
 
 
 def test_j4_inner_lookup_drops_unknown(spark):
@@ -78,6 +86,26 @@ def test_running_total_matches_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("aqe", ["true", "false"])
+@pytest.mark.parametrize("n_parts", [None, 8])
+def test_running_total_over_many_keys_with_more_columns(spark, n_parts, aqe):
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    try:
+        n = 300_000
+        df = spark.range(n, numPartitions=6).select(
+            F.expr(f"(id * 7919) % {n}").alias("k"), F.expr("id % 5 + 1").alias("v"), F.concat(F.lit("x"), "id").alias("more"))
+        got = W.running_total(df, ["k"], "v", "cum", n_parts=n_parts)
+        from pyspark.sql import Window
+
+        want = df.withColumn("cum", F.sum("v").over(Window.orderBy("k")))
+        assert got.count() == n
+        assert got.select("k", "v", "more", "cum").exceptAll(want.select("k", "v", "more", "cum")).isEmpty()
+        rows = [r[0] for r in df.select("k").collect()]
+        assert W.distributed_quantile(df.withColumn("k", F.col("k").cast("double")), "k").first()[0] == (min(rows) + max(rows)) / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_ordinal_is_dense_1_based(spark):
     df = spark.createDataFrame([("c",), ("a",), ("b",)], "k string")
     assert {r["k"]: r["ord"] for r in W.ordinal(df, ["k"]).collect()} == {"a": 1, "b": 2, "c": 3}
