@@ -36,6 +36,8 @@ def gamma_q(a: float, x: float) -> float:
             total += term
             if abs(term) < abs(total) * _EPS:
                 break
+        else:
+            return float("nan")  # not converged: no value rather than a wrong one
         return max(0.0, 1.0 - total * math.exp(-x + a * math.log(x) - lg))
     # Lentz continued fraction for Q(a, x)
     b = x + 1 - a
@@ -54,6 +56,8 @@ def gamma_q(a: float, x: float) -> float:
         h *= delta
         if abs(delta - 1) < _EPS:
             break
+    else:
+        return float("nan")
     return math.exp(-x + a * math.log(x) - lg) * h
 
 
@@ -82,16 +86,25 @@ def _beta_cf(a: float, b: float, x: float) -> float:
         h *= delta
         if abs(delta - 1) < _EPS:
             break
+    else:
+        return float("nan")
     return h
 
 
+def lgamma_ratio(a: float, b: float) -> float:
+    """log Γ(a + b) − log Γ(a); for large a from the asymptotic series, where the difference would lose its digits."""
+    if a < 1e6:
+        return math.lgamma(a + b) - math.lgamma(a)
+    return b * math.log(a) + b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)
+
+
 def beta_i(a: float, b: float, x: float) -> float:
     """Regularized incomplete beta I_x(a, b)."""
     if x <= 0:
         return 0.0
     if x >= 1:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    front = math.exp(lgamma_ratio(a, b) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1) / (a + b + 2):
         return front * _beta_cf(a, b, x) / a
     return 1 - front * _beta_cf(b, a, 1 - x) / b
@@ -118,7 +131,8 @@ def _vec(fn, *cols: pd.Series) -> pd.Series:
         if any(v is None or (isinstance(v, float) and math.isnan(v)) for v in vals):
             out.append(None)
         else:
-            out.append(fn(*[float(v) for v in vals]))
+            value = fn(*[float(v) for v in vals])
+            out.append(None if math.isnan(value) else value)
     return pd.Series(out, dtype="float64")
 
 

@@ -1,10 +1,9 @@
 """Many-series autoregressive forecasting (W4, W5, W8, FC1-FC5, A28).
 
 Series are built with aggregates and partitioned windows; one AR(L) model per
-series is fitted by least squares in ``applyInPandas`` (one group = one
-series of per-period aggregates, whose length is the number of periods, not
-the number of input rows); the recursive H-step forecast is a native
-higher-order-function expression, one row per series.
+series is fitted by least squares, from the sums of its normal equations (added
+up by Spark, one row of them per series is solved); the recursive H-step forecast
+is a native higher-order-function expression, one row per series.
 """
 
 from __future__ import annotations
@@ -46,18 +45,31 @@ def fit_ar(windows_df: DataFrame, length: int, ridge: float = 1e-8) -> DataFrame
     """FC2: per-series least squares z_t ≈ w·window_t + b (MSE loss).
     Returns series_id, weights (array, oldest lag first), bias, train_mse."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["window"].tolist(), dtype=float).reshape(len(pdf), length)
-        y = pdf["z"].to_numpy(dtype=float)
-        a = np.hstack([x, np.ones((len(pdf), 1))])
-        coef = np.linalg.solve(a.T @ a + ridge * np.eye(length + 1), a.T @ y)
-        mse = float(np.mean((a @ coef - y) ** 2))
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "weights": [coef[:length].tolist()],
-                             "bias": [float(coef[length])], "train_mse": [mse]})
-
-    sid_type = windows_df.schema["series_id"].dataType.simpleString()
-    return windows_df.select("series_id", "window", "z").groupBy("series_id").applyInPandas(
-        solve, f"series_id {sid_type}, weights array<double>, bias double, train_mse double")
+    # the normal equations are sums: added up by Spark, one row a series is solved
+    x = [F.col("window")[i] for i in range(length)] + [F.lit(1.0)]
+    y = F.col("z")
+    sums = [F.sum(x[i] * x[j]) for i in range(length + 1) for j in range(i + 1)] + [F.sum(a * y) for a in x] + [F.sum(y * y)]
+    per = windows_df.groupBy("series_id").agg(*[s.alias(f"_s{i}") for i, s in enumerate(sums)])
+
+    @F.pandas_udf("weights array<double>, bias double, train_mse double")
+    def solve(rows: pd.Series) -> pd.DataFrame:
+        lower, out = np.tril_indices(length + 1), []
+        for flat in rows:
+            flat = np.asarray(flat, dtype=float)
+            if np.isnan(flat).any():
+                out.append((None, None, None))
+                continue
+            m = np.zeros((length + 1, length + 1))
+            m[lower] = flat[: len(lower[0])]
+            m = m + np.tril(m, -1).T
+            xy, yy = flat[len(lower[0]) : -1], flat[-1]
+            coef = np.linalg.solve(m + ridge * np.eye(length + 1), xy)
+            loss = max(0.0, yy - 2 * coef @ xy + coef @ m @ coef) / m[-1, -1]
+            out.append((coef[:length].tolist(), float(coef[length]), float(loss)))
+        return pd.DataFrame(out, columns=["weights", "bias", "train_mse"])
+
+    fit = per.select("series_id", solve(F.array(*[F.col(f"_s{i}").cast("double") for i in range(len(sums))])).alias("m"))
+    return fit.select("series_id", "m.weights", "m.bias", "m.train_mse")
 
 
 def fitted(windows_df: DataFrame, models: DataFrame, length: int) -> DataFrame:

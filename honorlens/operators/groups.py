@@ -131,8 +131,8 @@ def summary_stats(df: DataFrame, id_col: str = "id", is_org: str = "is_org", cat
     """One global aggregate pass with conditional aggregates.
 
     ``persons`` follows ``len(unique())`` (a null id counts as one value, N3);
-    the other distinct counts ignore nulls. The category list itself is the
-    facet list (A25), not an in-memory array here."""
+    the other distinct counts ignore nulls. ``categories`` is the sorted list of
+    categories, joined by commas (a category is a label, their number is small)."""
     person = ~F.col(is_org)
     person_null_id = F.max(F.when(person & F.col(id_col).isNull(), F.lit(1)).otherwise(F.lit(0)))
     return df.agg(
@@ -140,6 +140,7 @@ def summary_stats(df: DataFrame, id_col: str = "id", is_org: str = "is_org", cat
         F.count_distinct(id_col).alias("unique_laureates"),
         (F.count_distinct(F.when(person, F.col(id_col))) + person_null_id).alias("persons"),
         F.count_distinct(F.when(F.col(is_org), F.col(id_col))).alias("organizations"),
+        F.array_join(F.array_sort(F.collect_set(category)), ", ").alias("categories"),
         F.count_distinct(category).alias("n_categories"),
         F.min(year).alias("year_min"),
         F.max(year).alias("year_max"),

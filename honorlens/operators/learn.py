@@ -54,13 +54,14 @@ def cluster_features(df: DataFrame, categories: Sequence[str], year: str = "awar
     rows, cat_cols = dummies(base, "category", categories, prefix="cat")
     names = [year, age, *cat_cols]
     points = rows.groupBy(year, age, "category", *cat_cols).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    # two passes over the (small) points: centred sums don't cancel for years with a small spread
     w = F.col("weight")
-    sums = points.agg(F.sum(w).alias("_w"), *[F.sum(w * F.col(c)).alias(f"_s1_{i}") for i, c in enumerate(names)],
-                      *[F.sum(w * F.col(c) * F.col(c)).alias(f"_s2_{i}") for i, c in enumerate(names)])
-    moments = sums.select(
-        *[(F.col(f"_s1_{i}") / F.col("_w")).alias(f"_m_{i}") for i in range(len(names))],
-        *[F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"_s2_{i}") - F.col(f"_s1_{i}") ** 2 / F.col("_w"),
-                                                     F.col("_w") - 1))).alias(f"_s_{i}") for i in range(len(names))],
+    means = points.agg(F.sum(w).alias("_w"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"_m_{i}") for i, c in enumerate(names)])
+    centred = G.with_scalar(points, means)
+    moments = centred.agg(
+        *[F.first(f"_m_{i}").alias(f"_m_{i}") for i in range(len(names))],
+        *[F.sqrt(F.try_divide(F.sum(w * (F.col(c) - F.col(f"_m_{i}")) ** 2), F.first("_w") - 1)).alias(f"_s_{i}")
+          for i, c in enumerate(names)],
     )
     points = G.with_scalar(points, moments)
     scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{i}"), F.col(f"_s_{i}")), F.lit(0.0)).alias(f"_z{i}")
@@ -80,18 +81,24 @@ def _parallel(fn, items, parallelism: int, shared: DataFrame | None = None):
         return list(pool.map(fn, items))
 
 
-def kmeans_clusters(points: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 20,
-                    parallelism: int = 10):
-    """M2: weighted K-Means with ``n_init`` seeded restarts, lowest training cost kept
-    (first seed wins a tie). Cluster ids are relabelled by centroid order so they are
-    reproducible. Returns (points with ``cluster``, centroids as a list)."""
+def best_kmeans(points: DataFrame, k: int, n_init: int, seed: int, max_iter: int, parallelism: int):
+    """The model with the lowest training cost of ``n_init`` seeded fits (the first seed wins a tie)."""
 
     def fit(i: int):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="_c",
                    weightCol="weight").fit(points)
         return m.summary.trainingCost, i, m
 
-    model = min(_parallel(fit, list(range(n_init)), parallelism, points), key=lambda t: (t[0], t[1]))[2]
+    return min(_parallel(fit, list(range(n_init)), parallelism, points), key=lambda t: (t[0], t[1]))[2]
+
+
+def kmeans_clusters(points: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 300,
+                    parallelism: int = 10):
+    """M2: weighted K-Means with ``n_init`` seeded restarts, lowest training cost kept
+    (first seed wins a tie). Cluster ids are relabelled by centroid order so they are
+    reproducible. Returns (points with ``cluster``, centroids as a list)."""
+
+    model = best_kmeans(points, k, n_init, seed, max_iter, parallelism)
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     order = sorted(range(len(centers)), key=lambda i: centers[i])
     relabel = {old: new for new, old in enumerate(order)}
@@ -100,19 +107,18 @@ def kmeans_clusters(points: DataFrame, k: int = 5, n_init: int = 10, seed: int =
     return out, [centers[i] for i in order]
 
 
-def silhouette_sweep(points: DataFrame, ks: Sequence[int] = range(3, 8), seed: int = 42,
-                     parallelism: int = 5, chosen_k: int = 5) -> DataFrame:
-    """M3: weighted silhouette (squared Euclidean, Spark's definition) for each k,
-    flagging the best k and the k actually used (the reference reports the score at
-    the chosen k, not the maximum)."""
+def silhouette_sweep(points: DataFrame, ks: Sequence[int] = range(3, 8), seed: int = 42, n_init: int = 10,
+                     max_iter: int = 300, parallelism: int = 10, chosen_k: int = 5) -> DataFrame:
+    """M3: weighted silhouette (squared Euclidean, Spark's definition) of the best of
+    ``n_init`` fits for each k, flagging the best k and the k actually used (the
+    reference reports the score at the chosen k, not the maximum). For the chosen k
+    this is the model that ``kmeans_clusters`` returns with the same arguments."""
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="_c", distanceMeasure="squaredEuclidean",
                              weightCol="weight")
-
-    def score(k: int):
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_c", weightCol="weight").fit(points)
-        return int(k), float(ev.evaluate(model.transform(points)))
-
-    rows = _parallel(score, list(ks), parallelism, points)
+    rows = []
+    for k in ks:
+        model = best_kmeans(points, k, n_init, seed, max_iter, parallelism)
+        rows.append((int(k), float(ev.evaluate(model.transform(points)))))
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     rows = [(k, v, k == best, k == chosen_k) for k, v in rows]
     return points.sparkSession.createDataFrame(
@@ -160,9 +166,15 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -
     return df.join(w, label)  # one row per class; AQE broadcasts it from its measured size
 
 
-def fold_column(df: DataFrame, key_cols: Sequence[str], n_folds: int, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Deterministic fold id from a hash of the row key: no shuffle, no per-class window."""
-    return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]), F.lit(n_folds)).cast("int"))
+def fold_column(df: DataFrame, key_cols: Sequence[str], n_folds: int, seed: int = 42, label: str = "label",
+                out: str = "fold") -> DataFrame:
+    """Stratified folds: rows are numbered in the order (class, hash of the row key) and dealt
+    in turn, so the rows of a class spread over the folds with counts at most one apart."""
+    from .windows import ordinal
+
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]))
+    numbered = ordinal(hashed, [label, "_h"], "_nth")
+    return numbered.withColumn(out, ((F.col("_nth") - 1) % n_folds).cast("int")).drop("_h", "_nth")
 
 
 def _forest(num_trees: int, max_depth: int, seed: int) -> RandomForestClassifier:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
 ALL = "All"
 
 
@@ -60,8 +62,10 @@ def page_count(total: int, page_size: int) -> int:
 def paginate(df: DataFrame, order: Sequence[Column | str], page: int, page_size: int = 40) -> tuple[DataFrame, dict]:
     """Clamp ``page`` to [1, max_pages] and return that slice in ``order``.
 
-    One count job gives the page information; the slice is a top-(offset+limit)
-    sort (``TakeOrderedAndProject`` with offset), so no global sort is run."""
+    The matching rows are written once; their count (the page information) and the
+    slice, a top-(offset+limit) sort (``TakeOrderedAndProject`` with offset), read
+    them. For deep pages use ``page_after``."""
+    df = materialised(df)
     total = df.count()
     max_pages = page_count(total, page_size)
     p = min(max(1, int(page or 1)), max_pages)
@@ -77,16 +81,15 @@ def page_after(df: DataFrame, order: Sequence[str], last_key: Sequence | None, p
     offset + page_size."""
     f = df
     if last_key is not None:
-        after = None
-        # lexicographic "greater than" on the key tuple
-        for i in range(len(order)):
-            eq = None
-            for c, v in zip(order[:i], last_key[:i]):
-                e = F.col(c) == F.lit(v)
-                eq = e if eq is None else eq & e
-            gt = F.col(order[i]) > F.lit(last_key[i])
-            term = gt if eq is None else eq & gt
-            after = term if after is None else after | term
+        after = F.lit(False)
+        # lexicographic "behind" on the key tuple; null is behind every value, nothing is behind null
+        for i, (c, v) in enumerate(zip(order, last_key, strict=True)):
+            if v is None:
+                continue
+            same = F.lit(True)
+            for cc, vv in zip(order[:i], last_key[:i], strict=True):
+                same = same & F.col(cc).eqNullSafe(F.lit(vv))
+            after = after | (same & ((F.col(c) > F.lit(v)) | F.col(c).isNull()))
         f = f.filter(after)
     return f.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(page_size)
 

@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # A token is a run of at least two word characters (letters,
 # marks, decimal digits, connector punctuation), matched on lower-cased text.
@@ -106,11 +107,10 @@ def truncated_svd(weighted: DataFrame, index_col: str, vec_col: str, k: int):
     One distributed pass builds the Gramian XᵀX (terms × terms, bounded by the
     vocabulary cap) with a tree aggregate in the JVM; its top-k eigenvectors
     are V and the square roots of its eigenvalues are the singular values.
-    Scores X·V come from one more JVM-side pass (``IndexedRowMatrix.multiply``).
+    Scores X·V come from one more pass over the sparse vectors in Arrow batches.
     Signs are fixed so the largest-|v| entry of every component is positive.
     Returns (scores DataFrame(index, scores array), V as a list of k columns, s)."""
     import numpy as np
-    from pyspark.mllib.linalg import DenseMatrix
 
     rows = MLUtils.convertVectorColumnsFromML(weighted.select(F.col(index_col).cast("long").alias("index"),
                                                               F.col(vec_col).alias("vector")), "vector")
@@ -125,11 +125,16 @@ def truncated_svd(weighted: DataFrame, index_col: str, vec_col: str, k: int):
             v[:, j] = -v[:, j]
     s = [float(x) for x in np.sqrt(vals)]
     comps = [[float(x) for x in v[:, j]] for j in range(v.shape[1])]
-    vmat = DenseMatrix(v.shape[0], v.shape[1], v.flatten(order="F").tolist())
-    proj = mat.multiply(vmat).rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
-    spark = weighted.sparkSession
-    scores = spark.createDataFrame(proj, T.StructType([T.StructField(index_col, T.LongType()),
-                                                       T.StructField("scores", T.ArrayType(T.DoubleType()))]))
+    wide = weighted.sparkSession.sparkContext.broadcast(v)  # vocabulary × k, bounded by the vocabulary cap
+
+    @F.pandas_udf("array<double>")
+    def project(vec: pd.DataFrame) -> pd.Series:
+        v, out = wide.value, []
+        for indices, values in zip(vec["indices"], vec["values"], strict=True):  # one product per Arrow row, batched
+            out.append((v[indices].T @ values if indices is not None else v.T @ values).tolist())
+        return pd.Series(out)
+
+    scores = weighted.select(F.col(index_col).cast("long").alias(index_col), project(F.unwrap_udt(vec_col)).alias("scores"))
     return scores, comps, s
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import round_doubles
 from ..operators import enrich as J
 from ..operators import groups as G
 from ..operators import search as Q
+from ..session import materialised
 from ..sources.facts import award_facts, text_facts
 from ..sources.tables import read_table
 from .oracle_sql import with_fact
@@ -22,11 +24,14 @@ DOC_SEARCH_ARGS = {"search": "qu[a-z]+e", "category": "fr", "page": 1}
 
 # ---------------------------------------------------------------- bound sources
 
-def claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claims_table(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
     """(entity_id, pos, value): the brands each customer bought, in order of
-    first purchase (brand name breaks ties). Bounded per entity by the brand count."""
+    first purchase (brand name breaks ties). Bounded per entity by the brand count.
+    ``ids`` (entity_id): only those customers."""
     items = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey"])
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    if ids is not None:
+        orders = orders.join(ids, orders.o_custkey == ids.entity_id, "left_semi")
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
     pairs = (
         items.join(orders, items.l_orderkey == orders.o_orderkey)
@@ -47,11 +52,14 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nationalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1 + J8: one row per distinct recipient id with its ordered label string."""
-    orders = read_table(spark, sf_dir, "orders", ["o_custkey"])
-    keys = J.distinct_keys(orders.withColumnRenamed("o_custkey", "entity_id"), "entity_id")
-    return J.ordered_labels(keys, claims_table(spark, sf_dir), label_table(spark, sf_dir))
+def nationalities(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """J1 + J8: one row per distinct recipient id (of ``ids``, if given) with its ordered label string."""
+    if ids is None:
+        orders = read_table(spark, sf_dir, "orders", ["o_custkey"])
+        keys = J.distinct_keys(orders.withColumnRenamed("o_custkey", "entity_id"), "entity_id")
+    else:
+        keys = J.distinct_keys(ids, "entity_id")
+    return J.ordered_labels(keys, claims_table(spark, sf_dir, None if ids is None else keys), label_table(spark, sf_dir))
 
 
 NATIONALITY_SQL = f"""claims AS (
@@ -149,9 +157,81 @@ FROM (SELECT * FROM m ORDER BY award_year, id, category, name, motivation, displ
 @query("gallery_page", _gallery_sql())
 def q_gallery(spark, sf_dir):
     """One gallery page with facets."""
-    fact = award_facts(spark, sf_dir, with_text=True)
+    args = dict(GALLERY_ARGS)
+    fact = award_facts(spark, sf_dir, with_text=True).filter(Q.text_match(["name", "motivation"], args.pop("search")))
+    # the cheap filters leave few rows: they are kept, and labels are built for their ids only
+    fact = materialised(Q.facet_filter(fact, {"category": args.pop("category")}))
+    nat = nationalities(spark, sf_dir, fact.select(F.col("id").alias("entity_id"))).withColumnRenamed("entity_id", "id")
+    return Q.gallery(fact.join(nat, "id", "left"), **args)
+
+
+KEYSET_PAGES = 3
+
+
+def _people_sql() -> str:
+    return f"""
+SELECT * FROM (SELECT birth_country, award_year, id, category, count(*) AS n FROM (
+  SELECT CASE WHEN is_org THEN NULL ELSE birth_country END AS birth_country, award_year, id, category FROM fact)
+  GROUP BY ALL) ORDER BY birth_country NULLS LAST, award_year, id, category LIMIT {40 * KEYSET_PAGES}"""
+
+
+@query("keyset_pages_null_keys", with_fact(_people_sql()))
+def q_keyset(spark, sf_dir):
+    """The first pages of a listing whose leading key is null for organisations, a page after the other."""
+    f = award_facts(spark, sf_dir).withColumn("birth_country", F.when(~F.col("is_org"), F.col("birth_country")))
+    order = ["birth_country", "award_year", "id", "category"]
+    listing = materialised(f.groupBy(*order).agg(F.count(F.lit(1)).alias("n")))
+    pages, last = [], None
+    for _ in range(KEYSET_PAGES):
+        page = Q.page_after(listing, order, last, 40)
+        rows = page.collect()  # 40 rows
+        if not rows:
+            break
+        pages.append(page)
+        last = [rows[-1][c] for c in order]
+    out = pages[0] if pages else listing.limit(0)
+    for page in pages[1:]:
+        out = out.unionByName(page)
+    return out
+
+
+IMAGES_SQL = """t AS (
+  SELECT conv_id, turn, role, 'c' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS title FROM conversations),
+edges AS (SELECT a.title AS src, b.title AS dst FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+thumbs AS (SELECT title, 'img/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.png' AS thumb
+           FROM t WHERE role = 'assistant'),
+chain(start, cur, depth) AS (
+  SELECT DISTINCT title, title, CAST(0 AS BIGINT) FROM t
+  UNION ALL
+  SELECT chain.start, edges.dst, chain.depth + 1 FROM chain JOIN edges ON chain.cur = edges.src),
+images AS (SELECT f.start, coalesce(thumbs.thumb, '') AS img_url
+           FROM (SELECT start, arg_max(cur, depth) AS final FROM chain GROUP BY start) f
+           LEFT JOIN thumbs ON thumbs.title = f.final)"""
+
+
+def enriched_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact with ``nationality`` (J1) and ``img_url`` (J2) attached; '' without an image.
+    A recipient's page is the first turn of the conversation with its id."""
+    fact = award_facts(spark, sf_dir)
     nat = nationalities(spark, sf_dir).withColumnRenamed("entity_id", "id")
-    return Q.gallery(fact.join(nat, "id", "left"), **GALLERY_ARGS)
+    slug = F.concat(F.lit("c"), F.col("id").cast("string"), F.lit("/0"))
+    starts, edges, thumbs = alias_edges(spark, sf_dir)
+    images = J.resolved_images(starts, edges, thumbs).select(F.col("start").alias("_slug"), "img_url")
+    out = fact.withColumn("_slug", slug).join(nat, "id", "left").join(images, "_slug", "left").drop("_slug")
+    return out.withColumn("img_url", F.coalesce("img_url", F.lit("")))
+
+
+@query("enriched_fact_table", with_fact(f"""
+, {NATIONALITY_SQL}, {IMAGES_SQL}
+SELECT f.id, f.name, f.category, f.award_year, f.birth_country, f.age_at_award, round(f.prize_amount, 6) AS prize_amount,
+       nationality.nationality, coalesce(images.img_url, '') AS img_url
+FROM fact f LEFT JOIN nationality ON nationality.entity_id = f.id
+LEFT JOIN images ON images.start = 'c' || CAST(f.id AS VARCHAR) || '/0'
+""".replace("\n, claims AS", "WITH claims AS", 1)).replace("WITH fact AS", "WITH RECURSIVE fact AS", 1))
+def q_enriched(spark, sf_dir):
+    """One fact table with nationality and image."""
+    return round_doubles(enriched_facts(spark, sf_dir).select(
+        "id", "name", "category", "award_year", "birth_country", "age_at_award", "prize_amount", "nationality", "img_url"))
 
 
 @query("document_search", f"""

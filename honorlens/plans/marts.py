@@ -153,9 +153,9 @@ def sankey_links(df: DataFrame, src: str = "birth_continent", dst: str = "catego
 
 
 def multi_recipients(df: DataFrame, abbreviations: DataFrame, keys: Sequence[str] = ("id", "name")) -> DataFrame:
-    """Every row of a repeat recipient (J6) with a short display name."""
-    repeat = G.repeat_holders(df, keys).select(*keys)
-    rows = J.keep_members(df, repeat, list(keys))  # J6
+    """Every row of the id (``keys[0]``) of a repeat recipient (J6) with a short display name."""
+    repeat = G.repeat_holders(df, keys).select(keys[0]).distinct()
+    rows = J.keep_members(df, repeat, keys[0])  # J6
     named = J.lookup(rows, abbreviations, "name", "name", how="left")  # J5, default = own name below
     return named.select("id", "name", F.coalesce(F.col("abbr"), F.col("name")).alias("display_name"),
                         "award_year", "category")
@@ -322,7 +322,7 @@ def q_c13(spark, sf_dir):
 rep AS (SELECT id, name FROM fact WHERE id IS NOT NULL AND name IS NOT NULL GROUP BY id, name HAVING count(*) > 1)
 SELECT f.id, f.name, coalesce(a.abbr, f.name) AS display_name, f.award_year, f.category
 FROM fact f LEFT JOIN abbreviations a ON a.name = f.name
-WHERE EXISTS (SELECT 1 FROM rep WHERE rep.id = f.id AND rep.name = f.name)
+WHERE f.id IN (SELECT id FROM rep)
 """.replace("\n, abbreviations AS", "WITH abbreviations AS", 1)))
 def q_c25(spark, sf_dir):
     """Rows of repeat recipients with display names."""

@@ -18,13 +18,11 @@ from ..sources.tables import read_table
 from .registry import query
 from .reports import CATEGORY_ORDER
 
-# Model sizes of the reference (defaults of the operators) ...
+# Model sizes of the reference (defaults of the operators).
 KMEANS_K, KMEANS_RESTARTS, KMEANS_SWEEP = 5, 10, range(3, 8)
 FOREST_TREES, FOREST_DEPTH, FOREST_FOLDS = 200, 10, 5
 TOPICS, VOCAB_SIZE, TOP_WORDS = 8, 1000, 10
-# ... and the lighter forest used by the registered check queries (see README).
-CHECK_FOREST_TREES, CHECK_FOREST_FOLDS = 20, 3
-SERIES_LAGS, SERIES_HORIZON = 5, 10
+SERIES_LAGS, SERIES_HORIZON = 10, 10
 MIN_TEXT_CHARS = 10
 
 
@@ -74,15 +72,14 @@ def _forest_frame(spark, sf_dir):
 def q_forest_cv(spark, sf_dir):
     """M5 / M6: forest cross-validation accuracy."""
     frame, _ = _forest_frame(spark, sf_dir)
-    return round_doubles(L.random_forest_cv(frame, num_trees=CHECK_FOREST_TREES, max_depth=FOREST_DEPTH,
-                                            n_folds=CHECK_FOREST_FOLDS, parallelism=CHECK_FOREST_FOLDS))
+    return round_doubles(L.random_forest_cv(frame, num_trees=FOREST_TREES, max_depth=FOREST_DEPTH, n_folds=FOREST_FOLDS))
 
 
 @query("forest_feature_importances")
 def q_forest_imp(spark, sf_dir):
     """Forest feature importances."""
     frame, names = _forest_frame(spark, sf_dir)
-    return round_doubles(L.feature_importances(frame, names, num_trees=CHECK_FOREST_TREES, max_depth=FOREST_DEPTH))
+    return round_doubles(L.feature_importances(frame, names, num_trees=FOREST_TREES, max_depth=FOREST_DEPTH))
 
 
 def _vocab_sql() -> str:

@@ -87,6 +87,7 @@ SELECT count(*) AS total_prizes,
          + max(CASE WHEN NOT is_org AND id IS NULL THEN 1 ELSE 0 END) AS persons,
        count(DISTINCT CASE WHEN is_org THEN id END) AS organizations,
        count(DISTINCT category) AS n_categories,
+       (SELECT string_agg(category, ', ' ORDER BY category) FROM (SELECT DISTINCT category FROM fact WHERE category IS NOT NULL)) AS categories,
        min(award_year) AS year_min,
        max(award_year) AS year_max,
        count(DISTINCT birth_country) AS countries,

@@ -2,8 +2,8 @@
 
 The reference ships literal dictionaries keyed by real country and
 organisation names; the driver tables use other keys, so the dimensions are
-derived from the tables by a rule, keeping the reference's shape and gaps
-(a country without a centroid, a name without an abbreviation).
+derived from the tables by a rule, keeping the reference's shape (a name may
+lack an abbreviation; here every country has a centroid).
 """
 
 from __future__ import annotations
@@ -13,17 +13,14 @@ from pyspark.sql import functions as F
 
 from .tables import read_table
 
-# Fixed values of the derived centroid rule: nations of this region have no centroid.
-NO_CENTROID_REGION = 4
-
 
 def country_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(country, lat, lon) for every nation outside one region.
+    """(country, lat, lon) for every nation.
 
     ``nation`` has 25 rows at every scale factor, so joins against this
     dimension may broadcast it."""
-    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    return nation.filter(F.col("n_regionkey") != NO_CENTROID_REGION).select(
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    return nation.select(
         F.col("n_name").alias("country"),
         ((F.col("n_nationkey") * 37) % 160 - 80).cast("double").alias("lat"),
         ((F.col("n_nationkey") * 71) % 360 - 180).cast("double").alias("lon"),
@@ -33,7 +30,7 @@ def country_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 CENTROIDS_SQL = """centroids AS (
   SELECT n_name AS country, CAST((n_nationkey * 37) % 160 - 80 AS DOUBLE) AS lat,
          CAST((n_nationkey * 71) % 360 - 180 AS DOUBLE) AS lon
-  FROM nation WHERE n_regionkey <> 4)"""
+  FROM nation)"""
 
 
 def name_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
