@@ -99,12 +99,12 @@ def mann_whitney(df: DataFrame, value: str, sample: Column, group_cols: Sequence
         rows_count(weight).cast("double").alias("t"),
         rows_count(weight, F.col("_s1")).cast("double").alias("t1"),
     )
+    ranked = W.running_totals(hist, [*g, value], {"_cum_incl": "t", "_cum_1": "t1"})
     if group_cols:
-        ranked = W.running_total(hist, [*g, value], "t", "_cum_incl")
-        first = ranked.groupBy(*g).agg(F.min(F.col("_cum_incl") - F.col("t")).alias("_base"))
-        ranked = ranked.join(first, g).withColumn("_cum_incl", F.col("_cum_incl") - F.col("_base"))
-    else:
-        ranked = W.running_total(hist, [value], "t", "_cum_incl")
+        first = ranked.groupBy(*g).agg(F.min(F.col("_cum_incl") - F.col("t")).alias("_base"),
+                                       F.min(F.col("_cum_1") - F.col("t1")).alias("_base_1"))
+        ranked = ranked.join(first, g).withColumns(
+            {"_cum_incl": F.col("_cum_incl") - F.col("_base"), "_cum_1": F.col("_cum_1") - F.col("_base_1")})
     mid = F.col("_cum_incl") - F.col("t") + (F.col("t") + 1) / 2
     agg = ranked.groupBy(*g).agg(
         F.sum(F.col("t1") * mid).alias("r1"),
@@ -112,9 +112,18 @@ def mann_whitney(df: DataFrame, value: str, sample: Column, group_cols: Sequence
         F.sum("t").alias("nn"),
         F.sum(F.col("t") ** 3 - F.col("t")).alias("tie_term"),
     )
-    meds = base.groupBy(*g).agg(
-        _median_of(F.when(F.col("_s1"), F.col(value)), weight).alias("median_1"),
-        _median_of(F.when(~F.col("_s1"), F.col(value)), weight).alias("median_2"),
+    # exact medians from the same totals: no buffer of values, however many are distinct
+    sided = _attach(ranked, agg.select(*g, "n1", "nn"), g)
+    covers = lambda upto, own, rank: (upto - own <= rank) & (rank < upto)
+    v = F.col(value).cast("double")
+
+    def median(upto: Column, own: Column, n: Column) -> Column:
+        low, high = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
+        return (F.max(F.when(covers(upto, own, low), v)) + F.max(F.when(covers(upto, own, high), v))) / 2
+
+    meds = sided.groupBy(*g).agg(
+        median(F.col("_cum_1"), F.col("t1"), F.col("n1")).alias("median_1"),
+        median(F.col("_cum_incl") - F.col("_cum_1"), F.col("t") - F.col("t1"), F.col("nn") - F.col("n1")).alias("median_2"),
     )
     n1, n = F.col("n1"), F.col("nn")
     n2 = n - n1

@@ -10,7 +10,7 @@ so the result is exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,24 +23,34 @@ def running_total(
     n_parts: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` over the total order ``order_cols``."""
-    val = F.col(value) if isinstance(value, str) else value
+    return running_totals(df, order_cols, {out: value}, n_parts)
+
+
+def running_totals(df: DataFrame, order_cols: Sequence[str], values: Mapping[str, str | Column],
+                   n_parts: int | None = None) -> DataFrame:
+    """W1 for several sums over one order: ``values`` maps an output column to what it sums."""
+    sums = list(values)
     keys = [F.col(c).asc_nulls_last() for c in order_cols]
     # Without an explicit count AQE sizes the range partitions; it only merges
     # adjacent ones, so partition ids stay in key order. The ranges come from a
     # sample: two plans over the same rows may cut them differently. The rows are
     # therefore written with their range, and both uses read what was written.
-    ranged = df.withColumn("_v", val)
+    ranged = df.withColumns({f"_v{i}": F.col(v) if isinstance(v, str) else v for i, v in enumerate(values.values())})
     ranged = ranged.repartitionByRange(n_parts, *keys) if n_parts else ranged.repartitionByRange(*keys)
     ranged = materialised(ranged.withColumn("_pid", F.spark_partition_id()))
-    totals = ranged.groupBy("_pid").agg(F.sum("_v").alias("_ptot"))
+    totals = ranged.groupBy("_pid").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_ptot").over(before), F.lit(0)).alias("_off"))
+    offsets = totals.select(
+        "_pid", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_off{i}") for i in range(len(sums))])
     inside = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = F.when(F.col("_off").isNull(), F.raise_error(F.lit("a range without its offset"))).otherwise(F.col("_off"))
+    def known(i: int) -> Column:
+        off = F.col(f"_off{i}")
+        return F.when(off.isNull(), F.raise_error(F.lit("a range without its offset"))).otherwise(off)
+
     return (
         ranged.join(F.broadcast(offsets), "_pid", "left")  # one row per range
-        .withColumn(out, known + F.sum("_v").over(inside))
-        .drop("_v", "_pid", "_off")
+        .withColumns({out: known(i) + F.sum(f"_v{i}").over(inside) for i, out in enumerate(sums)})
+        .drop("_pid", *[f"_v{i}" for i in range(len(sums))], *[f"_off{i}" for i in range(len(sums))])
     )
 
 

@@ -52,9 +52,10 @@ def q_chi2(spark, sf_dir):
     return round_doubles(S.chi_squared(_chi_input(spark, sf_dir), "gender", "category", weight="n_items"))
 
 
-@query("mann_whitney_age", with_fact(f"""
-, b AS (SELECT age_at_award AS v, category = '{MW_CATEGORY_1}' AS s1 FROM persons
-        WHERE age_at_award IS NOT NULL AND category IN ('{MW_CATEGORY_1}', '{MW_CATEGORY_2}')),
+def _mw_sql(column: str) -> str:
+    return with_fact(f"""
+, b AS (SELECT {column} AS v, category = '{MW_CATEGORY_1}' AS s1 FROM persons
+        WHERE {column} IS NOT NULL AND category IN ('{MW_CATEGORY_1}', '{MW_CATEGORY_2}')),
 rk AS (SELECT v, s1, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS mr FROM b),
 t AS (SELECT v, CAST(count(*) AS DOUBLE) AS t FROM b GROUP BY v),
 a AS (SELECT sum(mr) FILTER (WHERE s1) AS r1, CAST(count(*) FILTER (WHERE s1) AS DOUBLE) AS n1,
@@ -68,7 +69,43 @@ SELECT round(u1, 6) AS u_statistic, round(n1 * n2 - u1, 6) AS u2, CAST(n1 AS BIG
        round((greatest(u1, n1 * n2 - u1) - mu - 0.5) / sigma, 6) AS z,
        round(CAST(m1 AS DOUBLE), 6) AS median_1, round(CAST(m2 AS DOUBLE), 6) AS median_2
 FROM z
-""".replace("\n, b AS", "WITH b AS", 1)))
+""".replace("\n, b AS", "WITH b AS", 1))
+
+
+@query("mann_whitney_prize_amount", _mw_sql("prize_amount"))
+def q_mw_prize(spark, sf_dir):
+    """A5 / W2 over a column with about as many distinct values as rows."""
+    p = persons(award_facts(spark, sf_dir)).filter(F.col("category").isin(MW_CATEGORY_1, MW_CATEGORY_2))
+    return round_doubles(S.mann_whitney(p, "prize_amount", F.col("category") == MW_CATEGORY_1))
+
+
+@query("cumulative_prize_amount", with_fact("""
+SELECT prize_amount, count(*) AS count, CAST(sum(count(*)) OVER (ORDER BY prize_amount) AS BIGINT) AS cumulative
+FROM fact WHERE prize_amount IS NOT NULL GROUP BY prize_amount
+"""))
+def q_cumulative_prize(spark, sf_dir):
+    """Running total over every distinct amount."""
+    from ..operators import windows as W
+
+    fact = award_facts(spark, sf_dir).filter(F.col("prize_amount").isNotNull())
+    per = fact.groupBy("prize_amount").agg(F.count(F.lit(1)).alias("count"))
+    return round_doubles(W.running_total(per, ["prize_amount"], "count", "cumulative"))
+
+
+@query("regression_points", with_fact("""
+, a AS (SELECT regr_slope(age_at_award, award_year) AS slope, regr_intercept(age_at_award, award_year) AS intercept
+        FROM persons)
+SELECT p.id, p.award_year, p.age_at_award, p.category, round(a.intercept + a.slope * p.award_year, 6) AS predicted
+FROM persons p CROSS JOIN a WHERE p.award_year IS NOT NULL AND p.age_at_award IS NOT NULL
+""".replace("\n, a AS", "WITH a AS", 1)))
+def q_points(spark, sf_dir):
+    """The scatter points beside the regression line."""
+    p = persons(award_facts(spark, sf_dir))
+    out = S.predictions(p, S.ols_trend(p))
+    return round_doubles(out.select("id", "award_year", "age_at_award", "category", "predicted"))
+
+
+@query("mann_whitney_age", _mw_sql("age_at_award"))
 def q_mw(spark, sf_dir):
     """Rank-sum test of age between two categories."""
     return round_doubles(_mw(spark, sf_dir))

@@ -13,6 +13,8 @@ from ..functions.scalar import round_half_even
 from ..operators import groups as G
 from ..operators import stats as S
 from ..sources.facts import award_facts, order_facts, persons
+from .oracle_sql import with_fact
+from .registry import query
 from .reports import CATEGORY_ORDER, PERSON_GENDERS
 
 
@@ -93,3 +95,24 @@ def run_ml(spark: SparkSession, sf_dir: str, forest_trees: int = 200, forest_fol
         "forecast": fc,
         "forecast_verdict": FC.trend_verdict(fc),
     }
+
+
+REPORT_ROWS_SQL = """
+SELECT 'descriptive' AS report, count(DISTINCT category) AS n_rows FROM persons WHERE category IS NOT NULL
+UNION ALL SELECT 'gender_decades', count(DISTINCT decade) FROM persons WHERE decade IS NOT NULL
+UNION ALL SELECT 'country_rankings', least(20, count(DISTINCT birth_country)) FROM fact WHERE birth_country IS NOT NULL
+UNION ALL SELECT 'lifespan', count(DISTINCT category) FROM persons WHERE lifespan IS NOT NULL AND category IS NOT NULL
+UNION ALL SELECT 'prizes_decade', count(DISTINCT decade) FROM fact WHERE decade IS NOT NULL
+UNION ALL SELECT * FROM (VALUES ('chi_squared', 1), ('mann_whitney', 1), ('age_regression', 1), ('age_distribution', 1),
+                                ('correlations', 25), ('p_values', 4))
+"""
+
+
+@query("analysis_bundle", with_fact(REPORT_ROWS_SQL))
+def q_bundle(spark, sf_dir):
+    """Every report of the bundle, with its number of rows (their contents have queries of their own)."""
+    out = None
+    for name, df in run_analysis(spark, sf_dir).items():
+        n = df.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows"))
+        out = n if out is None else out.unionByName(n)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, enrichment, ingest, marts, models, reports  # noqa: F401  (registration side effects)
+from . import analysis, bundles, enrichment, ingest, marts, models, reports  # noqa: F401  (registration side effects)
 from .registry import ORACLES, QUERIES
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles
 from ..sources import nested as N
-from ..sources.facts import holders
-from ..sources.tables import read_table
+from ..session import ensure_checkpoint_dir
+from ..sources.facts import holders, order_facts
+from ..sources.sinks import write_reports
+from ..sources.tables import read_first_available, read_table, table_path
 from .registry import query
 
 
@@ -26,14 +30,20 @@ def order_documents(spark, sf_dir):
     place = F.struct(en(F.col("birth_country")).alias("country"), en(F.col("birth_continent")).alias("continent"))
     dated = F.struct(bstr.alias("date"), place.alias("place"))
     status = F.col("o_orderstatus")
-    award = F.struct(
-        F.year("o_orderdate").cast("string").alias("awardYear"),
+    affiliation = lambda name, country: F.struct(en(name).alias("name"), en(country).alias("country"))
+    affiliations = F.when(F.col("o_orderkey") % 4 == 0, F.array().cast(N.AWARD["affiliations"].dataType)).otherwise(F.array(
+        affiliation(F.concat(F.lit("Institute "), (F.col("o_orderkey") % 7).cast("string")), F.col("birth_country")),
+        affiliation(F.lit("Second"), F.col("birth_continent"))))
+    award = lambda nth: F.struct(
+        (F.year("o_orderdate") + nth).cast("string").alias("awardYear"),
         en(F.col("o_orderpriority")).alias("category"),
         F.when(status != "P", en(F.concat(F.lit("for order "), F.col("o_orderkey").cast("string")))).alias("motivation"),
         F.col("o_totalprice").cast("string").alias("prizeAmount"),
+        F.when(nth > 0, F.concat(F.lit("1/"), (nth + 1).cast("string"))).alias("portion"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("dateAwarded"),
-        F.array().cast("array<struct<name:struct<en:string>,country:struct<en:string>>>").alias("affiliations"),
+        affiliations.alias("affiliations"),
     )
+    awards = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), award)  # one to three
     rec = F.struct(
         F.col("o_custkey").cast("string").alias("id"),
         F.when(is_org, en(F.col("c_name"))).alias("orgName"),
@@ -43,14 +53,14 @@ def order_documents(spark, sf_dir):
         F.when(~is_org & (status == "F"), F.lit("female")).when(~is_org & (status == "O"), F.lit("male")).alias("gender"),
         F.when(~is_org, dated).alias("birth"),
         F.when(~is_org & (status == "F"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))).alias("death"),
-        F.array(award).alias(N.AWARDS_FIELD),
+        awards.alias(N.AWARDS_FIELD),
     )
     return b.select(F.to_json(F.struct(F.array(rec).alias(N.RECORDS_FIELD))).alias("json"))
 
 
-@query("nested_records_flatten", """
+NESTED_SQL = """
 WITH b AS (
-  SELECT o.*, c.c_name, c.c_mktsegment = 'MACHINERY' AS is_org, n.n_name, r.r_name,
+  SELECT o.*, unnest(range(0, 1 + o.o_orderkey % 3)) AS nth, c.c_name, c.c_mktsegment = 'MACHINERY' AS is_org, n.n_name, r.r_name,
          year(o.o_orderdate) - 20 - (o.o_orderkey % 50) AS byear
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)
@@ -61,27 +71,62 @@ SELECT CAST(o_custkey AS VARCHAR) AS id,
        is_org,
        strftime(make_date(CAST(byear AS INTEGER), month(o_orderdate), 1), '%Y-%m-%d') AS birth_date,
        n_name AS birth_country, r_name AS birth_continent, o_orderpriority AS category,
-       CAST(year(o_orderdate) AS INTEGER) AS award_year,
-       CAST(floor(year(o_orderdate) / 10) * 10 AS INTEGER) AS decade,
+       CAST(year(o_orderdate) + nth AS INTEGER) AS award_year,
+       CAST(floor((year(o_orderdate) + nth) / 10) * 10 AS INTEGER) AS decade,
        CASE WHEN o_orderstatus <> 'P' THEN 'for order ' || CAST(o_orderkey AS VARCHAR) ELSE '' END AS motivation,
-       round(o_totalprice, 6) AS prize_amount, '1' AS portion,
-       CAST(year(o_orderdate) - byear AS INTEGER) AS age_at_award,
+       round(o_totalprice, 6) AS prize_amount,
+       CASE WHEN nth = 0 THEN '1' ELSE '1/' || CAST(nth + 1 AS VARCHAR) END AS portion,
+       CASE WHEN o_orderkey % 4 <> 0 THEN 'Institute ' || CAST(o_orderkey % 7 AS VARCHAR) END AS affiliation,
+       CASE WHEN o_orderkey % 4 <> 0 THEN n_name END AS affiliation_country,
+       CAST(year(o_orderdate) + nth - byear AS INTEGER) AS age_at_award,
        CASE WHEN NOT is_org AND o_orderstatus = 'F'
             THEN round(date_diff('day', make_date(CAST(byear AS INTEGER), month(o_orderdate), 1), CAST(o_orderdate AS DATE)) / 365.25, 1)
        END AS lifespan,
        NOT is_org AND o_orderstatus <> 'F' AS is_alive
 FROM b
-""")
-def q_nested(spark, sf_dir):
-    """S1 / P1-P10 / F21s: nested JSON round trip and flatten."""
-    flat = N.flatten(N.parse_documents(order_documents(spark, sf_dir)))
-    return round_doubles(flat.select(
+"""
+
+
+def _flat(recipients):
+    return round_doubles(N.flatten(recipients).select(
         "id", "name", "gender", "is_org", F.date_format("birth_date", "yyyy-MM-dd").alias("birth_date"),
         "birth_country", "birth_continent", "category", "award_year", "decade", "motivation", "prize_amount",
-        "portion", "age_at_award", "lifespan", "is_alive",
+        "portion", "affiliation", "affiliation_country", "age_at_award", "lifespan", "is_alive",
     ))
 
 
+@query("nested_records_flatten", NESTED_SQL)
+def q_nested(spark, sf_dir):
+    """P1-P10 / F21s: nested JSON round trip and flatten, one to three awards a record, none or two affiliations."""
+    return _flat(N.parse_documents(order_documents(spark, sf_dir)))
+
+
+@query("document_files_flatten", NESTED_SQL)
+def q_files(spark, sf_dir):
+    """The documents written as a directory of JSON files (a document a line) and read from there."""
+    folder = f"{ensure_checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
+    order_documents(spark, sf_dir).write.text(folder)
+    return _flat(N.read_documents(spark, folder, lines=True))
+
+
+@query("first_available_source", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def q_first_source(spark, sf_dir):
+    """S3: the first of several sources that resolves is read."""
+    paths = [table_path(sf_dir, "documents_latest"), table_path(sf_dir, "documents")]
+    return read_first_available(spark, paths).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("report_sink_roundtrip", """
+SELECT category, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderpriority AS category
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) GROUP BY category
+""")
+def q_sink(spark, sf_dir):
+    """A report written to shared storage and read back."""
+    report = order_facts(spark, sf_dir).groupBy("category").agg(F.sum("n_items").alias("n"))
+    folder = f"{ensure_checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    return spark.read.parquet(write_reports({"by_category": report}, folder)[0])
+
+
 @query("event_props", """
 SELECT event_type, count(*) AS n,
        CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS sum_k,

@@ -266,6 +266,12 @@ def q_c7(spark, sf_dir):
     return round_doubles(box_stats(persons(award_facts(spark, sf_dir)), "category", "age_at_award"))
 
 
+@query("prize_box_by_category", _box_sql("prize_amount", "fact"))
+def q_prize_box(spark, sf_dir):
+    """C7 with exact quartiles of a column of many distinct values: no buffer of values per group."""
+    return round_doubles(box_stats(award_facts(spark, sf_dir), "category", "prize_amount", distributed=True))
+
+
 @query("lifespan_box_by_category", _box_sql("lifespan", "persons"))
 def q_c9(spark, sf_dir):
     """Lifespan quartiles, whiskers and outliers per category."""

@@ -15,6 +15,7 @@ from ..operators import learn as L
 from ..operators import topics as TP
 from ..sources.facts import award_facts, persons, text_facts
 from ..sources.tables import read_table
+from .oracle_sql import with_fact
 from .registry import query
 from .reports import CATEGORY_ORDER
 
@@ -82,6 +83,27 @@ def q_forest_imp(spark, sf_dir):
     return round_doubles(L.feature_importances(frame, names, num_trees=FOREST_TREES, max_depth=FOREST_DEPTH))
 
 
+@query("forest_training_summary", with_fact("""
+SELECT count(*) AS n, CAST(count(DISTINCT category) AS BIGINT) AS n_classes,
+       string_agg(DISTINCT category, ', ' ORDER BY category) AS classes, CAST(2 + count(DISTINCT birth_continent) - 1 + 2 AS BIGINT) AS n_features
+FROM persons WHERE age_at_award IS NOT NULL AND birth_continent IS NOT NULL AND decade IS NOT NULL
+"""))
+def q_forest_summary(spark, sf_dir):
+    """Rows, class list and number of features that the forest is trained on."""
+    frame, names = _forest_frame(spark, sf_dir)
+    return frame.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("category").alias("n_classes"),
+        F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("classes"),
+        F.lit(len(names)).cast("long").alias("n_features"))
+
+
+@query("forecast_models")
+def q_forecast_models(spark, sf_dir):
+    """FC2 / FC5: AR model of each daily event series with its training loss."""
+    models = FC.fit_ar(FC.windowed(_event_series(spark, sf_dir), SERIES_LAGS), SERIES_LAGS)
+    return round_doubles(models.select("series_id", F.size("weights").alias("n_lags"), "bias", "train_mse"))
+
+
 def _vocab_sql() -> str:
     stop = ", ".join("'" + w.replace("'", "''") + "'" for w in TP.english_stop_words())
     return f"""

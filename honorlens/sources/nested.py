@@ -58,10 +58,11 @@ def get_path(path: str, default=None) -> Column:
     return c if default is None else F.coalesce(c, F.lit(default))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Read one document file or a directory/glob of page files
-    (one JSON document per file) and return one row per recipient."""
-    raw = spark.read.schema(DOCUMENT).option("multiLine", True).option("encoding", "UTF-8").json(path)
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Read one document file or a directory/glob of page files and return
+    one row per recipient. A file is one JSON document, which one task reads whole;
+    with ``lines`` it has a document a line, and large files are split."""
+    raw = spark.read.schema(DOCUMENT).option("multiLine", not lines).option("encoding", "UTF-8").json(path)
     return recipients(raw)
 
 
