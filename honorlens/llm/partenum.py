@@ -10,6 +10,17 @@ bring the chance that all of them miss a pair with D differences below ``MISS``
 a pair, less than that of the 64-bit hashes). Sets whose partners may lie in the next
 band have signatures there as well, and groups in which a set has nothing give none.
 
+Dropping shingles from the domain loses no pair, as long as both sets drop the same ones
+and have enough left: they differ in no more elements than before. So a set is signed
+without the shingles that many others have (passages that repeat across documents), and a
+set that mostly consists of such shingles without those that are ten times as frequent,
+and so on up to the whole domain. A set whose share of dropped shingles is at most
+``MOSTLY`` is signed at a level, from where that share was at least ``PARTLY`` a level
+below. If more than half of a set is dropped, at least a third of any set linked with it
+is, so linked sets have a level in common. Which shingles are frequent is estimated on
+one document in ``SAMPLE_EVERY``: it steers only how many sets meet without being linked,
+never which links are found.
+
 Sets that share a signature are compared by size, by a parity sketch (a bit that differs
 proves an element that does, so it loses no link), and then on their whole texts. In a
 group of sets with one signature only some are compared with all others in a round, at
@@ -38,8 +49,13 @@ WORDS, SIMILARITY = 5, Fraction(3, 4)
 MISS, LAMBDA, GROWTH = 1e-13, 1.43, 1.5
 SKETCH_BITS = 1024
 #: Members of a signature's group that are compared with all others, by round; the last number stays.
-PIVOTS = (1, 32, 256)
+PIVOTS = (1, 64, 256)
 FILTER_BITS = 1 << 26
+#: Frequent shingles: documents sampled, occurrences there that make a shingle frequent, places of the table.
+SAMPLE_EVERY, FREQUENT, LEVEL_PLACES = 16, 3, 1 << 24
+MOSTLY, PARTLY = 0.5, 0.33
+#: Shares of a set that are left, by which the number of groups is planned.
+LEFT = (0.9, 0.7, 0.5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,14 +73,14 @@ def differences(both: int, similarity: Fraction) -> int:
 
 
 @lru_cache(maxsize=None)
-def plan(low: int, high: int, similarity: Fraction) -> tuple[int, int]:
-    """Groups of one partition, and groups in all, for sets of low to high elements."""
+def plan(low: int, high: int, similarity: Fraction, left: float) -> tuple[int, int]:
+    """Groups of one partition, and groups in all, for sets of low to high elements of which a share is ``left``."""
     most = differences(2 * high, similarity)
     groups = max(1, -(-(most + 1) // 2), round(most / LAMBDA))
     q, worst = 1 / groups, 1.0
     for size in {low, (low + high) // 2, high}:
         d = differences(2 * size, similarity)
-        common = size - d / 2
+        common = max(left * size - d, 0.5)
         none, one = (1 - q) ** d, d * q * (1 - q) ** (d - 1) if d else 0.0
         worst = min(worst, none * (1 - (1 - q) ** common) + one * (1 - (1 - 2 * q / 3) ** common))
     return groups, 1 if worst >= 1 - 1e-12 else math.ceil(math.log(MISS) / math.log(1 - worst))
@@ -98,35 +114,50 @@ class Sets:
         odd = np.bincount(where, minlength=len(self.size) * SKETCH_BITS) & 1
         return np.packbits(odd.astype(np.uint8).reshape(len(self.size), SKETCH_BITS), axis=1)
 
-    def signatures(self, similarity: Fraction, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures and the row of each, for the rows in ``which``."""
+    def signatures(self, similarity: Fraction, which: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures and the row of each, for the rows in ``which``. ``levels``: see frequency_levels."""
+        level = np.zeros(len(self.items), dtype=np.uint8)
+        if levels is not None:
+            level = levels[(self.items % np.uint64(len(levels))).astype(np.int64)]
+        out, owner = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+        size = np.maximum(self.size, 1)
+        below = np.ones(len(self.size))
+        for top in range(int(level.max(initial=0)) + 1):
+            use = level <= top
+            row = self.row[use]
+            n = np.bincount(row, minlength=len(self.size))
+            dropped = 1 - n / size
+            some = which[(n[which] > 0) & (dropped[which] <= MOSTLY) & (below[which] >= PARTLY)]
+            if len(some):
+                found, of = self._signed(similarity, some, self.items[use], n, dropped, top)
+                out.append(found)
+                owner.append(of)
+            below = dropped
+        return np.concatenate(out), np.concatenate(owner)
+
+    def _signed(self, similarity: Fraction, which: np.ndarray, items: np.ndarray, sizes: np.ndarray, dropped: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         from .text_units import mix
 
-        which = which[self.size[which] > 0]
-        if not len(which):
-            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
         ends = bands(math.floor(int(self.size.max()) / similarity) + 1)
         band = np.searchsorted(ends, self.size[which])
         reach = np.floor(self.size[which] * similarity.denominator / similarity.numerator).astype(np.int64)
-        rows = [which] * 2  # own band, and those above that a partner can lie in
-        at = [band, band + 1]
-        keep = [np.ones(len(which), dtype=bool), reach > ends[band]]
-        step = 2
+        rows, at = [which], [band]
+        step = 1  # bands above that a partner can lie in
         while (more := (band + step < len(ends)) & (reach > ends[np.minimum(band + step - 1, len(ends) - 1)])).any():
-            rows.append(which)
-            at.append(band + step)
-            keep.append(more)
+            rows.append(which[more])
+            at.append(band[more] + step)
             step += 1
-        row = np.concatenate([r[k] for r, k in zip(rows, keep, strict=True)])
-        band = np.concatenate([a[k] for a, k in zip(at, keep, strict=True)])
-        plans = np.array([plan(int(ends[b - 1]) + 1 if b else 1, int(ends[b]), similarity) for b in range(len(ends))])
-        groups, trials = plans[band, 0], plans[band, 1]
+        row, band = np.concatenate(rows), np.concatenate(at)
+        plans = np.array([[plan(int(ends[b - 1]) + 1 if b else 1, int(ends[b]), similarity, x) for x in LEFT] for b in range(len(ends))])
+        kind = np.searchsorted(1 - np.array(LEFT), dropped[row] - 1e-9)
+        groups, trials = plans[band, kind, 0], plans[band, kind, 1]
         out, owner = [], []
         for part in range(int((-(-trials // groups)).max())):
             some = np.flatnonzero(part * groups < trials)
-            n = self.size[row[some]]
+            n = sizes[row[some]]
             own = np.repeat(np.arange(len(some)), n)
-            item = self.items[np.repeat(self.at[row[some]] - (np.cumsum(n) - n), n) + np.arange(len(own))]
+            item = items[np.repeat(begin[row[some]] - (np.cumsum(n) - n), n) + np.arange(len(own))]
             h = mix(item + np.uint64((2 * part + 1) * int(_MIX) % (1 << 64)))
             group = ((h & np.uint64(0xFFFFFFFF)) % groups[some][own].astype(np.uint64)).astype(np.int64)
             used = group + part * groups[some][own] < trials[some][own]
@@ -142,7 +173,7 @@ class Sets:
             count = np.bincount(cell, minlength=3 * cells).reshape(cells, 3)
             owner_of = np.repeat(np.arange(len(some)), width)
             trial = np.arange(cells) - base[owner_of] + part * groups[some][owner_of]
-            label = (trial + (band[some][owner_of] << 32)).astype(np.uint64) * np.uint64(3)
+            label = (trial + (band[some][owner_of] << 32) + (top << 48)).astype(np.uint64) * np.uint64(3)
             for k in range(3):
                 full = count.sum(axis=1) - count[:, k] > 0
                 content = total.sum(axis=1, dtype=np.uint64) - total[:, k]
@@ -183,14 +214,49 @@ def nodes(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(read, "doc_id long, mark long, n_shingles long, node long, sketch binary")
 
 
+def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
+    """By place (a shingle's hash modulo its length): 0, or 1, 2, ... for ten times more frequent shingles each.
+
+    One document in SAMPLE_EVERY is counted. The table has a fixed size; where there are
+    more frequent shingles than an eighth of its places, only the more frequent ones count.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, sets in _blocks(batch.column("text"), n):
+                _, first = np.unique(sets.node, return_index=True)
+                item, count = np.unique(sets.items[np.isin(sets.row, first)], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"item": pa.array(item.view(np.int64)), "n": pa.array(count.astype(np.int64))})
+
+    sample = docs.select("text").filter(F.pmod(_mark(), F.lit(SAMPLE_EVERY)) == 0)
+    counts = sample.mapInArrow(read, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    counts = staged(counts, "frequent")
+    many = {r["k"]: r["c"] for r in counts.groupBy(F.floor(F.log2(F.col("n") / FREQUENT)).alias("k")).agg(F.count("*").alias("c")).collect()}
+    least, total = 0, sum(many.values())
+    while total > LEVEL_PLACES // 8:
+        total -= many.get(least, 0)
+        least += 1
+    level = (F.floor(F.log10(F.col("n") / F.lit(FREQUENT * 2**least)) + 1e-9) + 1).cast("int")
+    places = counts.filter(F.col("n") >= FREQUENT * 2**least).select(F.expr(f"pmod(item, {LEVEL_PLACES})").alias("place"), level.alias("level"))
+    out = np.zeros(LEVEL_PLACES, dtype=np.uint8)
+    found = places.groupBy("place").agg(F.max("level").alias("level")).toPandas()  # an eighth of the places at most
+    out[found["place"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
+    return out
+
+
 def signatures(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     """(signature, node) of every set; equal sets of a block give theirs once."""
+    levels = frequency_levels(docs, n)
+    place = np.flatnonzero(levels)
+    sent = docs.sparkSession.sparkContext.broadcast((place.astype(np.int32), levels[place]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(LEVEL_PLACES, dtype=np.uint8)
+        known[sent.value[0]] = sent.value[1]
         for batch in batches:
             for _, _, sets in _blocks(batch.column("text"), n):
                 _, first = np.unique(sets.node, return_index=True)
-                found, row = sets.signatures(similarity, first)
+                found, row = sets.signatures(similarity, first, known)
                 yield pa.RecordBatch.from_pydict({"signature": pa.array(found.view(np.int64)), "node": pa.array(sets.node[row])})
 
     return docs.select("text").mapInArrow(read, "signature long, node long")
@@ -294,7 +360,7 @@ def linked(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     sketches = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     sketches = staged(sketches.join(shared.select("node").distinct(), "node", "left_semi"), "sketches")
     close = _may_link(similarity)
-    labels = tested = None
+    labels = tested = texts = None
     covered = turn = 0
     open_groups = shared.withColumn("label", F.col("node"))
     while True:
@@ -311,11 +377,19 @@ def linked(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
         sides = {x: sketches.withColumnsRenamed({"node": x, "size": f"size_{x}", "sketch": f"sketch_{x}"}) for x in "ab"}
         likely = pairs.join(sides["a"], "a").join(sides["b"], "b").filter(close("size_a", "size_b", "sketch_a", "sketch_b"))
         likely = staged(likely.select("a", "b"), "likely")
-        texts = staged(texts_of(docs, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n), "texts")
-        edges = staged(verified(likely, texts, n, similarity), "edges")
-        labels = components(edges, labels)
+        wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if texts is not None:  # those of an earlier round are there
+            wanted = wanted.join(texts.select("node"), "node", "left_anti")
+        wanted = staged(wanted, "wanted")
+        if wanted.limit(1).count():
+            more_texts = staged(texts_of(docs, wanted, n), "texts")
+            texts = more_texts if texts is None else texts.unionByName(more_texts).dropDuplicates(["node"])
+        if texts is not None and likely.limit(1).count():
+            labels = components(staged(verified(likely, texts, n, similarity), "edges"), labels)
         covered, turn = covered + more, turn + 1
         # groups with members that aren't connected and aren't all compared with each other
+        if labels is None:
+            labels = staged(shared.select("node", F.col("node").alias("label")).limit(0), "labels")
         labelled = shared.join(labels, "node", "left").select("signature", "node", F.coalesce("label", "node").alias("label"))
         sizes = labelled.groupBy("signature").agg(F.count("*").alias("_n"), F.min("label").alias("_x"), F.max("label").alias("_y"))
         rest = sizes.filter((F.col("_x") < F.col("_y")) & (F.col("_n") > covered + 1)).select("signature")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from honorlens.llm import cuckoo, partenum, text_units
@@ -68,8 +69,12 @@ def test_every_link_at_the_bound_has_a_shared_signature():
             x, y = sets.of(0), sets.of(1)
             common = len(set(x.tolist()) & set(y.tolist()))
             assert 4 * common >= 3 * (len(x) + len(y) - common)
-            found, row = sets.signatures(partenum.SIMILARITY, __import__("numpy").array([0, 1]))
-            assert set(found[row == 0].tolist()) & set(found[row == 1].tolist()), n
+            levels = np.zeros(1 << 12, dtype=np.uint8)
+            for share in (0.0, 0.2, 0.45, 0.6, 0.95):  # of the places hold frequent shingles, of several levels
+                place = rnd.sample(range(1 << 12), int(share * (1 << 12)))
+                levels[place] = [rnd.choice([1, 1, 2, 3]) for _ in place]
+                found, row = sets.signatures(partenum.SIMILARITY, np.array([0, 1]), levels)
+                assert set(found[row == 0].tolist()) & set(found[row == 1].tolist()), (n, share)
 
 
 def test_one_of_each_group_stays(spark):
