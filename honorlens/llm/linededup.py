@@ -22,15 +22,13 @@ FANOUT, BATCHES = 2, 4
 SPACES = " \t\n\u000b\f\r"
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z lower-cased."""
-    return lower_ascii(F.btrim(line, F.lit(SPACES)))
+def line_hashes(lines: Column) -> Column:
+    """By line (a, b): 128 bits of its key; null for a key without a character.
 
-
-def line_hash(line: Column) -> Column:
-    """(a, b): 128 bits of the line's key; null for a key without a character."""
-    key = line_key(line)
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b")))
+    A step an array: within one lambda each use of an expression would compute it again."""
+    trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(SPACES)))
+    keys = F.transform(trimmed, lower_ascii)
+    return F.transform(keys, lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(7), k).alias("b"))))
 
 
 class LineRuns:
@@ -104,7 +102,7 @@ def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, batches: int = BA
     text = F.coalesce(F.col("text"), F.lit(""))
     same = ["doc_id", "_mark"]  # rows that agree in both have the same lines
     marked = docs.withColumn("_mark", F.xxhash64(text))
-    hashes = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), line_hash), lambda x: x.isNotNull()))
+    hashes = F.array_distinct(F.filter(line_hashes(F.split(text, "\n")), lambda x: x.isNotNull()))
     hashed = marked.select(*same, F.pmod(F.xxhash64(*same), F.lit(batches)).cast("int").alias("_batch"), hashes.alias("_hashes"))
     hashed = staged(hashed.filter(F.size("_hashes") > 0), "line_hashes")
     lines = hashed.select(*same, "_batch", F.explode("_hashes").alias("_h")).select(*same, "_batch", "_h.a", "_h.b")
@@ -117,7 +115,8 @@ def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, batches: int = BA
     own = own.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"), "_drop")
     joined = marked.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left")
     split = F.split(text, "\n")
-    stays = F.filter(split, lambda x: F.coalesce(~F.array_contains(F.col("_drop"), line_hash(x)), F.lit(True)))
+    goes = F.transform(line_hashes(split), lambda h: F.coalesce(F.array_contains(F.col("_drop"), h), F.lit(False)))
+    stays = F.transform(F.filter(F.arrays_zip(split.alias("line"), goes.alias("goes")), lambda x: ~x["goes"]), lambda x: x["line"])
     out = joined.withColumn("n_lines", F.size(split).cast("long"))
     out = out.withColumn("_kept", F.when(F.col("_drop").isNotNull(), stays))
     out = out.withColumn("n_dropped", F.when(F.col("_drop").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long"))
