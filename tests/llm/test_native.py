@@ -125,3 +125,14 @@ def test_runs_are_compacted_and_known_lines_stay_out(spark):
     plan = index.runs()[0].join(index.runs()[1], ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     index.drop()
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from honorlens.llm.common import LOWER, UPPER, lower_ascii
+
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame(pd.DataFrame({"c": [f"A{chr(c)}Zé" for c in points]}))
+    assert rows.filter(lower_ascii(F.col("c")) != F.translate("c", UPPER, LOWER)).isEmpty()
