@@ -16,8 +16,8 @@ without the shingles that many others have (passages that repeat across document
 set that mostly consists of such shingles without those that are ten times as frequent,
 and so on up to the whole domain. A set whose share of dropped shingles is at most
 ``MOSTLY`` is signed at a level, from where that share was at least ``PARTLY`` a level
-below. If more than half of a set is dropped, at least a third of any set linked with it
-is, so linked sets have a level in common. Which shingles are frequent is estimated on
+below. If more than three quarters of a set are dropped, at least 0.5625 of any set linked
+with it is, so linked sets have a level in common. Which shingles are frequent is estimated on
 one document in ``SAMPLE_EVERY``: it steers only how many sets meet without being linked,
 never which links are found.
 
@@ -49,13 +49,13 @@ WORDS, SIMILARITY = 5, Fraction(3, 4)
 MISS, LAMBDA, GROWTH = 1e-13, 1.43, 1.5
 SKETCH_BITS = 1024
 #: Members of a signature's group that are compared with all others, by round; the last number stays.
-PIVOTS = (1, 64, 256)
+PIVOTS = (1, 4, 16, 64, 256)
 FILTER_BITS = 1 << 26
 #: Frequent shingles: documents sampled, occurrences there that make a shingle frequent, places of the table.
 SAMPLE_EVERY, FREQUENT, LEVEL_PLACES = 16, 3, 1 << 24
-MOSTLY, PARTLY = 0.5, 0.33
+MOSTLY, PARTLY = 0.75, 0.56
 #: Shares of a set that are left, by which the number of groups is planned.
-LEFT = (0.9, 0.7, 0.5)
+LEFT = (0.9, 0.7, 0.5, 0.35, 0.25)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +80,8 @@ def plan(low: int, high: int, similarity: Fraction, left: float) -> tuple[int, i
     q, worst = 1 / groups, 1.0
     for size in {low, (low + high) // 2, high}:
         d = differences(2 * size, similarity)
-        common = max(left * size - d, 0.5)
+        # |A ∩ B| without the dropped ones, seen from one set, or from both (either leaves 1 - MOSTLY at least)
+        common = max(left * size - d, (left + 1 - MOSTLY) / 2 * size - d / 2, 0.5)
         none, one = (1 - q) ** d, d * q * (1 - q) ** (d - 1) if d else 0.0
         worst = min(worst, none * (1 - (1 - q) ** common) + one * (1 - (1 - 2 * q / 3) ** common))
     return groups, 1 if worst >= 1 - 1e-12 else math.ceil(math.log(MISS) / math.log(1 - worst))
@@ -377,7 +378,10 @@ def linked(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
         sides = {x: sketches.withColumnsRenamed({"node": x, "size": f"size_{x}", "sketch": f"sketch_{x}"}) for x in "ab"}
         likely = pairs.join(sides["a"], "a").join(sides["b"], "b").filter(close("size_a", "size_b", "sketch_a", "sketch_b"))
         likely = staged(likely.select("a", "b"), "likely")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if turn:  # all that the open groups can still ask for: later rounds need no further scan
+            wanted = open_groups.select("node").distinct().join(sketches, "node", "left_semi")
+        else:
+            wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if texts is not None:  # those of an earlier round are there
             wanted = wanted.join(texts.select("node"), "node", "left_anti")
         wanted = staged(wanted, "wanted")
