@@ -1,15 +1,20 @@
-"""Plan guards: no registered query may contain a cross join, with broadcast
+"""Plan guards: no registered query of the library proper may contain a cross join, with broadcast
 auto-join off (the shape the plans take on large tables)."""
 
-import __spark_entry__ as E
+from honorlens.plans import catalog
 from tests.conftest import SMALL
 
+# these return rows that the driver made from fitted models: their plan is a list of rows
+FITTED = {"forest_cv_accuracy", "forest_feature_importances", "kmeans_silhouette"}
+
 
 def test_no_cross_joins_in_any_registered_query(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     bad = {}
     try:
-        for name, fn in E.queries().items():
+        for name, fn in catalog.queries().items():
+            if name in FITTED:
+                continue
             plan = fn(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
             hits = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin") if w in plan]
             if hits:
