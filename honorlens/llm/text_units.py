@@ -38,13 +38,13 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the hash base and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = (int(n) // 65536 + 1) * 65536
         out = []
         for base in (_BASE, _BASE_INV):
             p = np.empty(size, dtype=np.uint64)
             p[0], have, step = 1, 1, int(base)
             while have < size:
-                p[have : 2 * have] = p[:have] * _U(step)
+                p[have : 2 * have] = p[: min(have, size - have)] * _U(step)
                 step, have = step * step % (1 << 64), 2 * have
             out.append(p)
         _POWERS[:] = out
@@ -83,11 +83,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 20):
-    """Consecutive row ranges of at most ``most`` bytes each (a longer row is a range of its own)."""
+def blocks(offsets: np.ndarray, most: int = 1 << 20, rows: int = 4096):
+    """Consecutive ranges of at most ``rows`` rows and ``most`` bytes each (a longer row is a range of its own)."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1))
         yield lo, hi
         lo = hi
 
@@ -124,7 +124,7 @@ class UnitEncoder:
     ``max_units`` bounds the table; when it is full it starts afresh, results don't change.
     """
 
-    def __init__(self, path: str, max_units: int = 2_000_000):
+    def __init__(self, path: str, max_units: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
