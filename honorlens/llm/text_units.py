@@ -124,7 +124,7 @@ class UnitEncoder:
     ``max_units`` bounds the table; when it is full it starts afresh, results don't change.
     """
 
-    def __init__(self, path: str, max_units: int = 600_000):
+    def __init__(self, path: str, max_units: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
