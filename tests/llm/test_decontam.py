@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from honorlens.llm import decontam
 from tests.llm.fixtures import frame, prose
 from tests.llm.test_models import plain_alignment, words
@@ -48,3 +49,15 @@ def test_scores_equal_brute_force(spark):
     got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(frame(spark, rows), spark.createDataFrame(items, SCHEMA)).collect()}
     best = {(d, i): plain_alignment(words(x), words(t)) / len(words(x)) for d, t in rows for i, x in items}
     assert got == pytest.approx({k: v for k, v in best.items() if v >= decontam.THRESHOLD})
+
+
+def test_short_items_and_items_without_an_id_are_found_in_longer_texts(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(i, f"{prose(rnd, 20)} {x} {prose(rnd, 20)}") for i, x in enumerate(("nothing", "Kilowatt!", "mega, volt", "mega big volt", "volt mega", ITEM, "kilowatts"))]
+    rows.append((7, "kilowatt"))
+    benchmark = spark.createDataFrame([(1, "kilowatt"), (2, "mega volt"), (None, ITEM), (None, ITEM + " more"), (None, None)], SCHEMA)
+    got = sorted(((r.doc_id, r.item_id, r.score) for r in decontam.leaks(frame(spark, rows), benchmark).collect()), key=str)
+    assert got == [(1, 1, 1.0), (2, 2, 1.0), (3, 2, 0.75), (5, None, 25 / 26), (5, None, 1.0), (7, 1, 1.0)]
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontaminate(spark, frame(spark, rows), str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {0, 4, 6}
