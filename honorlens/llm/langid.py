@@ -1,8 +1,8 @@
 """Language ID with bit-sliced Bloom filters over character n-grams.
 
 Every language has a Bloom filter of its n-grams; the filters are stored crosswise: slot s
-holds one mask with a bit for each language. One lookup ANDs the masks of an n-gram's
-slots and has all languages that contain it. A text's hits are counted by language
+holds a mask with a bit for each language, in as many 64-bit words as that takes. One
+lookup ANDs the masks of an n-gram's slots and has all languages that contain it. A text's hits are counted by language
 (popcounts over its n-grams) and corrected for false positives: a filter with the share f
 of its bits set answers yes by chance with p = f^hashes, so of n n-grams
 (hits - n p) / (1 - p) are expected to be really there. The largest corrected count
@@ -10,7 +10,7 @@ decides; its share of the n-grams is the score.
 
 Learning counts n-grams in Spark over a bounded sample of labelled rows and gives an
 n-gram to the languages in which it is not much rarer than where it is most frequent.
-The model has ``SLOTS`` masks whatever the corpus; every whole text is then predicted
+The model has ``SLOTS`` masks whatever the corpus (16 MiB for every 64 languages); every whole text is then predicted
 where it is read, without a shuffle.
 """
 
@@ -31,18 +31,18 @@ SAMPLE_ROWS = 3000
 SLOTS, HASHES = 1 << 21, 3
 #: An n-gram belongs to the languages where its frequency is at least this share of its highest.
 SHARE = 0.2
-MAX_LANGUAGES = 64
+WORD = 64
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]  # most learned first
-    masks: np.ndarray  # by slot, bit i for languages[i]
+    masks: np.ndarray  # by word and slot, bit i % WORD of word i // WORD for languages[i]
 
     def chance(self) -> np.ndarray:
         """By language: how often its filter says yes to an n-gram it lacks."""
-        fill = [float(np.mean((self.masks >> np.uint64(i)) & np.uint64(1))) for i in range(len(self.languages))]
+        fill = [float(np.mean((self.masks[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1))) for i in range(len(self.languages))]
         return np.array(fill) ** HASHES
 
 
@@ -107,9 +107,8 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = SLOTS) ->
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask has {MAX_LANGUAGES} bits")
-    masks = np.zeros(size, dtype=np.uint64)
+    n_words = max(1, -(-len(languages) // WORD))
+    masks = np.zeros((n_words, size), dtype=np.uint64)
     if not languages:
         return Model([], masks)
     number = {x: i for i, x in enumerate(languages)}
@@ -136,17 +135,22 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = SLOTS) ->
     rate = F.create_map(*[F.lit(x) for i, n in total.items() for x in (i, 1.0 / n)]) if total else F.create_map(F.lit(0), F.lit(1.0))
     rated = counts.select("gram", "lang", (F.col("n") * rate[F.col("lang")]).alias("f"))
     most = rated.groupBy("gram").agg(F.collect_list(F.struct("lang", "f")).alias("x"), F.max("f").alias("m"))  # a row a language
-    bit = F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.when(x.f >= F.col("m") * SHARE, F.call_function("shiftleft", F.lit(1).cast("long"), x.lang)).otherwise(F.lit(0).cast("long"))))
+    none = F.lit(0).cast("long")
+
+    def mask(word):
+        mine = lambda x: (x.f >= F.col("m") * SHARE) & (F.floor(x.lang / WORD) == word)
+        return F.aggregate("x", none, lambda s, x: s.bitwiseOR(F.when(mine(x), F.call_function("shiftleft", F.lit(1).cast("long"), x.lang % WORD)).otherwise(none)))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, mask = batch.column("gram").to_numpy().view(np.uint64), batch.column("mask").to_numpy()
+            keys, word, bits = batch.column("gram").to_numpy().view(np.uint64), batch.column("word"), batch.column("mask")
             for at in slots(keys, size):
-                yield pa.RecordBatch.from_pydict({"slot": pa.array(at), "mask": pa.array(mask)})
+                yield pa.RecordBatch.from_pydict({"word": word, "slot": pa.array(at), "mask": bits})
 
-    filled = most.select("gram", bit.alias("mask")).mapInArrow(dealt, "slot long, mask long")
-    for r in filled.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toLocalIterator():  # at most SLOTS rows
-        masks[r["slot"]] = np.uint64(r["mask"] & 0xFFFFFFFFFFFFFFFF)
+    held = most.select("gram", F.posexplode(F.array(*[mask(w) for w in range(n_words)])).alias("word", "mask")).filter("mask != 0")
+    filled = held.mapInArrow(dealt, "word int, slot long, mask long")
+    for r in filled.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toLocalIterator():  # at most SLOTS rows a word
+        masks[r["word"], r["slot"]] = np.uint64(r["mask"] & 0xFFFFFFFFFFFFFFFF)
     return Model(languages, masks)
 
 
@@ -171,13 +175,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         names, score = np.full(n, UNDETERMINED, dtype=object), np.zeros(n)
         for lo, hi in blocks(offsets) if languages else ():
             keys, at, letters = grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            found = None
-            for where in slots(keys, len(masks)):
-                found = masks[where] if found is None else found & masks[where]
+            places = slots(keys, masks.shape[1])
             total = np.diff(at)
             real = np.empty((len(languages), hi - lo))
             for i in range(len(languages)):
-                hits = np.concatenate([[0], np.cumsum((found >> masks.dtype.type(i)) & masks.dtype.type(1), dtype=np.int64)])
+                if i % WORD == 0:
+                    word = masks[i // WORD]
+                    found = word[places[0]]
+                    for where in places[1:]:
+                        found &= word[where]
+                hits = np.concatenate([[0], np.cumsum((found >> masks.dtype.type(i % WORD)) & masks.dtype.type(1), dtype=np.int64)])
                 real[i] = np.maximum(0, (hits[at[1:]] - hits[at[:-1]] - total * chance[i]) / max(1e-9, 1 - chance[i]))
             win = real.argmax(axis=0)
             sure = letters > 0
@@ -190,7 +197,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _smallest(languages: int) -> type:
-    return next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if languages <= bits)
+    return next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(languages, WORD) <= bits)
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
