@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from honorlens.llm import langid
 from tests.llm.fixtures import SCHEMA
 
@@ -24,3 +25,24 @@ def test_more_languages_than_a_mask_word_has_bits(spark):
     asked = spark.createDataFrame([(1000 + k, said(1000 + k, tongue(k), 30), f"l{k:03}", "s", 1) for k in range(130)], SCHEMA)
     out = langid.predict(asked, model).collect()
     assert len(out) == 130 and all(r.lang_pred == r.lang and r.score > 0.5 for r in out)
+
+
+def test_languages_with_one_and_five_labelled_rows_stay_in_the_stage(spark):
+    learned = [r.id for r in spark.range(2000).filter(langid.in_training("id")).collect()]
+    big, one, five = tongue(1, 400), tongue(2, 200), tongue(3, 200)
+    rows = [(i, said(i, big, 300), "big", "s", 1) for i in learned[:200]]
+    alone = learned[200]
+    rows.append((alone, " ".join(one[:25]), "one", "s", 1))
+    rows += [(i, " ".join(five[40 * k : 40 * k + 40]), "five", "s", 1) for k, i in enumerate(learned[201:206])]
+    rows += [(5000 + i, said(i, five, 30), None, "s", 1) for i in range(10)] + [(6000, " ".join(reversed(one[:25])), None, "s", 1)]
+    rows += [(7000, said(1, tongue(9), 50), None, "s", 1)]  # no learned language
+    # a wrong label on one text doesn't take the language's n-grams away
+    rows += [(learned[206], said(5, big, 30), "wrong", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {7000}
+    model = langid.learn(docs.filter(langid.in_training()))
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert found[alone] == found[6000] == "one"
+    assert all(found[i] == "five" for i in [*learned[201:206], *range(5000, 5010)])
+    assert all(found[i] == "big" for i in learned[:200])
