@@ -261,10 +261,18 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*items)).alias("_p")).select("_p.var_a", "_p.var_b", "_p.r")
 
 
+def rank_method() -> Column:
+    """How the reference finds the p-value of a row of ``mann_whitney``: exactly where a sample has
+    eight values at most and there are no ties ('exact_expected'; ours is asymptotic there too)."""
+    small = F.least("n1", "n2") <= 8
+    return F.when(small & (F.col("tie_term") == 0), F.lit("exact_expected")).otherwise(F.lit("asymptotic"))
+
+
 def with_p_values(chi: DataFrame | None = None, mw: DataFrame | None = None, ols: DataFrame | None = None,
                   dist: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
     """One row per test with its statistic and p-value (pandas UDF over the
-    aggregated rows), plus ``significant = p < alpha``."""
+    aggregated rows), plus ``significant = p < alpha``, and ``method`` (``rank_method``; null but for
+    the rank-sum test)."""
     parts = []
     if chi is not None:
         parts.append(chi.select(F.lit("chi_squared").alias("test"), F.col("chi2_statistic").alias("statistic"),
@@ -272,7 +280,8 @@ def with_p_values(chi: DataFrame | None = None, mw: DataFrame | None = None, ols
                                 tails.chi2_p(F.col("chi2_statistic"), F.col("dof")).alias("p_value")))
     if mw is not None:
         parts.append(mw.select(F.lit("mann_whitney").alias("test"), F.col("u_statistic").alias("statistic"),
-                               F.lit(None).cast("double").alias("dof"), tails.normal_p(F.col("z")).alias("p_value")))
+                               F.lit(None).cast("double").alias("dof"), tails.normal_p(F.col("z")).alias("p_value"),
+                               rank_method().alias("method")))
     if ols is not None:
         parts.append(ols.select(F.lit("ols_slope").alias("test"), F.col("t_statistic").alias("statistic"),
                                 F.col("dof").cast("double").alias("dof"),
@@ -282,5 +291,8 @@ def with_p_values(chi: DataFrame | None = None, mw: DataFrame | None = None, ols
                                  F.lit(2.0).alias("dof"), F.col("jarque_bera_p").alias("p_value")))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("significant", F.col("p_value") < alpha)
+        out = out.unionByName(p, allowMissingColumns=True)
+    if "method" not in out.columns:
+        out = out.withColumn("method", F.lit(None).cast("string"))
+    cols = ["test", "statistic", "dof", "p_value", "significant", "method"]
+    return out.withColumn("significant", F.col("p_value") < alpha).select(cols)

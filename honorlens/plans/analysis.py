@@ -229,7 +229,7 @@ def q_insights(spark, sf_dir):
     ext = G.extreme_rows(p)
     chi, mw, ols, dist = fused_tests(person_cube(spark, sf_dir))
     chi = chi.select("chi2_statistic", tails.chi2_p(F.col("chi2_statistic"), F.col("dof")).alias("chi2_p"))
-    mw = mw.select(F.col("u_statistic").alias("mw_u"), tails.normal_p(F.col("z")).alias("mw_p"))
+    mw = mw.select(F.col("u_statistic").alias("mw_u"), tails.normal_p(F.col("z")).alias("mw_p"), S.rank_method().alias("mw_method"))
     ols = ols.select("slope", "r_squared", "slope_per_decade",
                      tails.t_p(F.col("t_statistic"), F.col("dof")).alias("ols_p"))
     dist = dist.select(F.col("mean").alias("age_mean"), F.col("median").alias("age_median"),

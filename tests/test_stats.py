@@ -152,3 +152,16 @@ def test_single_row_inputs_do_not_raise(spark):
     d = S.distribution_stats(cube, weight="w").collect()[0]
     assert d["mean"] == 30.0 and d["std"] is None
     assert S.ols_trend(one).collect()[0]["slope"] is None
+
+
+def test_rank_p_says_where_the_reference_takes_the_exact_one(spark):
+    def method(a, b):
+        df = spark.createDataFrame([(v, True) for v in a] + [(v, False) for v in b], "v double, s boolean")
+        rows = S.with_p_values(chi=S.chi_squared(df, "s", "v"), mw=S.mann_whitney(df, "v", F.col("s"))).collect()
+        return {r["test"]: r["method"] for r in rows}
+
+    small, large = [float(v) for v in range(8)], [100.0 + v for v in range(9)]
+    assert method(small, large) == {"chi_squared": None, "mann_whitney": "exact_expected"}
+    assert method(large, small)["mann_whitney"] == "exact_expected"
+    assert method([*small, 8.0], large)["mann_whitney"] == "asymptotic"
+    assert method([*small[:7], 100.0], large)["mann_whitney"] == "asymptotic"  # a tie
