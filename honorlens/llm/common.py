@@ -38,7 +38,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     ship_package(spark)
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstaged(*frames: DataFrame) -> None:
+    """Deletes the files of ``staged`` frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "staged_at", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def lower_ascii(col):

@@ -12,22 +12,28 @@ band have signatures there as well, and groups in which a set has nothing give n
 
 Dropping shingles from the domain loses no pair, as long as both sets drop the same ones
 and have enough left: they differ in no more elements than before. So a set is signed
-without the shingles that many others have (passages that repeat across documents), and a
-set that mostly consists of such shingles without those that are ten times as frequent,
-and so on up to the whole domain. A set whose share of dropped shingles is at most
-``MOSTLY`` is signed at a level, from where that share was at least ``PARTLY`` a level
-below. If more than three quarters of a set are dropped, at least 0.5625 of any set linked
-with it is, so linked sets have a level in common. Which shingles are frequent is estimated on
+without the shingles that many others have (passages that repeat across documents), if
+these are at most ``MOSTLY`` of it. For a set of which more are dropped, the domain is
+dealt into parts of one element each, rare ones first, the more frequent the later: D
+differences spare one of any D + 1 parts, so sets that are linked have an element in
+common among the first of either, as far as their two sizes say. Such a signature has its
+place in that order, and two sets that share one are a pair only where both places are
+within what their sizes allow. A linked partner of such a set drops at least ``PARTLY``
+of its own (0.5625), so sets from there on give these signatures too; two sets that drop
+at most ``MOSTLY`` need no pair by them. So texts around one passage that aren't linked
+don't meet: what makes them differ comes first. Which shingles are frequent is estimated on
 one document in ``SAMPLE_EVERY``: it steers only how many sets meet without being linked,
 never which links are found.
 
 Sets that share a signature are compared by size, by a parity sketch (a bit that differs
 proves an element that does, so it loses no link), and then on their whole texts. In a
 group of sets with one signature only some are compared with all others in a round, at
-first one; members that are found connected need no comparison, and a group is
+first the one with the fewest rare shingles, which is nearest to what the others were made
+from; members that are found connected need no comparison, and a group is
 done when all of them are connected or every pair that isn't was compared. Equal sets
 are one node from the start. Links are contracted to components by label propagation
-with pointer jumping. Nothing but counts and bounded filters comes to the driver.
+with pointer jumping. Nothing but counts and bounded filters comes to the driver, and
+files of the shared folder go as soon as later ones take their place.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -43,13 +49,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from ..session import ship_package
+from .common import staged, unstaged
 
 WORDS, SIMILARITY = 5, Fraction(3, 4)
 MISS, LAMBDA, GROWTH = 1e-13, 1.43, 1.5
 SKETCH_BITS = 1024
 #: Members of a signature's group that are compared with all others, by round; the last number stays.
-PIVOTS = (1, 4, 16, 64, 256)
+PIVOTS = (1, 16, 256)
 FILTER_BITS = 1 << 26
 #: Frequent shingles: documents sampled, occurrences there that make a shingle frequent, places of the table.
 SAMPLE_EVERY, FREQUENT, LEVEL_PLACES = 16, 3, 1 << 24
@@ -115,28 +122,53 @@ class Sets:
         odd = np.bincount(where, minlength=len(self.size) * SKETCH_BITS) & 1
         return np.packbits(odd.astype(np.uint8).reshape(len(self.size), SKETCH_BITS), axis=1)
 
-    def signatures(self, similarity: Fraction, which: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures and the row of each, for the rows in ``which``. ``levels``: see frequency_levels."""
+    def signatures(self, similarity: Fraction, which: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures, the row and the code of each, for the rows in ``which``. ``levels``: see frequency_levels.
+
+        Code 0: of groups of shingles. Else of one shingle, the code // 2 th of its set; odd
+        if the set drops too much for groups."""
         level = np.zeros(len(self.items), dtype=np.uint8)
         if levels is not None:
             level = levels[(self.items % np.uint64(len(levels))).astype(np.int64)]
-        out, owner = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
-        size = np.maximum(self.size, 1)
-        below = np.ones(len(self.size))
-        for top in range(int(level.max(initial=0)) + 1):
-            use = level <= top
-            row = self.row[use]
-            n = np.bincount(row, minlength=len(self.size))
-            dropped = 1 - n / size
-            some = which[(n[which] > 0) & (dropped[which] <= MOSTLY) & (below[which] >= PARTLY)]
-            if len(some):
-                found, of = self._signed(similarity, some, self.items[use], n, dropped, top)
-                out.append(found)
-                owner.append(of)
-            below = dropped
-        return np.concatenate(out), np.concatenate(owner)
+        rare = np.bincount(self.row[level == 0], minlength=len(self.size))
+        dropped = 1 - rare / np.maximum(self.size, 1)
+        out, owner, codes = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        some = which[(rare[which] > 0) & (dropped[which] <= MOSTLY)]
+        if len(some):
+            found, of = self._signed(similarity, some, self.items[level == 0], rare, dropped)
+            out.append(found)
+            owner.append(of)
+            codes.append(np.zeros(len(of), dtype=np.int64))
+        asked = np.zeros(len(self.size), dtype=bool)
+        asked[which] = True
+        asked &= (dropped >= PARTLY) & (self.size > 0)
+        if asked.any():
+            found, of, place = self._single(similarity, asked, level)
+            out.append(found)
+            owner.append(of)
+            codes.append(2 * place + np.where(dropped[of] > MOSTLY, 3, 2))
+        return np.concatenate(out), np.concatenate(owner), np.concatenate(codes)
+
+    def rare(self, levels: np.ndarray) -> np.ndarray:
+        """Thousandths of each set that aren't dropped."""
+        level = levels[(self.items % np.uint64(len(levels))).astype(np.int64)]
+        return 1000 * np.bincount(self.row[level == 0], minlength=len(self.size)) // np.maximum(self.size, 1)
+
+    def _single(self, similarity: Fraction, asked: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first elements of each set, rare ones first: signature, row, place. As many as a partner of any size asks for."""
+        from .text_units import mix
 
-    def _signed(self, similarity: Fraction, which: np.ndarray, items: np.ndarray, sizes: np.ndarray, dropped: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        use = np.flatnonzero(asked[self.row])
+        key = mix(self.items[use] ^ np.uint64(0xA0761D6478BD642F))
+        order = use[np.lexsort((key, level[use], self.row[use]))]
+        row = self.row[order]
+        size = np.where(asked, self.size, 0)
+        place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        needed = self.size - -(-similarity.numerator * self.size // similarity.denominator)
+        first = place <= needed[row]
+        return mix(self.items[order[first]] + np.uint64(0xE7037ED1A0B428DB)), row[first], place[first]
+
+    def _signed(self, similarity: Fraction, which: np.ndarray, items: np.ndarray, sizes: np.ndarray, dropped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         from .text_units import mix
 
         begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -174,7 +206,7 @@ class Sets:
             count = np.bincount(cell, minlength=3 * cells).reshape(cells, 3)
             owner_of = np.repeat(np.arange(len(some)), width)
             trial = np.arange(cells) - base[owner_of] + part * groups[some][owner_of]
-            label = (trial + (band[some][owner_of] << 32) + (top << 48)).astype(np.uint64) * np.uint64(3)
+            label = (trial + (band[some][owner_of] << 32)).astype(np.uint64) * np.uint64(3)
             for k in range(3):
                 full = count.sum(axis=1) - count[:, k] > 0
                 content = total.sum(axis=1, dtype=np.uint64) - total[:, k]
@@ -246,7 +278,7 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
-    """(signature, node) of every set; equal sets of a block give theirs once."""
+    """(signature, node, code, rare) of every set; equal sets of a block give theirs once. ``rare``: thousandths not dropped."""
     levels = frequency_levels(docs, n)
     place = np.flatnonzero(levels)
     sent = docs.sparkSession.sparkContext.broadcast((place.astype(np.int32), levels[place]))
@@ -257,10 +289,31 @@ def signatures(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
         for batch in batches:
             for _, _, sets in _blocks(batch.column("text"), n):
                 _, first = np.unique(sets.node, return_index=True)
-                found, row = sets.signatures(similarity, first, known)
-                yield pa.RecordBatch.from_pydict({"signature": pa.array(found.view(np.int64)), "node": pa.array(sets.node[row])})
+                found, row, code = sets.signatures(similarity, first, known)
+                yield pa.RecordBatch.from_pydict({"signature": pa.array(found.view(np.int64)), "node": pa.array(sets.node[row]), "code": pa.array(code.astype(np.int32)), "rare": pa.array(sets.rare(known)[row].astype(np.int32))})
+
+    return docs.select("text").mapInArrow(read, "signature long, node long, code int, rare int")
+
+
+def shared_signatures(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
+    """Those rows of ``signatures`` by which a pair can come about, each once."""
+    group = Window.partitionBy("signature")
+    free = (F.col("code") == 0) | (F.col("code") % 2 == 1)
+    found = signatures(docs, n, similarity).withColumns({"_low": F.min("node").over(group), "_high": F.max("node").over(group), "_free": F.max(free).over(group)})
+    return found.filter("_low < _high AND _free").dropDuplicates(["signature", "node"]).drop("_low", "_high", "_free")
 
-    return docs.select("text").mapInArrow(read, "signature long, node long")
+
+def pairs_of(pivots: DataFrame, members: DataFrame, similarity: Fraction) -> DataFrame:
+    """Distinct (a, b): a pivot and a later member of a group of its signature, in another component, that may be linked.
+
+    Of both: signature, node, label, code, size and place in the group (_rank). One of two
+    must be free to pair, and the places of one-element signatures within what the two sizes allow."""
+    num, den = similarity.numerator, similarity.denominator
+    one = pivots.select("signature", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "code", "size", "_rank")])
+    free = "(code % 2 = 1 OR code_a % 2 = 1 OR code = 0)"
+    within = " AND ".join(f"{num + den} * (size{x} - IF(code{x} = 0, 0, (code{x} - 2) DIV 2)) >= {num} * (size + size_a)" for x in ("", "_a"))
+    both = one.join(members, "signature").filter(f"_rank_a < _rank AND label_a <> label AND {free} AND {within}")
+    return both.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _node_filter(wanted: DataFrame) -> np.ndarray:
@@ -342,64 +395,74 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         moved = now.join(near, now.node == near.a, "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
         moved = staged(moved, "moved")
         jump = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        now = staged(moved.join(jump, "label").select("node", F.col("to").alias("label"), "old"), "labels")
-        if not now.filter("label <> old").limit(1).count():
+        jumped = staged(moved.join(jump, "label").select("node", F.col("to").alias("label"), (F.col("to") != F.col("old")).alias("turned")), "labels")
+        unstaged(now, moved)
+        now = jumped
+        if not now.filter("turned").limit(1).count():
             break
-        now = now.select("node", "label")
-    if labels is None:
-        return now.select("node", "label")
-    alone = labels.join(now.select("node"), "node", "left_anti")
-    return staged(now.select("node", "label").unionByName(alone.select("node", "label")), "labels")
+    found = now.select("node", "label")
+    if labels is not None:
+        found = found.unionByName(labels.join(found.select("node"), "node", "left_anti").select("node", "label"))
+    out = staged(found, "labels")
+    unstaged(now, links)
+    return out
 
 
 def linked(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     """doc_id, mark, n_shingles, label of every row: equal labels are connected (null: no words)."""
+    ship_package(docs.sparkSession)
     rows = staged(nodes(docs, n), "nodes")
-    group = Window.partitionBy("signature")
-    shared = signatures(docs, n, similarity).withColumns({"_low": F.min("node").over(group), "_high": F.max("node").over(group)})
-    shared = staged(shared.filter("_low < _high").groupBy("signature", "node").agg(F.min("_low").alias("_low")), "shared").select("signature", "node")
+    shared = staged(shared_signatures(docs, n, similarity), "shared")
     sketches = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     sketches = staged(sketches.join(shared.select("node").distinct(), "node", "left_semi"), "sketches")
+    order = Window.partitionBy("signature").orderBy("rare", "node")
+    sized = shared.join(sketches.select("node", "size"), "node").withColumn("_rank", F.row_number().over(order))
+    ranked = staged(sized.drop("rare"), "ranked")
+    unstaged(shared)
     close = _may_link(similarity)
-    labels = tested = texts = None
+    labels = staged(ranked.select("node", F.col("node").alias("label")).limit(0), "labels")
+    tested: list[DataFrame] = []
+    texts: list[DataFrame] = []
     covered = turn = 0
-    open_groups = shared.withColumn("label", F.col("node"))
+    members = ranked.withColumn("label", F.col("node"))
     while True:
         more = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        ranked = open_groups.withColumn("_rank", F.row_number().over(group.orderBy("node")))
-        pivots = ranked.filter((F.col("_rank") > covered) & (F.col("_rank") <= covered + more))
-        pivots = pivots.select("signature", F.col("node").alias("a"), F.col("label").alias("_la"))
-        pairs = pivots.join(open_groups, "signature").filter("a < node AND _la <> label")
-        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs_of(members.filter((F.col("_rank") > covered) & (F.col("_rank") <= covered + more)), members, similarity)
+        for earlier in tested:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested.append(pairs)
         sides = {x: sketches.withColumnsRenamed({"node": x, "size": f"size_{x}", "sketch": f"sketch_{x}"}) for x in "ab"}
         likely = pairs.join(sides["a"], "a").join(sides["b"], "b").filter(close("size_a", "size_b", "sketch_a", "sketch_b"))
         likely = staged(likely.select("a", "b"), "likely")
         if turn:  # all that the open groups can still ask for: later rounds need no further scan
-            wanted = open_groups.select("node").distinct().join(sketches, "node", "left_semi")
+            wanted = members.select("node").distinct()
         else:
             wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if texts is not None:  # those of an earlier round are there
-            wanted = wanted.join(texts.select("node"), "node", "left_anti")
+        for earlier in texts:  # those of an earlier round are there
+            wanted = wanted.join(earlier.select("node"), "node", "left_anti")
         wanted = staged(wanted, "wanted")
-        if wanted.limit(1).count():
-            more_texts = staged(texts_of(docs, wanted, n), "texts")
-            texts = more_texts if texts is None else texts.unionByName(more_texts).dropDuplicates(["node"])
-        if texts is not None and likely.limit(1).count():
-            labels = components(staged(verified(likely, texts, n, similarity), "edges"), labels)
+        if likely.limit(1).count():
+            if wanted.limit(1).count():
+                texts.append(staged(texts_of(docs, wanted, n), "texts"))
+            known = reduce(DataFrame.unionByName, texts).dropDuplicates(["node"])
+            edges = staged(verified(likely, known, n, similarity), "edges")
+            labels, old = components(edges, labels), labels
+            unstaged(edges, old)
+        unstaged(wanted, likely)
         covered, turn = covered + more, turn + 1
-        # groups with members that aren't connected and aren't all compared with each other
-        if labels is None:
-            labels = staged(shared.select("node", F.col("node").alias("label")).limit(0), "labels")
-        labelled = shared.join(labels, "node", "left").select("signature", "node", F.coalesce("label", "node").alias("label"))
-        sizes = labelled.groupBy("signature").agg(F.count("*").alias("_n"), F.min("label").alias("_x"), F.max("label").alias("_y"))
-        rest = sizes.filter((F.col("_x") < F.col("_y")) & (F.col("_n") > covered + 1)).select("signature")
-        open_groups = staged(labelled.join(rest, "signature"), "open")
-        if not open_groups.limit(1).count():
+        # groups with members that aren't connected and haven't all met: each pair has a free member, and free ones come first
+        labelled = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        free = F.count_if((F.col("code") == 0) | (F.col("code") % 2 == 1))
+        sizes = labelled.groupBy("signature").agg(F.count("*").alias("_n"), free.alias("_free"), F.min("label").alias("_x"), F.max("label").alias("_y"))
+        rest = sizes.filter((F.col("_x") < F.col("_y")) & (F.col("_n") > covered + 1) & (F.col("_free") > covered)).select("signature")
+        after = staged(labelled.join(rest, "signature"), "open")
+        if turn > 1:
+            unstaged(members)
+        members = after
+        if not members.limit(1).count():
             break
+    unstaged(members, ranked, sketches, *tested, *texts)
     named = rows.select("doc_id", "mark", "n_shingles", "node").join(labels, "node", "left")
     return named.select("doc_id", "mark", "n_shingles", F.coalesce("label", "node").alias("label"))
 
