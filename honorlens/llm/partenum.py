@@ -278,7 +278,11 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
-    """(signature, node, code, rare) of every set; equal sets of a block give theirs once. ``rare``: thousandths not dropped."""
+    """(signature, node, single) of every set; equal sets of a block give theirs once.
+
+    ``single`` is null for signatures of groups of shingles, so that most rows are two numbers;
+    else the code (see Sets.signatures) times 1024 and the thousandths of the set that aren't dropped.
+    """
     levels = frequency_levels(docs, n)
     place = np.flatnonzero(levels)
     sent = docs.sparkSession.sparkContext.broadcast((place.astype(np.int32), levels[place]))
@@ -290,21 +294,24 @@ def signatures(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
             for _, _, sets in _blocks(batch.column("text"), n):
                 _, first = np.unique(sets.node, return_index=True)
                 found, row, code = sets.signatures(similarity, first, known)
-                yield pa.RecordBatch.from_pydict({"signature": pa.array(found.view(np.int64)), "node": pa.array(sets.node[row]), "code": pa.array(code.astype(np.int32)), "rare": pa.array(sets.rare(known)[row].astype(np.int32))})
+                single = pa.array(code * 1024 + sets.rare(known)[row], pa.int64(), mask=code == 0)
+                yield pa.RecordBatch.from_pydict({"signature": pa.array(found.view(np.int64)), "node": pa.array(sets.node[row]), "single": single})
 
-    return docs.select("text").mapInArrow(read, "signature long, node long, code int, rare int")
+    return docs.select("text").mapInArrow(read, "signature long, node long, single long")
 
 
 def shared_signatures(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
-    """Those rows of ``signatures`` by which a pair can come about, each once."""
+    """(signature, node, code, rare): those rows of ``signatures`` by which a pair can come about, each once; rare is 0 with code 0."""
     group = Window.partitionBy("signature")
-    free = (F.col("code") == 0) | (F.col("code") % 2 == 1)
+    free = F.col("single").isNull() | (F.shiftright("single", 10) % 2 == 1)
     found = signatures(docs, n, similarity).withColumns({"_low": F.min("node").over(group), "_high": F.max("node").over(group), "_free": F.max(free).over(group)})
-    return found.filter("_low < _high AND _free").dropDuplicates(["signature", "node"]).drop("_low", "_high", "_free")
+    once = found.filter("_low < _high AND _free").dropDuplicates(["signature", "node"])
+    code, rare = F.shiftright("single", 10), F.col("single").bitwiseAND(F.lit(1023))
+    return once.select("signature", "node", F.coalesce(code, F.lit(0)).cast("int").alias("code"), F.coalesce(rare, F.lit(0)).cast("int").alias("rare"))
 
 
 def pairs_of(pivots: DataFrame, members: DataFrame, similarity: Fraction) -> DataFrame:
-    """Distinct (a, b): a pivot and a later member of a group of its signature, in another component, that may be linked.
+    """Distinct (a, b), a < b: a pivot and a later member of a group of its signature, in another component, that may be linked.
 
     Of both: signature, node, label, code, size and place in the group (_rank). One of two
     must be free to pair, and the places of one-element signatures within what the two sizes allow."""
@@ -313,7 +320,7 @@ def pairs_of(pivots: DataFrame, members: DataFrame, similarity: Fraction) -> Dat
     free = "(code % 2 = 1 OR code_a % 2 = 1 OR code = 0)"
     within = " AND ".join(f"{num + den} * (size{x} - IF(code{x} = 0, 0, (code{x} - 2) DIV 2)) >= {num} * (size + size_a)" for x in ("", "_a"))
     both = one.join(members, "signature").filter(f"_rank_a < _rank AND label_a <> label AND {free} AND {within}")
-    return both.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+    return both.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
 
 
 def _node_filter(wanted: DataFrame) -> np.ndarray:
