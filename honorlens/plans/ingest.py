@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles
 from ..sources import nested as N
 from ..session import ensure_checkpoint_dir
 from ..sources.facts import holders, order_facts
+from ..sources.json_array import read_array
 from ..sources.sinks import write_reports
 from ..sources.tables import read_first_available, read_table, table_path
 from .registry import query
@@ -109,6 +111,27 @@ def q_files(spark, sf_dir):
     return _flat(N.read_documents(spark, folder, lines=True))
 
 
+def _write_array_files(documents, folder, shards):
+    """Each shard's records as one JSON document: a file with one array, and other keys around it."""
+    record = F.get_json_object("json", f"$.{N.RECORDS_FIELD}[0]")
+    own = documents.select(F.pmod(F.xxhash64("json"), F.lit(shards)).alias("shard"), F.lit(1).alias("part"), record.alias("value"))
+    number = F.row_number().over(Window.partitionBy("shard").orderBy("value"))
+    body = own.withColumn("value", F.concat(F.when(number > 1, F.lit(",")).otherwise(F.lit("")), "value"))
+    frame = own.groupBy("shard").agg(F.count("*").alias("n"))
+    head = frame.select("shard", F.lit(0).alias("part"), F.concat(F.lit('{"meta": {"count": '), F.col("n").cast("string"), F.lit(f', "note": "[}}\\\""}}, "{N.RECORDS_FIELD}": [')).alias("value"))
+    foot = frame.select("shard", F.lit(2).alias("part"), F.lit('], "links": [{"next": null}]}').alias("value"))
+    lines = body.unionByName(head).unionByName(foot).repartition("shard").sortWithinPartitions("shard", "part", F.ltrim(F.col("value"), F.lit(",")))
+    lines.select("shard", "value").write.partitionBy("shard").text(folder)
+
+
+@query("document_array_flatten", NESTED_SQL)
+def q_array_files(spark, sf_dir):
+    """A few large files, each one JSON document with one array of records, read by byte ranges."""
+    folder = f"{ensure_checkpoint_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    _write_array_files(order_documents(spark, sf_dir).select("json"), folder, 8)
+    return _flat(read_array(spark, folder, N.RECIPIENT, N.RECORDS_FIELD, range_bytes=1 << 20))
+
+
 @query("first_available_source", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def q_first_source(spark, sf_dir):
     """S3: the first of several sources that resolves is read."""
