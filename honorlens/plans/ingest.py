@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles
 from ..sources import nested as N
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialised
+from ..sources import paged
 from ..sources.facts import holders, order_facts
 from ..sources.json_array import read_array
 from ..sources.sinks import write_reports
@@ -111,27 +112,57 @@ def q_files(spark, sf_dir):
     return _flat(N.read_documents(spark, folder, lines=True))
 
 
-def _write_array_files(documents, folder, shards):
-    """Each shard's records as one JSON document: a file with one array, and other keys around it."""
-    record = F.get_json_object("json", f"$.{N.RECORDS_FIELD}[0]")
-    own = documents.select(F.pmod(F.xxhash64("json"), F.lit(shards)).alias("shard"), F.lit(1).alias("part"), record.alias("value"))
+def _write_array_files(records, folder, before, after):
+    """``records`` (shard, value: JSON): a file a shard, one document with one array between the texts ``before`` and ``after``."""
+    own = records.select("shard", F.lit(1).alias("part"), "value")
     number = F.row_number().over(Window.partitionBy("shard").orderBy("value"))
     body = own.withColumn("value", F.concat(F.when(number > 1, F.lit(",")).otherwise(F.lit("")), "value"))
-    frame = own.groupBy("shard").agg(F.count("*").alias("n"))
-    head = frame.select("shard", F.lit(0).alias("part"), F.concat(F.lit('{"meta": {"count": '), F.col("n").cast("string"), F.lit(f', "note": "[}}\\\""}}, "{N.RECORDS_FIELD}": [')).alias("value"))
-    foot = frame.select("shard", F.lit(2).alias("part"), F.lit('], "links": [{"next": null}]}').alias("value"))
-    lines = body.unionByName(head).unionByName(foot).repartition("shard").sortWithinPartitions("shard", "part", F.ltrim(F.col("value"), F.lit(",")))
+    shards = own.groupBy("shard").agg(F.count("*").alias("n"))
+    ends = [shards.select("shard", F.lit(part).alias("part"), text.alias("value")) for part, text in ((0, before), (2, after))]
+    lines = body.unionByName(ends[0]).unionByName(ends[1]).repartition("shard").sortWithinPartitions("shard", "part", F.ltrim(F.col("value"), F.lit(",")))
     lines.select("shard", "value").write.partitionBy("shard").text(folder)
 
 
+def _records(spark, sf_dir):
+    return order_documents(spark, sf_dir).select(F.get_json_object("json", f"$.{N.RECORDS_FIELD}[0]").alias("value"))
+
+
 @query("document_array_flatten", NESTED_SQL)
 def q_array_files(spark, sf_dir):
     """A few large files, each one JSON document with one array of records, read by byte ranges."""
     folder = f"{ensure_checkpoint_dir(spark)}/arrays-{uuid.uuid4().hex}"
-    _write_array_files(order_documents(spark, sf_dir).select("json"), folder, 8)
+    records = _records(spark, sf_dir).withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(8)))
+    before = F.concat(F.lit('{"meta": {"count": '), F.col("n").cast("string"), F.lit(f', "note": "[}}\\\""}}, "{N.RECORDS_FIELD}": ['))
+    _write_array_files(records, folder, before, F.lit('], "links": [{"next": null}]}'))
     return _flat(read_array(spark, folder, N.RECIPIENT, N.RECORDS_FIELD, range_bytes=1 << 20))
 
 
+PAGES, STRIDE = 40, 7
+
+
+@query("paged_source", f"""
+SELECT 'mirror' AS source, CAST(p.position AS BIGINT) AS position, CAST(p.page AS VARCHAR) AS page, count(*) AS n_records, CAST(sum(o_custkey) AS BIGINT) AS sum_id
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT range AS position, range * {STRIDE} % {PAGES} AS page FROM range({PAGES})) p ON p.page = o_custkey % {PAGES}
+GROUP BY ALL
+""")
+def q_paged(spark, sf_dir):
+    """Linked pages; of three sources the first lacks a page, the second has a torn one, and the third is read."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    page = F.pmod(F.get_json_object("value", "$.id").cast("long"), F.lit(PAGES)).cast("int")
+    records = materialised(_records(spark, sf_dir).withColumn("shard", page))
+    before, last = F.lit(f'{{"{N.RECORDS_FIELD}": ['), (PAGES - 1) * STRIDE % PAGES
+    link = F.concat(F.lit('], "links": {"next": "'), ((F.col("shard") + STRIDE) % PAGES).cast("string"), F.lit('"}}'))
+    whole = F.when(F.col("shard") == last, F.lit('], "links": {}}')).otherwise(link)
+    torn = F.when(F.col("shard") == 5, F.lit('], "links": {"ne')).otherwise(whole)
+    for name, rows, after in (("gone", records.filter("shard <> 14"), whole), ("torn", records, torn), ("mirror", records, whole)):
+        _write_array_files(rows, f"{folder}/{name}", before, after)
+    sources = [paged.Paged(x, f"{folder}/{x}", "0", "regexp_extract(_metadata.file_path, 'shard=([0-9]+)', 1)") for x in ("gone", "torn", "mirror")]
+    manifest = records.groupBy(F.col("shard").cast("string").alias("page")).agg(F.count("*").alias("n_records"))
+    read = paged.read_pages(spark, sources, N.RECORDS_FIELD, N.RECIPIENT, manifest)
+    rows = paged.records_of(read, "source", "position", "page")
+    return rows.groupBy("source", "position", "page").agg(F.count("*").alias("n_records"), F.sum(F.col("id").cast("long")).alias("sum_id"))
+
+
 @query("first_available_source", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def q_first_source(spark, sf_dir):
     """S3: the first of several sources that resolves is read."""
