@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import tails
+from ..functions import rank_exact, tails
 from ..functions.scalar import non_null_keys
 from . import windows as W
 from .groups import rows_count
@@ -262,10 +262,15 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def rank_method() -> Column:
-    """How the reference finds the p-value of a row of ``mann_whitney``: exactly where a sample has
-    eight values at most and there are no ties ('exact_expected'; ours is asymptotic there too)."""
-    small = F.least("n1", "n2") <= 8
-    return F.when(small & (F.col("tie_term") == 0), F.lit("exact_expected")).otherwise(F.lit("asymptotic"))
+    """How the p-value of a row of ``mann_whitney`` is found: 'exact' where a sample has eight values at
+    most and there are no ties, else 'asymptotic'."""
+    return F.when(rank_exact.is_exact(F.col("n1"), F.col("n2"), F.col("tie_term")), F.lit("exact")).otherwise(F.lit("asymptotic"))
+
+
+def rank_p() -> Column:
+    """Two-sided p of a row of ``mann_whitney`` by its ``rank_method``."""
+    exact = rank_exact.is_exact(F.col("n1"), F.col("n2"), F.col("tie_term"))
+    return F.when(exact, rank_exact.exact_p(F.col("u_statistic"), F.col("n1"), F.col("n2"), exact)).otherwise(tails.normal_p(F.col("z")))
 
 
 def with_p_values(chi: DataFrame | None = None, mw: DataFrame | None = None, ols: DataFrame | None = None,
@@ -280,7 +285,7 @@ def with_p_values(chi: DataFrame | None = None, mw: DataFrame | None = None, ols
                                 tails.chi2_p(F.col("chi2_statistic"), F.col("dof")).alias("p_value")))
     if mw is not None:
         parts.append(mw.select(F.lit("mann_whitney").alias("test"), F.col("u_statistic").alias("statistic"),
-                               F.lit(None).cast("double").alias("dof"), tails.normal_p(F.col("z")).alias("p_value"),
+                               F.lit(None).cast("double").alias("dof"), rank_p().alias("p_value"),
                                rank_method().alias("method")))
     if ols is not None:
         parts.append(ols.select(F.lit("ols_slope").alias("test"), F.col("t_statistic").alias("statistic"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import round_doubles
 from ..operators import stats as S
 from ..sources.facts import award_facts, persons
+from ..sources.tables import read_table
 from .oracle_sql import with_fact
 from .registry import query
 
@@ -213,6 +214,27 @@ def q_sample(spark, sf_dir):
     return sample_rows(p.select("id", "award_year", "category", "age_at_award", "prize_amount"), 5000, seed=42)
 
 
+@query("rank_test_exact", """
+WITH RECURSIVE lines AS (SELECT l_orderkey, l_linenumber % 2 = 1 AS s1, l_extendedprice AS v FROM lineitem),
+fit AS (SELECT l_orderkey, count(*) FILTER (s1) AS n1, count(*) FILTER (NOT s1) AS n2 FROM lines GROUP BY l_orderkey
+        HAVING count(DISTINCT v) = count(*) AND count(*) FILTER (s1) > 0 AND count(*) FILTER (NOT s1) > 0),
+tests AS (SELECT l_orderkey, n1, n2, count(*) FILTER (a.v > b.v) AS u FROM fit JOIN lines a USING (l_orderkey) JOIN lines b USING (l_orderkey)
+          WHERE a.s1 AND NOT b.s1 GROUP BY ALL),
+orders_of(n1, n2, u, c) AS (SELECT 0, 0, 0, 1::BIGINT UNION ALL
+    SELECT n1, n2, u, CAST(sum(c) AS BIGINT) FROM (SELECT n1 + 1 AS n1, n2, u + n2 AS u, c FROM orders_of WHERE n1 + n2 < 30
+                                     UNION ALL SELECT n1, n2 + 1, u, c FROM orders_of WHERE n1 + n2 < 30) GROUP BY n1, n2, u),
+tail AS (SELECT t.l_orderkey, t.n1, t.n2, t.u, sum(o.c) FILTER (o.u >= greatest(t.u, t.n1 * t.n2 - t.u)) / sum(o.c) AS p
+         FROM tests t JOIN orders_of o ON o.n1 = t.n1 AND o.n2 = t.n2 GROUP BY ALL)
+SELECT l_orderkey, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, CAST(u AS DOUBLE) AS u_statistic, 'exact' AS method, round(least(1.0, 2 * p), 6) AS p_value FROM tail
+""")
+def q_rank_exact(spark, sf_dir):
+    """A5: a rank-sum test an order (prices of its odd lines against the even ones), those with an exact p."""
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    tests = S.mann_whitney(lines, "l_extendedprice", F.col("l_linenumber") % 2 == 1, ["l_orderkey"])
+    out = tests.select("l_orderkey", "n1", "n2", "u_statistic", S.rank_method().alias("method"), S.rank_p().alias("p_value"))
+    return round_doubles(out.filter("method = 'exact'"))
+
+
 @query("insight_facts")
 def q_insights(spark, sf_dir):
     """The scalars quoted by the insight texts, in one row: leading country and
@@ -229,7 +251,7 @@ def q_insights(spark, sf_dir):
     ext = G.extreme_rows(p)
     chi, mw, ols, dist = fused_tests(person_cube(spark, sf_dir))
     chi = chi.select("chi2_statistic", tails.chi2_p(F.col("chi2_statistic"), F.col("dof")).alias("chi2_p"))
-    mw = mw.select(F.col("u_statistic").alias("mw_u"), tails.normal_p(F.col("z")).alias("mw_p"), S.rank_method().alias("mw_method"))
+    mw = mw.select(F.col("u_statistic").alias("mw_u"), S.rank_p().alias("mw_p"), S.rank_method().alias("mw_method"))
     ols = ols.select("slope", "r_squared", "slope_per_decade",
                      tails.t_p(F.col("t_statistic"), F.col("dof")).alias("ols_p"))
     dist = dist.select(F.col("mean").alias("age_mean"), F.col("median").alias("age_median"),

@@ -161,7 +161,33 @@ def test_rank_p_says_where_the_reference_takes_the_exact_one(spark):
         return {r["test"]: r["method"] for r in rows}
 
     small, large = [float(v) for v in range(8)], [100.0 + v for v in range(9)]
-    assert method(small, large) == {"chi_squared": None, "mann_whitney": "exact_expected"}
-    assert method(large, small)["mann_whitney"] == "exact_expected"
+    assert method(small, large) == {"chi_squared": None, "mann_whitney": "exact"}
+    assert method(large, small)["mann_whitney"] == "exact"
     assert method([*small, 8.0], large)["mann_whitney"] == "asymptotic"
     assert method([*small[:7], 100.0], large)["mann_whitney"] == "asymptotic"  # a tie
+
+
+def test_exact_rank_p_is_the_counted_one():
+    from itertools import combinations
+    from fractions import Fraction
+
+    from honorlens.functions import rank_exact as R
+
+    for m, n in ((1, 1), (1, 6), (2, 3), (3, 3), (4, 7), (5, 5), (8, 4), (8, 8)):
+        us = [sum(r for r in c) - m * (m - 1) // 2 for c in combinations(range(m + n), m)]
+        for u in range(m * n + 1):
+            upper = Fraction(sum(x >= max(u, m * n - u) for x in us), len(us))
+            assert R.two_sided(u, m, n) == float(min(1, 2 * upper)), (m, n, u)
+    # hand-computed: all of three below all of four, 2 / C(7, 3); two of a million: 4 orders of C(10^6 + 2, 2)
+    assert R.two_sided(0, 3, 4) == 2 / 35
+    assert R.two_sided(1, 2, 10**6) == 4 / ((10**6 + 2) * (10**6 + 1) // 2)
+    assert abs(R.two_sided(4 * 10**6, 8, 10**6) - 1.0) < 1e-5  # the centre of the distribution
+
+
+def test_small_tests_without_ties_are_exact(spark):
+    rows = [("a", 1.0, True), ("a", 2.0, True), ("a", 3.0, False), ("a", 4.0, False), ("a", 5.0, False)]
+    rows += [("tied", 1.0, True), ("tied", 1.0, False), ("one", 1.0, True)] + [("large", float(i), i % 2 == 0) for i in range(30)]
+    out = S.mann_whitney(spark.createDataFrame(rows, "g string, v double, s boolean"), "v", F.col("s"), ["g"])
+    got = {r.g: (r.method, r.p) for r in out.select("g", S.rank_method().alias("method"), S.rank_p().alias("p")).collect()}
+    assert got["a"] == ("exact", 0.2)  # 2 / C(5, 2)
+    assert {g: m for g, (m, _) in got.items()} == {"a": "exact", "tied": "asymptotic", "one": "asymptotic", "large": "asymptotic"}
