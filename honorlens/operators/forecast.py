@@ -41,37 +41,73 @@ def _dot(window: Column, weights: Column, length: int) -> Column:
                        lambda acc, x: acc + x)
 
 
-def fit_ar(windows_df: DataFrame, length: int, ridge: float = 1e-8) -> DataFrame:
-    """FC2: per-series least squares z_t ≈ w·window_t + b (MSE loss).
-    Returns series_id, weights (array, oldest lag first), bias, train_mse."""
-
-    # the normal equations are sums: added up by Spark, one row a series is solved
+def _normal_sums(windows_df: DataFrame, length: int) -> DataFrame:
+    """series_id and the sums of its normal equations: the lower triangle of XᵀX row by row (a 1 as
+    the last column of X), Xᵀy and yᵀy. One row a series; all that fitting needs of the data."""
     x = [F.col("window")[i] for i in range(length)] + [F.lit(1.0)]
     y = F.col("z")
     sums = [F.sum(x[i] * x[j]) for i in range(length + 1) for j in range(i + 1)] + [F.sum(a * y) for a in x] + [F.sum(y * y)]
     per = windows_df.groupBy("series_id").agg(*[s.alias(f"_s{i}") for i, s in enumerate(sums)])
+    return per.select("series_id", F.array(*[F.col(f"_s{i}").cast("double") for i in range(len(sums))]).alias("sums"))
+
+
+def _equations(flat, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XᵀX, Xᵀy and yᵀy of each row of ``flat`` (rows of _normal_sums)."""
+    lower = np.tril_indices(length + 1)
+    m = np.zeros((len(flat), length + 1, length + 1))
+    m[:, lower[0], lower[1]] = m[:, lower[1], lower[0]] = flat[:, : len(lower[0])]
+    return m, flat[:, len(lower[0]) : -1], flat[:, -1]
+
+
+def fit_ar(windows_df: DataFrame, length: int, ridge: float = 1e-8) -> DataFrame:
+    """FC2: per-series least squares z_t ≈ w·window_t + b (MSE loss).
+    Returns series_id, weights (array, oldest lag first), bias, train_mse."""
 
     @F.pandas_udf("weights array<double>, bias double, train_mse double")
     def solve(rows: pd.Series) -> pd.DataFrame:
-        lower, out = np.tril_indices(length + 1), []
+        out = []
         for flat in rows:
             flat = np.asarray(flat, dtype=float)
             if np.isnan(flat).any():
                 out.append((None, None, None))
                 continue
-            m = np.zeros((length + 1, length + 1))
-            m[lower] = flat[: len(lower[0])]
-            m = m + np.tril(m, -1).T
-            xy, yy = flat[len(lower[0]) : -1], flat[-1]
+            (m,), (xy,), (yy,) = _equations(flat[None], length)
             coef = np.linalg.solve(m + ridge * np.eye(length + 1), xy)
             loss = max(0.0, yy - 2 * coef @ xy + coef @ m @ coef) / m[-1, -1]
             out.append((coef[:length].tolist(), float(coef[length]), float(loss)))
         return pd.DataFrame(out, columns=["weights", "bias", "train_mse"])
 
-    fit = per.select("series_id", solve(F.array(*[F.col(f"_s{i}").cast("double") for i in range(len(sums))])).alias("m"))
+    fit = _normal_sums(windows_df, length).select("series_id", solve("sums").alias("m"))
     return fit.select("series_id", "m.weights", "m.bias", "m.train_mse")
 
 
+def loss_history(windows_df: DataFrame, length: int, epochs: int) -> DataFrame:
+    """FC5: series_id, epoch (1, 2, ...), loss: the mean squared error after each epoch of full-batch
+    gradient descent from zero weights, for all series at once.
+
+    The gradient of an epoch is a function of the sums of the normal equations, so the data is
+    summed up once and the epochs run over one row a series. A step is the gradient over twice the
+    trace of XᵀX / n, which no eigenvalue exceeds: the loss never rises, and falls to that of the
+    least-squares fit. A series with a null or NaN among its values has no losses."""
+
+    @F.pandas_udf("array<double>")
+    def train(rows: pd.Series) -> pd.Series:
+        flat = np.array([np.asarray(r, dtype=float) for r in rows]).reshape(len(rows), -1)
+        good = ~np.isnan(flat).any(axis=1)
+        m, xy, yy = _equations(flat[good], length)
+        trace = np.trace(m, axis1=1, axis2=2)[:, None]
+        weights, losses = np.zeros_like(xy), np.empty((len(xy), epochs))
+        for epoch in range(epochs):
+            weights = weights - (np.einsum("sij,sj->si", m, weights) - xy) / trace
+            losses[:, epoch] = (yy - 2 * (weights * xy).sum(axis=1) + np.einsum("si,sij,sj->s", weights, m, weights)) / m[:, -1, -1]
+        out = pd.Series([None] * len(rows), dtype=object)
+        out[good] = pd.Series(list(np.maximum(losses, 0.0)), index=np.flatnonzero(good), dtype=object)
+        return out
+
+    trained = _normal_sums(windows_df, length).select("series_id", F.posexplode(train("sums")).alias("epoch", "loss"))
+    return trained.select("series_id", (F.col("epoch") + 1).alias("epoch"), "loss")
+
+
 def fitted(windows_df: DataFrame, models: DataFrame, length: int) -> DataFrame:
     """FC3: in-sample one-step predictions, de-normalised (·std + mean)."""
     j = windows_df.join(models, "series_id")

@@ -6,6 +6,7 @@ windows) is checked against DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles
@@ -13,6 +14,7 @@ from ..operators import forecast as FC
 from ..operators.groups import with_scalar
 from ..operators import learn as L
 from ..operators import topics as TP
+from ..operators import windows as W
 from ..sources.facts import award_facts, persons, text_facts
 from ..sources.tables import read_table
 from .oracle_sql import with_fact
@@ -204,14 +206,82 @@ YEARLY_LAGS, YEARLY_HORIZON = 2, 10
 YEARLY_RIDGE = 1.0  # 5 training windows per series: shrink the AR weights so forecasts stay bounded
 
 
-@query("yearly_prize_forecast")
-def q_yearly_forecast(spark, sf_dir):
-    """FC1-FC5 on the reference's own series — fact rows per award year — for all
-    recipients and for each category at once (one AR model per series)."""
+def _series_sql(series: str) -> str:
+    """z-scores, lag windows of two values, and the least-squares AR(2) of each series by Cramer's rule, as CTEs on ``s``."""
+    det = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+    rows, y = [["aa", "ab", "a"], ["ab", "bb", "b"], ["a", "b", "n"]], ["qa", "qb", "qy"]
+    put = lambda k: det(*[[y[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)])
+    return f"""s AS ({series}),
+z AS (SELECT *, avg(value) OVER g AS mu, stddev_pop(value) OVER g AS sd, (value - avg(value) OVER g) / stddev_pop(value) OVER g AS z FROM s WINDOW g AS (PARTITION BY series_id)),
+w AS (SELECT * FROM (SELECT *, lag(z, 2) OVER g AS l2, lag(z, 1) OVER g AS l1 FROM z WINDOW g AS (PARTITION BY series_id ORDER BY t)) WHERE l2 IS NOT NULL),
+sums AS (SELECT series_id, sum(l2 * l2) AS aa, sum(l2 * l1) AS ab, sum(l2) AS a, sum(l1 * l1) AS bb, sum(l1) AS b, CAST(count(*) AS DOUBLE) AS n,
+                sum(l2 * z) AS qa, sum(l1 * z) AS qb, sum(z) AS qy, sum(z * z) AS yy FROM w GROUP BY series_id),
+ridged AS (SELECT series_id, aa + {YEARLY_RIDGE} AS aa, ab, a, bb + {YEARLY_RIDGE} AS bb, b, n + {YEARLY_RIDGE} AS n, qa, qb, qy FROM sums),
+model AS (SELECT series_id, {put(0)} / {det(*rows)} AS w2, {put(1)} / {det(*rows)} AS w1, {put(2)} / {det(*rows)} AS w0 FROM ridged)"""
+
+
+YEARLY_SERIES = """SELECT series_id, award_year AS t, CAST(count(*) AS DOUBLE) AS value
+    FROM (SELECT category AS series_id, award_year FROM fact UNION ALL SELECT 'ALL', award_year FROM fact) WHERE award_year IS NOT NULL AND series_id IS NOT NULL GROUP BY ALL"""
+AHEAD = f"""last AS (SELECT series_id, max(t) AS last_t, max_by(z, t) AS z1, max_by(l1, t) AS z2, any_value(mu) AS mu, any_value(sd) AS sd FROM w GROUP BY series_id),
+ahead(series_id, step, z1, z2) AS (SELECT series_id, 0, z1, z2 FROM last UNION ALL
+    SELECT series_id, step + 1, w2 * z2 + w1 * z1 + w0, z1 FROM ahead JOIN model USING (series_id) WHERE step < {YEARLY_HORIZON}),
+forecasts AS (SELECT series_id, CAST(last_t + step AS INTEGER) AS t, 'forecast' AS kind, a.z1 * sd + mu AS value FROM ahead a JOIN last USING (series_id) WHERE step > 0)"""
+
+
+def _recursive(sql: str) -> str:
+    return with_fact(sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _yearly_series(spark, sf_dir):
     from ..sources.facts import order_facts
 
     f = order_facts(spark, sf_dir)
     overall = FC.period_counts(f, F.lit("ALL"), F.col("award_year"), weight="n_items")
-    per_cat = FC.period_counts(f, "category", F.col("award_year"), weight="n_items")
-    out = FC.forecast_series(overall.unionByName(per_cat), YEARLY_LAGS, YEARLY_HORIZON, ridge=YEARLY_RIDGE)
+    return overall.unionByName(FC.period_counts(f, "category", F.col("award_year"), weight="n_items"))
+
+
+@query("yearly_prize_forecast", _recursive(f"""WITH {_series_sql(YEARLY_SERIES)}, {AHEAD}
+SELECT series_id, t, 'actual' AS kind, value FROM w
+UNION ALL SELECT series_id, t, 'fitted', round((w2 * l2 + w1 * l1 + w0) * sd + mu, 6) FROM w JOIN model USING (series_id)
+UNION ALL SELECT series_id, t, kind, round(value, 6) FROM forecasts"""))
+def q_yearly_forecast(spark, sf_dir):
+    """FC1-FC5 on the reference's own series — fact rows per award year — for all
+    recipients and for each category at once (one AR model per series)."""
+    out = FC.forecast_series(_yearly_series(spark, sf_dir), YEARLY_LAGS, YEARLY_HORIZON, ridge=YEARLY_RIDGE)
     return round_doubles(out)
+
+
+@query("yearly_trend_verdict", _recursive(f"""WITH {_series_sql(YEARLY_SERIES)}, {AHEAD}
+SELECT series_id, round(min_by(value, t), 6) AS first, round(max_by(value, t), 6) AS last,
+       CASE WHEN abs(max_by(value, t) - min_by(value, t)) < 3 THEN 'relatively stable' ELSE 'changing' END AS verdict FROM forecasts GROUP BY series_id"""))
+def q_yearly_verdict(spark, sf_dir):
+    """Trend verdict of the yearly forecasts."""
+    return round_doubles(FC.trend_verdict(FC.forecast_series(_yearly_series(spark, sf_dir), YEARLY_LAGS, YEARLY_HORIZON, ridge=YEARLY_RIDGE)))
+
+
+@query("last_windows", f"""
+WITH s AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS t, CAST(count(*) AS DOUBLE) AS value FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+z AS (SELECT *, (value - avg(value) OVER g) / stddev_pop(value) OVER g AS z, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS r, count(*) OVER g AS n FROM s WINDOW g AS (PARTITION BY series_id))
+SELECT series_id, {SERIES_LAGS} - r AS place, strftime(t, '%Y-%m-%d') AS t, round(z, 6) AS z FROM z WHERE r <= {SERIES_LAGS} AND n >= {SERIES_LAGS}
+""")
+def q_last_windows(spark, sf_dir):
+    """The window that a forecast starts from, a row a place."""
+    last = FC._last_window(W.zscore(_event_series(spark, sf_dir), "series_id", "value", "z"), SERIES_LAGS)
+    back = last.select("series_id", "last_t", F.posexplode("last").alias("place", "z"))
+    days = _event_series(spark, sf_dir).select("series_id", "t")
+    place = (F.lit(SERIES_LAGS) - F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("t")))).alias("place")
+    return round_doubles(back.join(days.select("series_id", "t", place), ["series_id", "place"]).select("series_id", "place", F.date_format("t", "yyyy-MM-dd").alias("t"), "z"))
+
+
+EPOCHS = 60
+
+
+@query("forecast_loss_history", _recursive(f"""WITH {_series_sql(YEARLY_SERIES)},
+steps(series_id, epoch, v2, v1, v0) AS (SELECT series_id, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM sums UNION ALL
+    SELECT series_id, epoch + 1, v2 - (aa * v2 + ab * v1 + a * v0 - qa) / (aa + bb + n), v1 - (ab * v2 + bb * v1 + b * v0 - qb) / (aa + bb + n),
+           v0 - (a * v2 + b * v1 + n * v0 - qy) / (aa + bb + n) FROM steps JOIN sums USING (series_id) WHERE epoch < {EPOCHS})
+SELECT series_id, epoch, round((yy - 2 * (v2 * qa + v1 * qb + v0 * qy) + v2 * (aa * v2 + ab * v1 + a * v0) + v1 * (ab * v2 + bb * v1 + b * v0) + v0 * (a * v2 + b * v1 + n * v0)) / n, 6) AS loss
+FROM steps JOIN sums USING (series_id) WHERE epoch > 0"""))
+def q_loss_history(spark, sf_dir):
+    """FC5: training loss of the yearly series by epoch."""
+    return round_doubles(FC.loss_history(FC.windowed(_yearly_series(spark, sf_dir), YEARLY_LAGS), YEARLY_LAGS, EPOCHS))

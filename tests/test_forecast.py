@@ -46,3 +46,19 @@ def test_integer_periods_forecast_years(spark):
     assert years == [2012, 2013, 2014, 2015]
     vals = [r["value"] for r in out.filter(F.col("kind") == "forecast").collect()]
     assert all(5 < v < 15 for v in vals)
+
+
+def test_loss_falls_to_that_of_the_fit(spark):
+    import math
+
+    rows = [(s, t, float(v)) for s, f in (("wave", lambda t: 10 + 3 * math.sin(t)), ("trend", lambda t: t + (t * 7) % 5)) for t, v in ((t, f(t)) for t in range(40))]
+    rows += [("flat", t, 5.0) for t in range(6)]  # no spread: its z-scores are null
+    win = FC.windowed(spark.createDataFrame(rows, "series_id string, t int, value double"), 3)
+    fit = {r.series_id: r.train_mse for r in FC.fit_ar(win, 3).collect()}
+    losses = {}
+    for r in FC.loss_history(win, 3, 3000).orderBy("series_id", "epoch").collect():
+        losses.setdefault(r.series_id, []).append(r.loss)
+    assert set(losses) == {"wave", "trend"} and {len(x) for x in losses.values()} == {3000}
+    for name, curve in losses.items():
+        assert all(a >= b - 1e-12 for a, b in zip(curve, curve[1:]))
+        assert abs(curve[-1] - fit[name]) < 1e-5
