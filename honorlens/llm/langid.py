@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 N = 4
 #: Labelled rows of each language that a model learns from, about (chosen by a hash of the id).
 SAMPLE_ROWS = 3000
@@ -107,6 +108,7 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = SLOTS) ->
     their whole texts. No usable row gives a model without languages. N-grams that occur
     once count for languages with less than ``ENOUGH`` n-grams.
     """
+    ship_package(rows.sparkSession)
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
@@ -167,6 +169,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A text whose n-grams no filter knows gets the language learned from most, score 0; of
     equal counts the language learned from more rows wins. Rows and other columns stay.
     """
+    ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks.astype(_smallest(len(model.languages))), model.chance()))
 
     @F.pandas_udf("lang string, score double")
@@ -198,8 +201,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             score[lo:hi][sure] = np.minimum(1, real.max(axis=0)[sure] / np.maximum(1, total[sure]))
         return pd.DataFrame({"lang": names, "score": score})
 
-    out = docs.withColumn("_best", best("text"))
-    return out.withColumns({"lang_pred": F.col("_best.lang"), "score": F.col("_best.score")}).drop("_best")
+    out = docs.select(F.struct("*").alias("row"), best("text").alias("best"))  # a struct: no column can clash
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return out.select(*own, F.col("best.lang").alias("lang_pred"), F.col("best.score").alias("score"))
 
 
 def _smallest(languages: int) -> type:

@@ -96,29 +96,36 @@ def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, batches: int = BA
     Lines end at \\n; a null or empty text is one empty line. A line is frequent when at
     least ``least_docs`` documents (rows; a repeated row counts again) have a line with its
     key; empty keys never are. Other lines stay, in order, joined by \\n. A null doc_id is a
-    value like any other. Columns of ``docs`` named like the new ones are replaced, others stay.
+    value like any other; texts of any length are split whole, and no rows give no rows. Columns
+    of ``docs`` named like the new ones are replaced, others stay, whatever their names.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    same = ["doc_id", "_mark"]  # rows that agree in both have the same lines
-    marked = docs.withColumn("_mark", F.xxhash64(text))
+    rows = docs.select(F.struct("*").alias("row"))  # a struct: no column of docs can clash
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    same = ["id", "mark"]  # rows that agree in both have the same lines
+    marked = rows.withColumns({"id": F.col("row.doc_id"), "mark": F.xxhash64(text)})
     hashes = F.array_distinct(F.filter(line_hashes(F.split(text, "\n")), lambda x: x.isNotNull()))
-    hashed = marked.select(*same, F.pmod(F.xxhash64(*same), F.lit(batches)).cast("int").alias("_batch"), hashes.alias("_hashes"))
-    hashed = staged(hashed.filter(F.size("_hashes") > 0), "line_hashes")
-    lines = hashed.select(*same, "_batch", F.explode("_hashes").alias("_h")).select(*same, "_batch", "_h.a", "_h.b")
+    hashed = marked.select(*same, F.pmod(F.xxhash64(*same), F.lit(batches)).cast("int").alias("batch"), hashes.alias("hashes"))
+    hashed = staged(hashed.filter(F.size("hashes") > 0), "line_hashes")
+    lines = hashed.select(*same, "batch", F.explode("hashes").alias("h")).select(*same, "batch", "h.a", "h.b")
     index = LineRuns(spark, least_docs)
-    for i in range(batches):
-        index.add(lines.filter(F.col("_batch") == i).select("a", "b"))
-    frequent = staged(index.frequent(), "frequent_lines")
-    index.drop()
-    own = lines.join(frequent, ["a", "b"]).groupBy(*same).agg(F.collect_set(F.struct("a", "b")).alias("_drop"))  # a text's own lines
-    own = own.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"), "_drop")
-    joined = marked.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left")
+    try:
+        for i in range(batches):
+            index.add(lines.filter(F.col("batch") == i).select("a", "b"))
+        frequent = staged(index.frequent(), "frequent_lines")
+    finally:
+        index.drop()
+    own = lines.join(frequent, ["a", "b"]).groupBy(*same).agg(F.collect_set(F.struct("a", "b")).alias("goes"))  # a text's own lines
+    own = own.select(F.col("id").alias("own_id"), F.col("mark").alias("own_mark"), "goes")
+    joined = marked.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left")
     split = F.split(text, "\n")
-    goes = F.transform(line_hashes(split), lambda h: F.coalesce(F.array_contains(F.col("_drop"), h), F.lit(False)))
-    stays = F.transform(F.filter(F.arrays_zip(split.alias("line"), goes.alias("goes")), lambda x: ~x["goes"]), lambda x: x["line"])
-    out = joined.withColumn("n_lines", F.size(split).cast("long"))
-    out = out.withColumn("_kept", F.when(F.col("_drop").isNotNull(), stays))
-    out = out.withColumn("n_dropped", F.when(F.col("_drop").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long"))
-    out = out.withColumn("kept_text", F.when(F.col("_drop").isNotNull(), F.array_join("_kept", "\n")).otherwise(text))
-    return out.drop("_mark", "_id", "_m", "_drop", "_kept")
+    gone = F.transform(line_hashes(split), lambda h: F.coalesce(F.array_contains(F.col("goes"), h), F.lit(False)))
+    stays = F.transform(F.filter(F.arrays_zip(split.alias("line"), gone.alias("gone")), lambda x: ~x["gone"]), lambda x: x["line"])
+    any_gone = F.col("goes").isNotNull()
+    out = joined.withColumn("n", F.size(split).cast("long")).withColumn("kept", F.when(any_gone, stays))
+    new = {
+        "n_lines": F.col("n"),
+        "n_dropped": F.when(any_gone, F.col("n") - F.size("kept")).otherwise(F.lit(0)).cast("long"),
+        "kept_text": F.when(any_gone, F.array_join("kept", "\n")).otherwise(text),
+    }
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 CHUNK = 512
 #: States of the merge machine that a worker keeps.
 MAX_STATES = 100_000
@@ -312,13 +313,14 @@ class Counter:
         """Tokens of each row; added tokens found in a text are one token each and split it."""
         raw = data.tobytes()
         bounds, extra = offsets, np.zeros(len(offsets) - 1, dtype=np.int64)
-        spans = []
+        spans, taken = [], bytearray(len(raw))
         for word in self.added:
             at = raw.find(word)
             while at >= 0:
                 row = int(np.searchsorted(offsets, at, "right")) - 1
-                if at + len(word) <= offsets[row + 1] and all(at >= b or at + len(word) <= a for a, b in spans):
+                if at + len(word) <= offsets[row + 1] and taken.find(1, at, at + len(word)) < 0:
                     spans.append((at, at + len(word)))
+                    taken[at : at + len(word)] = b"\1" * len(word)
                     extra[row] += 1
                     at = raw.find(word, at + len(word))
                 else:
@@ -355,6 +357,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     Null and empty texts have 0 bytes and tokens. Null doc_ids and repeated rows are kept,
     other columns not read, no rows give none. Nothing is shuffled.
     """
+    ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer))  # the size of the vocabulary file
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
