@@ -291,9 +291,12 @@ def fixed_order(col: str, values: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col)).cast("int")
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols: Sequence[str] | None = None) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols: Sequence[str] | None = None,
+                portable: bool = False) -> DataFrame:
     """Deterministic sample of at most ``n`` rows without replacement:
     the ``n`` smallest hashes of (seed, key). A top-k, so every task keeps only n
-    candidates; the limit is the operator itself."""
+    candidates; the limit is the operator itself. ``portable`` takes the MD5 of
+    ``seed|key|key...`` (nulls left out), which any SQL engine can repeat."""
     keys = [F.col(c) for c in (key_cols or df.columns)]
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).orderBy("_h").limit(n).drop("_h")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return df.withColumn("_h", digest if portable else F.xxhash64(F.lit(seed), *keys)).orderBy("_h").limit(n).drop("_h")

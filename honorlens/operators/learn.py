@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from . import groups as G
+from .silhouette import euclidean_silhouette
 
 
 def dummies(df: DataFrame, col: str, levels: Sequence[str], drop_first: bool = False, prefix: str | None = None) -> tuple[DataFrame, list[str]]:
@@ -109,20 +110,21 @@ def kmeans_clusters(points: DataFrame, k: int = 5, n_init: int = 10, seed: int =
 
 def silhouette_sweep(points: DataFrame, ks: Sequence[int] = range(3, 8), seed: int = 42, n_init: int = 10,
                      max_iter: int = 300, parallelism: int = 10, chosen_k: int = 5) -> DataFrame:
-    """M3: weighted silhouette (squared Euclidean, Spark's definition) of the best of
-    ``n_init`` fits for each k, flagging the best k and the k actually used (the
-    reference reports the score at the chosen k, not the maximum). For the chosen k
-    this is the model that ``kmeans_clusters`` returns with the same arguments."""
+    """M3: exact Euclidean silhouette (and Spark's squared one beside it) of the best of
+    ``n_init`` fits for each k, flagging the best k by the Euclidean one and the k
+    actually used (the reference reports the score at the chosen k, not the maximum).
+    For the chosen k this is the model that ``kmeans_clusters`` returns with the same
+    arguments."""
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="_c", distanceMeasure="squaredEuclidean",
                              weightCol="weight")
     rows = []
     for k in ks:
-        model = best_kmeans(points, k, n_init, seed, max_iter, parallelism)
-        rows.append((int(k), float(ev.evaluate(model.transform(points)))))
-    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
-    rows = [(k, v, k == best, k == chosen_k) for k, v in rows]
+        assigned = best_kmeans(points, k, n_init, seed, max_iter, parallelism).transform(points)
+        rows.append((int(k), euclidean_silhouette(assigned, "_c").first()["silhouette"], float(ev.evaluate(assigned))))
+    best = max(rows, key=lambda r: (-1.0 if r[1] is None else r[1], -r[0]))[0]  # equal points make one cluster: no silhouette
+    rows = [(k, e, v, k == best, k == chosen_k) for k, e, v in rows]
     return points.sparkSession.createDataFrame(
-        rows, "k int, silhouette_sq_euclidean double, is_best_k boolean, is_chosen_k boolean")
+        rows, "k int, silhouette double, silhouette_sq_euclidean double, is_best_k boolean, is_chosen_k boolean")
 
 
 def cluster_profiles(rows: DataFrame, assigned_points: DataFrame, year: str = "award_year",
@@ -177,12 +179,16 @@ def fold_column(df: DataFrame, key_cols: Sequence[str], n_folds: int, seed: int
     return numbered.withColumn(out, ((F.col("_nth") - 1) % n_folds).cast("int")).drop("_h", "_nth")
 
 
+# splits of a numeric feature that a forest tries: above the number of distinct ages, so that none is merged
+FOREST_BINS = 128
+
+
 def _forest(num_trees: int, max_depth: int, seed: int) -> RandomForestClassifier:
     """Deep trees: a larger node-statistics budget and cached node ids mean fewer
     passes over the data per level (same model); node-id caches checkpoint into
     the shared checkpoint folder."""
     return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, weightCol="weight",
-                                  featuresCol="features", labelCol="label", maxMemoryInMB=1024,
+                                  featuresCol="features", labelCol="label", maxMemoryInMB=1024, maxBins=FOREST_BINS,
                                   cacheNodeIds=True, checkpointInterval=10)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles
+from ..operators import groups as G
+from ..operators import normality as N
 from ..operators import stats as S
 from ..sources.facts import award_facts, persons
 from ..sources.tables import read_table
@@ -205,13 +207,56 @@ def q_tests(spark, sf_dir):
     return S.with_p_values(chi=chi, mw=mw, ols=ols, dist=dist)
 
 
-@query("age_sample")
+# the key of a sampled row as text: whole numbers only, so that every engine writes it alike
+SAMPLE_SIZE, SAMPLE_SEED = 5000, 42
+SAMPLE_SQL = f"""WITH b AS (SELECT id, award_year, category, age_at_award, prize_amount, CAST(round(prize_amount * 100) AS BIGINT) AS cents FROM persons WHERE age_at_award IS NOT NULL),
+sampled AS (SELECT * FROM b ORDER BY md5(concat_ws('|', '{SAMPLE_SEED}', id, award_year, category, age_at_award, cents)) LIMIT {SAMPLE_SIZE})"""
+
+
+def _sample(spark, sf_dir):
+    p = persons(award_facts(spark, sf_dir)).filter(F.col("age_at_award").isNotNull())
+    keyed = p.select("id", "award_year", "category", "age_at_award", "prize_amount",
+                     F.round(F.col("prize_amount") * 100).cast("long").alias("cents"))
+    return G.sample_rows(keyed, SAMPLE_SIZE, SAMPLE_SEED, ["id", "award_year", "category", "age_at_award", "cents"], portable=True)
+
+
+@query("age_sample", with_fact(SAMPLE_SQL + """
+SELECT id, award_year, category, age_at_award, round(prize_amount, 6) AS prize_amount FROM sampled"""))
 def q_sample(spark, sf_dir):
     """Deterministic sample of at most 5,000 person ages (seeded hash order)."""
-    from ..operators.groups import sample_rows
+    return round_doubles(_sample(spark, sf_dir).drop("cents"))
 
-    p = persons(award_facts(spark, sf_dir)).filter(F.col("age_at_award").isNotNull())
-    return sample_rows(p.select("id", "award_year", "category", "age_at_award", "prize_amount"), 5000, seed=42)
+
+def _polynomial_sql(x: str, highest_first) -> str:
+    out = f"{float(highest_first[0])}::DOUBLE"
+    for c in highest_first[1:]:
+        out = f"({out} * {x} + {float(c)}::DOUBLE)"
+    return out
+
+
+def _w_sql() -> str:
+    """W over the sample, for samples of 12 values and more."""
+    tail = f"({_polynomial_sql('t', N.TAIL_TOP)} / {_polynomial_sql('t', N.TAIL_BOTTOM)})"
+    middle = f"({_polynomial_sql('(q * q)', N.MIDDLE_TOP)} * q / {_polynomial_sql('(q * q)', N.MIDDLE_BOTTOM)})"
+    up = lambda x, c: _polynomial_sql(x, c[::-1])
+    return f"""{SAMPLE_SQL},
+o AS (SELECT CAST(age_at_award AS DOUBLE) AS v, row_number() OVER (ORDER BY age_at_award) AS i, CAST(count(*) OVER () AS DOUBLE) AS n FROM sampled),
+p AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM o),
+q AS (SELECT *, p - 0.5 AS q, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM p),
+m AS (SELECT *, CASE WHEN p < {N.TAIL_FROM} THEN {tail} WHEN p > 1 - {N.TAIL_FROM} THEN -{tail} ELSE {middle} END AS m FROM q),
+s AS (SELECT n, sum(m * m) AS mm, var_pop(v) * n AS ss, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2, 1 / sqrt(n) AS u,
+             sum(m * v) FILTER (i > 2 AND i < n - 1) AS inside, max(v) FILTER (i = n) - max(v) FILTER (i = 1) AS r1,
+             max(v) FILTER (i = n - 1) - max(v) FILTER (i = 2) AS r2 FROM m GROUP BY n),
+a AS (SELECT *, m1 / sqrt(mm) + {up('u', N.LAST_WEIGHT)} AS a1, m2 / sqrt(mm) + {up('u', N.SECOND_WEIGHT)} AS a2 FROM s),
+w AS (SELECT n, pow(a1 * r1 + a2 * r2 + inside / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / ss AS w FROM a),
+z AS (SELECT *, (ln(1 - w) - {up('ln(n)', N.LARGE_MEAN)}) / exp({up('ln(n)', N.LARGE_LOG_SD)}) AS z FROM w)
+SELECT CAST(n AS BIGINT) AS n, round(w, 6) AS w_statistic, round(z, 6) AS z, z < 1.6448536269514722 AS is_normal FROM z"""
+
+
+@query("age_normality", with_fact(_w_sql()))
+def q_normality(spark, sf_dir):
+    """W statistic of the sampled ages, its normal score and the verdict at 5 %."""
+    return round_doubles(N.w_statistic(_sample(spark, sf_dir), "age_at_award").drop("p_value"))
 
 
 @query("rank_test_exact", """
@@ -242,7 +287,6 @@ def q_insights(spark, sf_dir):
     p-values (A4-A6, T1), the slope per decade (A29), the age distribution and its
     normality verdict (A8, A9) and the forecast verdict (A28)."""
     from ..functions import tails
-    from ..operators import groups as G
     from ..sources.facts import order_facts
 
     p = persons(award_facts(spark, sf_dir))

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_half_even
+from ..functions.scalar import round_doubles, round_half_even
 from ..operators import groups as G
 from ..operators import stats as S
 from ..sources.facts import award_facts, order_facts, persons
-from .oracle_sql import with_fact
-from .registry import query
+from . import analysis  # noqa: F401  (the SQL of its queries is used below)
+from .registry import ORACLES, query
 from .reports import CATEGORY_ORDER, PERSON_GENDERS
 
 
@@ -97,22 +97,46 @@ def run_ml(spark: SparkSession, sf_dir: str, forest_trees: int = 200, forest_fol
     }
 
 
-REPORT_ROWS_SQL = """
-SELECT 'descriptive' AS report, count(DISTINCT category) AS n_rows FROM persons WHERE category IS NOT NULL
-UNION ALL SELECT 'gender_decades', count(DISTINCT decade) FROM persons WHERE decade IS NOT NULL
-UNION ALL SELECT 'country_rankings', least(20, count(DISTINCT birth_country)) FROM fact WHERE birth_country IS NOT NULL
-UNION ALL SELECT 'lifespan', count(DISTINCT category) FROM persons WHERE lifespan IS NOT NULL AND category IS NOT NULL
-UNION ALL SELECT 'prizes_decade', count(DISTINCT decade) FROM fact WHERE decade IS NOT NULL
-UNION ALL SELECT * FROM (VALUES ('chi_squared', 1), ('mann_whitney', 1), ('age_regression', 1), ('age_distribution', 1),
-                                ('correlations', 25), ('p_values', 4))
-"""
+# per report: the query whose SQL gives the same report, and the columns that its check adds up (numbers, texts)
+CHECKED = {
+    "descriptive": ("descriptive_by_category", ["count", "unique_laureates", "avg_age", "median_age", "std_age", "min_age", "max_age",
+                                                "pct_female", "avg_lifespan"], ["category"]),
+    "gender_decades": ("gender_by_decade", ["decade", "female", "male", "other", "total", "female_pct"], []),
+    "country_rankings": ("country_rankings", ["count", "categories"], ["birth_country"]),
+    "chi_squared": ("chi_squared_gender_category", ["chi2_statistic", "dof", "n", "n_rows", "n_cols"], []),
+    "mann_whitney": ("mann_whitney_age", ["u_statistic", "u2", "n1", "n2", "tie_term", "mu", "sigma", "z", "median_1", "median_2"], []),
+    "age_regression": ("age_trend_regression", ["slope", "intercept", "r_squared", "t_statistic", "n", "dof", "slope_per_decade"], []),
+    "lifespan": ("lifespan_by_category", ["avg_lifespan", "median_lifespan", "count"], ["category"]),
+    "prizes_decade": ("prizes_per_decade", ["decade", *CATEGORY_ORDER], []),
+    "age_distribution": ("age_distribution_stats", ["mean", "median", "std", "skewness", "kurtosis", "youngest", "oldest", "n", "jarque_bera"], []),
+    "correlations": ("correlation_matrix", ["r"], ["var_a", "var_b"]),
+}
+
+
+def _checks_sql() -> str:
+    """Rows, sum of all numbers and sum of text digests of every report, from the SQL of the reports' own queries."""
+    parts = []
+    for report, (name, numbers, texts) in CHECKED.items():
+        total = " + ".join(f'coalesce(CAST("{c}" AS DOUBLE), 0)' for c in numbers)
+        digest = " + ".join(f"CAST('0x' || substr(md5({c}), 1, 8) AS BIGINT)" for c in texts) or "0"
+        parts.append(f"SELECT '{report}' AS report, count(*) AS n_rows, round(sum({total}), 4) AS total, "
+                     f"CAST(sum({digest}) AS BIGINT) AS text_digest FROM ({ORACLES[name]})")
+    parts.append("SELECT 'p_values', 4, NULL, NULL")
+    return "\nUNION ALL\n".join(parts)
 
 
-@query("analysis_bundle", with_fact(REPORT_ROWS_SQL))
+@query("analysis_bundle", _checks_sql())
 def q_bundle(spark, sf_dir):
-    """Every report of the bundle, with its number of rows (their contents have queries of their own)."""
+    """Every report of the bundle with its number of rows and sums over all of its contents."""
     out = None
     for name, df in run_analysis(spark, sf_dir).items():
-        n = df.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows"))
+        sums = [F.lit(None).cast("double"), F.lit(None).cast("long")]
+        if name in CHECKED:
+            _, numbers, texts = CHECKED[name]
+            value = sum((F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in numbers), F.lit(0.0))
+            digest = sum((F.conv(F.substring(F.md5(F.col(c)), 1, 8), 16, 10).cast("long") for c in texts), F.lit(0).cast("long"))
+            sums = [F.round(F.sum(value), 4), F.sum(digest)]
+        n = round_doubles(df).agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows"), sums[0].alias("total"),
+                                  sums[1].alias("text_digest"))
         out = n if out is None else out.unionByName(n)
     return out

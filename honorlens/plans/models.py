@@ -6,6 +6,7 @@ windows) is checked against DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from ..operators.groups import with_scalar
 from ..operators import learn as L
 from ..operators import topics as TP
 from ..operators import windows as W
+from ..operators.silhouette import euclidean_silhouette
+from ..session import materialised
 from ..sources.facts import award_facts, persons, text_facts
 from ..sources.tables import read_table
 from .oracle_sql import with_fact
@@ -34,14 +37,15 @@ def _documents(spark, sf_dir):
 
 
 def _cluster_input(spark, sf_dir):
-    return L.cluster_features(persons(award_facts(spark, sf_dir)), CATEGORY_ORDER)
+    """Person rows and their weighted points; iterative fits re-read the points, which are written once."""
+    rows, points = L.cluster_features(persons(award_facts(spark, sf_dir)), CATEGORY_ORDER)
+    return rows, materialised(points)
 
 
 @query("kmeans_profiles")
 def q_kmeans(spark, sf_dir):
     """M1-M4: K-Means cluster profiles."""
     rows, points = _cluster_input(spark, sf_dir)
-    points = points.cache()  # iterative fits re-read the (small) weighted point table
     assigned, _ = L.kmeans_clusters(points, k=KMEANS_K, n_init=KMEANS_RESTARTS)
     return round_doubles(L.cluster_profiles(rows, assigned))
 
@@ -50,7 +54,7 @@ def q_kmeans(spark, sf_dir):
 def q_kmeans_points(spark, sf_dir):
     """Every person row with its cluster."""
     rows, points = _cluster_input(spark, sf_dir)
-    assigned, _ = L.kmeans_clusters(points.cache(), k=KMEANS_K, n_init=KMEANS_RESTARTS)
+    assigned, _ = L.kmeans_clusters(points, k=KMEANS_K, n_init=KMEANS_RESTARTS)
     keys = ["award_year", "age_at_award", "category"]
     return rows.join(assigned.select(*keys, "cluster"), keys).select(
         "name", "award_year", "age_at_award", "category", "cluster", "birth_country")
@@ -60,14 +64,74 @@ def q_kmeans_points(spark, sf_dir):
 def q_silhouette(spark, sf_dir):
     """Silhouette sweep over k."""
     _, points = _cluster_input(spark, sf_dir)
-    return round_doubles(L.silhouette_sweep(points.cache(), KMEANS_SWEEP))
+    return round_doubles(L.silhouette_sweep(points, KMEANS_SWEEP))
+
+
+def _points_sql() -> str:
+    """M1 in SQL: distinct (year, age, category) points with their weight and standardised features z0, z1, ..."""
+    features = ["CAST(award_year AS DOUBLE)", "CAST(age_at_award AS DOUBLE)",
+                *[f"CASE WHEN category = '{c}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for c in CATEGORY_ORDER]]
+    moments = ", ".join(f"avg({f}) AS m{i}, stddev_samp({f}) AS s{i}" for i, f in enumerate(features))
+    z = ", ".join(f"coalesce(({f} - m{i}) / nullif(s{i}, 0), 0) AS z{i}" for i, f in enumerate(features))
+    return f"""b AS (SELECT * FROM persons WHERE award_year IS NOT NULL AND age_at_award IS NOT NULL),
+moments AS (SELECT {moments} FROM b),
+d AS (SELECT award_year, age_at_award, category, CAST(count(*) AS DOUBLE) AS weight FROM b GROUP BY ALL),
+points AS (SELECT award_year, age_at_award, category, weight, CAST(floor(age_at_award / {AGE_BAND}) AS INTEGER) AS cluster, {z} FROM d CROSS JOIN moments)"""
+
+
+N_FEATURES = 2 + len(CATEGORY_ORDER)
+AGE_BAND = 20  # width of the age bands that are judged as a clustering
+
+
+def _band_points(spark, sf_dir):
+    rows, points = _cluster_input(spark, sf_dir)
+    return rows, points.withColumn("cluster", F.floor(F.col("age_at_award") / AGE_BAND).cast("int"))
+
+
+@query("cluster_feature_points", with_fact(f"""WITH {_points_sql()}
+SELECT CAST(award_year AS DOUBLE) AS award_year, CAST(age_at_award AS DOUBLE) AS age_at_award, category, weight,
+       {", ".join(f"round(z{i}, 6) AS z{i}" for i in range(N_FEATURES))} FROM points"""))
+def q_feature_points(spark, sf_dir):
+    """The standardised features that the clusterings are fitted on, a row a distinct point."""
+    _, points = _cluster_input(spark, sf_dir)
+    z = vector_to_array("features")
+    return round_doubles(points.select("award_year", "age_at_award", "category", "weight",
+                                       *[z[i].alias(f"z{i}") for i in range(N_FEATURES)]))
+
+
+@query("band_silhouette", with_fact(f"""WITH {_points_sql()},
+sums AS (SELECT i.award_year, i.age_at_award, i.category, i.weight, i.cluster, j.cluster AS other,
+                sum(j.weight * sqrt({" + ".join(f"(i.z{k} - j.z{k}) ^ 2" for k in range(N_FEATURES))})) AS dist, sum(j.weight) AS size
+         FROM points i CROSS JOIN points j GROUP BY ALL),
+per AS (SELECT weight, cluster, award_year, age_at_award, category, max(size) FILTER (cluster = other) AS size,
+               max(dist / nullif(size - 1, 0)) FILTER (cluster = other) AS own, min(dist / size) FILTER (cluster <> other) AS nearest
+        FROM sums GROUP BY ALL)
+SELECT round(sum(weight * CASE WHEN size <= 1 THEN 0 ELSE coalesce((nearest - own) / nullif(greatest(own, nearest), 0), 0) END) / sum(weight), 6) AS silhouette,
+       CAST(sum(weight) AS BIGINT) AS n_points, count(DISTINCT cluster) AS n_clusters FROM per"""))
+def q_band_silhouette(spark, sf_dir):
+    """M3: exact Euclidean silhouette of a given clustering (age bands)."""
+    return round_doubles(euclidean_silhouette(_band_points(spark, sf_dir)[1]))
+
+
+@query("band_profiles", with_fact(f"""
+WITH b AS (SELECT *, CAST(floor(age_at_award / {AGE_BAND}) AS INTEGER) AS cluster FROM persons WHERE award_year IS NOT NULL AND age_at_award IS NOT NULL),
+cat AS (SELECT cluster, category, count(*) AS n FROM b WHERE category IS NOT NULL GROUP BY ALL),
+country AS (SELECT cluster, birth_country, count(*) AS n FROM b WHERE birth_country IS NOT NULL AND category IS NOT NULL GROUP BY ALL),
+topcat AS (SELECT cluster, category AS top_category FROM cat QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, category) = 1),
+topcountry AS (SELECT cluster, birth_country AS top_country FROM country QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, birth_country) = 1)
+SELECT cluster, count(*) AS count, round(avg(award_year), 6) AS avg_year, round(avg(age_at_award), 6) AS avg_age, any_value(top_category) AS top_category,
+       any_value(top_country) AS top_country
+FROM b LEFT JOIN topcat USING (cluster) LEFT JOIN topcountry USING (cluster) GROUP BY cluster"""))
+def q_band_profiles(spark, sf_dir):
+    """M4: cluster profiles of a given clustering (age bands)."""
+    return round_doubles(L.cluster_profiles(*_band_points(spark, sf_dir)))
 
 
 def _forest_frame(spark, sf_dir):
-    """Narrow person rows, cached once: the level scan, the label indexer, the class
+    """Narrow person rows, written once: the level scan, the label indexer, the class
     weights and every forest pass read them instead of re-joining the fact."""
-    cols = ["id", "award_year", "gender", "birth_continent", "decade", "age_at_award", "category"]
-    p = persons(award_facts(spark, sf_dir)).select(*cols).cache()
+    cols = ["id", "is_org", "award_year", "gender", "birth_continent", "decade", "age_at_award", "category"]
+    p = materialised(persons(award_facts(spark, sf_dir)).select(*cols))
     return L.classifier_frame(p, ["female", "male", "other"], L.levels_of(p, "birth_continent"))
 
 
@@ -99,6 +163,19 @@ def q_forest_summary(spark, sf_dir):
         F.lit(len(names)).cast("long").alias("n_features"))
 
 
+@query("forest_training_weights", with_fact(f"""
+WITH t AS (SELECT category, count(*) AS n FROM persons WHERE age_at_award IS NOT NULL AND birth_continent IS NOT NULL AND decade IS NOT NULL AND category IS NOT NULL GROUP BY 1),
+s AS (SELECT *, sum(n) OVER (ORDER BY category ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER () AS total, count(*) OVER () AS k FROM t)
+SELECT category, CAST(fold AS INTEGER) AS fold, round(total / (k * n), 6) AS weight,
+       CAST(floor((before + n - 1 - fold) / {FOREST_FOLDS}) - floor((before - 1 - fold) / {FOREST_FOLDS}) AS BIGINT) AS n
+FROM s CROSS JOIN range({FOREST_FOLDS}) f(fold)"""))
+def q_forest_weights(spark, sf_dir):
+    """M6: balanced class weight and rows of each class and fold that the forests are trained and judged on."""
+    frame, _ = _forest_frame(spark, sf_dir)
+    folds = L.fold_column(L.balanced_weights(frame), ["id", "award_year", "age_at_award"], FOREST_FOLDS)
+    return round_doubles(folds.groupBy("category", "fold").agg(F.first("weight").alias("weight"), F.count(F.lit(1)).alias("n")))
+
+
 @query("forecast_models")
 def q_forecast_models(spark, sf_dir):
     """FC2 / FC5: AR model of each daily event series with its training loss."""
@@ -135,7 +212,8 @@ def _topic_model(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     termed = TP.term_lists(docs).cache()
     vocab_rows = TP.vocabulary(termed, max_features=VOCAB_SIZE).orderBy("rank").collect()  # ≤ VOCAB_SIZE rows
-    weighted = TP.tfidf(termed, vocab_rows).select("id", "category", "tfidf").cache()
+    weighted = materialised(TP.tfidf(termed, vocab_rows).select("id", "category", "tfidf"))
+    termed.unpersist()
     scores, comps, s = TP.truncated_svd(weighted, "id", "tfidf", TOPICS)
     return weighted, [r["term"] for r in vocab_rows], scores, comps
 
