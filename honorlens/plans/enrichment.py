@@ -9,6 +9,7 @@ from ..functions.scalar import round_doubles
 from ..operators import enrich as J
 from ..operators import groups as G
 from ..operators import search as Q
+from ..operators.page_directory import PLACE, write_page_directory
 from ..session import materialised
 from ..sources.facts import award_facts, text_facts
 from ..sources.tables import read_table
@@ -195,6 +196,30 @@ def q_keyset(spark, sf_dir):
     return out
 
 
+LISTING_SQL = """, l AS (SELECT birth_country, award_year, id, category, count(*) AS n FROM (
+  SELECT CASE WHEN is_org THEN NULL ELSE birth_country END AS birth_country, award_year, id, category FROM fact) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY birth_country NULLS LAST, award_year, id, category) AS place, count(*) OVER () AS total FROM l),
+m AS (SELECT *, CAST(floor((place - 1) / 40) + 1 AS INTEGER) AS page, CAST(ceil(total / 40.0) AS INTEGER) AS max_pages FROM r)
+SELECT birth_country, award_year, id, category, n, place, page, total, printf('Page %d of %d · %d results', page, max_pages, total) AS page_info
+FROM m WHERE page IN (1, CAST(floor((max_pages + 1) / 2) AS INTEGER), max_pages)
+""".replace(", l AS", "WITH l AS", 1)
+
+
+@query("listing_pages", with_fact(LISTING_SQL))
+def q_listing_pages(spark, sf_dir):
+    """First, middle and last page of the whole listing, each read from the files that hold it."""
+    f = award_facts(spark, sf_dir).withColumn("birth_country", F.when(~F.col("is_org"), F.col("birth_country")))
+    order = ["birth_country", "award_year", "id", "category"]
+    directory = write_page_directory(f.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order, 40)
+    out = None
+    for p in sorted({1, (directory.max_pages + 1) // 2, directory.max_pages}):
+        rows, info = directory.page(p)
+        rows = rows.select(*order, "n", F.col(PLACE).alias("place"), F.lit(info["page"]).alias("page"),
+                           F.lit(info["total"]).cast("long").alias("total"), F.lit(info["page_info"]).alias("page_info"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 IMAGES_SQL = """t AS (
   SELECT conv_id, turn, role, 'c' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS title FROM conversations),
 edges AS (SELECT a.title AS src, b.title AS dst FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles
 from ..operators import groups as G
+from ..operators import sketches as SK
+from ..session import materialised
 from ..sources.facts import award_facts, order_facts, persons
 from .oracle_sql import with_fact
 from .registry import query
@@ -191,3 +193,49 @@ def q_country_fields(spark, sf_dir):
     fields = G.sorted_distinct_join(fact, "birth_country", "category", "fields")
     notable = G.first_k_distinct(fact, "birth_country", "name", "notable", k=5)
     return fields.join(notable, "birth_country")
+
+
+ROLL_UPS = [("category",), ("award_year",), ("birth_country",), ()]
+
+
+def _roll_up_sql() -> str:
+    parts = []
+    for keys in ROLL_UPS:
+        label = f"CAST({keys[0]} AS VARCHAR)" if keys else "'all'"
+        name = keys[0] if keys else "all"
+        parts.append(f"SELECT '{name}' AS level, {label} AS member, count(*) AS n, count(DISTINCT id) AS distinct_ids, "
+                     f"TRUE AS distinct_within_bound, TRUE AS median_within_bound FROM persons" + (f" GROUP BY {keys[0]}" if keys else ""))
+    return with_fact("\nUNION ALL\n".join(parts))
+
+
+@query("sketch_roll_ups", _roll_up_sql())
+def q_sketch_roll_ups(spark, sf_dir):
+    """Distinct recipients and median ages of four groupings from one sketch cube by (category,
+    year, country), beside the exact distincts, and whether both estimates stay within the sketches' bounds (four
+    standard errors; three times the 99 % rank error)."""
+    p = materialised(persons(award_facts(spark, sf_dir)).select("id", "category", "award_year", "birth_country", "age_at_award"))
+    cube = materialised(SK.sketch_cube(p, ["category", "award_year", "birth_country"], ["id"], ["age_at_award"]))
+    ages = p.groupBy("category", "award_year", "birth_country", "age_at_award").agg(F.count(F.lit(1)).alias("m"))
+    ids = p.select("category", "award_year", "birth_country", "id").distinct()
+    out = None
+    for keys in ROLL_UPS:
+        # one level column for every grouping: the joins below are on (level, member)
+        member = F.col(keys[0]).cast("string") if keys else F.lit("all")
+        named = lambda df: df.withColumn("level", F.lit(keys[0] if keys else "all")).withColumn("member", member)  # noqa: B023, E731
+        parts = [named(cube).drop(*ROLL_UPS[0], *ROLL_UPS[1], *ROLL_UPS[2]), named(ids).select("level", "member", "id"),
+                 named(ages).select("level", "member", "age_at_award", "m")]
+        out = parts if out is None else [a.unionByName(b) for a, b in zip(out, parts, strict=True)]
+    sketched = SK.estimates(SK.roll_up(out[0], ["level", "member"]))
+    exact = out[1].groupBy("level", "member").agg(F.count_distinct("id").alias("distinct_ids"))
+    both = sketched.alias("s").join(exact.alias("e"), (F.col("s.level") == F.col("e.level")) & F.col("s.member").eqNullSafe(F.col("e.member")))
+    both = both.select("s.*", "distinct_ids")
+    ranks = out[2].filter(F.col("age_at_award").isNotNull()).alias("a").join(
+        both.alias("b"), (F.col("a.level") == F.col("b.level")) & F.col("a.member").eqNullSafe(F.col("b.member")))
+    slack = 3 * SK.rank_error()
+    below = F.sum(F.when(F.col("a.age_at_award") < F.col("values_age_at_award"), F.col("m")).otherwise(0)) / F.sum("m")
+    upto = F.sum(F.when(F.col("a.age_at_award") <= F.col("values_age_at_award"), F.col("m")).otherwise(0)) / F.sum("m")
+    error = F.abs(F.col("distinct_id") - F.col("distinct_ids"))
+    return ranks.groupBy("b.level", "b.member", "n", "distinct_ids", "distinct_id").agg(
+        ((below - slack <= 0.5) & (upto + slack >= 0.5)).alias("median_within_bound")).select(
+        "level", "member", "n", "distinct_ids", (error <= 4 * SK.distinct_error() * F.col("distinct_ids")).alias("distinct_within_bound"),
+        "median_within_bound")
