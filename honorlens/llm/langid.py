@@ -32,8 +32,8 @@ SAMPLE_ROWS = 3000
 SLOTS, HASHES = 1 << 21, 3
 #: An n-gram belongs to the languages where its frequency is at least this share of its highest.
 SHARE = 0.2
-#: A language learned from so many n-grams loses those that occur once; with fewer, or if none is left, it keeps them.
-ENOUGH = 1 << 16
+#: Frequencies that others are measured by are taken as if a language had been learned from so many n-grams at least.
+PRIOR = 1 << 16
 WORD = 64
 UNDETERMINED = "und"
 
@@ -105,8 +105,8 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = SLOTS) ->
     """A model from ``rows`` (doc_id, text, lang); rows without text or language don't count.
 
     Of each language about ``sample_rows`` rows are used (all, if there are no more), with
-    their whole texts. No usable row gives a model without languages. N-grams that occur
-    once count for languages with less than ``ENOUGH`` n-grams.
+    their whole texts. No usable row gives a model without languages. Every n-gram of the
+    sample counts, however often it occurs and however much was learned of its language.
     """
     ship_package(rows.sparkSession)
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
@@ -135,13 +135,10 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = SLOTS) ->
                     yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(found), i, dtype=np.int32)), "gram": pa.array(found.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     counts = sample.mapInArrow(counted, "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again")).collect()
-    few = {r["lang"] for r in sums if r["n"] < ENOUGH or not r["again"]}
-    total = {r["lang"]: r["n"] if r["lang"] in few else r["again"] for r in sums}
-    floor = min(ENOUGH, max(total.values(), default=1))  # a small sample doesn't make its n-grams frequent
-    by_lang = lambda f: F.create_map(*[F.lit(x) for i, n in total.items() for x in (i, f(i, n))] or [F.lit(0), F.lit(f(0, 1))])[F.col("lang")]
-    counts = counts.filter((F.col("n") > 1) | by_lang(lambda i, _: i in few))
-    rated = counts.select("gram", "lang", (F.col("n") * by_lang(lambda _, n: 1.0 / n)).alias("f"), (F.col("n") * by_lang(lambda _, n: 1.0 / max(n, floor))).alias("sure"))
+    total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    floor = min(PRIOR, max(total.values(), default=1))  # a small sample doesn't make its n-grams frequent
+    by_lang = lambda f: F.create_map(*[F.lit(x) for i, n in total.items() for x in (i, f(n))] or [F.lit(0), F.lit(f(1))])[F.col("lang")]
+    rated = counts.select("gram", "lang", (F.col("n") * by_lang(lambda n: 1.0 / n)).alias("f"), (F.col("n") * by_lang(lambda n: 1.0 / max(n, floor))).alias("sure"))
     most = rated.groupBy("gram").agg(F.collect_list(F.struct("lang", "f")).alias("x"), F.max("sure").alias("m"))  # a row a language
     none = F.lit(0).cast("long")
 

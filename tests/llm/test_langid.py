@@ -46,3 +46,40 @@ def test_languages_with_one_and_five_labelled_rows_stay_in_the_stage(spark):
     assert found[alone] == found[6000] == "one"
     assert all(found[i] == "five" for i in [*learned[201:206], *range(5000, 5010)])
     assert all(found[i] == "big" for i in learned[:200])
+
+
+def test_winners_and_counts_equal_exact_sets(spark):
+    """Plain sets of n-grams, learned and looked up without Spark and without filters."""
+    from collections import Counter
+
+    names = {f"l{k}": tongue(k, 120) + tongue(50, 30) for k in range(7)}  # 30 words are in every language
+    rnd = random.Random(4)
+    lang_of = [rnd.choice(sorted(names)) for _ in range(300)]
+    rows = [(i, said(i, names[x], rnd.choice([1, 5, 60, 400])), x, "s", 1) for i, x in enumerate(lang_of)]
+    rows += [(900, said(900, names["l1"], 80), None, "s", 1), (901, "", None, "s", 1), (902, None, None, "s", 1), (903, "12 34 !", None, "s", 1)]
+
+    def grams_of(text):
+        chars = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+        four = [chars[i : i + langid.N] for i in range(len(chars) - langid.N + 1)]
+        return [g for g in four if sum(c != " " for c in g) >= 2]
+
+    counts = {x: Counter(g for r in rows if r[2] == x for g in grams_of(r[1])) for x in names}
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    floor = min(langid.PRIOR, max(total.values()))
+    most = Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most[g], n / max(total[x], floor))
+    sets = {x: {g for g, n in c.items() if n / total[x] >= langid.SHARE * most[g]} for x, c in counts.items()}
+
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in langid.predict(docs, langid.learn(docs)).collect()}
+    for doc_id, text, *_ in rows:
+        asked = grams_of(text or "")
+        if not asked:
+            assert got[doc_id].lang_pred == langid.UNDETERMINED and got[doc_id].score == 0
+            continue
+        real = {x: sum(g in s for g in asked) for x, s in sets.items()}
+        best = max(real.values())
+        assert real[got[doc_id].lang_pred] == best  # of equal counts either is right here
+        assert abs(got[doc_id].score - best / len(asked)) < 0.02
