@@ -285,7 +285,9 @@ def q_insights(spark, sf_dir):
     """The scalars quoted by the insight texts, in one row: leading country and
     its size (A14), youngest/oldest (A15), χ² / rank-sum / OLS results with
     p-values (A4-A6, T1), the slope per decade (A29), the age distribution and its
-    normality verdict (A8, A9) and the forecast verdict (A28)."""
+    normality verdict (A8, A9), the forecast verdict (A28), and the models' scalars:
+    documents, terms, topics and explained variance (M12, M13), forecast years and
+    final training loss (FC5). Fold accuracy is ``forest_cv_accuracy``'s."""
     from ..functions import tails
     from ..sources.facts import order_facts
 
@@ -302,12 +304,23 @@ def q_insights(spark, sf_dir):
                        F.col("is_normal").alias("age_is_normal"))
     verdict = _overall_forecast_verdict(spark, sf_dir)
     out = top
-    for part in (ext, chi, mw, ols, dist, verdict):
+    for part in (ext, chi, mw, ols, dist, verdict, *_model_scalars(spark, sf_dir)):
         out = G.with_scalar(out, part)
     return round_doubles(out.withColumn("gender_significant", F.col("chi2_p") < 0.05)
                          .withColumn("age_trend_significant", F.col("ols_p") < 0.05))
 
 
+def _model_scalars(spark, sf_dir):
+    """Two one-row frames: the topic model's sizes, and the overall yearly forecast's length and final loss."""
+    from ..operators import forecast as FC
+    from . import models as MD
+
+    fitted = FC.fit_ar(FC.windowed(MD._yearly_series(spark, sf_dir), MD.YEARLY_LAGS), MD.YEARLY_LAGS, ridge=MD.YEARLY_RIDGE)
+    loss = fitted.filter(F.col("series_id") == "ALL").select(
+        F.lit(MD.YEARLY_HORIZON).alias("forecast_years"), F.col("train_mse").alias("forecast_final_loss"))
+    return MD.q_topic_summary(spark, sf_dir), loss
+
+
 def _overall_forecast_verdict(spark, sf_dir):
     """A28 on the yearly series of all rows (the reference's forecast verdict)."""
     from ..operators import forecast as FC

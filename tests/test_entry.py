@@ -81,6 +81,14 @@ def test_ml_bundle_runs(spark):
     assert bundle["forecast_verdict"].count() >= 1
 
 
+def test_insight_row_has_the_model_scalars(spark):
+    r = E.queries()["insight_facts"](spark, SMALL).collect()
+    assert len(r) == 1
+    summary = E.queries()["topic_summary"](spark, SMALL).first()
+    assert (r[0]["n_documents"], r[0]["n_topics"], r[0]["n_terms"]) == (summary["n_documents"], summary["n_topics"], summary["n_terms"])
+    assert r[0]["forecast_years"] == 10 and r[0]["forecast_final_loss"] >= 0 and 0 < r[0]["explained_variance_pct"] <= 100
+
+
 def test_import_needs_no_spark_installation_files(tmp_path):
     """The two maps can be read where no jars folder is to be found and no JVM can start."""
     import os
