@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -61,3 +63,41 @@ def test_short_items_and_items_without_an_id_are_found_in_longer_texts(spark, tm
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
     left = corpus_pipeline.decontaminate(spark, frame(spark, rows), str(tmp_path))
     assert {r.doc_id for r in left.collect()} == {0, 4, 6}
+
+
+def test_a_long_text_with_many_hits_is_searched_in_parts(monkeypatch):
+    rnd = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(80)]
+    items = [" ".join(rnd.choices(vocabulary, k=n)) for n in (4, 6, 9, 12)]
+    texts = []
+    for _ in range(12):
+        w = rnd.choices(vocabulary, k=900)
+        for x in items:
+            at, y = rnd.randrange(900), x.split()
+            y[rnd.randrange(len(y))] = "other"
+            w[at:at] = y
+        texts.append(" ".join(w))
+    benchmark = pa.array(items, pa.large_string())
+    hashes, at = decontam._words(benchmark)
+    seed, begin = decontam._seeds(hashes, at, at[:0])
+    item = np.searchsorted(at, begin, "right") - 1
+    order = np.lexsort((begin - at[item], item, seed))
+    sure = np.maximum(1, np.ceil(decontam.THRESHOLD * np.diff(at)).astype(np.int64) - 1)
+    block = decontam.Items(list(range(len(items))), hashes, at, seed[order], item[order], (begin - at[item])[order], sure)
+    maybe, column = decontam._maybe(block.seed), pa.array(texts, pa.large_string())
+    whole = decontam._copies(block, maybe, column)
+    monkeypatch.setattr(decontam, "MOST_HITS", 4)
+    parts = decontam._copies(block, maybe, column)
+    assert [[x[:2] for x in row] for row in parts] == [[x[:2] for x in row] for row in whole]
+    for text, row in zip(texts, parts, strict=True):
+        w = text.split()
+        assert {i: s for i, s, *_ in row} == pytest.approx({
+            i: best for i, x in enumerate(items) if (best := plain_alignment(x.split(), w) / len(x.split())) >= decontam.THRESHOLD})
+        for i, score, first, n in row:  # the passage itself has the score
+            assert plain_alignment(items[i].split(), w[first : first + n]) / len(items[i].split()) == pytest.approx(score)
+
+
+def test_of_equal_passages_the_first_is_reported(spark):
+    text = f"{ITEM} {prose(random.Random(2), 200)} {ITEM}"
+    got = decontam.leaks(frame(spark, [(1, text)]), spark.createDataFrame([(1, ITEM)], SCHEMA)).collect()
+    assert [(r.score, r.first_word, r.n_words) for r in got] == [(1.0, 0, 25)]
