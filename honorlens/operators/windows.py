@@ -99,15 +99,22 @@ def zscore(df: DataFrame, series: str, value: str, out: str = "z") -> DataFrame:
 
 def distributed_quantile(df: DataFrame, value: str, q: float = 0.5, group_cols: Sequence[str] = (),
                          out: str = "quantile") -> DataFrame:
-    """Exact quantile with linear interpolation (Spark's ``percentile``), without
+    """``distributed_quantiles`` for one of them."""
+    return distributed_quantiles(df, value, {out: q}, group_cols)
+
+
+def distributed_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float],
+                          group_cols: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation (Spark's ``percentile``), without
     gathering a group in one task: a (group, value) histogram, the distributed
-    running total over it, then the one or two ranks that bracket q·(n−1). For a
-    hot group with very many distinct values, where ``percentile``'s per-group
-    buffer would have to sit in one task."""
+    running total over it, then for each quantile the one or two ranks that bracket
+    q·(n−1). ``quantiles`` maps an output column to its q; all are picked from one
+    running total. For a hot group with very many distinct values, where
+    ``percentile``'s per-group buffer would have to sit in one task."""
     g = list(group_cols)
     v = F.col(value).cast("double")
     hist = df.filter(v.isNotNull()).groupBy(*g, v.alias("_qv")).agg(F.count(F.lit(1)).alias("_t"))
-    ranked = running_total(hist, [*g, "_qv"], "_t", "_cum")
+    ranked = materialised(running_total(hist, [*g, "_qv"], "_t", "_cum"))
     per = ranked.groupBy(*g).agg(F.min(F.col("_cum") - F.col("_t")).alias("_base"), F.sum("_t").alias("_n"))
     if g:
         ranked = ranked.join(per, g)
@@ -115,14 +122,14 @@ def distributed_quantile(df: DataFrame, value: str, q: float = 0.5, group_cols:
         from .groups import with_scalar
 
         ranked = with_scalar(ranked, per)
-    pos = F.lit(q) * (F.col("_n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
     before = F.col("_cum") - F.col("_t") - F.col("_base")  # rows of the group before this value
     upto = F.col("_cum") - F.col("_base")
-    covers = lambda r: (before <= r) & (r < upto)
-    picked = ranked.filter(covers(lo) | covers(hi)).groupBy(*g).agg(
-        F.min(F.when(covers(lo), F.col("_qv"))).alias("_lo"),
-        F.max(F.when(covers(hi), F.col("_qv"))).alias("_hi"),
-        F.first(pos - lo).alias("_frac"),
-    )
-    return picked.select(*g, (F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias(out))
+    picked, wanted, values = [], F.lit(False), []
+    for i, (out, q) in enumerate(quantiles.items()):
+        pos = F.lit(q) * (F.col("_n") - 1)
+        at_lo, at_hi = ((before <= r) & (r < upto) for r in (F.floor(pos), F.ceil(pos)))
+        wanted = wanted | at_lo | at_hi
+        picked += [F.min(F.when(at_lo, F.col("_qv"))).alias(f"_lo{i}"), F.max(F.when(at_hi, F.col("_qv"))).alias(f"_hi{i}"),
+                   F.first(pos - F.floor(pos)).alias(f"_frac{i}")]
+        values.append((F.col(f"_lo{i}") + F.col(f"_frac{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(out))
+    return ranked.filter(wanted).groupBy(*g).agg(*picked).select(*g, *values)

@@ -10,6 +10,7 @@ from ..operators import enrich as J
 from ..operators import groups as G
 from ..operators import search as Q
 from ..operators.page_directory import PLACE, write_page_directory
+from ..operators.text_index import write_text_index
 from ..session import materialised
 from ..sources.facts import award_facts, text_facts
 from ..sources.tables import read_table
@@ -21,6 +22,8 @@ LABELLED_BRANDS_MAX = 20
 # Fixed values of the registered gallery/search calls.
 GALLERY_ARGS = {"search": "bl[a-z]e", "category": "2-HIGH", "nationality": "B-1", "page": 2}
 DOC_SEARCH_ARGS = {"search": "qu[a-z]+e", "category": "fr", "page": 1}
+# Terms looked up in the text index (a common word, two expressions, alternatives, one in no text).
+INDEXED_TERMS = ["pation", "reth.*andon", "src1[0-4]", "vi[eè]le|whst the", "no text holds this"]
 
 
 # ---------------------------------------------------------------- bound sources
@@ -278,3 +281,16 @@ def q_doc_search(spark, sf_dir):
     docs = text_facts(spark, sf_dir).withColumn("award_year", F.lit(None).cast("int")).withColumn(
         "birth_country", F.lit(None).cast("string"))
     return Q.gallery(docs, **DOC_SEARCH_ARGS)
+
+
+@query("indexed_search", """WITH d AS (SELECT doc_id AS id, lower(source) AS s, lower(coalesce(text, '')) AS t, source AS name, lang AS category FROM documents)
+""" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS term, id, name, category FROM d WHERE regexp_matches(s, '{t}') OR regexp_matches(t, '{t}')""" for t in INDEXED_TERMS))
+def q_indexed_search(spark, sf_dir):
+    """Every match of five terms in whole texts, found through the trigram index."""
+    index = write_text_index(text_facts(spark, sf_dir), ["name", "motivation"], ["category", "name"])
+    out = None
+    for term in INDEXED_TERMS:
+        rows = index.search(term).select(F.lit(term).alias("term"), "id", "name", "category")
+        out = rows if out is None else out.unionByName(rows)
+    return out

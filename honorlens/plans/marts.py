@@ -98,9 +98,7 @@ def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5, appro
     base = non_null_keys(df.filter(F.col(value).isNotNull()), [group])
     if distributed:
         n = base.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-        q = n
-        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-            q = q.join(W.distributed_quantile(base, value, p, [group], name), group)
+        q = n.join(W.distributed_quantiles(base, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group]), group)
     else:
         quart = (F.percentile_approx(F.col(value).cast("double"), [0.25, 0.5, 0.75], 10000) if approx
                  else F.percentile(value, [0.25, 0.5, 0.75]))
