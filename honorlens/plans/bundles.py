@@ -6,13 +6,17 @@ written or collected (``sources.sinks.write_reports`` persists a bundle)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles, round_half_even
 from ..operators import groups as G
 from ..operators import stats as S
+from ..session import ensure_checkpoint_dir, materialised
 from ..sources.facts import award_facts, order_facts, persons
+from ..streaming.cube import ROWS, open_cube, start_cube
 from . import analysis  # noqa: F401  (the SQL of its queries is used below)
 from .registry import ORACLES, query
 from .reports import CATEGORY_ORDER, PERSON_GENDERS
@@ -113,23 +117,45 @@ CHECKED = {
 }
 
 
+# the reports that need nothing but counts: a cube has them all
+COUNTED = ["gender_decades", "country_rankings", "chi_squared", "mann_whitney", "age_regression", "prizes_decade", "age_distribution"]
+CUBE_KEYS = ["category", "gender", "is_org", "decade", "award_year", "birth_country", "age_at_award", "has_id"]
+
+
+def counted_reports(cube: DataFrame, mw_categories: tuple[str, str] = ("1-URGENT", "5-LOW")) -> dict[str, DataFrame]:
+    """A13 from a count cube by ``CUBE_KEYS`` with ``n_rows``: the reports of ``COUNTED``, equal to those over the fact."""
+    p = persons(cube)
+    c1, c2 = mw_categories
+    return {
+        "gender_decades": G.gender_by_decade(p, values=PERSON_GENDERS, weight=ROWS),
+        "country_rankings": G.top_groups(cube.withColumn("id", F.when(F.col("has_id"), F.lit(1))), top_n=20, weight=ROWS),
+        "chi_squared": S.chi_squared(p.filter(F.col("gender").isin("male", "female")), "gender", "category", weight=ROWS),
+        "mann_whitney": S.mann_whitney(p.filter(F.col("category").isin(c1, c2)), "age_at_award", F.col("category") == c1, weight=ROWS),
+        "age_regression": S.ols_trend(p, weight=ROWS),
+        "prizes_decade": G.counts_per_bucket(cube, "decade", "category", CATEGORY_ORDER, weight=ROWS),
+        "age_distribution": S.distribution_stats(p, weight=ROWS),
+    }
+
+
+def _checks(report: str) -> str:
+    name, numbers, texts = CHECKED[report]
+    total = " + ".join(f'coalesce(CAST("{c}" AS DOUBLE), 0)' for c in numbers)
+    digest = " + ".join(f"CAST('0x' || substr(md5({c}), 1, 8) AS BIGINT)" for c in texts) or "0"
+    return (f"SELECT '{report}' AS report, count(*) AS n_rows, round(sum({total}), 4) AS total, "
+            f"CAST(sum({digest}) AS BIGINT) AS text_digest FROM ({ORACLES[name]})")
+
+
 def _checks_sql() -> str:
     """Rows, sum of all numbers and sum of text digests of every report, from the SQL of the reports' own queries."""
-    parts = []
-    for report, (name, numbers, texts) in CHECKED.items():
-        total = " + ".join(f'coalesce(CAST("{c}" AS DOUBLE), 0)' for c in numbers)
-        digest = " + ".join(f"CAST('0x' || substr(md5({c}), 1, 8) AS BIGINT)" for c in texts) or "0"
-        parts.append(f"SELECT '{report}' AS report, count(*) AS n_rows, round(sum({total}), 4) AS total, "
-                     f"CAST(sum({digest}) AS BIGINT) AS text_digest FROM ({ORACLES[name]})")
+    parts = [_checks(report) for report in CHECKED]
     parts.append("SELECT 'p_values', 4, NULL, NULL")
     return "\nUNION ALL\n".join(parts)
 
 
-@query("analysis_bundle", _checks_sql())
-def q_bundle(spark, sf_dir):
-    """Every report of the bundle with its number of rows and sums over all of its contents."""
+def _summed(reports: dict[str, DataFrame]) -> DataFrame:
+    """Each report with its number of rows and sums over all of its contents."""
     out = None
-    for name, df in run_analysis(spark, sf_dir).items():
+    for name, df in reports.items():
         sums = [F.lit(None).cast("double"), F.lit(None).cast("long")]
         if name in CHECKED:
             _, numbers, texts = CHECKED[name]
@@ -140,3 +166,22 @@ def q_bundle(spark, sf_dir):
                                   sums[1].alias("text_digest"))
         out = n if out is None else out.unionByName(n)
     return out
+
+
+@query("analysis_bundle", _checks_sql())
+def q_bundle(spark, sf_dir):
+    """Every report of the bundle with its number of rows and sums over all of its contents."""
+    return _summed(run_analysis(spark, sf_dir))
+
+
+@query("incremental_bundle", "\nUNION ALL\n".join(_checks(report) for report in COUNTED))
+def q_incremental_bundle(spark, sf_dir):
+    """The counted reports from a cube that a stream of fact files feeds, three files a batch."""
+    folder = f"{ensure_checkpoint_dir(spark)}/cube-{uuid.uuid4().hex}"
+    fact = award_facts(spark, sf_dir).withColumn("has_id", F.col("id").isNotNull()).select(*CUBE_KEYS)
+    fact.write.parquet(f"{folder}/fact")
+    stream = spark.readStream.schema(fact.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/fact")
+    cube = open_cube(fact, CUBE_KEYS, f"{folder}/cube")
+    start_cube(stream, cube, f"{folder}/progress").awaitTermination()
+    cube.compact()
+    return _summed(counted_reports(materialised(cube.read())))
