@@ -18,6 +18,14 @@ from ..sources.tables import read_first_available, read_table, table_path
 from .registry import query
 
 
+DOCUMENTS_A_TASK, DOCUMENTS_A_FILE = 50_000, 100_000
+
+
+def _parts(rows, each):
+    """How many parts of at most about ``each`` rows, eight at least."""
+    return max(8, -(-rows.count() // each))
+
+
 def order_documents(spark, sf_dir):
     """One nested recipient document (JSON text) per order: organisations carry
     ``orgName``/``founded``, persons ``givenName``/``familyName``/``birth`` and, for
@@ -25,7 +33,8 @@ def order_documents(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
                                                   "o_orderpriority", "o_totalprice"])
     who = holders(spark, sf_dir)
-    b = orders.join(who, orders.o_custkey == who.c_custkey)
+    # a document is some twenty times its row: the rows are dealt by number, not by their size, before it is built
+    b = orders.join(who, orders.o_custkey == who.c_custkey).repartition(_parts(orders, DOCUMENTS_A_TASK), "o_orderkey")
     is_org = F.col("c_mktsegment") == "MACHINERY"
     byear = F.year("o_orderdate") - 20 - (F.col("o_orderkey") % 50)
     bstr = F.concat(byear.cast("string"), F.lit("-"), F.lpad(F.month("o_orderdate").cast("string"), 2, "0"), F.lit("-00"))
@@ -113,14 +122,16 @@ def q_files(spark, sf_dir):
 
 
 def _write_array_files(records, folder, before, after):
-    """``records`` (shard, value: JSON): a file a shard, one document with one array between the texts ``before`` and ``after``."""
-    own = records.select("shard", F.lit(1).alias("part"), "value")
-    number = F.row_number().over(Window.partitionBy("shard").orderBy("value"))
-    body = own.withColumn("value", F.concat(F.when(number > 1, F.lit(",")).otherwise(F.lit("")), "value"))
-    shards = own.groupBy("shard").agg(F.count("*").alias("n"))
-    ends = [shards.select("shard", F.lit(part).alias("part"), text.alias("value")) for part, text in ((0, before), (2, after))]
-    lines = body.unionByName(ends[0]).unionByName(ends[1]).repartition("shard").sortWithinPartitions("shard", "part", F.ltrim(F.col("value"), F.lit(",")))
-    lines.select("shard", "value").write.partitionBy("shard").text(folder)
+    """``records`` (shard, value: JSON): a file a shard, one document with one array between the texts ``before`` and ``after``.
+
+    The ends are part of the first and the last row of a shard, so that one shuffle brings a file's
+    rows together; of a union Spark may coalesce each side for itself, which tears a shard apart.
+    """
+    shard = Window.partitionBy("shard")
+    order = shard.orderBy("value")
+    placed = records.select("shard", "value", F.row_number().over(order).alias("nth"), F.count(F.lit(1)).over(shard).alias("n"))
+    value = F.concat(F.when(F.col("nth") > 1, F.lit(",")).otherwise(before), "value", F.when(F.col("nth") == F.col("n"), after).otherwise(F.lit("")))
+    placed.select("shard", value.alias("value"), "nth").sortWithinPartitions("shard", "nth").select("shard", "value").write.partitionBy("shard").text(folder)
 
 
 def _records(spark, sf_dir):
@@ -129,9 +140,10 @@ def _records(spark, sf_dir):
 
 @query("document_array_flatten", NESTED_SQL)
 def q_array_files(spark, sf_dir):
-    """A few large files, each one JSON document with one array of records, read by byte ranges."""
+    """Large files, each one JSON document with one array of records, read by byte ranges."""
     folder = f"{ensure_checkpoint_dir(spark)}/arrays-{uuid.uuid4().hex}"
-    records = _records(spark, sf_dir).withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(8)))
+    n = _parts(read_table(spark, sf_dir, "orders"), DOCUMENTS_A_FILE)
+    records = _records(spark, sf_dir).withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(n)))
     before = F.concat(F.lit('{"meta": {"count": '), F.col("n").cast("string"), F.lit(f', "note": "[}}\\\""}}, "{N.RECORDS_FIELD}": ['))
     _write_array_files(records, folder, before, F.lit('], "links": [{"next": null}]}'))
     return _flat(read_array(spark, folder, N.RECIPIENT, N.RECORDS_FIELD, range_bytes=1 << 20))

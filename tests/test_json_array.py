@@ -4,7 +4,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from honorlens.plans import ingest
 from honorlens.sources import nested
 from honorlens.sources.json_array import array_elements, read_array
 
@@ -61,3 +63,21 @@ def test_many_tasks_read_what_one_multiline_task_reads(spark, tmp_path):
     whole = nested.read_documents(spark, path)
     assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
     assert len({r.p for r in array_elements(spark, path, nested.RECORDS_FIELD, 4096).selectExpr("spark_partition_id() AS p").collect()}) > 3
+
+
+def test_every_shard_is_written_as_one_document(spark, tmp_path):
+    rows = spark.range(40000).selectExpr("id % 5 AS shard", "CASE WHEN id < 5 THEN '9' ELSE concat('{\"x\": \"', repeat(id, 20), '\"}') END AS value")
+    asked = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in asked}
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        ingest._write_array_files(rows, str(tmp_path / "out"), F.concat(F.lit('{"n": '), F.col("n").cast("string"), F.lit(', "records": [')), F.lit("]}"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = sorted((tmp_path / "out").glob("shard=*/part-*"))
+    assert len(files) == 5
+    for file in files:
+        document = json.loads(file.read_text())
+        assert document["n"] == 8000 == len(document["records"]) and 9 in document["records"]
