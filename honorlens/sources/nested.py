@@ -68,7 +68,16 @@ def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataF
 
 def recipients(raw_documents: DataFrame, col: str = RECORDS_FIELD) -> DataFrame:
     """Concatenates the record arrays of all pages — one row per recipient."""
-    return raw_documents.select(F.explode(F.col(col)).alias("r")).select("r.*")
+    return _exploded(raw_documents, col, "r").select("r.*")
+
+
+def _exploded(df: DataFrame, col: str, out: str, *keep: Column) -> DataFrame:
+    """A row per element of the array ``col``, as an inner ``explode`` gives them.
+
+    For an inner one Spark adds a filter on the array's size and moves it down: below joins and
+    shuffles, where an array that is parsed from text is parsed once more, row by row in the join.
+    """
+    return df.select(*keep, F.posexplode_outer(col).alias("_at", out)).filter(F.col("_at").isNotNull()).drop("_at")
 
 
 def parse_documents(json_strings: DataFrame, col: str = "json") -> DataFrame:
@@ -88,7 +97,8 @@ def flatten(rec: DataFrame, decade_width: int = 10) -> DataFrame:
     )
     birth = parse_partial_date(either("founded.date", "birth.date"))
     death = F.when(~is_org, parse_partial_date(F.col("death.date")))
-    base = rec.select(
+    base = _exploded(
+        rec, AWARDS_FIELD, "p",  # P2, inner
         F.col("id"), name.alias("name"),
         F.when(is_org, F.lit("organization")).otherwise(get_path("gender", "unknown")).alias("gender"),
         is_org.alias("is_org"), birth.alias("birth_date"), death.alias("death_date"),
@@ -96,7 +106,6 @@ def flatten(rec: DataFrame, decade_width: int = 10) -> DataFrame:
         either("founded.place.country.en", "birth.place.country.en").alias("birth_country"),
         either("founded.place.continent.en", "birth.place.continent.en").alias("birth_continent"),
         F.col(f"{PAGE_REF_FIELD}.slug").alias("wiki_slug"), F.col(f"{ENTITY_REF_FIELD}.id").alias("wikidata_id"),
-        F.explode(F.col(AWARDS_FIELD)).alias("p"),  # P2, inner
     )
     year = F.col("p.awardYear").try_cast("int")  # P10
     first_aff = F.try_element_at(F.col("p.affiliations"), F.lit(1))  # P4

@@ -3,6 +3,7 @@
 import json
 import tempfile
 
+from __spark_entry__ import queries
 from honorlens.sources import nested as N
 
 
@@ -80,3 +81,15 @@ def test_malformed_json_rows_yield_no_records(spark):
     df = spark.createDataFrame(rows, "json string")
     flat = N.flatten(N.parse_documents(df))
     assert flat.count() == N.flatten(N.parse_documents(df.limit(1))).count()
+
+
+def test_documents_are_parsed_once_and_behind_the_join(spark):
+    plan = queries()["nested_records_flatten"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.index("from_json(") < plan.index("Join")
+
+
+def test_empty_and_missing_lists_give_no_rows_and_null_elements_stay(spark):
+    texts = ['{"laureates": [null, {"id": "1", "nobelPrizes": [null, {"awardYear": "1999"}]}, {"id": "2", "nobelPrizes": []}, {"id": "3"}]}', '{"laureates": []}', "{}", "no json"]
+    rec = N.parse_documents(spark.createDataFrame([(t,) for t in texts], "json string"))
+    assert sorted(str(r.id) for r in rec.collect()) == ["1", "2", "3", "None"]
+    assert sorted((r.id, str(r.award_year)) for r in N.flatten(rec).collect()) == [("1", "1999"), ("1", "None")]
