@@ -70,15 +70,16 @@ def term_lists(docs: DataFrame, text: str = "motivation", ngram_range: tuple[int
 def vocabulary(termed: DataFrame, id_col: str = "id", max_features: int = 1000, min_df: int = 2,
                max_df: float = 0.95) -> DataFrame:
     """M8: (term, df, tf_total, idf, rank) of the selected vocabulary (rank 1 = most frequent)."""
-    # df from the distinct terms of each document and corpus counts from all terms:
-    # both aggregate by term with map-side partial aggregation, so no
-    # (document, term) pairs are shuffled.
+    # one pass over the texts, nothing kept: sorted, the equal terms of a document stand together and the
+    # first of them counts the document. The aggregate is partial on the map side, so no (document, term)
+    # pairs are shuffled. A kept term list is some ten times its text, all of it read by a task a split.
     n_docs = termed.agg(F.count(F.lit(1)).alias("_n"))
-    df_counts = termed.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
-    tf_counts = termed.select(F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("tf_total"))
-    stats = df_counts.join(tf_counts, "term")
+    sort = termed.select(F.sort_array("terms").alias("_s"))
+    lagged = F.slice(F.concat(F.array(F.lit(None).cast("string")), "_s"), 1, F.size("_s"))
+    marked = F.zip_with("_s", lagged, lambda x, before: F.struct(x.alias("term"), (~x.eqNullSafe(before)).cast("long").alias("first")))
+    # outer: for an inner explode Spark adds a filter on the array's size, which makes the lists twice
+    counted = sort.select(F.explode_outer(marked).alias("_t")).filter(F.col("_t").isNotNull())
+    stats = counted.groupBy("_t.term").agg(F.sum("_t.first").alias("df"), F.count(F.lit(1)).alias("tf_total"))
     from .groups import with_scalar
 
     cand = with_scalar(stats, n_docs).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_n")))

@@ -204,16 +204,15 @@ SELECT term, df, tf_total, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf, rank FRO
 @query("tfidf_vocabulary", _vocab_sql())
 def q_vocab(spark, sf_dir):
     """M8: TF-IDF vocabulary (df, corpus count, idf)."""
-    termed = TP.term_lists(_documents(spark, sf_dir)).cache()  # read by three aggregates
+    termed = TP.term_lists(_documents(spark, sf_dir))
     return round_doubles(TP.vocabulary(termed, max_features=VOCAB_SIZE))
 
 
 def _topic_model(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    termed = TP.term_lists(docs).cache()
+    termed = TP.term_lists(docs)  # made twice, for the vocabulary and for the vectors: kept, they are ten times the texts
     vocab_rows = TP.vocabulary(termed, max_features=VOCAB_SIZE).orderBy("rank").collect()  # ≤ VOCAB_SIZE rows
     weighted = materialised(TP.tfidf(termed, vocab_rows).select("id", "category", "tfidf"))
-    termed.unpersist()
     scores, comps, s = TP.truncated_svd(weighted, "id", "tfidf", TOPICS)
     return weighted, [r["term"] for r in vocab_rows], scores, comps
 
