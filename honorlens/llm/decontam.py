@@ -5,7 +5,7 @@ between them, looked up in the text in both forms too. Of M matched words and E
 (0.5 each) a copy of an item of m words has M - E/2 >= m/2, so at most M - m/2 of its M - 1
 steps from match to match hold two errors or more: at least ceil(m/2) - 1 of them are seeds
 with places of their own, whatever the edits. Half of as many places may therefore be left
-out; a pass over a sample of the corpus counts documents, and the most frequent ones go.
+out; a pass over the corpus counts documents, and the most frequent ones go.
 The other half is demanded as support within the 2 m words that a copy can take up. Which
 places are left out changes the work, never the result. Where there is support, the passage
 that any such copy lies in is aligned with the item's words (local alignment, all passages
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .text_words import _ODD
 
-#: One document in so many is counted for the seeds' frequencies.
-SAMPLE = 16
 #: Seed hits looked at together; blocks and texts of more are taken in halves.
 MOST_HITS = 1 << 22
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
@@ -122,7 +120,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items
 
 
 def frequencies(docs: DataFrame, known: np.ndarray, text: str = "text") -> np.ndarray:
-    """In how many documents of the sample each of the sorted seeds ``known`` occurs."""
+    """In how many documents each of the sorted seeds ``known`` occurs."""
     sent = docs.sparkSession.sparkContext.broadcast((known, _maybe(known)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +141,8 @@ def frequencies(docs: DataFrame, known: np.ndarray, text: str = "text") -> np.nd
     counts = np.zeros(len(known), dtype=np.int64)
     if not len(known):
         return counts
-    sample = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
-    for r in sample.mapInArrow(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
+    texts = docs.select(text).filter(F.col(text).isNotNull())
+    for r in texts.mapInArrow(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
         counts[r["seed"]] = r["n"]  # a row for each seed of the block at most
     return counts
 

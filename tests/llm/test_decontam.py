@@ -101,3 +101,15 @@ def test_of_equal_passages_the_first_is_reported(spark):
     text = f"{ITEM} {prose(random.Random(2), 200)} {ITEM}"
     got = decontam.leaks(frame(spark, [(1, text)]), spark.createDataFrame([(1, ITEM)], SCHEMA)).collect()
     assert [(r.score, r.first_word, r.n_words) for r in got] == [(1.0, 0, 25)]
+
+
+def test_seeds_are_counted_in_every_document(spark):
+    rnd = random.Random(6)
+    rows = [(i, f"{prose(rnd, 9)} {ITEM if i % 3 else REPLACED} {ITEM if i % 2 else ''}") for i in range(60)] + [(100, None), (101, "")]
+    items = next(decontam.item_blocks(spark.createDataFrame([(1, ITEM)], SCHEMA), "item_id", "text"))
+    known = np.unique(items.seed)
+    counts = decontam.frequencies(frame(spark, rows), known)
+    hashes, at = decontam._words(pa.array([text for _, text in rows]))
+    found, begin = decontam._seeds(hashes, at, at[:0])
+    row = np.searchsorted(at, begin, "right") - 1
+    assert counts.tolist() == [len(set(row[found == seed].tolist())) for seed in known] and max(counts) == 60
