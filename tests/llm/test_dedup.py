@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from honorlens.llm import cuckoo, partenum, text_units
 from tests.llm.fixtures import awkward, classes, frame, lower, prose, shingle_set
@@ -66,6 +67,19 @@ def meet(sets, levels):
     return any((one[f] % 2 or other[f] % 2 or not one[f]) and within(sets.size[0], one[f]) and within(sets.size[1], other[f]) for f in one.keys() & other.keys())
 
 
+def test_frequent_shingles_are_counted_in_every_document(spark):
+    rnd = random.Random(8)
+    common, rarer = prose(rnd, 30), prose(rnd, 20)
+    rows = [(i, f"{prose(rnd, 20)} {common} {rarer if i < 47 else ''} {prose(rnd, 5)}") for i in range(700)]
+    docs = frame(spark, rows).filter(F.pmod(F.xxhash64("text"), F.lit(16)) != 0)  # none that one in sixteen by this hash would count
+    texts = [r.text for r in docs.collect()]
+    data, offsets = text_units.utf8(pa.array(texts))
+    items, n = np.unique(partenum.Sets(data, offsets).items, return_counts=True)
+    want = {int(i) % partenum.LEVEL_PLACES: 1 + int(np.log10(c / 48) + 1e-9) for i, c in zip(items, n, strict=True) if c >= 48}
+    levels = partenum.frequency_levels(docs.repartition(5), partenum.WORDS)
+    assert len(want) == 26 and set(want.values()) == {2} and {int(p): int(levels[p]) for p in np.flatnonzero(levels)} == want
+
+
 def test_every_link_at_the_bound_has_a_shared_signature():
     rnd = random.Random(3)
     for n in (7, 8, 12, 20, 33, 60, 64, 65, 120, 400, 1500):
