@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without labelled rows nothing can be learned; then only texts without a letter go.
     """
     model = langid.learn(docs.filter(langid.in_training()))
-    found = langid.predict(docs.select(F.struct("*").alias("row"), "text"), model)
+    found = langid.predict(docs.select(F.struct("*").alias("row")), model, "row.text")  # the text once a row, not twice
     if model.languages:
         keep = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
     else:

@@ -35,6 +35,8 @@ SHARE = 0.2
 #: Frequencies that others are measured by are taken as if a language had been learned from so many n-grams at least.
 PRIOR = 1 << 16
 WORD = 64
+#: Bytes of text that are predicted at a time; a hundred times as many are held meanwhile.
+PREDICT_BYTES = 1 << 18
 UNDETERMINED = "und"
 
 
@@ -159,8 +161,8 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = SLOTS) ->
     return Model(languages, masks)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score, from the text alone (columns of these names are replaced).
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score, from the column ``text`` alone (columns of these names are replaced).
 
     ``und`` with score 0 for a null text, one without a letter, or a model without languages.
     A text whose n-grams no filter knows gets the language learned from most, score 0; of
@@ -169,17 +171,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks.astype(_smallest(len(model.languages))), model.chance()))
 
-    @F.pandas_udf("lang string, score double")
-    def best(text):
-        import pandas as pd
-
+    @F.arrow_udf("lang string, score double")
+    def best(text: pa.Array) -> pa.Array:
         from .text_units import blocks, utf8
 
         languages, masks, chance = sent.value
-        data, offsets = utf8(pa.array(text, pa.large_string()))
+        data, offsets = utf8(text)
         n = len(text)
         names, score = np.full(n, UNDETERMINED, dtype=object), np.zeros(n)
-        for lo, hi in blocks(offsets) if languages else ():
+        for lo, hi in blocks(offsets, PREDICT_BYTES) if languages else ():
             keys, at, letters = grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             places = slots(keys, masks.shape[1])
             total = np.diff(at)
@@ -196,9 +196,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             sure = letters > 0
             names[lo:hi][sure] = np.array(languages, dtype=object)[win[sure]]
             score[lo:hi][sure] = np.minimum(1, real.max(axis=0)[sure] / np.maximum(1, total[sure]))
-        return pd.DataFrame({"lang": names, "score": score})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang", "score"])
 
-    out = docs.select(F.struct("*").alias("row"), best("text").alias("best"))  # a struct: no column can clash
+    out = docs.select(F.struct("*").alias("row"), best(text).alias("best"))  # a struct: no column can clash
     own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
     return out.select(*own, F.col("best.lang").alias("lang_pred"), F.col("best.score").alias("score"))
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from honorlens.llm import langid
 from tests.llm.fixtures import SCHEMA
@@ -83,3 +85,13 @@ def test_winners_and_counts_equal_exact_sets(spark):
         best = max(real.values())
         assert real[got[doc_id].lang_pred] == best  # of equal counts either is right here
         assert abs(got[doc_id].score - best / len(asked)) < 0.02
+
+
+def test_a_text_within_a_row_is_predicted_without_a_second_copy(spark):
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), (None, None), ("12", "en")] * 3)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    rows = docs.select(F.struct("*").alias("row"))
+    want = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    found = langid.predict(rows, model, "row.text")
+    assert found.columns == ["row", "lang_pred", "score"]
+    assert {r.row.doc_id: (r.lang_pred, r.score) for r in found.collect()} == want and want[2] == ("und", 0.0)
