@@ -12,14 +12,17 @@ import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialised
 from . import groups as G
 from .silhouette import euclidean_silhouette
 
@@ -183,33 +186,72 @@ def fold_column(df: DataFrame, key_cols: Sequence[str], n_folds: int, seed: int
 FOREST_BINS = 128
 
 
-def _forest(num_trees: int, max_depth: int, seed: int) -> RandomForestClassifier:
-    """Deep trees: a larger node-statistics budget and cached node ids mean fewer
-    passes over the data per level (same model); node-id caches checkpoint into
-    the shared checkpoint folder."""
-    return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, weightCol="weight",
-                                  featuresCol="features", labelCol="label", maxMemoryInMB=1024, maxBins=FOREST_BINS,
-                                  cacheNodeIds=True, checkpointInterval=10)
+def forest_points(data: DataFrame, num_trees: int, seed: int) -> DataFrame:
+    """``data`` (features, label, weight, n: a row for n equal rows) with ``bag``, how often each tree draws it.
+
+    A bootstrap draws each row Poisson(1) times, so n equal rows Poisson(n) times together: the
+    bag of a tree has the distribution that it has over the rows. The draws depend on the
+    point and the seed alone, not on the partitions."""
+
+    @F.pandas_udf("array<int>")
+    def draws(key: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([k & 0xFFFFFFFF, (k >> 32) & 0xFFFFFFFF]).poisson(m, num_trees).astype(np.int32) for k, m in zip(key.tolist(), n.tolist())])
+
+    key = F.xxhash64(F.lit(seed), vector_to_array("features"), "label")
+    return data.select("features", "label", "weight", draws(key, "n").alias("bag"))
+
+
+def forest(points: DataFrame, num_trees: int, max_depth: int, seed: int, parallelism: int = 8) -> list:
+    """The trees of a random forest over ``forest_points``, fitted side by side.
+
+    Each is a forest of one tree with the square root of the features at every node, on its
+    own bag; splits lie between the values of that bag. The work of a tree grows with the
+    distinct points, and nothing is kept for a row and tree but the draws."""
+
+    def tree(i: int):
+        bag = F.col("bag")[i]
+        drawn = points.filter(bag > 0).select("features", "label", (F.col("weight") * bag).alias("weight"))
+        return RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed + i, weightCol="weight",
+                                      featuresCol="features", labelCol="label", maxMemoryInMB=1024, maxBins=FOREST_BINS).fit(drawn)
+
+    drawn = points.select(F.posexplode("bag")).groupBy("pos").agg(F.sum("col").alias("n")).filter("n > 0").collect()  # a tree without rows has no vote
+    return _parallel(tree, sorted(r["pos"] for r in drawn), parallelism, points)
+
+
+def forest_votes(trees: Sequence, points: DataFrame, n_classes: int, each: int = 25) -> DataFrame:
+    """``points`` with ``prediction``: the class with the most votes, a tree's vote being its leaf's class shares."""
+    votes = [F.lit(0.0)] * n_classes
+    out = points.withColumn("_votes", F.array(*votes))
+    for lo in range(0, len(trees), each):
+        some = trees[lo : lo + each]
+        for i, t in enumerate(some):
+            t.setProbabilityCol(f"_p{i}").setRawPredictionCol("").setPredictionCol("")
+            out = t.transform(out)
+        held = [vector_to_array(f"_p{i}") for i in range(len(some))]
+        total = [F.col("_votes")[c] + sum((F.coalesce(F.get(h, F.lit(c)), F.lit(0.0)) for h in held), F.lit(0.0)) for c in range(n_classes)]
+        out = out.select(*points.columns, F.array(*total).alias("_votes"))
+    most = F.array_position("_votes", F.array_max("_votes")) - 1  # the first of equal ones, as in Spark's forests
+    return out.select(*points.columns, most.cast("double").alias("prediction"))
 
 
 def random_forest_cv(frame: DataFrame, num_trees: int = 200, max_depth: int = 10, n_folds: int = 5,
                      seed: int = 42, key_cols: Sequence[str] = ("id", "award_year", "age_at_award"),
-                     parallelism: int = 1) -> DataFrame:
+                     parallelism: int = 8) -> DataFrame:
     """M6: class-weighted random forest, accuracy of each of ``n_folds`` folds plus
-    their mean and population std. Folds run one after another by default: every
-    concurrent forest caches its own bagged copy of the training data, so
-    ``parallelism`` > 1 is for inputs that fit that many times in memory."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    data = fold_column(balanced_weights(frame), key_cols, n_folds, seed).select("features", "label", "weight", "fold")
-    data = data.cache()
-    ev = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label", predictionCol="prediction")
-
-    def run_fold(f: int):
-        model = _forest(num_trees, max_depth, seed).fit(data.filter(F.col("fold") != f))
-        return f, float(ev.evaluate(model.transform(data.filter(F.col("fold") == f))))
-
-    accs = _parallel(run_fold, list(range(n_folds)), parallelism, data)
-    data.unpersist()
+    their mean and population std. Every row gets its fold; rows with equal features, label
+    and fold are then one point with a count. ``parallelism``: trees fitted side by side."""
+    keyed = fold_column(balanced_weights(frame), key_cols, n_folds, seed)
+    data = keyed.groupBy("features", "label", "weight", "fold").agg(F.count(F.lit(1)).alias("n"))
+    data = materialised(data)
+    n_classes = int(data.agg(F.max("label")).first()[0]) + 1
+    accs = []
+    for f in range(n_folds):
+        rest = data.filter(F.col("fold") != f).groupBy("features", "label", "weight").agg(F.sum("n").alias("n"))
+        points = materialised(forest_points(rest, num_trees, seed))
+        trees = forest(points, num_trees, max_depth, seed, parallelism)
+        judged = forest_votes(trees, data.filter(F.col("fold") == f).select("features", "label", "n"), n_classes)
+        right, total = judged.agg(F.sum(F.when(F.col("prediction") == F.col("label"), F.col("n")).otherwise(0)), F.sum("n")).first()
+        accs.append((f, right / total if total else float("nan")))
     mean = sum(a for _, a in accs) / len(accs)
     std = math.sqrt(sum((a - mean) ** 2 for _, a in accs) / len(accs))
     folds = frame.sparkSession.createDataFrame(accs, "fold int, accuracy double")
@@ -218,12 +260,11 @@ def random_forest_cv(frame: DataFrame, num_trees: int = 200, max_depth: int = 10
 
 def feature_importances(frame: DataFrame, feature_names: Sequence[str], num_trees: int = 200, max_depth: int = 10,
                         seed: int = 42) -> DataFrame:
-    """M7: importances of a forest fitted on all rows, sorted descending."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    data = balanced_weights(frame).select("features", "label", "weight").cache()
-    final = _forest(num_trees, max_depth, seed).fit(data)
-    data.unpersist()
-    imp = final.featureImportances.toArray()
+    """M7: importances of a forest fitted on all rows (the mean of its trees'), sorted descending."""
+    data = balanced_weights(frame).groupBy("features", "label", "weight").agg(F.count(F.lit(1)).alias("n"))
+    points = materialised(forest_points(data, num_trees, seed))
+    each = np.array([t.featureImportances.toArray() for t in forest(points, num_trees, max_depth, seed)]).reshape(-1, len(feature_names))
+    imp = each.sum(axis=0) / max(each.sum(), 1e-300)
     return frame.sparkSession.createDataFrame(
         [(n, float(v)) for n, v in zip(feature_names, imp)], "feature string, importance double"
     ).orderBy(F.desc("importance"), "feature")
