@@ -48,25 +48,30 @@ def descriptive_by_group(
     female: str = "female",
     lifespan: str = "lifespan",
     approx: bool = False,
+    apart: bool = False,
 ) -> DataFrame:
     """A1: per group count(id), distinct ids, mean/median/std/min/max of value,
-    % female, mean lifespan; sorted by count desc (key as tie-breaker)."""
-    return (
-        non_null_keys(df, [group])
-        .groupBy(group)
-        .agg(
-            F.count(id_col).alias("count"),
-            _distinct(id_col, approx).alias("unique_laureates"),
-            F.avg(value).alias("avg_age"),
-            _median(value, approx).alias("median_age"),
-            F.stddev_samp(value).alias("std_age"),
-            F.min(value).alias("min_age"),
-            F.max(value).alias("max_age"),
-            (share_true(F.col(gender) == female) * 100).alias("pct_female"),
-            F.avg(lifespan).alias("avg_lifespan"),
-        )
-        .orderBy(F.desc("count"), F.asc(group))
+    % female, mean lifespan; sorted by count desc (key as tie-breaker).
+
+    ``apart`` reads ``df`` twice and counts the distinct ids for themselves: else Spark
+    aggregates all by group and id first, a buffer for the median each."""
+    base = non_null_keys(df, [group])
+    distinct = [] if apart else [_distinct(id_col, approx).alias("unique_laureates")]
+    out = base.groupBy(group).agg(
+        F.count(id_col).alias("count"),
+        *distinct,
+        F.avg(value).alias("avg_age"),
+        _median(value, approx).alias("median_age"),
+        F.stddev_samp(value).alias("std_age"),
+        F.min(value).alias("min_age"),
+        F.max(value).alias("max_age"),
+        (share_true(F.col(gender) == female) * 100).alias("pct_female"),
+        F.avg(lifespan).alias("avg_lifespan"),
     )
+    if apart:
+        ids = base.select(group, id_col).distinct().groupBy(group).agg(F.count(id_col).alias("unique_laureates"))
+        out = out.join(ids, group).select(group, "count", "unique_laureates", *out.columns[2:])
+    return out.orderBy(F.desc("count"), F.asc(group))
 
 
 def crosstab_counts(df: DataFrame, row: str, col: str, values: Sequence[str], weight: str | None = None) -> DataFrame:

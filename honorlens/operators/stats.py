@@ -236,29 +236,26 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A10: pairwise-complete Pearson correlation of every column pair in one
     aggregate pass, as a long (var_a, var_b, r) table including the diagonal.
 
-    ``regr_sxx``/``regr_syy``/``regr_sxy`` are defined over the rows where both
-    values are non-null (pairwise-complete, N5) and merge stably (Welford), so
-    r = Sxy / sqrt(Sxx · Syy); a constant column gives NULL through ``try_divide``
-    (``corr`` would raise under ANSI, N6). Listed columns that do not exist are
-    skipped (P21)."""
+    A row is aggregated once a pair, for the pairs of which it has both values
+    (pairwise-complete, N5), grouped by pair: three aggregates a pair side by side
+    would be too much code to be compiled. ``regr_sxx``/``regr_syy``/``regr_sxy``
+    merge stably (Welford), so r = Sxy / sqrt(Sxx · Syy); a constant column gives
+    NULL through ``try_divide`` (``corr`` would raise under ANSI, N6), as does a pair
+    that no row has. Listed columns that do not exist are skipped (P21)."""
     cols = [c for c in cols if c in df.columns]
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            y, x = F.col(b).cast("double"), F.col(a).cast("double")
-            tag = f"{i}_{j}"
-            aggs += [F.regr_sxx(y, x).alias(f"xx{tag}"), F.regr_syy(y, x).alias(f"yy{tag}"),
-                     F.regr_sxy(y, x).alias(f"xy{tag}")]
-            pairs.append((a, b, tag))
-    wide = df.agg(*aggs)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "var_a string, var_b string, r double")
+    of = [F.struct(F.lit(k).alias("k"), F.col(f"`{cols[i]}`").cast("double").alias("x"), F.col(f"`{cols[j]}`").cast("double").alias("y")) for k, (i, j) in enumerate(pairs)]
+    each = df.select(F.inline(F.array(*of))).filter("x IS NOT NULL AND y IS NOT NULL")
+    sums = each.groupBy("k").agg(F.regr_sxx("y", "x").alias("xx"), F.regr_syy("y", "x").alias("yy"), F.regr_sxy("y", "x").alias("xy"))
+    r = sums.select("k", F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
+    by_pair = r.agg(F.map_from_entries(F.collect_list(F.struct("k", "r"))).alias("by_pair"))  # one row, as many entries as pairs
     items = []
-    for a, b, tag in pairs:
-        r = F.try_divide(F.col(f"xy{tag}"), F.sqrt(F.col(f"xx{tag}") * F.col(f"yy{tag}")))
-        items.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), r.alias("r")))
-        if a != b:
-            items.append(F.struct(F.lit(b).alias("var_a"), F.lit(a).alias("var_b"), r.alias("r")))
-    return wide.select(F.explode(F.array(*items)).alias("_p")).select("_p.var_a", "_p.var_b", "_p.r")
+    for k, (i, j) in enumerate(pairs):
+        found = F.try_element_at("by_pair", F.lit(k)).alias("r")
+        items += [F.struct(F.lit(cols[x]).alias("var_a"), F.lit(cols[y]).alias("var_b"), found) for x, y in dict.fromkeys([(i, j), (j, i)])]
+    return by_pair.select(F.explode(F.array(*items)).alias("_p")).select("_p.var_a", "_p.var_b", "_p.r")
 
 
 def rank_method() -> Column:

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles, round_half_even
+from ..llm.common import staged
 from ..operators import groups as G
 from ..operators import stats as S
 from ..session import ensure_checkpoint_dir, materialised
-from ..sources.facts import award_facts, order_facts, persons
+from ..sources.facts import award_facts, persons
 from ..streaming.cube import ROWS, open_cube, start_cube
 from . import analysis  # noqa: F401  (the SQL of its queries is used below)
 from .registry import ORACLES, query
@@ -41,30 +42,24 @@ def run_analysis(spark: SparkSession, sf_dir: str, mw_categories: tuple[str, str
     """Descriptive, gender by decade, rankings, χ², rank-sum, regression,
     lifespan, per-decade counts, distribution and correlations. ``display=True``
     applies the reference's rounding (half to even) as the last step."""
-    fact = award_facts(spark, sf_dir)
-    counts = order_facts(spark, sf_dir)
+    # the fact is joined once; the reports read their columns of it, those that need counts only read a cube
+    fact = award_facts(spark, sf_dir).withColumn("has_id", F.col("id").isNotNull())
+    fact = staged(fact.select(*dict.fromkeys([*CUBE_KEYS, "id", "lifespan", *numeric])), "facts")
+    counted = counted_reports(materialised(fact.groupBy(*CUBE_KEYS).agg(F.count(F.lit(1)).alias(ROWS))), mw_categories)
     p = persons(fact)
-    from .analysis import person_cube
-
-    cube = person_cube(spark, sf_dir)  # one scan feeds the four tests
-    c1, c2 = mw_categories
-    chi = S.chi_squared(cube.filter(F.col("gender").isin("male", "female")), "gender", "category", weight="n_rows")
-    mw = S.mann_whitney(cube.filter(F.col("category").isin(c1, c2)), "age_at_award", F.col("category") == c1,
-                        weight="n_rows")
-    ols = S.ols_trend(cube, weight="n_rows")
-    dist = S.distribution_stats(cube, weight="n_rows")
+    tests = {"chi": "chi_squared", "mw": "mann_whitney", "ols": "age_regression", "dist": "age_distribution"}
     out = {
-        "descriptive": G.descriptive_by_group(p),
-        "gender_decades": G.gender_by_decade(persons(counts), values=PERSON_GENDERS, weight="n_items"),
-        "country_rankings": G.top_groups(counts, weight="n_items"),
-        "chi_squared": chi,
-        "mann_whitney": mw,
-        "age_regression": ols,
+        "descriptive": G.descriptive_by_group(p, apart=True),
+        "gender_decades": counted["gender_decades"],
+        "country_rankings": counted["country_rankings"],
+        "chi_squared": counted["chi_squared"],
+        "mann_whitney": counted["mann_whitney"],
+        "age_regression": counted["age_regression"],
         "lifespan": G.lifespan_by_group(p),
-        "prizes_decade": G.counts_per_bucket(counts, "decade", "category", CATEGORY_ORDER, weight="n_items"),
-        "age_distribution": dist,
+        "prizes_decade": counted["prizes_decade"],
+        "age_distribution": counted["age_distribution"],
         "correlations": S.correlation_long(p, list(numeric)),
-        "p_values": S.with_p_values(chi=chi, mw=mw, ols=ols, dist=dist),
+        "p_values": S.with_p_values(**{k: counted[name] for k, name in tests.items()}),
     }
     if display:
         out = {k: round_half_even(v, DISPLAY_DIGITS.get(k, {})) for k, v in out.items()}
