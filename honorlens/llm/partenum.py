@@ -55,6 +55,8 @@ from .common import staged, unstaged
 WORDS, SIMILARITY = 5, Fraction(3, 4)
 MISS, LAMBDA, GROWTH = 1e-13, 1.43, 1.5
 SKETCH_BITS = 1024
+#: Bytes of text whose sets are made at a time; some forty times as many are held meanwhile.
+BLOCK_BYTES = 1 << 19
 #: Members of a signature's group that are compared with all others, by round; the last number stays.
 PIVOTS = (1, 16, 256)
 FILTER_BITS = 1 << 26
@@ -221,7 +223,7 @@ def _blocks(column: pa.Array, n: int) -> Iterator[tuple[int, int, Sets]]:
     from .text_units import blocks, utf8
 
     data, offsets = utf8(column)
-    for lo, hi in blocks(offsets):
+    for lo, hi in blocks(offsets, BLOCK_BYTES):
         yield lo, hi, Sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
 
 
@@ -255,6 +257,31 @@ def _once(sets: Sets) -> np.ndarray:
     return sets.items[np.isin(sets.row, first)]
 
 
+def place_counts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(piece, held) of the PIECE places from piece * PIECE on: compressed 32-bit counts of the shingles that fall on each.
+
+    A byte a place is held meanwhile, and the rest for those few with more.
+    """
+    load, whole = np.zeros(LEVEL_PLACES, dtype=np.uint8), {}  # whole: 256 occurrences at a place each
+    for batch in batches:
+        for _, _, sets in _blocks(batch.column("text"), n):
+            place, more = np.unique((_once(sets) % np.uint64(LEVEL_PLACES)).astype(np.int32), return_counts=True)
+            more += load[place]
+            load[place] = more.astype(np.uint8)  # modulo 256
+            for i in np.flatnonzero(more >= 256).tolist():
+                whole[int(place[i])] = whole.get(int(place[i]), 0) + int(more[i]) // 256
+    pieces = load.reshape(-1, PIECE)
+    over = np.array(sorted(whole), dtype=np.int64)
+    full = np.array([whole[i] for i in over.tolist()], dtype=np.uint32)
+    used = np.union1d(np.flatnonzero(pieces.any(axis=1)), over // PIECE)
+    for some in np.array_split(used, -(-len(used) // 256) or 1):
+        counts = pieces[some].astype(np.uint32)
+        mine = np.isin(over // PIECE, some)
+        counts[np.searchsorted(some, over[mine] // PIECE), over[mine] % PIECE] += 256 * full[mine]
+        held = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in counts]
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(some.astype(np.int32)), "held": pa.array(held, pa.binary())})
+
+
 def crowded(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Places (a shingle's hash modulo LEVEL_PLACES) with the occurrences that make a shingle frequent, and how many these are.
 
@@ -262,17 +289,6 @@ def crowded(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     an eighth of the places would have them.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load = np.zeros(LEVEL_PLACES, dtype=np.uint32)
-        for batch in batches:
-            for _, _, sets in _blocks(batch.column("text"), n):
-                np.add.at(load, (_once(sets) % np.uint64(LEVEL_PLACES)).astype(np.int64), np.uint32(1))
-        pieces = load.reshape(-1, PIECE)
-        used = np.flatnonzero(pieces.any(axis=1))
-        for some in np.array_split(used, -(-len(used) // 256) or 1):
-            held = [pa.compress(pieces[i].tobytes(), "zstd", asbytes=True) for i in some]
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(some.astype(np.int32)), "held": pa.array(held, pa.binary())})
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -283,7 +299,7 @@ def crowded(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
             at = np.flatnonzero(x >= FREQUENT)
             yield pa.RecordBatch.from_pydict({"place": pa.array((piece * PIECE + at).astype(np.int32)), "n": pa.array(x[at])})
 
-    counts = docs.select("text").mapInArrow(count, "piece int, held binary")
+    counts = docs.select("text").mapInArrow(lambda batches: place_counts(batches, n), "piece int, held binary")
     loads = staged(counts.repartition(64, "piece").mapInArrow(add, "place int, n long"), "loads")
     doubled = [FREQUENT << i for i in range(40)]
     many = loads.agg(*[F.count_if(F.col("n") >= x) for x in doubled]).first()
@@ -305,14 +321,13 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
         return out
     bits = np.zeros(LEVEL_PLACES, dtype=bool)
     bits[hot] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
             for _, _, sets in _blocks(batch.column("text"), n):
                 items = _once(sets)
-                item, count = np.unique(items[known[(items % np.uint64(LEVEL_PLACES)).astype(np.int64)]], return_counts=True)
+                item, count = np.unique(items[_held(sent.value, (items % np.uint64(LEVEL_PLACES)).astype(np.int64))], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"item": pa.array(item.view(np.int64)), "n": pa.array(count.astype(np.int64))})
 
     counts = docs.select("text").mapInArrow(read, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -369,26 +384,30 @@ def pairs_of(pivots: DataFrame, members: DataFrame, similarity: Fraction) -> Dat
 
 
 def _node_filter(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of bounded size over the nodes of ``wanted`` (node, distinct)."""
+    """A bitmap of bounded size over the nodes of ``wanted`` (node, distinct), packed."""
     bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
     at = F.pmod(F.col("node"), F.lit(bits))
     words = wanted.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("v"))
     out = np.zeros(bits // 64, dtype=np.int64)
     found = words.toPandas()  # a 64th of the bits at most
     out[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def _held(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at ``at`` are set, in a bitmap packed from the lowest bit on."""
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, text): one text of each wanted node, and of few others."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(_node_filter(wanted)))  # FILTER_BITS at most
+    sent = docs.sparkSession.sparkContext.broadcast(_node_filter(wanted))  # FILTER_BITS at most
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
             for lo, _, sets in _blocks(batch.column("text"), n):
                 node, first = np.unique(sets.node, return_index=True)
-                use = known[node % len(known)] & (sets.size[first] > 0)
+                use = _held(sent.value, node % (8 * len(sent.value))) & (sets.size[first] > 0)
                 if use.any():
                     yield pa.RecordBatch.from_pydict({"node": pa.array(node[use]), "text": batch.column("text").take(pa.array(lo + first[use]))})
 

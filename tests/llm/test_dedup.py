@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -178,3 +179,24 @@ def test_unlinked_texts_around_one_passage_are_not_all_compared(spark, monkeypat
             assert got == {i: i - n if i >= n else i for i, _ in rows}
             found[n] = sum(compared)
         assert all(20 <= c <= n for n, c in found.items()), found
+
+
+def test_places_are_counted_in_a_byte_each():
+    rnd = random.Random(5)
+    texts = [f"{prose(rnd, 3)} a passage that every text of them has and more {prose(rnd, 20)} {i}" for i in range(700)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[k : k + 100])}) for k in range(0, 700, 100)]
+    tracemalloc.start()
+    rows = [x for b in partenum.place_counts(iter(batches), partenum.WORDS) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 16 MB of bytes, and a block of texts; a number of 32 bits a place takes 64 MB
+    found = {}
+    for x in rows:
+        held = np.frombuffer(pa.decompress(x["held"], 4 * partenum.PIECE, "zstd", asbytes=True), dtype=np.uint32)
+        found.update({x["piece"] * partenum.PIECE + int(i): int(held[i]) for i in np.flatnonzero(held)})
+    want = {}
+    for b in batches:
+        for _, _, sets in partenum._blocks(b.column("text"), partenum.WORDS):
+            for place in (partenum._once(sets) % np.uint64(partenum.LEVEL_PLACES)).tolist():
+                want[place] = want.get(place, 0) + 1
+    assert found == want and max(found.values()) == 700
