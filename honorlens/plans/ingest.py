@@ -121,19 +121,27 @@ def q_files(spark, sf_dir):
     return _flat(N.read_documents(spark, folder, lines=True))
 
 
-def _write_array_files(records, folder, before, after):
-    """``records`` (shard, value: JSON): a file a shard, one document with one array between the texts ``before`` and ``after``.
+def _in_files(records):
+    """``records`` (shard, value: JSON) with nth, their place in their shard, and n, its size; a shard is in one partition."""
+    shard = Window.partitionBy("shard")
+    return records.select("shard", "value", F.row_number().over(shard.orderBy("value")).alias("nth"), F.count(F.lit(1)).over(shard).alias("n"))
+
+
+def _write_placed(placed, folder, before, after):
+    """``placed`` (see ``_in_files``): a file a shard, one document with one array between the texts ``before`` and ``after``.
 
     The ends are part of the first and the last row of a shard, so that one shuffle brings a file's
     rows together; of a union Spark may coalesce each side for itself, which tears a shard apart.
     """
-    shard = Window.partitionBy("shard")
-    order = shard.orderBy("value")
-    placed = records.select("shard", "value", F.row_number().over(order).alias("nth"), F.count(F.lit(1)).over(shard).alias("n"))
     value = F.concat(F.when(F.col("nth") > 1, F.lit(",")).otherwise(before), "value", F.when(F.col("nth") == F.col("n"), after).otherwise(F.lit("")))
     placed.select("shard", value.alias("value"), "nth").sortWithinPartitions("shard", "nth").select("shard", "value").write.partitionBy("shard").text(folder)
 
 
+def _write_array_files(records, folder, before, after):
+    """``records`` (shard, value: JSON): a file a shard (see ``_write_placed``)."""
+    _write_placed(_in_files(records), folder, before, after)
+
+
 def _records(spark, sf_dir):
     return order_documents(spark, sf_dir).select(F.get_json_object("json", f"$.{N.RECORDS_FIELD}[0]").alias("value"))
 
@@ -161,15 +169,15 @@ def q_paged(spark, sf_dir):
     """Linked pages; of three sources the first lacks a page, the second has a torn one, and the third is read."""
     folder = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
     page = F.pmod(F.get_json_object("value", "$.id").cast("long"), F.lit(PAGES)).cast("int")
-    records = materialised(_records(spark, sf_dir).withColumn("shard", page))
+    placed = materialised(_in_files(_records(spark, sf_dir).withColumn("shard", page)))  # once for all three; a partition stays whole
     before, last = F.lit(f'{{"{N.RECORDS_FIELD}": ['), (PAGES - 1) * STRIDE % PAGES
     link = F.concat(F.lit('], "links": {"next": "'), ((F.col("shard") + STRIDE) % PAGES).cast("string"), F.lit('"}}'))
     whole = F.when(F.col("shard") == last, F.lit('], "links": {}}')).otherwise(link)
     torn = F.when(F.col("shard") == 5, F.lit('], "links": {"ne')).otherwise(whole)
-    for name, rows, after in (("gone", records.filter("shard <> 14"), whole), ("torn", records, torn), ("mirror", records, whole)):
-        _write_array_files(rows, f"{folder}/{name}", before, after)
+    for name, rows, after in (("gone", placed.filter("shard <> 14"), whole), ("torn", placed, torn), ("mirror", placed, whole)):
+        _write_placed(rows, f"{folder}/{name}", before, after)
     sources = [paged.Paged(x, f"{folder}/{x}", "0", "regexp_extract(_metadata.file_path, 'shard=([0-9]+)', 1)") for x in ("gone", "torn", "mirror")]
-    manifest = records.groupBy(F.col("shard").cast("string").alias("page")).agg(F.count("*").alias("n_records"))
+    manifest = placed.groupBy(F.col("shard").cast("string").alias("page")).agg(F.count("*").alias("n_records"))
     read = paged.read_pages(spark, sources, N.RECORDS_FIELD, N.RECIPIENT, manifest)
     rows = paged.records_of(read, "source", "position", "page")
     return rows.groupBy("source", "position", "page").agg(F.count("*").alias("n_records"), F.sum(F.col("id").cast("long")).alias("sum_id"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,8 @@ from ..session import materialised, ship_package
 RANGE_BYTES = 32 << 20
 #: Bytes that a task holds at a time, and bytes before an array in which its name must end.
 PIECE, NAME_REACH = 1 << 22, 1 << 16
+#: Stands for a slice that isn't text or where an element is missing: no parser takes it for elements.
+NO_ELEMENT = ","
 _STEP = np.zeros(256, dtype=np.int8)
 _STEP[[91, 123]], _STEP[[93, 125]] = 1, -1  # [ { and ] }
 
@@ -157,23 +159,71 @@ def _elements(top: int):
     return found
 
 
+def _text(data: bytes) -> str | None:
+    """``data`` as text; None if it isn't UTF-8."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
+def _outlines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """By file: its text without what lies between the array's brackets (``open`` is -1 if it has no array)."""
+    for frame in frames:
+        out = []
+        for r in frame.itertuples():
+            source = Ranges(r.file)
+            ends = [(0, source.size)] if r.open < 0 else [(0, r.open + 1), (r.close, source.size)]
+            out.append((r.file, _text(b"".join(source.bytes(*x) for x in ends).removeprefix(b"\xef\xbb\xbf"))))
+        yield pd.DataFrame(out, columns=["file", "outline"])
+
+
+def _slices(top: int, keep: list[str]):
+    """Runs of whole elements, one a piece that is read; the last of a range ends where its last element does."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                kept = {k: pa.array([r[k]], batch.schema.field(k).type) for k in keep}
+                source, lo, hi, opened, closed = Ranges(r["file"]), r["lo"], r["hi"], r["open"], r["close"]
+                if opened < 0:
+                    yield pa.RecordBatch.from_pydict(kept | {"slice": pa.array([None], pa.string())})
+                    continue
+                begun, parts = None, []
+                for at, data, outside, nesting in source.nested(lo, closed + 1, r["inside"], r["depth"]):
+                    mark = outside & (((data == 44) & (nesting == top)) | ((data == 91) & (nesting == top)) | ((data == 93) & (nesting == top - 1)))
+                    places = at + np.flatnonzero(mark)
+                    places = places[(places >= opened) & (places <= closed)]
+                    own, later = places[places < hi], places[places >= hi]
+                    start = at
+                    for k in sorted({int(x) for x in (*own[:1], *own[-1:], *later[:1])}):
+                        if begun is not None:
+                            text = _text(b"".join([*parts, data[start - at : k - at].tobytes()]))
+                            if text is None or (not text.strip() and (begun, k) != (opened, closed)):
+                                text = NO_ELEMENT
+                            yield pa.RecordBatch.from_pydict(kept | {"slice": pa.array([text], pa.string())})
+                        start = k + 1
+                        begun, parts = (k if k < min(hi, closed) else None), []
+                    if begun is not None:
+                        parts.append(data[start - at :].tobytes())
+                    elif at + len(data) >= hi:
+                        break
+
+    return found
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """file, size of the files at ``path`` (a file, a folder or a pattern)."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return listed.select(F.col("path").alias("file"), F.col("length").alias("size"))
 
 
-def array_elements(spark: SparkSession, path: str, field: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """file, value (JSON text) of each element of the array under the top-level key ``field`` of each document.
+def _states(files: DataFrame, range_bytes: int) -> tuple[DataFrame, int]:
+    """The ranges of ``files`` (file, size) with the state at their beginning, and how many there are.
 
-    Without ``field`` the document itself is the array. A file holds one document of UTF-8
-    JSON, of any layout; elements of any kind come out as they are written. Documents
-    without the key or with an empty array give no rows; of a repeated key the first array
-    counts. A file whose strings or nesting don't end fails the read.
+    ``low`` is the least nesting in a range; ``broken`` says of a file that its strings or nesting don't end.
     """
-    ship_package(spark)
-    top = 2 if field is not None else 1
-    files = _files(spark, path)
+    ship_package(files.sparkSession)
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = files.select("file", "size", cuts.alias("lo")).withColumn("hi", F.least(F.col("lo") + range_bytes, "size"))
     n = max(1, ranges.count())  # a task a range: the rows are few, so Spark would merge them into one task by itself
@@ -185,17 +235,64 @@ def array_elements(spark: SparkSession, path: str, field: str | None = None, ran
     least = F.col("depth") + F.when(F.col("inside") == 1, F.col("least1")).otherwise(F.col("least0"))
     whole = Window.partitionBy("file")
     broken = (F.sum("odd").over(whole) % 2 != 0) | (F.sum("up").over(whole) != 0) | (F.min(least).over(whole) < 0)
-    checked = known.withColumn("_low", least).withColumn("depth", F.when(~broken, F.col("depth")).otherwise(F.raise_error(F.concat(F.lit("not one whole JSON document: "), F.col("file")))))
-    states = materialised(checked.select("file", "lo", "hi", "inside", "depth", "_low"))
-    ends = states.filter(F.col("_low") < top).mapInPandas(_array_ends(field, top), "file string, at long, opens boolean")
+    return known.select("file", "lo", "hi", "inside", "depth", least.alias("low"), broken.alias("broken")), n
+
+
+def _arrays(states: DataFrame, n: int, field: str | None, top: int) -> DataFrame:
+    """file, open, close: where the array of a file begins and ends. ``n`` is the number of ranges."""
+    near = states.filter(F.col("low") < top).select("file", "lo", "hi", "inside", "depth").repartition(n)  # a window left them in few tasks
+    ends = near.mapInPandas(_array_ends(field, top), "file string, at long, opens boolean")
     ends = materialised(ends)
     opened = ends.filter("opens").groupBy("file").agg(F.min("at").alias("open"))
-    closed = ends.filter("NOT opens").join(opened, "file").filter("at > open").groupBy("file", "open").agg(F.min("at").alias("close"))
-    todo = states.join(closed, "file").filter((F.col("hi") > F.col("open")) & (F.col("lo") <= F.col("close")))
+    return ends.filter("NOT opens").join(opened, "file").filter("at > open").groupBy("file", "open").agg(F.min("at").alias("close"))
+
+
+def array_elements(spark: SparkSession, path: str, field: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """file, value (JSON text) of each element of the array under the top-level key ``field`` of each document.
+
+    Without ``field`` the document itself is the array. A file holds one document of UTF-8
+    JSON, of any layout; elements of any kind come out as they are written. Documents
+    without the key or with an empty array give no rows; of a repeated key the first array
+    counts. A file whose strings or nesting don't end fails the read.
+    """
+    top = 2 if field is not None else 1
+    states, n = _states(_files(spark, path), range_bytes)
+    checked = states.withColumn("depth", F.when(~F.col("broken"), F.col("depth")).otherwise(F.raise_error(F.concat(F.lit("not one whole JSON document: "), F.col("file")))))
+    states = materialised(checked)
+    todo = states.join(_arrays(states, n, field, top), "file").filter((F.col("hi") > F.col("open")) & (F.col("lo") <= F.col("close")))
     todo = todo.select("file", "lo", "hi", "inside", "depth", "open", "close").repartition(n)
     return todo.mapInArrow(_elements(top), "file string, value string")
 
 
+def split_documents(files: DataFrame, field: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The documents of ``files`` (file, size) as outlines (file, outline) and ranges for ``array_slices``.
+
+    An outline is the text of a document whose array under the top-level key ``field`` is emptied; null if
+    the document's strings or nesting don't end (such a file has no ranges) or it isn't UTF-8. Nothing is
+    said yet of what is between the array's brackets.
+    """
+    states, n = _states(files, range_bytes)
+    states = materialised(states)
+    whole = states.filter("NOT broken")
+    placed = whole.join(_arrays(whole, n, field, 2), "file", "left").fillna(-1, ["open", "close"])
+    todo = placed.filter("IF(open < 0, lo = 0, hi > open AND lo <= close)").select("file", "lo", "hi", "inside", "depth", "open", "close")
+    todo = materialised(todo)
+    found = todo.groupBy("file").agg(F.min("open").alias("open"), F.min("close").alias("close")).repartition(n).mapInPandas(_outlines, "file string, outline string")
+    return files.select("file").join(found, "file", "left"), todo
+
+
+def array_slices(ranges: DataFrame, keep: Sequence[str] = ("file",)) -> DataFrame:
+    """The columns in ``keep`` and a slice: the text of some elements that follow each other, with their commas.
+
+    ``ranges`` are those of ``split_documents``, with further columns or fewer files. A slice is about as long
+    as ``PIECE``, or one element. In ``[`` and ``]`` each slice of a well-formed array is one, and of one
+    that isn't at least one slice isn't. A document without the array has one row, whose slice is null.
+    """
+    fields = [f"{k} {ranges.schema[k].dataType.simpleString()}" for k in keep]
+    todo = ranges.repartition(max(1, ranges.count()))
+    return todo.mapInArrow(_slices(2, list(keep)), ", ".join([*fields, "slice string"]))
+
+
 def read_array(spark: SparkSession, path: str, schema: T.StructType, field: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The elements of ``array_elements`` parsed with ``schema``, a column a field."""
     return array_elements(spark, path, field, range_bytes).select(F.from_json("value", schema).alias("r")).select("r.*")

@@ -57,3 +57,27 @@ def test_positions_of_any_number_of_pages(spark, n):
     assert ends and {r.page: r.position for r in order.collect()} == {p: i for i, p in enumerate(chain)}
     circle = spark.createDataFrame(list(zip(chain, [*chain[1:], chain[n // 2]], strict=True)), "page string, next string")
     assert not page_order(circle, chain[0])[1]
+
+
+def test_a_large_page_is_read_by_many_tasks(spark, tmp_path):
+    chain = ["b.json", "a.json"]
+    records = {"b.json": [f'{i} "],[{{é\\' for i in range(300)], "a.json": []}
+    path = write(tmp_path / "large", chain, records)
+    read = read_pages(spark, [Paged("large", path, chain[0])], "rows", RECORD, range_bytes=1000).persist()
+    rows = read.selectExpr("page", "position", "size(records) AS n", "spark_partition_id() AS task").collect()
+    large = [r for r in rows if r.page == "b.json"]
+    assert sum(r.n for r in large) == 300 and max(r.n for r in large) < 60 and len({r.task for r in large}) > 3
+    assert [(r.position, r.n) for r in rows if r.page == "a.json"] == [(1, 0)]
+    assert sorted(r.id for r in records_of(read, "page").collect()) == sorted(records["b.json"])
+
+
+def test_records_that_json_does_not_allow_are_found_by_range(spark, tmp_path):
+    wrong = ['[{"id": "a"},, {"id": "b"}]', '[{"id": "a"} {"id": "b"}]', '[{"id": "a"}, ]', '[{"id": "a"}, 1}, "x": [2]', '[{"id": "a"}, {"id": "b"], "x": {}}]']
+    sources = []
+    for i, rows in enumerate(wrong):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "p").write_text(f'{{"links": {{}}, "rows": {rows}}}')
+        sources.append(Paged(str(i), str(tmp_path / str(i)), "p"))
+    with pytest.raises(FileNotFoundError) as error:
+        read_pages(spark, sources, "rows", RECORD, range_bytes=14)
+    assert str(error.value) == "no source holds: " + "; ".join(f"{i}: page p can't be parsed" for i in range(len(wrong)))
