@@ -238,10 +238,15 @@ def _states(files: DataFrame, range_bytes: int) -> tuple[DataFrame, int]:
     return known.select("file", "lo", "hi", "inside", "depth", least.alias("low"), broken.alias("broken")), n
 
 
-def _arrays(states: DataFrame, n: int, field: str | None, top: int) -> DataFrame:
-    """file, open, close: where the array of a file begins and ends. ``n`` is the number of ranges."""
-    near = states.filter(F.col("low") < top).select("file", "lo", "hi", "inside", "depth").repartition(n)  # a window left them in few tasks
-    ends = near.mapInPandas(_array_ends(field, top), "file string, at long, opens boolean")
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to a task a row: they are few, so Spark would merge them into one task by itself."""
+    return rows.repartition(max(1, rows.count()))
+
+
+def _arrays(states: DataFrame, field: str | None, top: int) -> DataFrame:
+    """file, open, close: where the array of a file begins and ends."""
+    near = states.filter(F.col("low") < top).select("file", "lo", "hi", "inside", "depth")
+    ends = _spread(near).mapInPandas(_array_ends(field, top), "file string, at long, opens boolean")
     ends = materialised(ends)
     opened = ends.filter("opens").groupBy("file").agg(F.min("at").alias("open"))
     return ends.filter("NOT opens").join(opened, "file").filter("at > open").groupBy("file", "open").agg(F.min("at").alias("close"))
@@ -259,7 +264,7 @@ def array_elements(spark: SparkSession, path: str, field: str | None = None, ran
     states, n = _states(_files(spark, path), range_bytes)
     checked = states.withColumn("depth", F.when(~F.col("broken"), F.col("depth")).otherwise(F.raise_error(F.concat(F.lit("not one whole JSON document: "), F.col("file")))))
     states = materialised(checked)
-    todo = states.join(_arrays(states, n, field, top), "file").filter((F.col("hi") > F.col("open")) & (F.col("lo") <= F.col("close")))
+    todo = states.join(_arrays(states, field, top), "file").filter((F.col("hi") > F.col("open")) & (F.col("lo") <= F.col("close")))
     todo = todo.select("file", "lo", "hi", "inside", "depth", "open", "close").repartition(n)
     return todo.mapInArrow(_elements(top), "file string, value string")
 
@@ -271,13 +276,13 @@ def split_documents(files: DataFrame, field: str, range_bytes: int = RANGE_BYTES
     the document's strings or nesting don't end (such a file has no ranges) or it isn't UTF-8. Nothing is
     said yet of what is between the array's brackets.
     """
-    states, n = _states(files, range_bytes)
-    states = materialised(states)
+    states = materialised(_states(files, range_bytes)[0])
     whole = states.filter("NOT broken")
-    placed = whole.join(_arrays(whole, n, field, 2), "file", "left").fillna(-1, ["open", "close"])
+    placed = whole.join(_arrays(whole, field, 2), "file", "left").fillna(-1, ["open", "close"])
     todo = placed.filter("IF(open < 0, lo = 0, hi > open AND lo <= close)").select("file", "lo", "hi", "inside", "depth", "open", "close")
     todo = materialised(todo)
-    found = todo.groupBy("file").agg(F.min("open").alias("open"), F.min("close").alias("close")).repartition(n).mapInPandas(_outlines, "file string, outline string")
+    ends = todo.groupBy("file").agg(F.min("open").alias("open"), F.min("close").alias("close"))
+    found = _spread(ends).mapInPandas(_outlines, "file string, outline string")
     return files.select("file").join(found, "file", "left"), todo
 
 
@@ -289,8 +294,7 @@ def array_slices(ranges: DataFrame, keep: Sequence[str] = ("file",)) -> DataFram
     that isn't at least one slice isn't. A document without the array has one row, whose slice is null.
     """
     fields = [f"{k} {ranges.schema[k].dataType.simpleString()}" for k in keep]
-    todo = ranges.repartition(max(1, ranges.count()))
-    return todo.mapInArrow(_slices(2, list(keep)), ", ".join([*fields, "slice string"]))
+    return _spread(ranges).mapInArrow(_slices(2, list(keep)), ", ".join([*fields, "slice string"]))
 
 
 def read_array(spark: SparkSession, path: str, schema: T.StructType, field: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
