@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import round_doubles
 from ..sources import nested as N
-from ..session import ensure_checkpoint_dir, materialised
+from ..session import ensure_checkpoint_dir
 from ..sources import paged
 from ..sources.facts import holders, order_facts
 from ..sources.json_array import read_array
@@ -26,15 +26,18 @@ def _parts(rows, each):
     return max(8, -(-rows.count() // each))
 
 
-def order_documents(spark, sf_dir):
-    """One nested recipient document (JSON text) per order: organisations carry
-    ``orgName``/``founded``, persons ``givenName``/``familyName``/``birth`` and, for
-    finished orders, ``death``; partial birth dates ('-00' day) exercise P5."""
+def _held_orders(spark, sf_dir):
+    """The rows that documents are made of: an order with its recipient."""
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
                                                   "o_orderpriority", "o_totalprice"])
     who = holders(spark, sf_dir)
-    # a document is some twenty times its row: the rows are dealt by number, not by their size, before it is built
-    b = orders.join(who, orders.o_custkey == who.c_custkey).repartition(_parts(orders, DOCUMENTS_A_TASK), "o_orderkey")
+    return orders.join(who, orders.o_custkey == who.c_custkey).drop("c_custkey")
+
+
+def _recipient():
+    """The nested recipient of a row of ``_held_orders``: organisations carry ``orgName``/``founded``,
+    persons ``givenName``/``familyName``/``birth`` and, for finished orders, ``death``; partial
+    birth dates ('-00' day) exercise P5."""
     is_org = F.col("c_mktsegment") == "MACHINERY"
     byear = F.year("o_orderdate") - 20 - (F.col("o_orderkey") % 50)
     bstr = F.concat(byear.cast("string"), F.lit("-"), F.lpad(F.month("o_orderdate").cast("string"), 2, "0"), F.lit("-00"))
@@ -56,7 +59,7 @@ def order_documents(spark, sf_dir):
         affiliations.alias("affiliations"),
     )
     awards = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), award)  # one to three
-    rec = F.struct(
+    return F.struct(
         F.col("o_custkey").cast("string").alias("id"),
         F.when(is_org, en(F.col("c_name"))).alias("orgName"),
         F.when(is_org, dated).alias("founded"),
@@ -67,7 +70,13 @@ def order_documents(spark, sf_dir):
         F.when(~is_org & (status == "F"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))).alias("death"),
         awards.alias(N.AWARDS_FIELD),
     )
-    return b.select(F.to_json(F.struct(F.array(rec).alias(N.RECORDS_FIELD))).alias("json"))
+
+
+def order_documents(spark, sf_dir):
+    """One nested recipient document (JSON text) per order, see ``_recipient``."""
+    # a document is some twenty times its row: the rows are dealt by number, not by their size, before it is built
+    b = _held_orders(spark, sf_dir).repartition(_parts(read_table(spark, sf_dir, "orders"), DOCUMENTS_A_TASK), "o_orderkey")
+    return b.select(F.to_json(F.struct(F.array(_recipient()).alias(N.RECORDS_FIELD))).alias("json"))
 
 
 NESTED_SQL = """
@@ -121,25 +130,25 @@ def q_files(spark, sf_dir):
     return _flat(N.read_documents(spark, folder, lines=True))
 
 
-def _in_files(records):
-    """``records`` (shard, value: JSON) with nth, their place in their shard, and n, its size; a shard is in one partition."""
+def _in_files(records, *order):
+    """``records`` (with shard) and nth, their place in their shard by ``order``, and n, its size; a shard is in one partition."""
     shard = Window.partitionBy("shard")
-    return records.select("shard", "value", F.row_number().over(shard.orderBy("value")).alias("nth"), F.count(F.lit(1)).over(shard).alias("n"))
+    return records.withColumns({"nth": F.row_number().over(shard.orderBy(*order)), "n": F.count(F.lit(1)).over(shard)})
 
 
-def _write_placed(placed, folder, before, after):
-    """``placed`` (see ``_in_files``): a file a shard, one document with one array between the texts ``before`` and ``after``.
+def _write_placed(placed, folder, value, before, after, compression="none"):
+    """``placed`` (see ``_in_files``): a file a shard, one document with one array of ``value`` (JSON) between the texts ``before`` and ``after``.
 
     The ends are part of the first and the last row of a shard, so that one shuffle brings a file's
     rows together; of a union Spark may coalesce each side for itself, which tears a shard apart.
     """
-    value = F.concat(F.when(F.col("nth") > 1, F.lit(",")).otherwise(before), "value", F.when(F.col("nth") == F.col("n"), after).otherwise(F.lit("")))
-    placed.select("shard", value.alias("value"), "nth").sortWithinPartitions("shard", "nth").select("shard", "value").write.partitionBy("shard").text(folder)
+    text = F.concat(F.when(F.col("nth") > 1, F.lit(",")).otherwise(before), value, F.when(F.col("nth") == F.col("n"), after).otherwise(F.lit("")))
+    placed.sortWithinPartitions("shard", "nth").select("shard", text.alias("value")).write.partitionBy("shard").option("compression", compression).text(folder)
 
 
 def _write_array_files(records, folder, before, after):
     """``records`` (shard, value: JSON): a file a shard (see ``_write_placed``)."""
-    _write_placed(_in_files(records), folder, before, after)
+    _write_placed(_in_files(records, "value"), folder, F.col("value"), before, after)
 
 
 def _records(spark, sf_dir):
@@ -157,7 +166,7 @@ def q_array_files(spark, sf_dir):
     return _flat(read_array(spark, folder, N.RECIPIENT, N.RECORDS_FIELD, range_bytes=1 << 20))
 
 
-PAGES, STRIDE = 40, 7
+PAGES, STRIDE, GONE, TORN = 40, 7, 14, 5
 
 
 @query("paged_source", f"""
@@ -166,18 +175,24 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT range AS positio
 GROUP BY ALL
 """)
 def q_paged(spark, sf_dir):
-    """Linked pages; of three sources the first lacks a page, the second has a torn one, and the third is read."""
+    """Linked pages; of three sources the first lacks a page, the second has a torn one, and the third is read.
+
+    Pages that are the same in several sources are the same files; each source reads all of its own.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
-    page = F.pmod(F.get_json_object("value", "$.id").cast("long"), F.lit(PAGES)).cast("int")
-    placed = materialised(_in_files(_records(spark, sf_dir).withColumn("shard", page)))  # once for all three; a partition stays whole
+    records = _held_orders(spark, sf_dir).withColumn("shard", F.pmod("o_custkey", F.lit(PAGES)).cast("int"))
     before, last = F.lit(f'{{"{N.RECORDS_FIELD}": ['), (PAGES - 1) * STRIDE % PAGES
     link = F.concat(F.lit('], "links": {"next": "'), ((F.col("shard") + STRIDE) % PAGES).cast("string"), F.lit('"}}'))
     whole = F.when(F.col("shard") == last, F.lit('], "links": {}}')).otherwise(link)
-    torn = F.when(F.col("shard") == 5, F.lit('], "links": {"ne')).otherwise(whole)
-    for name, rows, after in (("gone", placed.filter("shard <> 14"), whole), ("torn", placed, torn), ("mirror", placed, whole)):
-        _write_placed(rows, f"{folder}/{name}", before, after)
-    sources = [paged.Paged(x, f"{folder}/{x}", "0", "regexp_extract(_metadata.file_path, 'shard=([0-9]+)', 1)") for x in ("gone", "torn", "mirror")]
-    manifest = placed.groupBy(F.col("shard").cast("string").alias("page")).agg(F.count("*").alias("n_records"))
+    for name, rows, after in (("whole", records, whole), ("torn", records.filter(F.col("shard") == TORN), F.lit('], "links": {"ne'))):
+        # a document is some ten times its row, so the rows are dealt and sorted; its text is written once, in blocks that are read by themselves
+        placed = _in_files(rows, "o_custkey", "o_orderkey")
+        _write_placed(placed, f"{folder}/{name}", F.to_json(_recipient()), before, after, "snappy")
+    held = {i: f"{folder}/whole/shard={i}" for i in range(PAGES)}
+    lacks = [path for i, path in held.items() if i != GONE]
+    tears = [*(held | {TORN: f"{folder}/torn/shard={TORN}"}).values()]
+    sources = [paged.Paged(x, path, "0", "regexp_extract(_metadata.file_path, 'shard=([0-9]+)', 1)") for x, path in (("gone", lacks), ("torn", tears), ("mirror", [*held.values()]))]
+    manifest = records.groupBy(F.col("shard").cast("string").alias("page")).agg(F.count("*").alias("n_records"))
     read = paged.read_pages(spark, sources, N.RECORDS_FIELD, N.RECIPIENT, manifest)
     rows = paged.records_of(read, "source", "position", "page")
     return rows.groupBy("source", "position", "page").agg(F.count("*").alias("n_records"), F.sum(F.col("id").cast("long")).alias("sum_id"))

@@ -13,6 +13,9 @@ each range learns from the ones before it where it begins: inside a string or no
    finish the last one. Elements are parsed by Spark's ``from_json``.
 
 The bytes are read twice, both times in parallel; a file is never held by one task.
+
+A file may be packed in blocks, as Spark writes it with the compression "snappy". Places and
+ranges are those of its text, and a range unpacks only the blocks that it lies in.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,12 +39,51 @@ RANGE_BYTES = 32 << 20
 PIECE, NAME_REACH = 1 << 22, 1 << 16
 #: Stands for a slice that isn't text or where an element is missing: no parser takes it for elements.
 NO_ELEMENT = ","
+#: How the name of a packed file ends: Hadoop's block format, of chunks that are packed each by itself.
+PACKED = ".snappy"
 _STEP = np.zeros(256, dtype=np.int8)
 _STEP[[91, 123]], _STEP[[93, 125]] = 1, -1  # [ { and ] }
 
 
+@lru_cache(maxsize=256)
+def _chunks(path: str, size: int, changed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a packed file: where in its text each chunk begins, and the text ends; where in the file each chunk begins, and ends.
+
+    A block is the length of its text (4 bytes, the highest first) and chunks until that text is
+    complete; a chunk is its packed length and as many bytes, which say first how long their text is.
+    """
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    text, begin, end, at = [0], [], [], 0
+    with store.open_input_stream(place, compression=None, buffer_size=PIECE) as stream:
+
+        def take(n: int) -> bytes:
+            nonlocal at
+            data = stream.read(n)
+            at += n
+            if len(data) < n:
+                raise ValueError(f"{path} ends within a block")
+            return data
+
+        while at < size:
+            rest = int.from_bytes(take(4))
+            while rest:
+                packed = int.from_bytes(take(4))
+                begin.append(at)
+                data = take(packed)
+                end.append(at)
+                digits = next((i + 1 for i, x in enumerate(data[:5]) if x < 128), 0)
+                n = sum((x & 127) << 7 * i for i, x in enumerate(data[:digits]))
+                if not 0 < n <= rest:
+                    raise ValueError(f"{path} isn't in blocks of snappy")
+                text.append(text[-1] + n)
+                rest -= n
+    return np.array(text, dtype=np.int64), np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)
+
+
 class Ranges:
-    """Reads parts of a file of any store that pyarrow knows."""
+    """Reads parts of a file of any store that pyarrow knows; of a packed file, parts of its text."""
 
     def __init__(self, path: str):
         from pyarrow import fs
@@ -48,10 +91,23 @@ class Ranges:
         store, place = fs.FileSystem.from_uri(path)
         self.file = store.open_input_file(place)
         self.size = self.file.size()
+        self.chunks = None
+        if path.endswith(PACKED):
+            self.chunks = _chunks(path, self.size, store.get_file_info(place).mtime_ns or 0)
+            self.size = int(self.chunks[0][-1])
 
     def bytes(self, lo: int, hi: int) -> bytes:
         lo, hi = max(0, lo), min(hi, self.size)
-        return self.file.read_at(hi - lo, lo) if hi > lo else b""
+        if hi <= lo:
+            return b""
+        if self.chunks is None:
+            return self.file.read_at(hi - lo, lo)
+        text, begin, end = self.chunks
+        first, last = (int(np.searchsorted(text, x, "right")) - 1 for x in (lo, hi - 1))
+        base, codec = int(begin[first]), pa.Codec("snappy")
+        data = memoryview(self.file.read_at(int(end[last]) - base, base))
+        parts = [codec.decompress(data[begin[k] - base : end[k] - base], int(text[k + 1] - text[k]), asbytes=True) for k in range(first, last + 1)]
+        return b"".join(parts)[lo - int(text[first]) : hi - int(text[first])]
 
     def backslashes(self, at: int) -> int:
         """How many backslashes end at the byte ``at``."""
@@ -218,12 +274,27 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return listed.select(F.col("path").alias("file"), F.col("length").alias("size"))
 
 
+def _text_sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"file": frame["file"], "size": [Ranges(x).size for x in frame["file"]]})
+
+
+def _unpacked(files: DataFrame) -> DataFrame:
+    """``files`` (file, size), the size of the packed ones being that of their text."""
+    packed = files.filter(F.col("file").endswith(PACKED)).select("file", "size")
+    if packed.isEmpty():
+        return files
+    sizes = materialised(_spread(packed).mapInPandas(_text_sizes, "file string, size long"))
+    return files.select("file", "size").filter(~F.col("file").endswith(PACKED)).unionByName(sizes)
+
+
 def _states(files: DataFrame, range_bytes: int) -> tuple[DataFrame, int]:
     """The ranges of ``files`` (file, size) with the state at their beginning, and how many there are.
 
     ``low`` is the least nesting in a range; ``broken`` says of a file that its strings or nesting don't end.
     """
     ship_package(files.sparkSession)
+    files = _unpacked(files)
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = files.select("file", "size", cuts.alias("lo")).withColumn("hi", F.least(F.col("lo") + range_bytes, "size"))
     n = max(1, ranges.count())  # a task a range: the rows are few, so Spark would merge them into one task by itself

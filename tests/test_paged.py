@@ -2,10 +2,16 @@
 
 import json
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from honorlens.plans import ingest
+from honorlens.session import ensure_checkpoint_dir
+from honorlens.sources.json_array import PACKED, Ranges
 from honorlens.sources.paged import Paged, page_order, read_pages, records_of
 
 RECORD = T.StructType([T.StructField("id", T.StringType())])
@@ -81,3 +87,32 @@ def test_records_that_json_does_not_allow_are_found_by_range(spark, tmp_path):
     with pytest.raises(FileNotFoundError) as error:
         read_pages(spark, sources, "rows", RECORD, range_bytes=14)
     assert str(error.value) == "no source holds: " + "; ".join(f"{i}: page p can't be parsed" for i in range(len(wrong)))
+
+
+def test_packed_pages_are_read_by_range(spark, tmp_path):
+    rnd = random.Random(6)
+    ids = [f'{i} "],[{{é\\' * 9 for i in range(4000)] + ["".join(rnd.choices('abcdefgh"\\', k=600_000))] + ["last"]
+    lines = ['{"links": {}, "rows": [null', *(f",{json.dumps({'id': x})}" for x in ids), "]}"]
+    text = "\n".join(lines) + "\n"
+    rows = spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+    rows.write.option("compression", "snappy").text(str(tmp_path / "whole"))
+    [page] = (tmp_path / "whole").glob(f"part-*{PACKED}")
+    source, data = Ranges(f"file://{page}"), text.encode()
+    assert source.size == len(data) > 2 * page.stat().st_size
+    for lo, hi in [(0, len(data)), (-5, 1), (len(data) - 1, len(data) + 9), (7, 7), *(sorted(rnd.choices(range(len(data)), k=2)) for _ in range(30))]:
+        assert source.bytes(lo, hi) == data[max(0, lo) : hi]
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / page.name).write_bytes(page.read_bytes()[:-100])
+    sources = [Paged(x, [str(tmp_path / x)], page.name) for x in ("cut", "whole")]
+    read = read_pages(spark, sources, "rows", RECORD, range_bytes=100_000).persist()
+    assert {r.source for r in read.select("source").collect()} == {"whole"} and read.count() > 8
+    assert sorted(str(r.id) for r in records_of(read, "page").collect()) == sorted([*ids, "None"])
+
+
+def test_three_sources_take_less_disk_than_one_plain_copy(spark):
+    folder, sf_dir = Path(urlparse(ensure_checkpoint_dir(spark)).path), "/root/testdata/sf0.01"
+    held = lambda: sum(x.stat().st_size for x in folder.rglob("*") if x.is_file())
+    before = held()
+    assert ingest.q_paged(spark, sf_dir).agg(F.sum("n_records")).first()[0] == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    text = ingest._records(spark, sf_dir).agg(F.sum(F.octet_length("value"))).first()[0]
+    assert held() - before < text
