@@ -3,8 +3,9 @@
 A page is one JSON document (UTF-8) in a file of its own, plain or packed (see ``json_array``):
 an array of records and the name of the next page under ``links.next`` (none on the last). A
 page may be large: its records are read by byte ranges, a slice of some MB at a time. Pages are
-edges of a graph, and the order comes from following the links of all pages at once: after round k the first 2^k pages are
-known, and each page knows the one 2^k further on. A source counts only if
+edges of a graph, and the order comes from following the links of all pages at once: after
+round k the first 2^k pages are known, and each page knows the one 2^k further on. A source
+counts only if
 
 * every page can be parsed, and a page that is linked to is there,
 * the links from the first page end, without meeting a page twice,
